@@ -143,3 +143,11 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 1 << 22) ->
         j = max(i + 1, int(np.searchsorted(total, before + most, "right")))
         yield batch.slice(i, j - i)
         i = j
+
+
+def loosened(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """A struct column whose fields may all be null, as a schema without nullability declares them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    fields = [pa.field(f.name, f.type) for f in column.type]
+    return pa.StructArray.from_arrays([column.field(i) for i in range(len(fields))], fields=fields)
