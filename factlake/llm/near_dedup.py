@@ -32,7 +32,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: A pair is verified if the estimate is at least the threshold less so many standard errors.
 DEVIATIONS = 5.0
 #: Rows of one side of a block comparison.
-BLOCK = 256
+BLOCK = 1024
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -216,37 +216,62 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, w
     return source.join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
 
 
-def _unsettled_pairs(mixed: DataFrame, reps: DataFrame, registers: int, threshold: float) -> DataFrame:
-    """Pairs of one bucket but different components that may be similar; mixed: (key, rep, c, cnt)."""
-    floor = _floor(threshold, registers)
+def _links_between(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of one bucket between different components; mixed: (key, rep, c, cnt).
+
+    Block meets block, each pair of blocks in one task, which counts all intersections by matrix
+    products over the shared shingles and returns a spanning forest of the links, not the pairs.
+    """
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("long")
     placed = mixed.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     spread = spread.select(
         "key", "rep", "c", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk"
-    ).join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    ).join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
-        lo = table.column("lo")[0].as_py()
-        ids, comp, size, blk = (table.column(c).to_numpy() for c in ("rep", "c", "n_shingles", "blk"))
-        regs = _registers(table.column("sketch").combine_chunks(), registers)
-        left, right = np.flatnonzero(blk == lo), np.arange(len(ids))
+        ids, comp, blk = (table.column(c).to_numpy() for c in ("rep", "c", "blk"))
+        names, comp = np.unique(comp, return_inverse=True)
+        several = np.flatnonzero(comp != np.bincount(comp).argmax())
         a, b = [], []
-        for i in left:
-            to = right[(comp != comp[i]) & ((blk != lo) | (ids > ids[i]))]
-            if not len(to):
-                continue
-            alike = np.minimum(size[to], size[i]) >= threshold * np.maximum(size[to], size[i])
-            to = to[alike]
-            if len(to):
-                me = np.repeat(regs[i : i + 1], len(to), 0)
-                to = to[estimate_similarity(me, regs[to], np.full(len(to), size[i]), size[to]) >= floor]
-                a.append(np.minimum(ids[to], ids[i]))
-                b.append(np.maximum(ids[to], ids[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(a or [none]), "b": np.concatenate(b or [none])})
-
-    return spread.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
+        if len(several):
+            found = _similar([np.frombuffer(x, U) for x in table.column("shingles").to_pylist()], several, percent)
+            inside = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+            found &= (comp[several][:, None] != comp[None, :]) & (inside | (blk[several][:, None] != blk[None, :]))
+            root = np.arange(len(names))
+            for i, j in zip(*np.nonzero(found), strict=True):
+                x, y = comp[several[i]], comp[j]
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                if x != y:
+                    root[x] = y
+                    a.append(ids[several[i]])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return spread.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def _similar(sets: list[np.ndarray], some: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets named in ``some`` are similar to which of all sets, as a matrix."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[token] > 1
+    number = np.cumsum(seen > 1) - 1
+    owner, token = owner[shared], number[token[shared]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((len(some), len(sets)), np.float32)
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+        i, j = np.searchsorted(token, (low, low + 4096))
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[i:j], token[i:j] - low] = 1
+        both += held[some] @ held.T
+    both = both.astype(np.int64)
+    return 100 * both >= percent * (sizes[some][:, None] + sizes[None, :] - both)
 
 
 def near_duplicates(
@@ -292,7 +317,7 @@ def near_duplicates(
     labelled = labelled.select("key", "rep", "cnt", F.coalesce("component", "rep").alias("c"))
     split = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
     mixed = written(labelled.join(split, "key", "left_semi"), "mixed")
-    second = _verified(_unsettled_pairs(mixed, reps, registers, threshold), sets, percent)
+    second = _links_between(mixed, sets, percent)
     label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     lifted = second.join(label("a"), "a", "left").join(label("b"), "b", "left")
     lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
