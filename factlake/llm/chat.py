@@ -70,7 +70,8 @@ def best_paths(tree: DataFrame, most: int = 1) -> DataFrame:
     first in order of role and text; an empty table gives an empty result.
     """
     first = Window.partitionBy("conv_id", "node").orderBy("parent", "role", "text", "score")
-    tree = tree.filter("node is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    tree = tree.select("conv_id", "node", "parent", "role", "text", "score").filter("node is not null")
+    tree = tree.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     tree = tree.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
     tree = written(tree.withColumn("tree", F.xxhash64("conv_id", F.col("conv_id").isNull())), "messages")
     ids = tree.select("tree", F.col("node").alias("up"), F.col("score").alias("s"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many known texts is broadcast.
 MOST_BROADCAST = 50_000
-COPYRIGHT = r"^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT = r"^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|[0-9])|\(c\) ?[0-9]|©|all rights reserved)[^\n]*$"
 #: Equivalent spellings, as (pattern, replacement) with $1 for the part that stays.
 SPELLINGS = (
     (r"licenc(e|es|ed|ing|ee|or|able)\b", "licens$1"),

@@ -84,14 +84,14 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str, time_
     spans = validity(entries)
     if spans.count() <= MOST_BROADCAST:
         spans = F.broadcast(spans)
-    asked = own.select("host", F.col(time_col).alias("_at")).filter("host is not null and _at is not null").distinct()
+    asked = own.select("host", F.col(time_col).alias("__at")).filter("host is not null and __at is not null").distinct()
     asked = asked.withColumn("key", F.explode(host_keys(F.col("host"))))
-    active = asked.join(spans, "key").filter("since <= _at and (until is null or until > _at)")
+    active = asked.join(spans, "key").filter("since <= __at and (until is null or until > __at)")
     rank = F.struct(F.length("pattern"), F.col("kind") == "host", "pattern", "action")
-    best = active.groupBy(F.col("host").alias("_host"), "_at").agg(F.max(rank).alias("_best"))
-    best = best.select("_host", "_at", F.col("_best.pattern").alias("entry"), F.col("_best.action").alias("action"))
-    out = own.join(best, (F.col("host") == F.col("_host")) & (F.col(time_col) == F.col("_at")), "left")
-    return out.drop("_host", "_at").withColumn("blocked", F.coalesce(F.col("action") == "block", F.lit(False)))
+    best = active.groupBy(F.col("host").alias("__host"), "__at").agg(F.max(rank).alias("_best"))
+    best = best.select("__host", "__at", F.col("_best.pattern").alias("entry"), F.col("_best.action").alias("action"))
+    out = own.join(best, (F.col("host") == F.col("__host")) & (F.col(time_col) == F.col("__at")), "left")
+    return out.drop("__host", "__at").withColumn("blocked", F.coalesce(F.col("action") == "block", F.lit(False)))
 
 
 FILTER_SQL = f"""
