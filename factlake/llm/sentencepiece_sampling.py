@@ -74,15 +74,17 @@ class Vocabulary:
         words = Words(np.frombuffer(joined, np.uint8), np.r_[0, ends[:-1]], ends, np.array([0, len(pieces)]))
         self.hash = np.append(words.hashes(), U(0))
         self.ids = np.append(np.array(pieces, np.int32), np.int32(-1))
+        # A slot names its piece, none (``none``), or that several share it (``none + 1``).
+        none = len(pieces)
         self.tables: list[tuple[U, np.ndarray]] = []
-        left = np.arange(len(pieces))
+        left = np.arange(none)
         for shift in (44, 20, 0, 32):
             slot = (self.hash[left] >> U(shift)) & U((1 << _SLOT_BITS) - 1)
-            _, one = np.unique(slot, return_index=True)
-            table = np.full(1 << _SLOT_BITS, len(pieces), np.uint16 if len(pieces) < 65535 else np.int32)
-            table[slot[one]] = left[one]
+            _, one, seen = np.unique(slot, return_index=True, return_counts=True)
+            table = np.full(1 << _SLOT_BITS, none, np.uint16 if none < 65534 else np.int32)
+            table[slot[one]] = np.where(seen > 1, none + 1, left[one])
             self.tables.append((U(shift), table))
-            left = np.delete(left, one)
+            left = np.delete(left, one[seen == 1])
             if not len(left):
                 break
         else:
@@ -90,10 +92,15 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of the piece with each hash; the index past the last where there is none."""
-        found = np.full(len(h), len(self.ids) - 1, np.int32)
-        for shift, table in self.tables:
-            at = table[(h >> shift) & U((1 << _SLOT_BITS) - 1)].astype(np.int32)
-            np.copyto(found, at, where=self.hash[at] == h)
+        none = len(self.ids) - 1
+        shift, table = self.tables[0]
+        found = table[(h >> shift) & U((1 << _SLOT_BITS) - 1)].astype(np.int32)
+        shared = np.flatnonzero(found > none)
+        for shift, table in self.tables[1:]:
+            at = table[(h[shared] >> shift) & U((1 << _SLOT_BITS) - 1)].astype(np.int32)
+            found[shared] = at
+            shared = shared[at > none]
+        found[self.hash[found] != h] = none
         return found
 
     def decode(self, ids: np.ndarray) -> str:
@@ -113,7 +120,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 @dataclass
 class Lattice:
-    """Nodes and edges of distinct segments; edges of a node lie together, likeliest first."""
+    """Nodes and edges of distinct segments; edges of a node lie together, longest first."""
 
     start: np.ndarray  # node where each segment begins; the end node is -1
     first: np.ndarray  # first edge of a node
@@ -137,8 +144,8 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
     number[order] = np.arange(n, dtype=np.int32)
     lead = (text & 0xC0) != 0x80
     at = np.flatnonzero(lead)
-    from_, to_, piece_ = [], [], []
-    width = np.ones(n, np.int64)
+    found: list[tuple[np.ndarray, int, np.ndarray]] = []
+    width = np.ones(n, np.int8)
     width[text >= 0xC0] = 2
     width[text >= 0xE0] = 3
     width[text >= 0xF0] = 4
@@ -151,29 +158,29 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
         hit = vocab.find(hashes.of(at, length))
         known = hit < len(vocab.ids) - 1
         src = at[known]
-        from_.append(src)
-        to_.append(length)
-        piece_.append(vocab.ids[hit[known]])
-        covered[src[width[src] == length]] = True
+        found.append((src, length, vocab.ids[hit[known]]))
+        if length <= 4:
+            covered[src[width[src] == length]] = True
     alone = np.repeat(covered[lead], np.diff(np.append(np.flatnonzero(lead), n))) if n else covered
     src = np.flatnonzero(~alone)
-    from_.append(src)
-    to_.append(1)
-    piece_.append(vocab.byte_ids[text[src]])
-    src = np.concatenate(from_)
-    step = np.repeat(to_, [len(x) for x in from_])
-    piece = np.concatenate(piece_)
-    end = left[src] == step
-    to = np.where(end, -1, number[np.where(end, 0, src + step)])
-    src = number[src]
-    by = np.argsort(src, kind="stable")
-    src, to, piece = src[by], to[by], piece[by]
-    weight = power * vocab.log_weight[piece]
-    count = np.bincount(src, minlength=n)
+    found.append((src, 1, vocab.byte_ids[text[src]]))
+    count = np.zeros(n, np.int64)
+    for src, _, _ in found:
+        count[number[src]] += 1
     last = np.cumsum(count)
     first = last - count
+    # Longer pieces first, as they are the likelier ones as a rule; a length has one edge of a node.
+    free = first.copy()
+    to = np.empty(int(count.sum()), np.int32)
+    piece = np.empty(len(to), np.int32)
+    for src, length, ids in reversed(found):
+        place = free[number[src]]
+        free[number[src]] = place + 1
+        piece[place] = ids
+        to[place] = np.where(left[src] == length, -1, number[np.minimum(src + length, n - 1)])
+    weight = power * vocab.log_weight[piece]
     beta = np.append(np.zeros(n), 0.0)  # log of the mass from a node to the end; the last is the end's
-    log_prob = np.empty(len(src))
+    log_prob = np.empty(len(to))
     distances = left[order]
     cut = np.flatnonzero(np.r_[True, distances[1:] != distances[:-1]]) if n else np.zeros(0, np.int64)
     for a, b in zip(cut, np.append(cut[1:], n), strict=True):
@@ -189,13 +196,11 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
         log_prob[i:j] = w - np.repeat(total, count[node])
     prob = np.exp(log_prob)
     prob[np.repeat(count == 1, count)] = 1.0
-    by = np.lexsort((-prob, src))
-    to, piece, prob = to[by], piece[by], prob[by]
     total = np.cumsum(prob)
     some = count > 0
     upto = total - np.repeat(total[first[some]] - prob[first[some]], count[some])
     upto[last[some] - 1] = 2.0
-    return Lattice(number[offset], first, last, to.astype(np.int32), piece, prob, upto)
+    return Lattice(number[offset], first, last, to, piece, prob, upto)
 
 
 class _Substrings:
@@ -338,7 +343,7 @@ def sample_texts(texts: pa.Array, keys: np.ndarray, k: int, power: float, vocab:
     rank = np.arange(len(node)) - seg.first[owner]
     base = mix(keys[owner] + mix(rank.astype(U) + U(1))) if len(node) else np.zeros(0, U)
     draws = []
-    for s in range(k + 1):
+    for s in range(k):
         edges, count = _draw(lattice, node, base + U(((s + 1) * 0xA0761D6478BD642F) & _MASK))
         draws.append((edges, np.r_[0, np.cumsum(count)]))
     out = []
@@ -396,7 +401,7 @@ def sample_encode(
         vocab = vocabulary(model_path)
         salt = mix(U(seed + 1))
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", 1 << 22):
                 ids = pc.fill_null(batch.column("id"), -(1 << 63)).to_numpy(zero_copy_only=False)
                 keys = mix(ids.astype(np.int64).view(U) ^ salt)
                 found = sample_texts(batch.column("text"), keys, k, power, vocab)
