@@ -106,7 +106,7 @@ def best_paths(tree: DataFrame, most: int = 1) -> DataFrame:
     for power in reversed(range(len(links))):
         step = links[power].select("tree", "node", "up")
         more = on.join(step, ["tree", "node"]).select("tree", "path", F.col("up").alias("node"), (F.col("above") + (1 << power)).alias("above"))
-        on = on.unionByName(more)
+        on = written(on.unionByName(more), "path")  # each round reads it twice: an unwritten plan would double
     return on.join(tree.select("tree", "node", "conv_id", "role", "text"), ["tree", "node"]).select(
         "tree", "conv_id", "path", "above", "role", "text"
     )
