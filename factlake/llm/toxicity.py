@@ -30,11 +30,11 @@ class Settings:
 
     bits: int = 22
     gaps: tuple[int, ...] = (1, 2, 3)
-    alpha: float = 0.1
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
-    epochs: int = 2
+    l1: float = 6.0
+    l2: float = 0.01
+    epochs: int = 6
     most_rows: int = 16_000
 
 
