@@ -556,3 +556,68 @@ def unused_locals(facts: Facts) -> DataFrame:
     local = placed.filter("kind = 'LocalDeclarationStatement'").select("doc_id", "owner", "ident", "line")
     used = placed.filter("kind = 'IdentifierName'").select("doc_id", "owner", "ident").distinct()
     return local.join(used, ["doc_id", "owner", "ident"], "left_anti")
+
+
+# --- Smaller lookups
+
+
+def resolve_type(facts: Facts, name: str) -> DataFrame:
+    """Types of a full name, or else of a simple name."""
+    full = facts.types.withColumn("full_name", F.concat_ws(".", F.nullif("namespace", F.lit("<global>")), "name"))
+    hit = full.filter((F.col("full_name") == name) | (F.col("name") == name)).withColumn("exact", F.col("full_name") == name)
+    best = hit.agg(F.max("exact").alias("best"))
+    return hit.join(F.broadcast(best), F.col("exact") == F.col("best")).drop("exact", "best")
+
+
+def name_conflicts(facts: Facts, name: str) -> DataFrame:
+    """Types that already have a member of a name, and namespaces that have a type of it."""
+    inside = facts.members.filter(F.col("name") == name).select("namespace", F.col("type_name").alias("owner"), "kind")
+    around = facts.types.filter(F.col("name") == name).select("namespace", F.lit(None).cast("string").alias("owner"), "kind")
+    return inside.unionByName(around).distinct()
+
+
+def selection_problems(facts: Facts, spans: DataFrame) -> DataFrame:
+    """For each span (doc_id, begin, stop): whether it lies in the file and in one method."""
+    size = facts.documents.select("doc_id", F.length("content").alias("n"))
+    method = facts.members.filter(F.col("kind").isin("method", "constructor")).select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"))
+    touched = spans.join(method, "doc_id").filter("start < stop and begin < end").groupBy("doc_id", "begin", "stop").agg(F.count("*").alias("methods"))
+    out = spans.join(size, "doc_id", "left").join(touched, ["doc_id", "begin", "stop"], "left")
+    inside = F.coalesce((F.col("begin") >= 0) & (F.col("begin") <= F.col("stop")) & (F.col("stop") <= F.col("n")), F.lit(False))
+    return out.select("doc_id", "begin", "stop", inside.alias("in_file"), (F.coalesce("methods", F.lit(0)) > 1).alias("crosses_methods"))
+
+
+def conversions(from_type: Column, to_type: Column) -> Column:
+    """Equal types convert by identity; any others are reported as explicit."""
+    same = from_type == to_type
+    return F.struct(same.alias("is_identity"), same.alias("exists"), (~same).alias("is_explicit"))
+
+
+def constants(facts: Facts) -> DataFrame:
+    """Literal values with their type's name."""
+    kind = F.when(F.col("kind") == "StringLiteralExpression", "string").when(F.col("detail").rlike("[.]|[fFdDmM]$"), "double").otherwise("int")
+    rows = facts.nodes.filter(F.col("kind").isin("StringLiteralExpression", "NumericLiteralExpression"))
+    return rows.select("doc_id", "start", "length", F.col("detail").alias("value"), kind.alias("type"))
+
+
+def attributes(facts: Facts) -> DataFrame:
+    """``(doc_id, node_id, name, arguments)``: attributes and the declaration that follows them."""
+    lists = facts.nodes.filter("kind = 'AttributeList'").select("doc_id", "parent_id", F.col("start").alias("at"), "detail")
+    after = facts.nodes.filter("kind <> 'AttributeList'").select("doc_id", "parent_id", "node_id", "start")
+    owner = lists.join(after, ["doc_id", "parent_id"]).filter("start > at").groupBy("doc_id", "parent_id", "at", "detail").agg(F.min_by("node_id", "start").alias("node_id"))
+    name = F.regexp_extract("detail", r"^\s*(?:\w+\s*:)?\s*([\w.]+)", 1)
+    return owner.select("doc_id", "node_id", name.alias("name"), F.regexp_extract("detail", r"\((.*)\)\s*$", 1).alias("arguments"))
+
+
+def trivia(facts: Facts) -> DataFrame:
+    """Comments and directives with flags for what they are."""
+    rows = facts.nodes.filter(F.col("kind").isin("Comment", "DocumentationComment", "Directive"))
+    return rows.select(
+        "doc_id", "start", "length", "line", "detail", F.col("kind").endswith("Comment").alias("is_comment"),
+        (F.col("kind") == "Directive").alias("is_directive"), (F.col("kind") == "DocumentationComment").alias("is_documentation"),
+    )
+
+
+def visible_members(facts: Facts, instance_only: bool = False) -> DataFrame:
+    """Members that aren't private; for ``instance_only`` public ones that aren't static."""
+    rows = facts.members.filter("accessibility <> 'private'")
+    return rows.filter("accessibility = 'public' and not is_static") if instance_only else rows

@@ -217,3 +217,20 @@ def test_path_guards(tmp_path):
             projects.checked_path(bad, kind)
     with pytest.raises(projects.PathError):
         projects.checked_path(str(good), "source", projects.Options(str(tmp_path / "sub")))
+
+
+def test_smaller_lookups(spark, docs, facts):
+    assert [r["name"] for r in tools.resolve_type(facts, "Shop.Core.Circle").collect()] == ["Circle"]
+    assert [r["namespace"] for r in tools.resolve_type(facts, "Helper").collect()] == ["Lib.Used"]
+    assert {(r["owner"], r["kind"]) for r in tools.name_conflicts(facts, "Area").collect()} == {("IShape", "method"), ("Base", "method"), ("Circle", "method")}
+    spans = spark.createDataFrame([("s", 0, 10), ("s", 0, 10**6), ("s", SHAPES.index("double Scale"), SHAPES.index("return Scale(1)"))], "doc_id string, begin int, stop int")
+    got = sorted((r["stop"], r["in_file"], r["crosses_methods"]) for r in tools.selection_problems(facts, spans).collect())
+    assert [x[1:] for x in got] == [(True, False), (True, True), (False, True)]
+    assert {r["type"] for r in tools.constants(facts).collect()} == {"string", "int"}
+    assert tools.trivia(facts).filter("is_documentation").count() == 2
+    assert "Inner" not in {r["name"] for r in tools.visible_members(facts).collect()}
+    marked = spark.createDataFrame([("a", "class C { [Test(1, \"x\")] void M() { } }")], "doc_id string, content string").withColumn("n_lines", F.lit(1))
+    found = tools.attributes(plans.build(marked, csharp.syntax_nodes(marked))).collect()
+    assert [(r["name"], r["arguments"]) for r in found] == [("Test", '1, "x"')]
+    both = spark.createDataFrame([("int", "int"), ("int", "long")], "a string, b string").select(tools.conversions(F.col("a"), F.col("b")).alias("c")).collect()
+    assert [tuple(r["c"]) for r in both] == [(True, True, False), (False, False, True)]
