@@ -161,12 +161,12 @@ def _registers(column: pa.Array, registers: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, registers)
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, registers: int, threshold: float) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, registers: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose sketches don't rule out the threshold."""
     side = lambda c: reps.select(
         F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")
     )
-    floor = _floor(threshold, registers)
+    floor = _floor(percent / 100, registers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +176,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, registers: int, threshold: float)
                 keep = estimate_similarity(a, b, na, nb) >= floor
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(near)
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -294,7 +294,6 @@ def near_duplicates(
     as it occurs; a row with a null id gets a null component and is kept; an empty table gives an
     empty result. Other columns are ignored, so their names can't clash.
     """
-    threshold = percent / 100
     sketches = written(set_sketches(docs, id_col, text_col, width, registers), "sketches")
     full = sketches.filter("n_shingles > 0 and id is not null")
     reps = written(
@@ -310,7 +309,7 @@ def near_duplicates(
     sets = written(_full_sets(docs, id_col, text_col, wanted, width), "sets")
 
     stars = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _verified(_likely(stars, reps, registers, threshold), sets, percent)
+    first = _verified(_likely(stars, reps, registers, percent), sets, percent)
     found = written(connected_components(first, "a", "b"), "components")
 
     labelled = members.filter("cnt > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
