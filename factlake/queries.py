@@ -470,9 +470,9 @@ def gen_interface(spark, d):
 HAVING min(ts) >= (SELECT min(ts) FROM events) + INTERVAL 1 DAY""")
 def incremental_changed(spark, d):
     e = table(spark, d, "events")
-    start = e.agg(F.min("ts").alias("start"))
+    start = e.agg(F.min("ts")).scalar()
     per = e.groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("latest"))
-    return per.join(F.broadcast(start), F.expr("first >= start + INTERVAL 1 DAY")).select("user_id", "latest")
+    return per.filter(F.col("first") >= start + F.expr("INTERVAL 1 DAY")).select("user_id", "latest")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events),
