@@ -38,4 +38,4 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
 
 def _fingerprint(e: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
-    return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 24))).first())
+    return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 40))).first())
