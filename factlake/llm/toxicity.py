@@ -113,7 +113,7 @@ def fit(texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     chosen = chosen.filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(settings.most_rows)
     source = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    source = source.filter("text is not null").join(chosen, "id")
+    source = source.filter("text is not null").join(F.broadcast(chosen), "id")  # at most most_rows
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
