@@ -128,7 +128,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str
     chosen = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1)")
     chosen = chosen.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("_y").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(settings.most_rows)
-    rows = stats.filter(~base_failed()).join(chosen, id_col).select(F.xxhash64(id_col).alias("_h"), "_y", *FEATURES)
+    rows = stats.filter(~base_failed()).join(F.broadcast(chosen), id_col)  # at most most_rows
+    rows = rows.select(F.xxhash64(id_col).alias("_h"), "_y", *FEATURES)
     return cover(sorted(tuple(r) for r in rows.collect()), list(FEATURES), settings)
 
 
