@@ -114,8 +114,14 @@ def mix_sources(
     placed = sized.drop("carried", "source").withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     placed = placed.withColumn("bucket", F.substring("key", 1, 4))
     sums = placed.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("s", "bucket", F.coalesce(earlier, F.lit(0)).alias("base"))
+    # Words before a bucket: those before its 256 neighbours, and those before it among them, so that
+    # no window holds more than 256 rows, whatever the share of a source.
+    sums = sums.withColumn("group", F.substring("bucket", 1, 2))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("s", "group").agg(F.sum("n").alias("m"))
+    groups = groups.select("s", "group", F.coalesce(F.sum("m").over(before("s", "group")), F.lit(0)).alias("far"))
+    near = F.coalesce(F.sum("n").over(before("s", "group", "bucket")), F.lit(0))
+    sums = sums.withColumn("near", near).join(groups, ["s", "group"]).select("s", "bucket", (F.col("far") + F.col("near")).alias("base"))
     inside = Window.partitionBy("s", "bucket").orderBy("key", F.col("id").asc_nulls_first(), "size", "row")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("upto", upto).join(sums, ["s", "bucket"])
