@@ -57,22 +57,25 @@ def build_order(nodes: DataFrame, edges: DataFrame, node: str = "node", order: s
     e = edges.select("src", "dst") if order == "build" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     e = e.dropna().distinct().join(known.withColumnRenamed("node", "src"), "src", "left_semi")
     e = written(e.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi"), "depends")
-    left, levels, level = written(known, "left"), [], 0
-    while not left.isEmpty():
-        blocked = e.select(F.col("src").alias("node")).distinct()
-        free = written(left.join(blocked, "node", "left_anti"), "free")
-        if free.isEmpty():
-            break
-        levels.append(free.withColumn("level", F.lit(level)))
-        left = written(left.join(free, "node", "left_anti"), "left")
-        e = written(e.join(free.withColumnRenamed("node", "dst"), "dst", "left_anti"), "depends")
-        level += 1
-        if level > max_rounds:
+    # Round k keeps the edges to nodes that still have edges; a node's level is the number of rounds
+    # in which it had some. What no round thins out any more depends on a cycle.
+    rounds, n = [], e.count()
+    while n:
+        rounds.append(e.select("src").distinct().withColumn("round", F.lit(len(rounds))))
+        if len(rounds) > max_rounds:
             raise RuntimeError(f"more than {max_rounds} levels")
-    cut = left.withColumn("level", F.lit(None).cast("int"))
-    for part in levels:
-        cut = cut.unionByName(part)
-    flags = cyclic(known, e) if e.take(1) else known.select("node", F.lit(False).alias("on_cycle"))
+        blocked = e.select(F.col("src").alias("dst")).distinct()
+        e = written(e.join(blocked, "dst", "left_semi").select("src", "dst"), "depends")
+        left, n = n, e.count()
+        if n == left:
+            break
+    stuck = e.select(F.col("src").alias("node")).distinct().withColumn("stuck", F.lit(True))
+    blocked = known.select("node", F.lit(0).alias("level"))
+    for part in rounds:
+        blocked = blocked.unionByName(part.select(F.col("src").alias("node"), (F.col("round") + 1).alias("level")))
+    levels = blocked.groupBy("node").agg(F.max("level").alias("level")).join(stuck, "node", "left")
+    cut = levels.select("node", F.when(F.col("stuck").isNull(), F.col("level")).alias("level"))
+    flags = cyclic(known, e) if n else known.select("node", F.lit(False).alias("on_cycle"))
     return cut.join(flags.select("node", F.col("on_cycle").alias("in_cycle")), "node").select(
         F.col("node").alias(node), "level", "in_cycle"
     )
