@@ -105,8 +105,8 @@ def _carried(names: list[str]) -> Column:
 
 
 def _bits(entries: float) -> int:
-    """Bits of the hash that name the block."""
-    return max(4, min(30, int(np.ceil(np.log2(max(1.0, entries / BLOCK_ENTRIES))))))
+    """Bits of the hash that name the block; at least 128 blocks, so that small inputs spread too."""
+    return max(7, min(30, int(np.ceil(np.log2(max(1.0, entries / BLOCK_ENTRIES))))))
 
 
 class _Group:
