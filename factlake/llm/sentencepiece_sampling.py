@@ -178,6 +178,7 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
         free[number[src]] = place + 1
         piece[place] = ids
         to[place] = np.where(left[src] == length, -1, number[np.minimum(src + length, n - 1)])
+    del found, free, hashes
     weight = power * vocab.log_weight[piece]
     beta = np.append(np.zeros(n), 0.0)  # log of the mass from a node to the end; the last is the end's
     log_prob = np.empty(len(to))
@@ -195,6 +196,7 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
         beta[node] = total
         log_prob[i:j] = w - np.repeat(total, count[node])
     prob = np.exp(log_prob)
+    del weight, log_prob, beta
     prob[np.repeat(count == 1, count)] = 1.0
     total = np.cumsum(prob)
     some = count > 0
@@ -401,7 +403,7 @@ def sample_encode(
         vocab = vocabulary(model_path)
         salt = mix(U(seed + 1))
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 22):
+            for batch in slices(whole, "text", 3 << 20):
                 ids = pc.fill_null(batch.column("id"), -(1 << 63)).to_numpy(zero_copy_only=False)
                 keys = mix(ids.astype(np.int64).view(U) ^ salt)
                 found = sample_texts(batch.column("text"), keys, k, power, vocab)
