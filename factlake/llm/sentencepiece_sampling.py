@@ -135,6 +135,9 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
     """The lattice of the byte runs ``data[starts[i]:ends[i]]``."""
     sizes = ends - starts
     n = int(sizes.sum())
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Lattice(none, none, none, none, none, np.zeros(0), np.zeros(0))
     offset = np.cumsum(sizes) - sizes
     left = np.repeat(offset + sizes, sizes) - np.arange(n)  # bytes to the segment's end
     text = data[np.repeat(starts - offset, sizes) + np.arange(n)]

@@ -104,6 +104,13 @@ def test_round_trips_and_defined_cases(spark):
     assert sample_encode(frame.limit(0), MODEL).count() == 0
 
 
+def test_batches_of_empty_texts():
+    vocab = vocabulary(MODEL)
+    for texts in ([], [None], ["", None, ""]):
+        found = sample_texts(pa.array(texts, pa.string()), np.zeros(len(texts), np.uint64), 2, 1.0, vocab)
+        assert [[len(x.ids) for x in row] for row in found] == [[0]] * len(texts)
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     frame = _frame(spark, [f"some text number {i} with words" for i in range(50)])
     a = sorted((r["doc_id"], r["sample"], tuple(r["ids"])) for r in sample_encode(frame.repartition(7), MODEL).collect())
