@@ -371,6 +371,11 @@ def last_segment(spark, d):
     return table(spark, d, "pages").select("page_id", names.last_segment(F.left("html", F.lit(400))).alias("segment"))
 
 
+@query("SELECT page_id, list_last(string_split(html, '.')) AS segment FROM pages")
+def last_segment_whole(spark, d):
+    return table(spark, d, "pages").select("page_id", names.last_segment(F.col("html")).alias("segment"))
+
+
 @query(r"""SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS name, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '\.[^.]*$', '') AS stem,
 regexp_extract(regexp_extract(url, '([^/\\]*)$', 1), '(\.[^.]*)$', 1) AS extension FROM pages""")
 def basename(spark, d):

@@ -29,3 +29,9 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_last_segment_reads_whole_texts(spark, con):
+    got = {r["page_id"]: r["segment"] for r in queries.QUERIES["last_segment_whole"](spark, oracle.FOLDER).collect()}
+    rows = con.execute("SELECT page_id, html FROM pages").fetchall()
+    assert max(len(t) for _, t in rows) > 400 and got == {i: t.rsplit(".", 1)[-1] for i, t in rows}
