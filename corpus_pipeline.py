@@ -46,17 +46,21 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them; the last one of a source may be cut."""
+    """The documents as often as the mix takes them, in the order of its slots; the last one of a source may be cut.
+
+    A document stands where its first words do, so rows in order, part file by part file, hold each
+    source in nearly its proportion.
+    """
     documents, pieces = mixing.mix_sources(docs, carry=["text", "lang", "n_chars"])
-    copies = pieces.groupBy("row", "epoch").agg(F.sum("n_words").alias("taken"))
+    copies = pieces.groupBy("row", "epoch").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("slot"))
     taken = documents.join(copies, "row")
     words = F.split(F.btrim("carried.text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
     head = F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")
     whole = F.col("taken") == F.col("size")
     text = F.when(whole, F.col("carried.text")).otherwise(head)
-    cut = taken.select(F.col("id").alias("doc_id"), text.alias("text"), "carried.lang", "source", "carried.n_chars", whole.alias("whole"))
+    cut = taken.select(F.col("id").alias("doc_id"), text.alias("text"), "carried.lang", "source", "carried.n_chars", whole.alias("whole"), "slot", "row", "epoch")
     chars = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return cut.withColumn("n_chars", chars).select(*COLUMNS)
+    return cut.withColumn("n_chars", chars).orderBy("slot", "row", "epoch").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

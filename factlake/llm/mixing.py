@@ -4,13 +4,16 @@ Every source gets a target in words, and its documents, in an order shuffled by
 form a stream that starts again at its end. The stream is cut into blocks of equally many words. The
 mix is a schedule of slots: the fractional part of the slot's number times the golden ratio falls
 into one source's share of the cumulative weights, so any run of slots holds each source in nearly
-its proportion, and the source's k-th slot takes its k-th block. A source ends when its target is
-reached: what the schedule gives beyond it stays empty, and the few blocks by which the schedule may
-fall short follow after the last slot.
+its proportion, and the source's k-th slot takes its k-th block: a block is in the mix because a slot
+takes it. Only the remainder is settled by count, so that a source ends exactly at its target: slots
+beyond it stay empty, and the few blocks by which the schedule may fall short follow after the last
+slot. More of those than the sequence's discrepancy allows is an error.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +77,26 @@ def slot_schedule(targets: DataFrame, slots: int) -> DataFrame:
     )
 
 
+def chosen_blocks(targets: DataFrame, schedule: DataFrame, slots: int, block_words: int) -> DataFrame:
+    """``(s, k, slot, stop)``: the blocks that the slots take, and the remainder after the last slot.
+
+    ``stop`` is the word of the source's stream at which the block ends. Two bounds of a share each
+    deviate by less than log2(slots) + 1 slots; a schedule that leaves over more isn't one.
+    """
+    given = schedule.groupBy("s").agg(F.count("*").alias("given"))
+    per = targets.select("s", F.floor("target").alias("quota")).join(given, "s", "left")
+    per = per.select("s", "quota", F.coalesce("given", F.lit(0)).alias("given"), F.expr(f"(quota + {block_words - 1}) div {block_words}").alias("need"))
+    per = written(per, "quotas")
+    short = per.agg(F.max(F.col("need") - F.col("given"))).first()[0] or 0
+    if short > 2 * math.log2(slots + 2) + 4:
+        raise RuntimeError(f"the schedule leaves over {short} blocks of a source")
+    taken = schedule.join(per.select("s", "quota", "need"), "s").filter("k < need").select("s", "k", "slot", "quota")
+    late = per.filter("given < need").select("s", F.explode(F.expr("sequence(given, need - 1)")).alias("k"), "quota")
+    late = late.select("s", "k", (F.lit(slots) + F.col("k")).alias("slot"), "quota")
+    stop = F.least((F.col("k") + 1) * block_words, F.col("quota"))
+    return taken.unionByName(late).select("s", "k", "slot", stop.alias("stop"))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -88,7 +111,7 @@ def mix_sources(
 
     Documents: ``(row, id, source, size, source_size, target, carried)``, one for each input row.
     Pieces: ``(row, epoch, first_word, n_words, slot)``; a piece is a run of words of one block, and
-    the slot says where in the mix it stands. A source's pieces hold ``floor(target)`` words.
+    the slot that took the block says where in the mix it stands. A source's pieces hold ``floor(target)`` words.
 
     Defined results: null and wordless texts have size 0 and no piece; a null source is a source of
     its own, last in order; equal rows are separate documents; null ids are ordered first; an empty
@@ -106,7 +129,10 @@ def mix_sources(
     rows = written(rows, "sized")
     targets = written(source_targets(rows, weights, cap), "targets")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    slots = written(slot_schedule(targets, -(-total // block_words)), "slots")
+    slots = -(-total // block_words)
+    schedule = written(slot_schedule(targets, slots), "slots")
+    blocks = written(chosen_blocks(targets, schedule, slots, block_words), "blocks")
+    ends = written(blocks.groupBy("s").agg(F.max("stop").alias("end")), "ends")
 
     sized = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
         "row", "id", rows["source"], "size", "s", "source_size", "target", "carried"
@@ -126,20 +152,17 @@ def mix_sources(
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("upto", upto).join(sums, ["s", "bucket"])
     start = F.col("base") + F.col("upto") - F.col("size")
-    copies = placed.filter("size > 0").select(
-        "row", "s", "size", start.alias("start"), "source_size", F.floor("target").alias("quota"),
+    copies = placed.filter("size > 0").join(ends, "s").select(
+        "row", "s", "size", start.alias("start"), "source_size", "end",
         F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("epoch"),
     )
     copies = copies.withColumn("low", F.col("start") + F.col("epoch") * F.col("source_size"))
-    copies = copies.filter("low < quota").withColumn("high", F.least(F.col("low") + F.col("size"), "quota"))
+    copies = copies.filter("low < end").withColumn("high", F.least(F.col("low") + F.col("size"), "end"))
     block = F.explode(F.expr(f"sequence(low div {block_words}, (high - 1) div {block_words})"))
-    cut = copies.withColumn("k", block)
-    begin, end = F.greatest("low", F.col("k") * block_words), F.least("high", (F.col("k") + 1) * block_words)
-    cut = cut.select("row", "s", "epoch", "k", (begin - F.col("low")).alias("first_word"), (end - begin).alias("n_words"))
-    # A block without a slot of its own follows the schedule, blocks of equal rank together.
-    late = F.lit(-(-total // block_words)) + F.col("k")
-    pieces = cut.join(slots, ["s", "k"], "left").select(
-        "row", "epoch", "first_word", "n_words", F.coalesce("slot", late).alias("slot")
+    cut = copies.withColumn("k", block).join(blocks, ["s", "k"])
+    begin = F.greatest("low", F.col("k") * block_words)
+    pieces = cut.select(
+        "row", "epoch", (begin - F.col("low")).alias("first_word"), (F.least("high", "stop") - begin).alias("n_words"), "slot"
     )
     return sized.drop("s"), pieces
 

@@ -11,6 +11,7 @@ import pytest
 from brute import base_metrics, targets, words
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from factlake.llm import mixing, quality_rules, toxicity
 from factlake.llm.queries import MODEL
 from factlake.llm.sentencepiece_sampling import build_lattice, decode, sample_encode, sample_texts, segments, vocabulary
@@ -257,6 +258,28 @@ def test_every_prefix_of_the_schedule_is_near_the_targets(spark):
         assert all(abs(seen[i] - n * p) < 6 for i, p in ((1, 0.1), (2, 0.25), (3, 0.65)))
 
 
+def test_slots_select_the_blocks(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * 20), "abc"[i % 3]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    schedule = mixing.slot_schedule
+    slots = {r["slot"] for r in schedule(spark.createDataFrame([(1, 5.0), (2, 2.0), (3, 1.0)], "s int, target double"), 600).collect()}
+    _, pieces = _mixed(frame, block_words=10)
+    assert sum(p["slot"] in slots for p in pieces) >= 0.95 * len(pieces)
+    monkeypatch.setattr(mixing, "slot_schedule", lambda targets, n: schedule(targets, n // 2))
+    with pytest.raises(RuntimeError):
+        _mixed(frame, block_words=10)
+
+
+def test_the_mix_stage_keeps_the_order(spark):
+    rows = [(i, " ".join([f"w{i}"] * 4096), "en", "abc"[i // 100], 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen, out = Counter(), corpus_pipeline.mix(spark, docs, "").collect()
+    for n, r in enumerate(out, 1):
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - n * p) < 7 for s, p in (("a", 5 / 8), ("b", 2 / 8), ("c", 1 / 8)))
+    assert len(out) > 290
+
+
 def test_mixing_of_an_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, source string")
     assert _mixed(frame) == ([], [])
