@@ -8,6 +8,9 @@ known texts, made the same way.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +52,24 @@ you use this software in a product, an acknowledgment in the product documentati
 required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
-#: Known texts by name; notices of one line count as texts of their own.
+_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Known texts by name that the SQL has too; notices of one line count as texts of their own.
 TEXTS = (
     ("MIT", _MIT),
     ("ISC", _ISC),
@@ -58,6 +78,45 @@ TEXTS = (
     ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
 )
+#: Further short texts, with the headings that they may have.
+_SHORT = (
+    ("MIT", (_MIT,), ("MIT License", "The MIT License", "The MIT License (MIT)")),
+    ("ISC", (_ISC, _ISC.replace("and/or distribute", "and distribute")), ("ISC License", "The ISC License", "ISC License (ISC)")),
+    ("Zlib", (_ZLIB,), ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License")),
+    ("BSD-2-Clause", (_BSD2 + _BSD_END,), ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License")),
+    ("BSD-3-Clause", (_BSD2 + _BSD3 + _BSD_END,), ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License")),
+)
+#: Long texts, in files of these names, and the line that ends the terms or "" where nothing follows them.
+_LONG = (
+    ("Apache-2.0", "END OF TERMS AND CONDITIONS"),
+    ("GPL-2.0", "END OF TERMS AND CONDITIONS"),
+    ("GPL-3.0", "END OF TERMS AND CONDITIONS"),
+    ("LGPL-2.1", "END OF TERMS AND CONDITIONS"),
+    ("LGPL-3.0", ""),
+    ("MPL-2.0", ""),
+)
+#: The first line of the terms, below titles and preambles.
+_TERMS = r"(?m)^ *(?:TERMS AND CONDITIONS|0\. Additional Definitions|1\. Definitions)"
+_ADDRESS = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_OLD_ADDRESS = "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"
+
+
+def more_texts() -> list[tuple[str, str]]:
+    """``(license, text)`` of further texts: with and without headings, appendices and filled-in names."""
+    out = [("MIT notice", "Released under the MIT License.")]
+    for name, texts, heads in _SHORT:
+        holders = {u for t in texts for u in (t, t.replace("COPYRIGHT HOLDER OR", "COPYRIGHT HOLDERS OR"), t.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"))}
+        out += [(name, f"{head}\n{t}") for t in holders for head in ("", *heads)]
+    for name, end in _LONG:
+        whole = (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8")
+        begin = re.search(_TERMS, whole).start()
+        forms = {whole, whole[begin:]}
+        forms |= {re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", t) for t in forms}
+        forms |= {t[: t.index(end) + len(end)] for t in forms if end} | {t[: t.index(end)] for t in forms if end}
+        forms |= {t.replace(_ADDRESS, _OLD_ADDRESS) for t in forms}
+        forms |= {t.replace("http://", "https://") for t in forms} | {t.replace("https://", "http://") for t in forms}
+        out += [(name, t) for t in sorted(forms)]
+    return out
 
 
 def canonical(text: Column) -> Column:
@@ -73,7 +132,7 @@ def digest(text: Column) -> Column:
 
 def known_texts(spark: SparkSession) -> DataFrame:
     """``(license, text)`` of the texts above."""
-    return spark.createDataFrame(list(TEXTS), "license string, text string")
+    return spark.createDataFrame([*TEXTS, *more_texts()], "license string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,28 @@ def test_canonical_texts_are_equal(spark):
     assert out[6][1] is None and out[7][1] == out[8][1] == hashlib.sha256(b"").hexdigest()
 
 
+def test_common_licenses_with_their_headings(spark):
+    mit, folder = dict(licenses.TEXTS)["MIT"], pathlib.Path(licenses.__file__).parent / "license_texts"
+    whole = {p.stem: p.read_text(encoding="utf-8") for p in folder.glob("*.txt")}
+    apache = whole["Apache-2.0"]
+    texts = [
+        ("MIT", "MIT License\n\nCopyright (c) 2021 Some One\n\n" + mit),
+        ("MIT", "The MIT License (MIT)\n\n" + mit),
+        ("ISC", "ISC License\n\nCopyright (c) 2021, Some One\n\n" + dict(licenses.TEXTS)["ISC"]),
+        ("MIT notice", "Released under the MIT License."),
+        *whole.items(),
+        ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 Some One")),
+        ("Apache-2.0", apache[: apache.index("APPENDIX")]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + licenses._BSD2 + licenses._BSD3 + licenses._BSD_END),
+        ("BSD-2-Clause", licenses._BSD2 + licenses._BSD_END),
+        (None, "MIT License"),
+        (None, apache + " And more."),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["license"] for r in licenses.scan(docs, licenses.known_texts(spark)).collect()}
+    assert len(whole) == 6 and [found[i] for i in range(len(texts))] == [n for n, _ in texts]
+
+
 def test_license_tables_may_be_empty_or_repeat(spark):
     docs = spark.createDataFrame([(1, "A b"), (None, "A b")], "doc_id long, text string")
     known = spark.createDataFrame([("z", "a B!"), ("y", "a-b"), (None, "a b"), ("e", " "), ("n", None)], "license string, text string")
