@@ -64,8 +64,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One sampled segmentation of each document left."""
-    return sample_encode(docs, MODEL, k=1)
+    """Two sampled segmentations of each document left, in one row: the first, and the other in ``more``."""
+    return sample_encode(docs, MODEL, k=2, together=True)
 
 
 STAGES = [

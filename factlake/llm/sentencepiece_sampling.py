@@ -386,9 +386,13 @@ def sample_encode(
     k: int = 2,
     power: float = 1.0,
     seed: int = 0,
+    together: bool = False,
 ) -> DataFrame:
     """``(id_col, sample, ids, n_pieces, log_prob, perturbed, log_inclusion, round_trip)``.
 
+    ``together`` gives one row a text: its first sample, and the others in ``more``, an array of
+    structs of the columns from ``sample`` on.
+
     Each row gives its k segmentations by perturbed A* search, or all of them where there are fewer.
     ``log_prob`` is the segmentation's own log-probability, ``log_inclusion`` the logarithm of the
     probability that it is among the k, given the bound of the next one (0 where there is none).
@@ -420,7 +424,7 @@ def sample_encode(
                 )
                 same = [vocab.decode(x.ids) == texts[r] for x, r in zip(flat, row, strict=True)]
                 column = lambda name: pa.array([getattr(x, name) for x in flat], pa.float64())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").take(pa.array(row)),
                         pa.array([i for x in found for i in range(len(x))], pa.int32()),
@@ -433,8 +437,17 @@ def sample_encode(
                     ],
                     ["id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"],
                 )
+                if together:
+                    is_first = pc.equal(out.column("sample"), 0)
+                    others = out.filter(pc.invert(is_first)).select(out.schema.names[1:]).to_struct_array()
+                    ends = np.cumsum([0] + [len(x) - 1 for x in found])
+                    first, more = out.filter(is_first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)
+                    out = pa.RecordBatch.from_arrays([*first.columns, more], [*first.schema.names, "more"])
+                yield out
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if together:
+        kind += f", more array<struct<{', '.join(c.replace(' ', ': ') for c in f'sample int, {kind}'.split(', '))}>>"
     return source.mapInArrow(run, f"id long, sample int, {kind}").withColumnRenamed("id", id_col)
 
 

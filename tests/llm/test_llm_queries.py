@@ -13,7 +13,8 @@ import pytest
 from brute import base_metrics, components, near, substring, targets, words
 
 from factlake.llm import toxicity
-from factlake.llm.queries import ORACLE_SQL, QUERIES
+from factlake.llm.queries import MODEL, ORACLE_SQL, QUERIES
+from factlake.llm.sentencepiece_sampling import sample_encode
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.FOLDER), reason="no test tables")
 
@@ -127,6 +128,15 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     assert sorted((r["doc_id"], tuple(r["ids"])) for r in again.collect()) == sorted((r["doc_id"], tuple(r["ids"])) for r in last)
 
 
+def test_the_pipeline_samples_without_replacement(spark):
+    texts = ["a longer text with some words", "two of them\nin lines", "", None, "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, "the same id again")], "doc_id long, text string")
+    rows = sorted(pipeline.encode(spark, docs, "").collect(), key=lambda r: (r["doc_id"], r["n_pieces"]))
+    flat = sorted((r["doc_id"], *x) for r in rows for x in (r[1:8], *r["more"]))
+    assert len(rows) == 6 and flat == sorted(tuple(r) for r in sample_encode(docs, MODEL, k=2).collect())
+    assert all(len(r["more"]) == 1 and r["more"][0]["ids"] != r["ids"] and r["more"][0]["round_trip"] for r in rows if r["doc_id"] < 2)
+
+
 def test_each_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
     assert toxicity.Settings().most_rows == 16_000
