@@ -93,6 +93,16 @@ def call_graph_bfs(spark, d):
     return nodes
 
 
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), walk AS (
+  SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_size = 1
+  UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 10)
+SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
+def call_graph_bfs_10(spark, d):
+    start = table(spark, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("node"))
+    nodes, _ = graph.call_graph(_part_edges(spark, d, True), start, 10)
+    return nodes
+
+
 @query("""WITH o AS (SELECT l_suppkey, count(*) AS fan_out_sites, count(DISTINCT l_partkey) AS fan_out_distinct
   FROM lineitem GROUP BY 1)
 SELECT s_suppkey AS node, 0::BIGINT AS fan_in_sites, 0::BIGINT AS fan_in_distinct,

@@ -35,3 +35,8 @@ def test_last_segment_reads_whole_texts(spark, con):
     got = {r["page_id"]: r["segment"] for r in queries.QUERIES["last_segment_whole"](spark, oracle.FOLDER).collect()}
     rows = con.execute("SELECT page_id, html FROM pages").fetchall()
     assert max(len(t) for _, t in rows) > 400 and got == {i: t.rsplit(".", 1)[-1] for i, t in rows}
+
+
+def test_the_walk_goes_ten_calls_deep(spark):
+    rows = [r["depth"] for r in queries.QUERIES["call_graph_bfs_10"](spark, oracle.FOLDER).collect()]
+    assert 4 < max(rows) <= 10 and len(rows) > queries.QUERIES["call_graph_bfs"](spark, oracle.FOLDER).count()
