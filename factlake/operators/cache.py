@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +49,63 @@ def lru_hits(accesses: DataFrame, key: str, order: str, capacity: int, keys: lis
     own = F.coalesce(*[F.when(F.col(key) == k, F.col(f"_l{i}")) for i, k in enumerate(keys)])
     others = sum((F.coalesce(F.col(f"_l{i}") > own, F.lit(False)).cast("int") for i in range(len(keys))), F.lit(0))
     return wide.withColumn("hit", own.isNotNull() & (others < capacity)).drop(*[f"_l{i}" for i in range(len(keys))])
+
+
+def lru_hits_any(accesses: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
+    """As ``lru_hits``, for any number of keys; ``order`` is a whole number, unique and not null.
+
+    What a cache holds depends only on the last ``capacity`` keys. The log is cut into chunks, each
+    gives its last ``capacity`` keys, one pass over these gives the cache at each chunk's begin, and
+    the chunks are then replayed apart from each other. A chunk spans 64 capacities, so the pass reads
+    at most a 64th of a log without gaps. A null key is never a hit and takes no place.
+    """
+    if capacity < 1:
+        return accesses.withColumn("hit", F.lit(False))
+    span = max(4096, 64 * capacity)
+    # Names of their own, so that columns of the log may have any.
+    rows = accesses.select(
+        F.expr(f"cast(floor(`{order}` / {span}) as long)").alias("chunk"), F.col(order).cast("long").alias("at"),
+        F.col(key).alias("key"), F.struct(*(F.col(c) for c in accesses.columns)).alias("row"),
+    )
+    code = F.when(F.col("key").isNotNull(), F.to_json(F.struct("key")))
+    rows = rows.select("chunk", "at", code.alias("code"), "row")
+    last = rows.filter("code is not null").groupBy("chunk", "code").agg(F.max("at").alias("at"))
+    recent = F.row_number().over(Window.partitionBy("chunk").orderBy(F.col("at").desc()))
+    last = last.withColumn("n", recent).filter(F.col("n") <= capacity).drop("n")
+    chunks = rows.select("chunk").distinct()
+
+    def carry(table: pa.Table) -> pa.Table:
+        held: OrderedDict[str, None] = OrderedDict()
+        out: tuple[list, list, list] = ([], [], [])
+        before = None
+        for chunk, code, _ in sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "code", "at")), strict=True), key=lambda x: (x[0], x[2] is not None, x[2] or 0)):
+            if chunk != before:
+                before = chunk
+                for i, x in enumerate(held):
+                    for column, value in zip(out, (chunk, x, i), strict=True):
+                        column.append(value)
+            if code is not None:
+                _use(held, code, capacity)
+        return pa.table({"chunk": pa.array(out[0], pa.int64()), "code": pa.array(out[1], pa.string()), "at": pa.array(out[2], pa.int64())})
+
+    def replay(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = OrderedDict((c, None) for _, c in sorted(zip(right.column("at").to_pylist(), right.column("code").to_pylist(), strict=True)))
+        left = left.sort_by("at")
+        hits = [c is not None and _use(held, c, capacity) for c in left.column("code").to_pylist()]
+        return pa.table({"at": left.column("at"), "hit": pa.array(hits, pa.bool_())})
+
+    marks = last.unionByName(chunks.select("chunk", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("at")))
+    state = marks.withColumn("log", F.lit(0)).groupBy("log").applyInArrow(carry, "chunk long, code string, at long")
+    log = rows.select("chunk", "at", "code")
+    hits = log.groupBy("chunk").cogroup(state.groupBy("chunk")).applyInArrow(replay, "at long, hit boolean")
+    return rows.join(hits, "at").select(*(F.col(f"row.`{c}`").alias(c) for c in accesses.columns), "hit")
+
+
+def _use(held: OrderedDict[str, None], key: str, capacity: int) -> bool:
+    """Whether ``key`` is held; it is the latest then, and the earliest one above ``capacity`` goes."""
+    hit = key in held
+    held[key] = None
+    held.move_to_end(key)
+    if len(held) > capacity:
+        held.popitem(last=False)
+    return hit

@@ -416,9 +416,9 @@ own AS (SELECT *, max(CASE WHEN event_type = k THEN last END) OVER (PARTITION BY
 SELECT event_id, event_type, mine IS NOT NULL AND count(*) FILTER (last > mine) < 2 AS hit FROM own GROUP BY event_id, event_type, mine""")
 def cache_lru_hits(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type")
-    keys = sorted(r[0] for r in e.select("event_type").distinct().limit(1001).collect())
-    if len(keys) > 1000:
-        raise ValueError("stack distances by key need at most 1000 keys")
+    keys = sorted(r[0] for r in e.select("event_type").dropna().distinct().limit(65).collect())
+    if len(keys) > 64:
+        return cache.lru_hits_any(e, "event_type", "event_id", 2)
     return cache.lru_hits(e, "event_type", "event_id", 2, keys)
 
 

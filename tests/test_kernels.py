@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factlake import queries
 from factlake.functions import names
 from factlake.operators import cache, graph, metrics, text
 from factlake.plans.components import connected_components
@@ -161,6 +162,23 @@ def test_lru(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("capacity", [1, 2, 300])
+def test_lru_of_any_number_of_keys(spark, capacity, tmp_path):
+    r = random.Random(capacity)
+    keys = [r.choice([None, r.randrange(3), r.randrange(2000), r.randrange(100_000)]) for _ in range(9000)]
+    log = spark.createDataFrame([(str(k) if k is not None else None, i * 5) for i, k in enumerate(keys)], "event_type string, event_id long").repartition(5)
+    held, want = [], []
+    for k in keys:
+        want.append(k in held)
+        held = ([x for x in held if x != k] + [k])[-capacity:] if k is not None else held
+    got = cache.lru_hits_any(log, "event_type", "event_id", capacity).orderBy("event_id").collect()
+    assert [(x["event_id"], x["hit"]) for x in got] == [(i * 5, w) for i, w in enumerate(want)]
+    if capacity == 2:
+        log.write.parquet(str(tmp_path / "events.parquet"))
+        rows = queries.QUERIES["cache_lru_hits"](spark, str(tmp_path)).collect()
+        assert {r["event_id"]: r["hit"] for r in rows} == {r["event_id"]: r["hit"] for r in got} and len(rows) == len(got)
+
+
 def test_stream_and_table_have_the_same_sessions(spark, tmp_path):
     log = _log(spark, [(r, m) for r, m in (("a", 0), ("a", 400), ("a", 1500), ("b", 100), ("b", 9000))])
     table = {tuple(r) for r in sessions(log, "key", "ts", "500 milliseconds").collect()}
