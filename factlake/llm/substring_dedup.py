@@ -1,13 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by hashes of windows.
 
-A document is parsed against the texts of all smaller ids: a factor starts at a phrase of ``window``
-words that the reference has too, and grows greedily by a word as long as the phrase that ends there
-is in the reference as well. Factors are then checked at their boundaries: a phrase that starts
-inside one factor and ends beyond it is looked up like any other, so a window that straddles two
-factors isn't missed. Words of factors are duplicate spans.
+Every window of ``window`` words is looked up by its hash among the windows of all smaller ids, and
+the union of the windows found is the duplicate spans. This replaces relative Lempel-Ziv parsing: no
+factors are grown and no positions in a reference are kept, since the result asks only whether a
+window occurs. It is exact up to collisions of 64-bit hashes.
 
 The reference is an index of phrase hashes, cut by hash into blocks that each fit a task, and every
-document is parsed against every block: a batch of documents sends each block the hashes that the
+document is compared with every block: a batch of documents sends each block the hashes that the
 block owns, and gets back those that occur in an earlier batch. Inside a batch the documents are
 compared in place. Two rounds keep the index small. The first exchanges only minimizers, the
 smallest hash of the short phrases in each window; equal windows have equal minimizers, so a window
