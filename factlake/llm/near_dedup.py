@@ -6,24 +6,26 @@ truncated minimum. Registers merge by maximum, agree with a probability that fol
 similarity, and two sketches give a likelihood of the similarity through the numbers of registers
 that are larger, equal and smaller.
 
-The plan: texts with equal sets collapse to one row first; runs of registers become band keys; each
-bucket of a band links its members to its smallest id, which keeps the pairs linear in the bucket;
-the likelihood estimate thins them and the full sets decide. Buckets whose members are then still
-in different components get every such pair compared, block against block, so no pair that shares
-a band is lost; pairs inside one component need no test, since they can't change the result.
+The plan: texts of equal words collapse to one row first, by a 128-bit digest; runs of registers
+become band keys; each bucket of a band links its members to its smallest id, which keeps the pairs
+linear in the bucket; the likelihood estimate thins them, and the full sets decide. Buckets whose
+members are then still in different components get every such pair compared, block against block, so
+no pair that shares a band is lost; pairs inside one component need no test, since they can't change
+the result. Hashes only find links: each link that is used is confirmed on the words themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.textwords import U, mix, phrases, slices, split_words
+from factlake.llm.textwords import U, Words, mix, phrases, slices, split_words
 from factlake.plans.components import connected_components
 from factlake.storage import written
 
@@ -31,13 +33,18 @@ from factlake.storage import written
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: A pair is verified if the estimate is at least the threshold less so many standard errors.
 DEVIATIONS = 5.0
-#: Rows of one side of a block comparison.
-BLOCK = 1024
+#: Rows of one side of a block comparison, and shingles in all its sets together.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Set sizes by which hashes that collide may mislead before the words are looked at.
+SLACK = 2
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; a text of fewer words is one shingle."""
-    words = split_words(texts, lower=True)
+    return _sets(split_words(texts, lower=True), width)
+
+
+def _sets(words: Words, width: int) -> list[np.ndarray]:
     h = words.hashes()
     found, at = phrases(h, words.first, width)
     cut = np.searchsorted(at, words.first)
@@ -114,15 +121,18 @@ def estimate_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b
 
 
 def set_sketches(docs: DataFrame, id_col: str, text_col: str, width: int, registers: int) -> DataFrame:
-    """``(id, n_shingles, d1, d2, sketch)`` of every text; d1 and d2 identify the set."""
+    """``(id, n_shingles, d1, d2, sketch)`` of every text; d1 and d2 are a digest of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets = shingle_sets(batch.column("text"), width)
+                words = split_words(batch.column("text"), lower=True)
+                sets = _sets(words, width)
                 regs = sketch_sets(sets, registers)
-                sums = [(int(s.sum(dtype=U)), int(mix(s ^ U(0xA5A5A5A5)).sum(dtype=U))) for s in sets]
-                d = np.array(sums, U).astype(np.int64).reshape(-1, 2)
+                raw = words.data.tobytes()
+                said = (b" ".join(_word_list(raw, words, i)) for i in range(len(sets)))
+                digests = (blake2b(w, digest_size=16).digest() for w in said)
+                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
@@ -185,77 +195,115 @@ def _floor(threshold: float, registers: int) -> float:
     return threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / registers)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets have 100 * intersection >= percent * union."""
+def _word_list(raw: bytes, words: Words, i: int) -> list[bytes]:
+    """The words of text i; ``raw`` is ``words.data`` as bytes, which split at the same six spaces."""
+    a, b = words.first[i], words.first[i + 1]
+    return raw[words.starts[a] : words.ends[b - 1]].split() if b > a else []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                x, y = (np.frombuffer(s.as_py(), U) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            if keep:
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x{c}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+def _linked(a: list[bytes], b: list[bytes], width: int, percent: int) -> bool:
+    """Whether the shingles of two lists of words, compared as words, have enough in common."""
+    x, y = ({tuple(w)} if len(w) < width else set(zip(*(w[k:] for k in range(width)), strict=False)) for w in (a, b))
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
 
+def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets have 100 * intersection >= percent * union.
+
+    The partners of one a are cut into parts of bounded size, each of which gets a's text once.
+    """
+    sizes = pairs.join(reps.select(F.col("rep").alias("b"), "n_shingles"), "b")
+    parts = sizes.groupBy("a").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK)).alias("parts"))
+    parts = written(parts, "parts")
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    members = dealt.join(texts.select(F.col("id").alias("b"), "text"), "b")
+    pivots = parts.join(texts.select(F.col("id").alias("a"), "text"), "a")
+    pivots = pivots.select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    rows = pivots.unionByName(members.select("a", "part", "b", "text")).repartition("a", "part")
 
-def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, mine, said = None, np.zeros(0, U), []
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets = [s.tobytes() for s in shingle_sets(batch.column("text"), width)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"]
-                )
-
+                words = split_words(batch.column("text"), lower=True)
+                sets, raw = _sets(words, width), words.data.tobytes()
+                places = zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), strict=True)
+                out: tuple[list, list] = ([], [])
+                for i, (a, part, b) in enumerate(places):
+                    if b is None:
+                        of, mine, said = (a, part), sets[i], _word_list(raw, words, i)
+                    elif of == (a, part):
+                        both = len(np.intersect1d(mine, sets[i], assume_unique=True)) + SLACK
+                        near = 100 * both >= percent * (len(mine) + len(sets[i]) - both)
+                        if near and _linked(said, _word_list(raw, words, i), width, percent):
+                            out[0].append(a)
+                            out[1].append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    in_order = rows.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return in_order.mapInArrow(run, "a long, b long")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
+    return source.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
 
 
-def _links_between(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of one bucket between different components; mixed: (key, rep, c, cnt).
+def _links_between(mixed: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of one bucket between different components; mixed: (key, rep, c).
 
-    Block meets block, each pair of blocks in one task, which counts all intersections by matrix
-    products over the shared shingles and returns a spanning forest of the links, not the pairs.
+    Only members outside the bucket's largest component, the strays, need a comparison with all
+    others. Blocks of strays meet blocks of members, each pair of blocks in one task, which counts
+    all intersections by matrix products over the shared shingles and returns a spanning forest of
+    the links, not the pairs. So a member is copied once for each block of strays.
     """
-    blocks = F.ceil(F.col("cnt") / BLOCK).cast("long")
-    placed = mixed.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    spread = spread.select(
-        "key", "rep", "c", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk"
-    ).join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    sized = mixed.join(reps.select("rep", "n_shingles"), "rep")
+    per = sized.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    top = per.groupBy("key").agg(
+        F.max(F.struct("n", (-F.col("c")).alias("c"), "s")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s")
+    )
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES, F.lit(1.0)))
+    top = top.select(
+        "key", (-F.col("m.c")).alias("top"), blocks(F.col("n"), F.col("s")).alias("n_all"),
+        blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("n_stray"),
+    )
+    placed = mixed.join(top, "key").withColumns({"col": F.pmod(F.xxhash64("rep"), "n_all"), "row": F.pmod(F.xxhash64("rep"), "n_stray")})
+    side = lambda stray, row, col: ("key", "rep", "c", F.lit(stray).alias("stray"), row.alias("row"), col.alias("col"))
+    every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    members = placed.select(*side(False, every("n_stray"), F.col("col")))
+    strays = placed.filter("c <> top").select(*side(True, F.col("row"), every("n_all")))
+    spread = members.unionByName(strays).join(texts.select(F.col("id").alias("rep"), "text"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, blk = (table.column(c).to_numpy() for c in ("rep", "c", "blk"))
-        names, comp = np.unique(comp, return_inverse=True)
-        several = np.flatnonzero(comp != np.bincount(comp).argmax())
+        ids, comp = (table.column(c).to_numpy() for c in ("rep", "c"))
+        stray = table.column("stray").to_numpy(zero_copy_only=False)
         a, b = [], []
-        if len(several):
-            found = _similar([np.frombuffer(x, U) for x in table.column("shingles").to_pylist()], several, percent)
-            inside = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
-            found &= (comp[several][:, None] != comp[None, :]) & (inside | (blk[several][:, None] != blk[None, :]))
-            root = np.arange(len(names))
+        if stray.any() and not stray.all():
+            words = split_words(table.column("text"), lower=True)
+            raw = words.data.tobytes()
+            names, comp = np.unique(comp, return_inverse=True)
+            row, col = np.flatnonzero(stray), np.flatnonzero(~stray)
+            found = _similar(_sets(words, width), row, percent)[:, col] & (comp[row][:, None] != comp[col][None, :])
+            root = list(range(len(names)))
             for i, j in zip(*np.nonzero(found), strict=True):
-                x, y = comp[several[i]], comp[j]
+                i, j = row[i], col[j]
+                x, y = comp[i], comp[j]
                 while root[x] != x:
                     x = root[x]
                 while root[y] != y:
                     y = root[y]
-                if x != y:
+                if x != y and _linked(_word_list(raw, words, i), _word_list(raw, words, j), width, percent):
                     root[x] = y
-                    a.append(ids[several[i]])
+                    a.append(ids[i])
                     b.append(ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+    return spread.groupBy("key", "row", "col").applyInArrow(run, "a long, b long")
 
 
 def _similar(sets: list[np.ndarray], some: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the sets named in ``some`` are similar to which of all sets, as a matrix."""
+    """Which of the sets named in ``some`` may be similar to which of all sets, as a matrix."""
     sizes = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, token, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -270,7 +318,7 @@ def _similar(sets: list[np.ndarray], some: np.ndarray, percent: int) -> np.ndarr
         held = np.zeros((len(sets), 4096), np.float32)
         held[owner[i:j], token[i:j] - low] = 1
         both += held[some] @ held.T
-    both = both.astype(np.int64)
+    both = both.astype(np.int64) + SLACK
     return 100 * both >= percent * (sizes[some][:, None] + sizes[None, :] - both)
 
 
@@ -291,8 +339,10 @@ def near_duplicates(
 
     Defined results: a null or wordless text has an empty set and links with nothing, so it is its
     own component; equal texts are linked whatever their number; a repeated row is returned as often
-    as it occurs; a row with a null id gets a null component and is kept; an empty table gives an
-    empty result. Other columns are ignored, so their names can't clash.
+    as it occurs; a row with a null id gets a null component and is kept; of different texts with one
+    id, equal ones stay linked and the greatest decides all other links; a text of any length is
+    compared whole, and is read at once by a task; an empty table gives an empty result. Other columns are ignored, so their
+    names can't clash.
     """
     sketches = written(set_sketches(docs, id_col, text_col, width, registers), "sketches")
     full = sketches.filter("n_shingles > 0 and id is not null")
@@ -306,17 +356,18 @@ def near_duplicates(
     shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("cnt")).filter("cnt > 1")
     members = written(bands.join(shared, "key"), "buckets")
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = written(_full_sets(docs, id_col, text_col, wanted, width), "sets")
+    texts = written(_texts(docs, id_col, text_col, wanted), "texts")
 
     stars = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _verified(_likely(stars, reps, registers, percent), sets, percent)
+    likely = written(_likely(stars, reps, registers, percent), "likely")
+    first = _verified(likely, texts, reps, width, percent)
     found = written(connected_components(first, "a", "b"), "components")
 
     labelled = members.filter("cnt > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.select("key", "rep", "cnt", F.coalesce("component", "rep").alias("c"))
+    labelled = labelled.select("key", "rep", F.coalesce("component", "rep").alias("c"))
     split = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
     mixed = written(labelled.join(split, "key", "left_semi"), "mixed")
-    second = _links_between(mixed, sets, percent)
+    second = _links_between(mixed, texts, reps, width, percent)
     label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     lifted = second.join(label("a"), "a", "left").join(label("b"), "b", "left")
     lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -334,3 +385,20 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i + 1:i + 5], ' ') AS s
+  FROM (SELECT *, unnest(range(greatest(1, len(words) - 4))) AS i FROM w WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+lowest AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON a = doc_id
+"""

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm import chat, licenses, mixing, quality_rules, toxicity, urls
-from factlake.llm.embedding_dedup import embedding_links
-from factlake.llm.near_dedup import near_duplicates
+from factlake.llm.embedding_dedup import LINKS_SQL, embedding_links
+from factlake.llm.near_dedup import NEAR_SQL, near_duplicates
 from factlake.llm.sentencepiece_sampling import sample_encode
-from factlake.llm.substring_dedup import remove_repeated_spans
+from factlake.llm.substring_dedup import SPANS_SQL, remove_repeated_spans
 from factlake.storage import written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -98,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": urls.FILTER_SQL,
+    "op4_minhash_near_dedup": NEAR_SQL,
+    "op5_embedding_near_dedup": LINKS_SQL,
+    "op6_substring_dedup": SPANS_SQL,
     "op7_license_scan": licenses.SCAN_SQL,
     "op8_chat_formatting": chat.DIGEST_SQL,
     "op9_mixing": mixing.MIX_SQL,

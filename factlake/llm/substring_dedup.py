@@ -1,21 +1,30 @@
-"""Substring dedup by hashes of windows.
-
-Every window of ``window`` words is looked up by its hash among the windows of all smaller ids, and
-the union of the windows found is the duplicate spans. This replaces relative Lempel-Ziv parsing: no
-factors are grown and no positions in a reference are kept, since the result asks only whether a
-window occurs. It is exact up to collisions of 64-bit hashes.
-
-The reference is an index of phrase hashes, cut by hash into blocks that each fit a task, and every
-document is compared with every block: a batch of documents sends each block the hashes that the
-block owns, and gets back those that occur in an earlier batch. Inside a batch the documents are
-compared in place. Two rounds keep the index small. The first exchanges only minimizers, the
-smallest hash of the short phrases in each window; equal windows have equal minimizers, so a window
-whose minimizer no other document has can't be duplicate. The second exchanges the windows left.
-A frequent phrase costs one entry for each batch, whatever the number of its copies.
+"""Substring dedup by relative Lempel-Ziv parsing.
+
+A document is parsed against all documents with smaller ids, its reference. The reference is indexed
+by its phrases of ``window`` words: for each phrase the document with the smallest id that has it,
+and the first place there. The index is cut by hash into blocks that each fit a task, and every
+document is looked up in every block: a batch of documents sends each block the phrases that the
+block owns, and gets back the reference position of those that an earlier document has.
+
+Parsing is greedy, from left to right. A factor starts at the first phrase that the index knows, and
+grows by a word as long as the next phrase stands in the reference right behind the last one. Where
+it can't grow any more, the phrases that reach across its end are looked up on their own, so a
+phrase that is copied from elsewhere begins the next factor and none is lost at a boundary. A factor
+is at least ``window`` words long, so all of them are duplicate spans.
+
+Hashes only find factors. Each factor is confirmed on its words: it sends a digest of them to the
+document it was copied from, which compares it with its own words at that place.
+
+Before the index is made, a first round exchanges only minimizers, the smallest hash of the short
+phrases in each window; equal windows have equal minimizers, so a window whose minimizer no other
+document has can't be duplicate. A frequent phrase costs one entry for each batch, whatever the
+number of its copies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +34,21 @@ from pyspark.sql import functions as F
 
 from factlake.llm.textwords import U, Words, loosened, phrases, split_words
 
-#: Documents of a batch: ids from a multiple of this to the next.
-BATCH = 256
+#: Bytes of text that a batch of documents should have.
+BATCH_BYTES = 4 << 20
 #: Entries that a block of the index should have.
 BLOCK_ENTRIES = 1 << 20
-_ENTRIES = "block int, batch long, hashes binary"
+_ENTRIES = "block int, batch long, packed binary"
+#: Phrases with their hash, a second one, and where they stand: in which document, at which word.
+_PHRASE = (("hash", "<u8"), ("check", "<u4"), ("id", "<i8"), ("at", "<i4"))
+_KNOWN = (*_PHRASE, ("batch", "<i8"))
+_CHECK = U(0xA24BAED4963EE407)
+_FACTOR = np.dtype([("start", "<i4"), ("length", "<i4"), ("id", "<i8"), ("at", "<i4")])
+_CLAIM = np.dtype([("id", "<i8"), ("at", "<i4"), ("length", "<i4"), ("digest", "V16")])
+
+
+class HashCollision(RuntimeError):
+    """Phrases of different words have the same hashes; another ``salt`` tells them apart."""
 
 
 def remove_repeated_spans(
@@ -39,64 +58,74 @@ def remove_repeated_spans(
     window: int = 13,
     seed: int = 6,
     carry: list[str] | None = None,
+    salt: int = 0,
 ) -> DataFrame:
-    """Per row of ``docs``: ``(id, text, n_words, n_removed, spans, carried)``.
+    """Per row of ``docs``: ``(id, text, n_words, n_removed, spans, factors, carried)``.
 
-    ``text`` has the words left, joined by one space; ``spans`` the (start, length) of the removed
-    runs of words in the input; ``carried`` a struct of the columns named in ``carry``. A word goes
-    if it lies in a window of ``window`` words that also starts in a row with a smaller id; windows
-    are judged on the input. Words are runs of anything but ASCII white space, unchanged.
+    ``text`` has the words left, joined by one space; ``factors`` the (start, length) of each copied
+    run of words in the input, and the ``source`` id and ``source_start`` it was copied from;
+    ``spans`` the (start, length) of the removed runs, the union of the factors; ``carried`` a struct
+    of the columns named in ``carry``. A word goes if it lies in a window of ``window`` words that
+    also starts in a row with a smaller id; windows are judged on the input. Words are runs of
+    anything but ASCII white space, unchanged.
 
     Defined results: null and wordless texts have no words and become empty; a text shorter than
-    the window stays whole; rows with equal ids don't remove anything from each other; a row with a
-    null id keeps all its words and is no reference for others; repeats inside one text stay; an
-    empty table gives an empty result. Columns that aren't carried are ignored.
+    the window stays whole; a text of any length is parsed whole, in one task; rows with equal ids
+    don't remove anything from each other, and are read by one task; a row with a null id keeps all
+    its words and is no reference for others; repeats inside one text stay; an empty table gives an
+    empty result. Columns that aren't carried are ignored. Should two different phrases have the
+    same hashes, 96 bits in all, the query fails with :class:`HashCollision` instead of removing a
+    word too many; another ``salt`` then gives the result.
     """
     if not 0 < seed <= window:
         raise ValueError("seed must be between 1 and window")
     source = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _carried(carry or [])
     )
-    apart = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) - (1 << 62)
-    batch = F.when(F.col("id").isNull(), apart).otherwise(F.expr(f"id div {BATCH}")).cast("long")
-    source = source.withColumn("batch", batch)
-    texts = source.select("batch", "id", "text", "carried")
-    words = (docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) / 6
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = max(1, -(-size // BATCH_BYTES))
+    mark = F.xxhash64("text")
+    batch = F.pmod(F.xxhash64(F.coalesce("id", mark), F.lit(1)), F.lit(batches))
+    texts = source.select(batch.alias("batch"), mark.alias("mark"), "id", "text", "carried")
+    words = size / 6
     seed_bits = _bits(words * 2 / (window - seed + 2))
     window_bits = _bits(words)
 
     def seeds(table: pa.Table) -> pa.Table:
-        group = _Group(table, window, seed)
-        return _entries(group.batch, np.unique(group.minimizers), seed_bits)
+        group = _Group(table, window, seed, salt)
+        return _rows(group.batch, {"hash": np.unique(group.minimizers)}, seed_bits)
 
-    def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        group = _Group(left, window, seed)
+    def index(left: pa.Table, right: pa.Table) -> pa.Table:
+        group = _Group(left, window, seed, salt)
         m = group.minimizers
         order = np.argsort(m, kind="stable")
         first, last = _runs(m[order])
         rank = group.rank[order]
-        local = np.zeros(len(m), bool)
-        local[order] = (rank[first] != rank[last - 1])[np.repeat(np.arange(len(first)), last - first)]
-        return _entries(group.batch, np.unique(group.windows[local | np.isin(m, _hashes(right))]), window_bits)
-
-    def parse(left: pa.Table, right: pa.Table) -> pa.Table:
-        group = _Group(left, window, seed)
-        h = group.windows
-        order = np.argsort(h, kind="stable")
-        first, last = _runs(h[order])
-        rank = group.rank[order]
-        known = np.zeros(len(h), bool)
-        known[order] = rank > rank[first][np.repeat(np.arange(len(first)), last - first)]
-        known |= np.isin(h, _hashes(right))
-        return _parsed(group, known, window)
+        shared = np.zeros(len(m), bool)
+        shared[order] = (rank[first] != rank[last - 1])[np.repeat(np.arange(len(first)), last - first)]
+        shared |= np.isin(m, _unpacked(right, (("hash", "<u8"),))["hash"])
+        some = np.flatnonzero(shared)
+        some = some[_first_of(group.hash[some], group.check[some])[0]]
+        return _rows(group.batch, {k: v[some] for k, v in group.entries().items()}, window_bits)
+
+    def factors(left: pa.Table, right: pa.Table) -> pa.Table:
+        group = _Group(left, window, seed, salt)
+        return _messages(group, group.factors(_unpacked(right, _KNOWN)))
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _cut(_Sorted(left), right)
 
     grouped = texts.groupBy("batch")
-    shared = grouped.applyInArrow(seeds, _ENTRIES).groupBy("block").applyInArrow(_repeated(False), _ENTRIES)
-    candidates = grouped.cogroup(shared.groupBy("batch")).applyInArrow(windows, _ENTRIES)
-    known = candidates.groupBy("block").applyInArrow(_repeated(True), _ENTRIES)
+    shared = grouped.applyInArrow(seeds, _ENTRIES).groupBy("block").applyInArrow(_repeated, _ENTRIES)
+    entries = grouped.cogroup(shared.groupBy("batch")).applyInArrow(index, _ENTRIES)
+    known = entries.groupBy("block").applyInArrow(_earlier, _ENTRIES)
+    said = grouped.cogroup(known.groupBy("batch")).applyInArrow(factors, "batch long, claim boolean, packed binary").distinct()
     carried = texts.schema["carried"].dataType.simpleString()
-    out = f"id long, text string, n_words long, n_removed long, spans array<struct<start:int,length:int>>, carried {carried}"
-    return grouped.cogroup(known.groupBy("batch")).applyInArrow(parse, out)
+    out = (
+        "id long, text string, n_words long, n_removed long, spans array<struct<start:int,length:int>>, "
+        f"factors array<struct<start:int,length:int,source:bigint,source_start:int>>, carried {carried}"
+    )
+    return grouped.cogroup(said.groupBy("batch")).applyInArrow(cut, out)
 
 
 def _carried(names: list[str]) -> Column:
@@ -108,30 +137,82 @@ def _bits(entries: float) -> int:
     return max(7, min(30, int(np.ceil(np.log2(max(1.0, entries / BLOCK_ENTRIES))))))
 
 
-class _Group:
-    """The windows of a batch of texts, in order of id."""
+class _Sorted:
+    """The texts of a batch in order of id, null ids last, and their words."""
 
-    def __init__(self, table: pa.Table, window: int, seed: int):
+    def __init__(self, table: pa.Table):
         if table.num_rows:
-            table = table.take(pc.sort_indices(table.column("id")))
+            table = table.take(pc.sort_indices(table, [("id", "ascending"), ("mark", "ascending")]))
         self.table = table
-        ids = table.column("id")
-        self.batch = table.column("batch")[0].as_py() if table.num_rows and ids[0].is_valid else None
         self.words: Words = split_words(table.column("text"))
-        h = self.words.hashes()
-        self.windows, self.at = phrases(h, self.words.first, window)
-        self.owner = self.words.owner[self.at]
-        values = np.array(ids.to_pylist(), object)
-        changes = np.r_[False, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
-        self.rank = np.cumsum(changes)[self.owner]
-        if self.batch is None:  # null ids: neither a reference nor parsed
-            self.windows, self.at, self.owner, self.rank = (x[:0] for x in (self.windows, self.at, self.owner, self.rank))
+        self.has_id = table.column("id").is_valid().to_numpy(zero_copy_only=False)
+        self.ids = pc.fill_null(table.column("id"), 0).to_numpy()
+        self.marks = table.column("mark").to_numpy()
+        self.raw = self.words.data.tobytes()
+
+    def said(self, d: int) -> list[bytes]:
+        """The words of text d."""
+        i, j = self.words.first[d], self.words.first[d + 1]
+        return self.raw[self.words.starts[i] : self.words.ends[j - 1]].split() if i < j else []
+
+
+class _Group(_Sorted):
+    """The phrases of a batch of texts that have an id."""
+
+    def __init__(self, table: pa.Table, window: int, seed: int, salt: int):
+        super().__init__(table)
+        self.window = window
+        self.batch = table.column("batch")[0].as_py() if table.num_rows else None
+        h = self.words.hashes(salt)
+        self.hash, at = phrases(h, self.words.first, window)
+        self.check = (phrases(h, self.words.first, window, _CHECK)[0] >> U(32)).astype(np.uint32)
+        owner = self.words.owner[at]
         short, place = phrases(h, self.words.first, seed)
-        where = np.searchsorted(place, self.at)
+        where = np.searchsorted(place, at)
         low = short[where] if len(where) else short[:0]
         for j in range(1, window - seed + 1):
             low = np.minimum(low, short[where + j])
-        self.minimizers = low
+        use = self.has_id[owner]
+        if not use.all():
+            self.hash, self.check, at, owner, low = (x[use] for x in (self.hash, self.check, at, owner, low))
+        self.minimizers, self.owner, self.at = low, owner, at - self.words.first[owner]
+        changes = np.r_[False, self.ids[1:] != self.ids[:-1]] if len(self.ids) else np.zeros(0, bool)
+        self.rank = np.cumsum(changes)[owner]
+
+    def entries(self) -> dict[str, np.ndarray]:
+        return {"hash": self.hash, "check": self.check, "id": self.ids[self.owner], "at": self.at}
+
+    def factors(self, known: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Greedy factors: (text, start, length, id, at, batch) of each, in order of their place.
+
+        ``known`` has the reference position of phrases that other batches have earlier; it comes
+        before any place in this batch.
+        """
+        n = len(self.hash)
+        first, run = _first_of(self.hash, self.check)
+        source = first[run]
+        have = self.rank > self.rank[source]
+        sid, sat, sbatch = self.ids[self.owner[source]], self.at[source], np.full(n, self.batch if n else 0, np.int64)
+        if len(known["hash"]):
+            order = np.lexsort((known["check"], known["hash"]))
+            known = {k: v[order] for k, v in known.items()}
+            place = np.searchsorted(known["hash"], self.hash)
+            while len(place) and (more := (place < len(order)) & self._same(known["hash"], place) & ~self._same(known["check"], place)).any():
+                place = place + more
+            hit = (place < len(order)) & self._same(known["hash"], place) if n else np.zeros(0, bool)
+            where = place[hit]
+            have[hit] = True
+            sid[hit], sat[hit], sbatch[hit] = known["id"][where], known["at"][where], known["batch"][where]
+        some = np.flatnonzero(have)
+        owner, at, sid, sat, sbatch = self.owner[some], self.at[some], sid[some], sat[some], sbatch[some]
+        grows = (owner[1:] == owner[:-1]) & (at[1:] == at[:-1] + 1) & (sid[1:] == sid[:-1]) & (sat[1:] == sat[:-1] + 1)
+        begin = np.flatnonzero(np.r_[True, ~grows]) if len(some) else np.zeros(0, np.int64)
+        length = np.diff(np.append(begin, len(some))) + self.window - 1
+        return owner[begin], at[begin], length, sid[begin], sat[begin], sbatch[begin]
+
+    def _same(self, values: np.ndarray, place: np.ndarray) -> np.ndarray:
+        mine = self.hash if values.dtype == self.hash.dtype else self.check
+        return values[np.minimum(place, len(values) - 1)] == mine
 
 
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,82 +221,166 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(ordered)).astype(np.int64) if len(first) else first
 
 
-def _entries(batch: int | None, hashes: np.ndarray, bits: int) -> pa.Table:
-    """One row for each block that owns some of the sorted hashes."""
-    block = (hashes >> U(64 - bits)).astype(np.int32)
+def _first_of(hash_: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct phrase, in order of hash, and which of them each place has."""
+    order = np.argsort(hash_, kind="stable")
+    h, c = hash_[order], check[order]
+    if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((check, hash_))
+        h, c = hash_[order], check[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+    run = np.empty(len(h), np.int64)
+    run[order] = np.cumsum(new) - 1
+    return order[new], run
+
+
+def _rows(batch: int | None, values: dict[str, np.ndarray], bits: int) -> pa.Table:
+    """One row for each block that owns some of the phrases, which are in order of hash."""
+    block = (values["hash"] >> U(64 - bits)).astype(np.int32)
     first, last = _runs(block)
-    blobs = [hashes[i:j].tobytes() for i, j in zip(first, last, strict=True)]
-    return _rows(block[first], [batch] * len(first), blobs)
+    return _packed(block[first], np.full(len(first), batch or 0), [(values, slice(i, j)) for i, j in zip(first, last, strict=True)])
 
 
-def _rows(block: np.ndarray, batch: list, blobs: list[bytes]) -> pa.Table:
+def _packed(block: np.ndarray, batch: np.ndarray, parts: list[tuple[dict[str, np.ndarray], slice | np.ndarray]]) -> pa.Table:
+    kinds = dict(_KNOWN)
+    blobs = [b"".join(v[part].astype(kinds[k]).tobytes() for k, v in values.items()) for values, part in parts]
     return pa.table(
-        {"block": pa.array(block, pa.int32()), "batch": pa.array(batch, pa.int64()), "hashes": pa.array(blobs, pa.binary())}
+        {"block": pa.array(block, pa.int32()), "batch": pa.array(batch, pa.int64()), "packed": pa.array(blobs, pa.binary())}
     )
 
 
-def _hashes(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("hashes").to_pylist()), U)
-
-
-def _repeated(earlier: bool):
-    """For a block: each batch's hashes that another batch has, or an earlier one."""
-
-    def run(table: pa.Table) -> pa.Table:
-        h = _hashes(table)
-        n = np.array([len(x) // 8 for x in table.column("hashes").to_pylist()])
-        batch = np.repeat(table.column("batch").to_numpy(), n)
-        order = np.lexsort((batch, h))
-        same = h[order[1:]] == h[order[:-1]]
-        found = np.r_[False, same]
-        if not earlier:
-            found |= np.r_[same, False]
-        hit = order[found]
-        hit = hit[np.argsort(batch[hit], kind="stable")]
-        first, last = _runs(batch[hit])
-        blobs = [h[hit[i:j]].tobytes() for i, j in zip(first, last, strict=True)]
-        block = np.full(len(first), table.column("block")[0].as_py(), np.int32)
-        return _rows(block, batch[hit[first]].tolist(), blobs)
-
-    return run
-
-
-def _parsed(group: _Group, known: np.ndarray, window: int) -> pa.Table:
-    words = group.words
-    n = len(words.starts)
-    covered = np.zeros(n + 1, np.int64)
-    at = group.at[known]
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + window, -1) if len(at) else None
-    gone = np.cumsum(covered[:n]) > 0
-    removed = np.add.reduceat(np.append(gone, False), words.first[:-1]) if len(words.first) > 1 else np.zeros(0)
-    removed = np.where(words.counts > 0, removed, 0).astype(np.int64)
-    raw = words.data.tobytes()
-    texts, spans = [], []
-    for d in range(len(words.first) - 1):
-        i, j = words.first[d], words.first[d + 1]
-        if i == j:
-            texts.append("")
-            spans.append([])
-            continue
-        all_words = raw[words.starts[i] : words.ends[j - 1]].split()
-        cut = gone[i:j]
-        if removed[d]:
-            edges = np.flatnonzero(np.diff(np.r_[False, cut, False]))
-            spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
-            keep = np.r_[0, edges, len(all_words)]
-            all_words = [w for a, b in zip(keep[::2], keep[1::2], strict=True) for w in all_words[a:b]]
-        else:
-            spans.append([])
-        texts.append(b" ".join(all_words).decode())
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+def _unpacked(table: pa.Table, kinds: tuple[tuple[str, str], ...], batch: bool = False) -> dict[str, np.ndarray]:
+    """The columns of all rows' phrases; with ``batch`` also that of each row."""
+    width = sum(np.dtype(t).itemsize for _, t in kinds)
+    parts: dict[str, list] = {k: [np.zeros(0, t)] for k, t in kinds}
+    sizes = []
+    for blob in table.column("packed").to_pylist():
+        n = len(blob) // width
+        sizes.append(n)
+        begin = 0
+        for k, t in kinds:
+            parts[k].append(np.frombuffer(blob, t, n, begin))
+            begin += n * np.dtype(t).itemsize
+    out = {k: np.concatenate(v) for k, v in parts.items()}
+    if batch:
+        out["batch"] = np.repeat(table.column("batch").to_numpy(), sizes).astype(np.int64)
+    return out
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """For a block of the first round: each batch's hashes that another batch has too."""
+    got = _unpacked(table, (("hash", "<u8"),), batch=True)
+    order = np.argsort(got["hash"], kind="stable")
+    h = got["hash"][order]
+    same = h[1:] == h[:-1]
+    hit = order[np.r_[False, same] | np.r_[same, False]] if len(h) else order
+    return _answers(table, {"hash": got["hash"][hit]}, got["batch"][hit])
+
+
+def _earlier(table: pa.Table) -> pa.Table:
+    """For a block of the index: the reference position of each batch's phrases that have an earlier one."""
+    got = _unpacked(table, _PHRASE, batch=True)
+    order = np.lexsort((got["at"], got["id"], got["check"], got["hash"]))
+    h, c = got["hash"][order], got["check"][order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+    source = np.flatnonzero(new)[np.cumsum(new) - 1]
+    ids = got["id"][order]
+    hit = ids > ids[source]
+    found = {k: got[k][order[source[hit]]] for k in ("hash", "check", "id", "at", "batch")}
+    return _answers(table, found, got["batch"][order[hit]])
+
+
+def _answers(table: pa.Table, values: dict[str, np.ndarray], to: np.ndarray) -> pa.Table:
+    """One row for each batch that some values go to."""
+    order = np.argsort(to, kind="stable")
+    first, last = _runs(to[order])
+    block = np.full(len(first), table.column("block")[0].as_py() if table.num_rows else 0)
+    return _packed(block, to[order[first]], [(values, order[i:j]) for i, j in zip(first, last, strict=True)])
+
+
+def _messages(group: _Group, factors: tuple[np.ndarray, ...]) -> pa.Table:
+    """Factors for the own batch, one row a text, and claims of their words for those of their sources."""
+    text, start, length, sid, sat, sbatch = factors
+    rows: list[tuple[int, bool, bytes]] = []
+    first, last = _runs(text)
+    for i, j in zip(first, last, strict=True):
+        d = int(text[i])
+        mine = np.zeros(j - i, _FACTOR)
+        for name, values in zip(("start", "length", "id", "at"), (start, length, sid, sat), strict=True):
+            mine[name] = values[i:j]
+        rows.append((group.batch, False, np.array([group.ids[d], group.marks[d]], "<i8").tobytes() + mine.tobytes()))
+        words = group.said(d)
+        for k in range(i, j):
+            digest = _digest(words, start[k], length[k])
+            rows.append((int(sbatch[k]), True, np.array([(sid[k], sat[k], length[k], digest)], _CLAIM).tobytes()))
+    batch, claim, packed = zip(*dict.fromkeys(rows), strict=True) if rows else ((), (), ())
+    return pa.table({"batch": pa.array(batch, pa.int64()), "claim": pa.array(claim, pa.bool_()), "packed": pa.array(packed, pa.binary())})
+
+
+def _digest(words: list[bytes], start: int, length: int) -> bytes:
+    return blake2b(b" ".join(words[start : start + length]), digest_size=16).digest()
+
+
+def _confirm(group: _Sorted, claims: Iterator[bytes]) -> None:
+    """Raise unless the words at each claimed place are those that the factor has."""
+    of: dict[int, list[int]] = {}
+    for d in np.flatnonzero(group.has_id):
+        of.setdefault(int(group.ids[d]), []).append(int(d))
+    got = np.frombuffer(b"".join(claims), _CLAIM)
+    got = got[np.argsort(got["id"], kind="stable")]
+    said: tuple[int | None, list[list[bytes]]] = (None, [])
+    for id_, at, length, digest in got:
+        if said[0] != id_:
+            said = (id_, [group.said(d) for d in of.get(int(id_), [])])
+        if not any(_digest(words, at, length) == digest.tobytes() for words in said[1]):
+            raise HashCollision(f"hashes of different phrases agree in {id_}: use another salt")
+
+
+def _cut(group: _Sorted, messages: pa.Table) -> pa.Table:
+    """The texts of a batch without the words of their factors."""
+    claim = messages.column("claim").to_pylist()
+    packed = messages.column("packed").to_pylist()
+    _confirm(group, (x for x, c in zip(packed, claim, strict=True) if c))
+    mine = {x[:16]: np.frombuffer(x[16:], _FACTOR) for x, c in zip(packed, claim, strict=True) if not c}
+    texts, spans, removed, factors = [], [], [], []
+    for d in range(len(group.ids)):
+        words = group.said(d)
+        found = mine.get(np.array([group.ids[d], group.marks[d]], "<i8").tobytes()) if group.has_id[d] else None
+        gone: list[tuple[int, int]] = []
+        if found is not None:
+            step = np.zeros(len(words) + 1, np.int64)
+            np.add.at(step, found["start"], 1)
+            np.add.at(step, found["start"] + found["length"], -1)
+            edges = np.flatnonzero(np.diff(np.r_[False, np.cumsum(step[:-1]) > 0, False]))
+            gone = [(int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            keep = np.r_[0, edges, len(words)]
+            words = [w for a, b in zip(keep[::2], keep[1::2], strict=True) for w in words[a:b]]
+        texts.append(b" ".join(words).decode())
+        removed.append(sum(n for _, n in gone))
+        spans.append([{"start": a, "length": n} for a, n in gone])
+        factors.append([dict(zip(("start", "length", "source", "source_start"), map(int, f), strict=True)) for f in found] if found is not None else [])
+    span = [("start", pa.int32()), ("length", pa.int32())]
+    factor = [*span, ("source", pa.int64()), ("source_start", pa.int32())]
     return pa.table(
         {
             "id": group.table.column("id"),
             "text": pa.array(texts, pa.string()),
-            "n_words": pa.array(words.counts, pa.int64()),
+            "n_words": pa.array(group.words.counts, pa.int64()),
             "n_removed": pa.array(removed, pa.int64()),
-            "spans": pa.array(spans, kind),
+            "spans": pa.array(spans, pa.list_(pa.struct(span))),
+            "factors": pa.array(factors, pa.list_(pa.struct(factor))),
             "carried": loosened(group.table.column("carried")),
         }
     )
+
+
+SPANS_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS words FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(words[i + 1:i + 13], ' ') AS gram FROM (SELECT *, unnest(range(len(words) - 12)) AS i FROM w)),
+sources AS (SELECT gram, min(doc_id) AS source FROM grams GROUP BY gram),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM grams JOIN sources USING (gram) WHERE source < doc_id)),
+said AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS j FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM said ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _PHRASE = U(0xD1342543DE82EF95)
-_BLOCK = 1 << 21  # bytes hashed at once
+_STEP = U(0x9E3779B97F4A7C15)
+_SHORT = 64  # bytes of a word that are hashed in array steps of eight
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,22 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=U) * U(_BASE))
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64; at least n of them."""
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        out = np.full(max(n, 1 << 16), base, U)
-        out[0] = 1
-        _POWERS[base] = np.cumprod(out, dtype=U)
-    return _POWERS[base]
-
-
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 @dataclass
 class Words:
     """Words of a run of texts. ``first[d]:first[d + 1]`` are the words of text d."""
@@ -66,22 +51,33 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word; equal words have equal hashes wherever they stand."""
-        out = np.empty(len(self.starts), U)
-        i = 0
-        while i < len(out):
-            low = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, low + _BLOCK, "right")))
-            high = self.ends[j - 1]
-            n = int(high - low)
-            total = np.empty(n + 1, U)
-            total[0] = 0
-            np.cumsum(_BYTES[self.data[low:high]] * _powers(_BASE, n)[:n], dtype=U, out=total[1:])
-            s, e = self.starts[i:j] - low, self.ends[i:j] - low
-            out[i:j] = (total[e] - total[s]) * _powers(_INVERSE, n)[s] + (e - s).astype(U)
-            i = j
-        return mix(out)
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; equal words have equal hashes wherever they stand.
+
+        Eight bytes at a time pass through ``mix``, which isn't linear in them, so words can't cancel
+        as they do in a polynomial modulo 2**64. Words above 64 bytes are hashed by BLAKE2b.
+        """
+        size = self.ends - self.starts
+        out = mix(size.astype(U) * _STEP + U(salt))
+        padded = np.append(self.data, np.zeros(8, np.uint8))
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        here = np.flatnonzero(size <= _SHORT) if (size > _SHORT).any() else None
+        at, left = (self.starts, size) if here is None else (self.starts[here], size[here])
+        while len(at):
+            part = eight[at]
+            unused = np.maximum(8 - left, 0).astype(U) * U(8)
+            part = (part << unused) >> unused
+            if here is None:
+                out = mix(out * _STEP ^ part)
+            else:
+                out[here] = mix(out[here] * _STEP ^ part)
+            more = np.flatnonzero(left > 8)
+            here = more if here is None else here[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > _SHORT):
+            word = blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8))
+            out[i] = int.from_bytes(word.digest())
+        return out
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
@@ -116,14 +112,14 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def phrases(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def phrases(hashes: np.ndarray, first: np.ndarray, k: int, step: np.uint64 = _PHRASE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of k words that stay in one text, and the index of their first word."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U), np.zeros(0, np.int64)
     out = hashes[:n].copy()
     for j in range(1, k):
-        out *= _PHRASE
+        out *= step
         out += hashes[j : j + n]
     whole = np.ones(n + k, bool)
     for cut in first[1:-1]:

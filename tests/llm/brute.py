@@ -66,6 +66,26 @@ def substring(rows, k=13):
     return sorted(out)
 
 
+def factors(rows, k=13):
+    """(start, length, source, source start) of greedy factors, by the first place of each phrase."""
+    first, out = {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        w = words(t)
+        for j in range(len(w) - k + 1):
+            first.setdefault(tuple(w[j : j + k]), (i, j))
+    for i, t in rows:
+        w, found = words(t), []
+        for j in range(len(w) - k + 1):
+            source, at = first[tuple(w[j : j + k])]
+            if source < i:
+                if found and found[-1][0] + found[-1][1] == j + k - 1 and found[-1][2] == source and found[-1][3] + found[-1][1] == at + k - 1:
+                    found[-1][1] += 1
+                else:
+                    found.append([j, k, source, at])
+        out[i] = [tuple(f) for f in found]
+    return out
+
+
 def base_metrics(text):
     text = text or ""
     w = words(text)

@@ -3,8 +3,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from brute import near, substring
+from brute import factors, near, substring, words
 from pyspark.sql import functions as F
 
 from factlake.llm import near_dedup, substring_dedup
@@ -70,6 +71,10 @@ def test_near_duplicates_defined_cases(spark):
     rows = [(7, text, "x", 1, None, None), (7, text, None, 1, None, None), (None, text, None, None, None, None), (9, text + " i", None, 2, None, None)]
     out = sorted(_near(near_duplicates(spark.createDataFrame(rows, schema))), key=str)
     assert out == sorted([(7, 4, 7, True), (7, 4, 7, True), (None, 4, None, True), (9, 5, 7, False)], key=str)
+    long = " ".join(f"v{i % 7919}" for i in range(60_000))
+    twice = [(1, long), (2, long + " more"), (3, "other " + long[:1000]), (5, "a b c"), (5, "d e f"), (6, "d e f")]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(twice, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 5: 5, 6: 5}
     assert _near(near_duplicates(spark.createDataFrame([], schema))) == []
 
 
@@ -83,25 +88,121 @@ def test_sketches_merge_and_estimate():
     assert abs(got - 0.6) < 0.12
 
 
+def _thue_morse(n):
+    """Two different words of 2**n letters on which polynomial hashes modulo 2**64 agree from n = 10 on."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_near_duplicates_tell_words_apart(spark):
+    a, b = _thue_morse(11)
+    rows = [(1, a), (2, b), (3, a.upper()), (4, f"x y z u v {a}"), (5, f"x y z u v {b}")]
+    sizes, labels = near(rows)
+    out = _near(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == sorted((i, sizes[i], labels[i], labels[i] == i) for i, _ in rows) and labels[2] == 2
+
+
+def test_links_are_confirmed_on_words():
+    linked = lambda a, b: near_dedup._linked(a.split(), b.split(), 5, 75)
+    assert linked("a b c d e f", "a b c d e f") and not linked("a b c d e f g h", "a b c d e x g h")
+    assert linked("a b", "a b") and not linked("a b", "b a")
+    assert linked("a b c d e f g h", "a b c d e f g h i") and not linked("a b c d e f", "a b c d e f g")
+
+
+def test_strays_of_a_bucket_meet_every_block(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
+    r = random.Random(11)
+    base = [r.choice(WORDS) for _ in range(40)]
+    rows = []
+    for i in range(160):  # chains of steps, so that a bucket's pivot is far from many of its members
+        if i % 8 == 0:
+            copy = list(base)
+        copy[r.randrange(40)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    sizes, labels = near(rows)
+    out = _near(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == sorted((i, sizes[i], labels[i], labels[i] == i) for i, _ in rows)
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    """Of random pairs of similarity 0.75, all agree in a band and pass the estimate."""
+    r = np.random.default_rng(7)
+    missed = 0
+    for union in (4, 8, 20, 60, 320):
+        sets = []
+        for _ in range(120):
+            x = np.unique(r.integers(0, 1 << 63, 2 * union).astype(np.uint64))[:union]
+            r.shuffle(x)
+            cut = union // 8
+            sets += [np.sort(x[: union - cut]), np.sort(np.r_[x[: union - union // 4], x[union - cut :]])]
+        regs = near_dedup.sketch_sets(sets, 256)
+        a, b = regs[::2], regs[1::2]
+        bands = (a == b)[:, :255].reshape(len(a), 51, 5).all(2).any(1)
+        sizes = np.array([len(x) for x in sets])
+        estimate = near_dedup.estimate_similarity(a, b, sizes[::2], sizes[1::2])
+        missed += int((~bands).sum() + (estimate < near_dedup._floor(0.75, 256)).sum())
+    assert missed == 0
+
+
 def _spans(df):
     out = df.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     return sorted(tuple(r) for r in out.collect())
 
 
-@pytest.mark.parametrize("batch", [2, 256])
-def test_substring_dedup_matches_brute_force(spark, monkeypatch, batch):
-    monkeypatch.setattr(substring_dedup, "BATCH", batch)
+def _passages():
     r = random.Random(2)
     shared = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (13, 14, 30, 60)]
     rows = []
     for i in range(80):
         parts = [" ".join(r.choice(WORDS) for _ in range(r.choice([0, 5, 20]))) for _ in range(3)]
         rows.append((i, f" {parts[0]}\n{r.choice(shared)} {parts[1]} {r.choice(shared)}  {parts[2]}"))
-    rows += [(200, None), (201, ""), (202, " "), (203, "zz " * 40), (204, "zz " * 20)]
+    return rows + [(200, None), (201, ""), (202, " "), (203, "zz " * 40), (204, "zz " * 20)]
+
+
+@pytest.mark.parametrize("batch", [200, 1 << 20])
+def test_substring_dedup_matches_brute_force(spark, monkeypatch, batch):
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", batch)
+    rows = _passages()
     out = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
     assert _spans(out) == substring(rows)
 
 
+@pytest.mark.parametrize("batch", [200, 1 << 20])
+def test_factors_are_those_of_a_plain_parser(spark, monkeypatch, batch):
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", batch)
+    rows = _passages()
+    out = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["id"]: [tuple(f) for f in r["factors"]] for r in out}
+    want = factors(rows)
+    assert got == want and sum(map(len, want.values())) > 100
+    said = {i: words(t) for i, t in rows}
+    assert all(said[i][a : a + n] == said[s][b : b + n] and s < i for i, fs in got.items() for a, n, s, b in fs)
+
+
+def test_phrases_of_different_words_are_kept(spark):
+    a, b = _thue_morse(10)
+    start = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{start} {a}"), (2, f"{start} {b}"), (3, f"{start} {a}")]
+    out = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert _spans(out) == substring(rows) and {r["id"]: r["n_removed"] for r in out.collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_colliding_hashes_are_noticed():
+    """A claim of other words than those at the place fails, whatever the hashes."""
+    table = pa.table({"batch": [0, 0], "mark": [1, 2], "id": pa.array([1, 2]), "text": ["a b c", "d e f"]})
+    group = substring_dedup._Sorted(table)
+    claim = lambda id_, at, said: np.array(
+        [(id_, at, len(said), substring_dedup._digest(said, 0, len(said)))], substring_dedup._CLAIM
+    ).tobytes()
+    substring_dedup._confirm(group, iter([claim(1, 1, [b"b", b"c"]), claim(2, 0, [b"d"])]))
+    for wrong in (claim(1, 0, [b"b", b"c"]), claim(2, 0, [b"x"]), claim(3, 0, [b"a"])):
+        with pytest.raises(substring_dedup.HashCollision):
+            substring_dedup._confirm(group, iter([wrong]))
+
+
 def test_substring_dedup_defined_cases(spark):
     text = " ".join(f"v{i}" for i in range(20))
     rows = [(5, text, "a", None), (5, text, "b", None), (None, text, "c", 1), (6, text + " end", None, 2)]

@@ -35,12 +35,21 @@ def test_phrases_stay_in_their_text(texts, k):
     assert len(set(hashes.tolist())) == len(set(want))
 
 
-def test_hashes_do_not_depend_on_blocks(monkeypatch):
-    texts = pa.array(["some words " * 50, None, "x" * 100, "é " * 30])
-    whole = textwords.split_words(texts).hashes()
-    monkeypatch.setattr(textwords, "_BLOCK", 16)
-    assert (textwords.split_words(texts).hashes() == whole).all()
-    assert (textwords.split_words(texts.slice(2)).hashes() == whole[-31:]).all()
+def test_hashes_do_not_depend_on_the_place():
+    said = ["", "a", "abcdefgh", "abcdefghi", "é" * 32, "x" * 64, "x" * 65, "x" * 100, "\0", "\0" * 8, "\0" * 9, "y" * 5000]
+    texts = pa.array([" ".join(said), None, " ".join(reversed(said)), *said])
+    found = textwords.split_words(texts)
+    raw, h = found.data.tobytes(), found.hashes().tolist()
+    every = [raw[a:b] for a, b in zip(found.starts, found.ends, strict=True)]
+    assert len(set(zip(every, h, strict=True))) == len(set(every)) == len(set(h)) == len(said) - 1
+    assert (textwords.split_words(texts.slice(2)).hashes() == h[len(said) - 1 :]).all()
+
+
+def test_hashes_are_not_linear():
+    a, b = "a", "b"
+    for _ in range(11):  # words on which polynomial hashes modulo 2**64 agree
+        a, b = a + b, b + a
+        assert len(set(textwords.split_words(pa.array([a, b])).hashes().tolist())) == 2
 
 
 def test_shingle_sets():
