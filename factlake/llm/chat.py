@@ -49,7 +49,9 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 def linear_tree(messages: DataFrame) -> DataFrame:
     """Conversations without branches as trees: each message replies to the one before.
 
-    Messages are ordered by turn, nulls first, then by role and text; all score 0.
+    Messages are ordered by turn, nulls first, then by role and text; all score 0. Null conversation
+    ids form one conversation, repeated messages stay, an empty table gives an empty result, and other
+    columns are ignored.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     node = F.row_number().over(order).cast("long")
@@ -67,13 +69,15 @@ def best_paths(tree: DataFrame, most: int = 1) -> DataFrame:
     Defined results: a parent that isn't in the tree counts as none; a null score counts as 0;
     messages that reply to themselves, over however many steps, lead to no root and are left out;
     null conversation ids form one tree; of messages with the same id in a tree one is kept, the
-    first in order of role and text; an empty table gives an empty result.
+    first in order of role and text; texts of any length stay whole; an empty table gives an empty
+    result. Other columns are ignored, so their names can't clash.
     """
     first = Window.partitionBy("conv_id", "node").orderBy("parent", "role", "text", "score")
     tree = tree.select("conv_id", "node", "parent", "role", "text", "score").filter("node is not null")
     tree = tree.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     tree = tree.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
-    tree = written(tree.withColumn("tree", F.xxhash64("conv_id", F.col("conv_id").isNull())), "messages")
+    # A struct compares null-safely, so a null id joins with itself.
+    tree = written(tree.withColumn("tree", F.struct("conv_id")), "messages")
     ids = tree.select("tree", F.col("node").alias("up"), F.col("score").alias("s"))
     link = written(
         tree.select("tree", "node", F.col("parent").alias("up")).join(ids, ["tree", "up"]).select("tree", "node", "up", "s"),
@@ -115,7 +119,9 @@ def best_paths(tree: DataFrame, most: int = 1) -> DataFrame:
 def format_paths(paths: DataFrame) -> DataFrame:
     """``(conv_id, path, formatted, loss)``; ``loss`` has the (start, length) of assistant texts.
 
-    Offsets count code points. Null roles and texts are formatted as empty.
+    Offsets count code points. Null roles and texts are formatted as empty, a text of any length
+    whole; an empty table gives an empty result. A conversation becomes one row, so it is one task's
+    work.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = paths.select("tree", "conv_id", "path", "above", "role", escape_role(role).alias("r"), escape(text).alias("t"))
@@ -144,7 +150,7 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted text and its loss mask say, read back from them."""
+    """What the formatted text and its loss mask say, read back from them: a row for each, repeats kept."""
     rows = formatted.withColumn("turns", read_turns(F.col("formatted")))
     rows = rows.withColumn(
         "learnt",

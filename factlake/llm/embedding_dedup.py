@@ -1,23 +1,28 @@
 """Embedding near-dedup by an epsilon grid order join.
 
 Unit vectors have a cosine of at least t exactly if their distance is at most sqrt(2 - 2t), the
-epsilon. Projections on the leading principal directions never lengthen a distance, so vectors are
-sorted by the grid cells, of side epsilon, that their projections fall into (Boehm et al., 2001).
-The sequence is cut into blocks; two intervals of the sequence are joined recursively, and skipped
-where the boxes around their projections lie further apart than epsilon. Blocks that remain meet in
-one task a pair, which goes on with the recursion and multiplies what is left in double precision.
-
-The principal directions and the places of the cuts come from a bounded sample; they decide how
-much is skipped, never what is found.
+epsilon. Projections on the leading principal directions, with the length of what they leave out as
+one more coordinate, never lengthen a distance, so vectors are sorted by the grid cells, of side
+epsilon, that these coordinates fall into (Boehm et al., 2001). The sequence is cut into blocks. Each
+vector descends the intervals of the sequence, skips those whose box lies further from it than
+epsilon, and visits the later blocks that remain, so every pair within epsilon meets in one block.
+Tasks join parts of bounded size of a block and its visitors, and go on with the recursion over
+intervals; what is left is tested by the coordinates and then multiplied in double precision.
+
+The directions and the places of the cuts come from a bounded sample; they decide how much is
+skipped, never what is found.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +30,13 @@ from factlake.llm.textwords import U, mix
 from factlake.plans.components import connected_components
 from factlake.storage import written
 
-#: Vectors of the sample, leading directions, vectors a block should have, and most blocks: beyond
-#: that many, blocks get larger, and the recursion inside a task divides them.
-SAMPLE, DIRECTIONS, BLOCK, MOST_BLOCKS, LEAF = 8192, 8, 4096, 4096, 256
+#: Vectors of the sample, leading directions, vectors of a block and of a side of a task, and vectors
+#: compared at once.
+SAMPLE, DIRECTIONS, BLOCK, LEAF = 8192, 16, 8192, 256
+#: Blocks whose boxes the driver and each task hold, 272 bytes each. Beyond that many, blocks get
+#: larger, tasks don't.
+MOST_BLOCKS = 1 << 16
+_SIDES = "dim long, block long, i long, j long, row boolean, home boolean, rep long, n long, unit binary"
 
 
 def embedding_links(
@@ -42,74 +51,75 @@ def embedding_links(
     Defined results: a vector that is null, empty or zero, or holds a null or non-finite component,
     and a row with a null id, links with nothing and is its own component (null for a null id) and
     kept; vectors of different lengths don't link; repeated rows are separate vectors; an empty
-    table gives an empty result. Other columns, labels among them, are ignored.
+    table gives an empty result. Other columns, labels among them, are ignored, so their names can't
+    clash.
     """
-    vec = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    sound = vec.isNotNull() & F.col("id").isNotNull() & F.forall(
-        vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)
-    ) & F.exists(vec, lambda x: x != 0)
-    rows = rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), vec))
-    classes = rows.filter("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = source.mapInArrow(_keyed, "id long, key binary, unit binary")
+    classes = rows.filter("key is not null and id is not null").groupBy("key").agg(
+        F.min("id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit")
+    )
     classes = written(classes, "vectors")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, part in _by_length(batch):
-                unit = _units(part.column("v"), dim)
-                block, box = grid.place(unit, part.column("rep").to_numpy())
-                flat = pa.array(box.reshape(-1))
-                boxes = pa.ListArray.from_arrays(pa.array(np.arange(len(box) + 1) * box.shape[1], pa.int32()), flat)
+                block, at = grid.place(_matrix(part.column("unit"), dim), part.column("rep").to_numpy())
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(at) + 1) * at.shape[1], pa.int32()), pa.array(at.reshape(-1))
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(unit), dim)), pa.array(block), part.column("rep"), part.column("n"),
-                     pa.array([u.tobytes() for u in unit], pa.binary()), boxes],
+                    [pa.array(np.full(len(at), dim)), pa.array(block), *(part.column(c) for c in ("rep", "n", "unit")), lists],
                     ["dim", "block", "rep", "n", "unit", "at"],
-                )
+                )
 
     total = classes.count()
-    grid = _Grid(classes, total, math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9)
+    grid = _Grid(classes, total, math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-6) + 1e-6)
     placed = classes.mapInArrow(place, "dim long, block long, rep long, n long, unit binary, at array<double>")
     placed = written(placed, "grid")
-    edge = lambda f: [f(F.get("at", F.lit(j))).alias(f"{f.__name__}{j}") for j in range(DIRECTIONS)]
-    boxes = placed.groupBy("dim", "block").agg(*edge(F.min), *edge(F.max)).orderBy("dim", "block").collect()
+    edge = lambda f: [f(F.get("at", F.lit(j))).alias(f"{f.__name__}{j}") for j in range(DIRECTIONS + 1)]
+    boxes = placed.groupBy("dim", "block").agg(F.count("*").alias("n"), *edge(F.min), *edge(F.max)).orderBy("dim", "block").collect()
     tree = _Tree([tuple(b) for b in boxes], grid.epsilon)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, at, block in _placed(batch):
+                to, n = np.unique(tree.visits(dim, at, block)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), dim)), pa.array(to), pa.array(n)], ["dim", "block", "n"])
+
+    visits = placed.select("dim", "block", "at").mapInArrow(count, "dim long, block long, n long")
+    tree.visitors = {(d, b): n for d, b, n in visits.groupBy("dim", "block").agg(F.sum("n")).collect()}
+    made = sum(tree.visitors.values())
+    logging.getLogger(__name__).info("%d vectors, %d blocks, %d visits of %d", total, len(boxes), made, tree.possible())
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = list(zip(batch.column("dim").to_pylist(), batch.column("block").to_pylist(), strict=True))
-            near = [tree.near(k) for k in key]
-            take = np.repeat(np.arange(len(key)), [len(x) for x in near])
-            me = np.array([k[1] for k in key], np.int64)[take]
-            other = np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64)
-            for i in range(0, len(take), 8192):
-                s = slice(i, i + 8192)
-                part = batch.take(pa.array(take[s]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("dim"), pa.array(np.minimum(me[s], other[s])), pa.array(np.maximum(me[s], other[s])),
-                     part.column("block"), part.column("rep"), part.column("n"), part.column("unit")],
-                    ["dim", "lo", "hi", "block", "rep", "n", "unit"],
-                )
+            reps = batch.column("rep").to_numpy()
+            for dim, take, sides in tree.sides(batch, reps):
+                for i in range(0, len(take), 8192):
+                    part = batch.take(pa.array(take[i : i + 8192]))
+                    made = [pa.array(x[i : i + 8192]) for x in sides]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(part.num_rows, dim)), *made, *(part.column(c) for c in ("rep", "n", "unit"))],
+                        ["dim", "block", "i", "j", "row", "home", "rep", "n", "unit"],
+                    )
 
     def join(table: pa.Table) -> pa.Table:
-        rep, n, block = (table.column(c).to_numpy() for c in ("rep", "n", "block"))
-        unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)
-        side = block == table.column("lo")[0].as_py()
-        same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
-        links, root = grid.join(unit, n, side, same, threshold)
-        hit = np.flatnonzero(links)
-        return pa.table({"rep": rep[hit], "root": rep[root[hit]], "links": links[hit]})
-
-    sides = placed.select("dim", "block", "rep", "n", "unit").mapInArrow(
-        spread, "dim long, lo long, hi long, block long, rep long, n long, unit binary"
-    )
-    found = sides.groupBy("dim", "lo", "hi").applyInArrow(join, "rep long, root long, links long")
-    found = written(found, "links")
+        dim = table.column("dim")[0].as_py()
+        rep, n = (table.column(c).to_numpy() for c in ("rep", "n"))
+        row, home = (table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "home"))
+        unit = _matrix(table.column("unit"), dim)
+        return pa.table(dict(zip(("rep", "root", "links"), grid.join(unit, rep, n, row, home, threshold), strict=True)))
+
+    dealt = placed.mapInArrow(spread, _SIDES).groupBy("dim", "block", "i", "j")
+    found = written(dealt.applyInArrow(join, "rep long, root long, links long"), "links")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
-    done = classes.join(sums, "rep", "left").join(labels, "rep", "left").select(
-        F.col("v").alias("cv"), "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("c")
+    done = classes.drop("unit").join(sums, "rep", "left").join(labels, "rep", "left").select(
+        "key", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("c")
     )
-    out = rows.join(done, F.col("v") == F.col("cv"), "left")
+    mine = rows.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
+    out = mine.join(done, "key", "left")
     component = F.coalesce("c", "id")
     return out.select(
         F.col("id").alias(id_col),
@@ -119,17 +129,43 @@ def embedding_links(
     )
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's id, a 128-bit digest of its vector, and the vector at length 1; null where it can't link."""
+    for batch in batches:
+        v = batch.column("v")
+        sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy()
+        keys: list[bytes | None] = [None] * len(sizes)
+        units: list[bytes | None] = [None] * len(sizes)
+        for dim in np.unique(sizes[sizes > 0]):
+            of = np.flatnonzero(sizes == dim)
+            m = pc.fill_null(v.take(pa.array(of)).flatten(), math.nan).to_numpy(zero_copy_only=False).reshape(-1, dim) + 0.0
+            good = np.isfinite(m).all(1) & (m != 0).any(1)
+            of, m = of[good], m[good]
+            u = m / np.abs(m).max(1, keepdims=True)  # scaled first, so that no square overflows or vanishes
+            u /= np.sqrt((u * u).sum(1, keepdims=True))
+            for i, x, y in zip(of, m, u, strict=True):
+                keys[i], units[i] = blake2b(x.tobytes(), digest_size=16).digest(), y.tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["id", "key", "unit"]
+        )
+
+
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    sizes = np.diff(np.asarray(batch.column("v").offsets)) if batch.num_rows else np.zeros(0)
+    sizes = pc.binary_length(batch.column("unit")).to_numpy() // 8 if batch.num_rows else np.zeros(0, int)
     for dim in np.unique(sizes):
         yield int(dim), batch.take(pa.array(np.flatnonzero(sizes == dim)))
 
 
-def _units(column: pa.Array, dim: int) -> np.ndarray:
-    """Vectors of length 1; scaled first, so that no square overflows or vanishes."""
-    v = np.asarray(column.flatten(), np.float64).reshape(-1, dim)
-    v = v / np.abs(v).max(1, keepdims=True)
-    return v / np.sqrt((v * v).sum(1, keepdims=True))
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+
+
+def _placed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length in a batch: the coordinates and blocks of its vectors."""
+    dims = batch.column("dim").to_numpy()
+    at = np.asarray(batch.column("at").flatten()).reshape(len(dims), DIRECTIONS + 1) if len(dims) else np.zeros((0, DIRECTIONS + 1))
+    for dim in np.unique(dims):
+        yield int(dim), at[dims == dim], batch.column("block").to_numpy()[dims == dim]
 
 
 class _Grid:
@@ -138,18 +174,25 @@ class _Grid:
     def __init__(self, classes: DataFrame, total: int, epsilon: float):
         self.epsilon = epsilon
         self.blocks = max(1, min(MOST_BLOCKS, -(-total // BLOCK)))
-        chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
+        chosen = classes.select("rep", "unit").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
         self.axes: dict[int, np.ndarray] = {}
         self.cuts: dict[int, np.ndarray] = {}
         for dim, part in _by_length(chosen.combine_chunks().to_batches()[0]) if chosen.num_rows else ():
-            unit = _units(part.column("v"), dim)
+            unit = _matrix(part.column("unit"), dim)
             centred = unit - unit.mean(0)
             _, axes = np.linalg.eigh(centred.T @ centred)
             self.axes[dim] = axes[:, ::-1][:, :DIRECTIONS].copy()
-            key = np.sort(self.keys(unit @ self.axes[dim], part.column("rep").to_numpy()))
+            key = np.sort(self.keys(self.coordinates(unit), part.column("rep").to_numpy()))
             want = max(1, round(self.blocks * len(key) / chosen.num_rows))
             self.cuts[dim] = key[(np.arange(1, want) * len(key)) // want]
 
+    def coordinates(self, unit: np.ndarray) -> np.ndarray:
+        """Projections, filled up with zeros, and the length of what they leave out."""
+        dim = unit.shape[1]
+        at = unit @ self.axes.get(dim, np.eye(dim)[:, :DIRECTIONS])
+        rest = np.sqrt(np.maximum(0, 1 - (at * at).sum(1)))
+        return np.concatenate([at, np.zeros((len(at), DIRECTIONS - at.shape[1])), rest[:, None]], 1)
+
     def keys(self, at: np.ndarray, rep: np.ndarray) -> np.ndarray:
         """Grid order as comparable bytes: the cells, most important first, then a hash of the id."""
         cells = np.clip(np.floor(at / self.epsilon), -(1 << 30), 1 << 30).astype(np.int64) + (1 << 31)
@@ -158,31 +201,31 @@ class _Grid:
         return np.ascontiguousarray(full).view(f"S{full.shape[1]}").reshape(-1)
 
     def place(self, unit: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The block of each vector, and its projections, filled up with zeros."""
-        dim = unit.shape[1]
-        axes = self.axes.get(dim, np.eye(dim)[:, :DIRECTIONS])
-        at = unit @ axes
-        cuts = self.cuts.get(dim, np.zeros(0, f"S{4 * at.shape[1] + 8}"))
-        block = np.searchsorted(cuts, self.keys(at, rep), "right")
-        return block.astype(np.int64), np.pad(at, ((0, 0), (0, DIRECTIONS - at.shape[1])))
-
-    def join(self, unit, n, side, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Weighted numbers of links, and a root in each component, over the pairs of one task."""
-        dim = unit.shape[1]
-        at = unit @ self.axes.get(dim, np.eye(dim)[:, :DIRECTIONS])
-        cells = np.floor(at / self.epsilon)
-        order = np.lexsort((*cells.T[::-1], ~side))
-        a = order[: int(side.sum())]
-        b = a if same else order[int(side.sum()) :]
+        """The block of each vector, and its coordinates."""
+        at = self.coordinates(unit)
+        keys = self.keys(at, rep)
+        cuts = self.cuts.get(unit.shape[1], np.zeros(0, keys.dtype))
+        return np.searchsorted(cuts, keys, "right").astype(np.int64), at
+
+    def join(
+        self, unit: np.ndarray, rep: np.ndarray, n: np.ndarray, row: np.ndarray, home: np.ndarray, threshold: float
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors with links, one of their component each, and the weighted numbers of links.
+
+        Rows meet the others. A vector of the block may be both, and a pair of two of them occurs both
+        ways round and counts once.
+        """
+        at = self.coordinates(unit)
+        order = np.lexsort((*np.floor(at / self.epsilon).T[::-1], ~row))
+        a, b = order[: int(row.sum())], order[int(row.sum()) :]
         boxes_a, boxes_b = _leaves(at, a), _leaves(at, b)
-        links = np.zeros(len(unit), np.int64)
-        parent = np.arange(len(unit))
+        names, node = np.unique(rep, return_inverse=True)
+        links = np.zeros(len(names), np.int64)
+        parent = np.arange(len(names))
         todo = [(0, len(boxes_a), 0, len(boxes_b))]
         while todo:
             i, j, k, m = todo.pop()
-            if i >= j or k >= m:
-                continue
-            if _apart(boxes_a[i:j], boxes_b[k:m]) > self.epsilon:
+            if i >= j or k >= m or _apart(boxes_a[i:j], boxes_b[k:m]) > self.epsilon:
                 continue
             if j - i > 1 or m - k > 1:
                 if j - i >= m - k:
@@ -192,19 +235,21 @@ class _Grid:
                     h = (k + m) // 2
                     todo += [(i, j, k, h), (i, j, h, m)]
                 continue
-            if same and k < i:
-                continue
             x, y = a[i * LEAF : (i + 1) * LEAF], b[k * LEAF : (k + 1) * LEAF]
-            hit = unit[x] @ unit[y].T >= threshold
-            if same and i == k:
-                np.fill_diagonal(hit, False)
-            if not hit.any():
-                continue
-            links[x] += hit @ n[y]
-            if not (same and i == k):
-                links[y] += hit.T @ n[x]
-            _unite(parent, x, y, hit)
-        return links, _roots(parent, np.arange(len(unit)))
+            # The coordinates bound the cosine from above, since the rests have at most their lengths' product.
+            may = (at[x] @ at[y].T >= threshold - 1e-6) & (~home[y][None, :] | (rep[x][:, None] < rep[y][None, :]))
+            if 8 * np.count_nonzero(may) > may.size:
+                hit = may & (unit[x] @ unit[y].T >= threshold)
+            else:
+                p, q = np.nonzero(may)
+                hit = np.zeros_like(may)
+                hit[p, q] = (unit[x[p]] * unit[y[q]]).sum(1) >= threshold
+            if hit.any():
+                links[node[x]] += hit @ n[y]
+                links[node[y]] += hit.T @ n[x]
+                _unite(parent, node[x], node[y], hit)
+        some = np.flatnonzero(links)
+        return names[some], names[_roots(parent, some)], links[some]
 
 
 def _leaves(at: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -251,28 +296,68 @@ class _Tree:
     def __init__(self, boxes: list[tuple], epsilon: float):
         self.epsilon = epsilon
         self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.size = {(b[0], b[1]): b[2] for b in boxes}
+        self.visitors: dict[tuple[int, int], int] = {}
         for dim in {b[0] for b in boxes}:
             mine = [b for b in boxes if b[0] == dim]
-            at = np.array([b[2:] for b in mine], float).reshape(len(mine), 2, DIRECTIONS)
+            at = np.array([b[3:] for b in mine], float).reshape(len(mine), 2, DIRECTIONS + 1)
             self.of[dim] = (np.array([b[1] for b in mine], np.int64), at)
-        self.known: dict[tuple, np.ndarray] = {}
-
-    def near(self, key: tuple[int, int]) -> np.ndarray:
-        """The blocks that may hold a vector within epsilon of one in this block."""
-        if key not in self.known:
-            names, at = self.of[key[0]]
-            me = at[np.searchsorted(names, key[1])][None]
-            out, todo = [], [(0, len(names))]
-            while todo:
-                i, j = todo.pop()
-                if _apart(me, at[i:j]) > self.epsilon:
-                    continue
-                if j - i == 1:
-                    out.append(names[i])
-                else:
-                    todo += [(i, (i + j) // 2), ((i + j) // 2, j)]
-            self.known[key] = np.array(sorted(out), np.int64)
-        return self.known[key]
+
+    def possible(self) -> int:
+        """Visits if no block were skipped: each vector's to all later blocks."""
+        later = {d: sorted((b, n) for (e, b), n in self.size.items() if e == d) for d in self.of}
+        return sum(n * (len(x) - 1 - i) for x in later.values() for i, (_, n) in enumerate(x))
+
+    def visits(self, dim: int, at: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which vectors may have one within epsilon in which later blocks."""
+        names, boxes = self.of[dim]
+        who, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(0, len(names), np.arange(len(at)))]
+        while todo:
+            i, j, some = todo.pop()
+            some = some[block[some] < names[j - 1]]
+            low, high = boxes[i:j, 0].min(0), boxes[i:j, 1].max(0)
+            gap = np.maximum(np.maximum(low - at[some], at[some] - high), 0)
+            some = some[(gap * gap).sum(1) <= self.epsilon * self.epsilon]
+            if not len(some):
+                continue
+            if j - i == 1:
+                who.append(some)
+                to.append(np.full(len(some), names[i]))
+            else:
+                todo += [(i, (i + j) // 2, some), ((i + j) // 2, j, some)]
+        return np.concatenate(who), np.concatenate(to)
+
+    def sides(self, batch: pa.RecordBatch, reps: np.ndarray) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
+        """For each length: the rows of the batch to send, and (block, i, j, row, home) of each.
+
+        A block of H vectors with V visitors has H / BLOCK parts of rows and (H + V) / BLOCK parts of
+        others, and a task for each pair of them.
+        """
+        dims = batch.column("dim").to_numpy()
+        for dim, at, block in _placed(batch):
+            rows = np.flatnonzero(dims == dim)
+            who, to = self.visits(dim, at, block)
+            names, _ = self.of[dim]
+            size = np.array([self.size[dim, b] for b in names.tolist()])
+            guests = np.array([self.visitors.get((dim, b), 0) for b in names.tolist()])
+            parts, others = -(-size // BLOCK), -(-(size + guests) // BLOCK)
+            place = mix(reps[rows].astype(U)) >> U(1)
+            own = np.searchsorted(names, block)
+            out = []
+            for side, one, number, home in (
+                (True, np.arange(len(rows)), own, True),
+                (False, np.arange(len(rows)), own, True),
+                (False, who, np.searchsorted(names, to), False),
+            ):
+                fixed, copies = (parts, others) if side else (others, parts)
+                mine = (place[one] % fixed[number].astype(U)).astype(np.int64)
+                take = np.repeat(np.arange(len(one)), copies[number])
+                step = np.arange(len(take)) - np.repeat(np.cumsum(copies[number]) - copies[number], copies[number])
+                i, j = (mine[take], step) if side else (step, mine[take])
+                out.append((rows[one[take]], names[number[take]], i, j, np.full(len(take), side), np.full(len(take), home)))
+            take, *sides = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield dim, take, tuple(sides)
 
 
 LINKS_SQL = """

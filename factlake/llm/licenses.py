@@ -142,8 +142,9 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     winning, and broadcast if they are at most ``MOST_BROADCAST``.
 
     Defined results: a null text has a null digest and no license; a text without letters or digits
-    has the digest of the empty text and no license, even if a known text is empty too; repeated
-    rows stay; an empty table gives an empty result; other columns are ignored.
+    has the digest of the empty text and no license, even if a known text is empty too; a text of any
+    length is read whole; repeated rows stay; an empty table gives an empty result; other columns are
+    ignored, so their names can't clash.
     """
     names = known.select("license", digest(F.col("text")).alias("digest"), canonical(F.col("text")).alias("bare"))
     names = names.filter("bare <> '' and license is not null").groupBy("digest").agg(F.min("license").alias("license"))

@@ -2,9 +2,9 @@
 
 Every source gets a target in words, and its documents, in an order shuffled by the MD5 of their id,
 form a stream that starts again at its end. The stream is cut into blocks of equally many words. The
-mix is a schedule of slots: the fractional part of the slot's number times the golden ratio falls
-into one source's share of the cumulative weights, so any run of slots holds each source in nearly
-its proportion, and the source's k-th slot takes its k-th block: a block is in the mix because a slot
+mix is a schedule of slots: the slot's number times the golden ratio, modulo one and in steps of
+2**-31, falls into one source's share of the cumulative targets, so any run of slots holds each
+source in nearly its proportion, and the source's k-th slot takes its k-th block: a block is in the mix because a slot
 takes it. Only the remainder is settled by count, so that a source ends exactly at its target: slots
 beyond it stay empty, and the few blocks by which the schedule may fall short follow after the last
 slot. More of those than the sequence's discrepancy allows is an error.
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from factlake.storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-_GOLDEN = 0.6180339887498949
+#: The unit interval in whole steps, so that every engine draws the same points, and how many of them
+#: make the golden ratio (an odd number, so that all points differ).
+_UNIT, _GOLDEN = 1 << 31, 1327217885
 #: Cells of the unit interval over which slots meet the sources' shares.
 _CELLS = 4096
 #: Slots that are numbered together.
@@ -57,15 +59,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
 def slot_schedule(targets: DataFrame, slots: int) -> DataFrame:
     """``(s, k, slot)``: each slot's source and its rank among that source's slots."""
     order = Window.orderBy("s")
-    total = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    before = F.coalesce(F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    shares = targets.filter("target > 0").select("s", (before / total).alias("low"))
-    shares = shares.withColumn("high", F.lead("low", 1, 1.0).over(order))
-    cells = F.sequence(F.floor(F.col("low") * _CELLS), F.least(F.floor(F.col("high") * _CELLS), F.lit(_CELLS - 1)))
-    shares = shares.withColumn("cell", F.explode(cells))
-    point = (F.col("id") + 0.5) * _GOLDEN
-    drawn = targets.sparkSession.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u"))
-    drawn = drawn.withColumn("cell", F.floor(F.col("u") * _CELLS))
+    shares = targets.select("s", F.floor("target").alias("quota")).filter("quota > 0")
+    total = F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.coalesce(F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    low = F.floor(before.cast("double") / total.cast("double") * _UNIT)
+    shares = shares.select("s", low.alias("low")).withColumn("high", F.lead("low", 1, _UNIT).over(order)).filter("low < high")
+    width = _UNIT // _CELLS
+    shares = shares.withColumn("cell", F.explode(F.expr(f"sequence(low div {width}, (high - 1) div {width})")))
+    drawn = targets.sparkSession.range(slots).select(F.col("id").alias("slot"), F.expr(f"id % {_UNIT} * {_GOLDEN} % {_UNIT}").alias("u"))
+    drawn = drawn.withColumn("cell", F.expr(f"u div {width}"))
     placed = drawn.join(shares, "cell").filter("u >= low and u < high")
     placed = placed.select("s", "slot", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
     counts = placed.groupBy("s", "chunk").agg(F.count("*").alias("n"))
@@ -114,8 +116,10 @@ def mix_sources(
     the slot that took the block says where in the mix it stands. A source's pieces hold ``floor(target)`` words.
 
     Defined results: null and wordless texts have size 0 and no piece; a null source is a source of
-    its own, last in order; equal rows are separate documents; null ids are ordered first; an empty
-    table gives empty results. Columns not named are ignored unless carried.
+    its own, last in order; equal rows are separate documents; null ids are ordered first; a text of
+    any length is counted whole and falls into as many pieces as blocks; an empty table gives empty
+    results. Columns not named are ignored unless carried, so their names can't clash. One task
+    orders the sources, of which it reads one row each.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(1).alias("none"))
@@ -168,8 +172,11 @@ def mix_sources(
 
 
 def mixed_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Documents with ``taken``: the words that the mix takes of each, repeats counted."""
-    taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
+    """Documents with ``taken``, the words that the mix takes of each, repeats counted, and ``first_slot``.
+
+    ``first_slot`` is the first slot whose block has words of the document; null if none has.
+    """
+    taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
     return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
@@ -192,15 +199,25 @@ targets AS (
 MIX_SQL = (
     "WITH "
     + TARGET_SQL
-    + """,
+    + f""",
+numbered AS (SELECT *, floor(target)::BIGINT AS quota, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM targets),
+shares AS (SELECT s, low, lead(low, 1, {_UNIT}) OVER (ORDER BY s) AS high FROM (
+  SELECT s, floor(coalesce(sum(quota) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE
+    / (sum(quota) OVER ())::DOUBLE * {_UNIT})::BIGINT AS low FROM numbered WHERE quota > 0)),
+slots AS (SELECT slot, s, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS k
+  FROM (SELECT unnest(range((SELECT (sum(size) + 4095) // 4096 FROM sized)::BIGINT)) AS slot)
+  JOIN shares ON slot % {_UNIT} * {_GOLDEN} % {_UNIT} >= low AND slot % {_UNIT} * {_GOLDEN} % {_UNIT} < high),
 placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS quota,
+  SELECT d.doc_id, d.size, t.s, t.source_size, t.target, t.quota, row_number() OVER () AS row,
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS start
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, quota) - start)
-   + greatest(0, least(start + source_size + size, quota) - start - source_size)
-   + greatest(0, least(start + 2 * source_size + size, quota) - start - 2 * source_size))::BIGINT AS taken
-FROM placed"""
+  FROM sized d JOIN numbered t ON d.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT row, s, start + epoch * source_size AS low, least(start + epoch * source_size + size, quota) AS high
+  FROM placed, (SELECT unnest([0, 1, 2]) AS epoch) WHERE size > 0 AND start + epoch * source_size < quota),
+pieces AS (SELECT row, s, low, high, unnest(range(low // 4096, (high - 1) // 4096 + 1)) AS k FROM copies),
+taken AS (
+  SELECT row, sum(least(high, (k + 1) * 4096) - greatest(low, k * 4096))::BIGINT AS taken,
+    min(coalesce(slot, (SELECT (sum(size) + 4095) // 4096 FROM sized)::BIGINT + k)) AS first_slot
+  FROM pieces LEFT JOIN slots USING (s, k) GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM placed LEFT JOIN taken USING (row)"""
 )

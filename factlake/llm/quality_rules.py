@@ -61,6 +61,9 @@ class Settings:
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and features of each whole text; null counts as empty.
 
+    Repeated rows and null ids stay, texts of any length are read whole, an empty table gives an empty
+    result, and columns other than the two are ignored, so their names can't clash.
+
     ``n_repeat_words`` counts the words inside three-word windows that occur twice or more in the
     text. Windows are compared by a 64-bit hash, sorted with their position, so the work is in
     proportion to n log n whatever the number of repeats.

@@ -67,7 +67,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, pieces = mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixing.mixed_words(documents, pieces).select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot"
     )
 
 

@@ -71,8 +71,8 @@ class Vocabulary:
         self.log_weight = -np.log(rank + 1)
         joined = b"".join(self.bytes[i] for i in pieces)
         ends = np.cumsum([len(self.bytes[i]) for i in pieces])
-        words = Words(np.frombuffer(joined, np.uint8), np.r_[0, ends[:-1]], ends, np.array([0, len(pieces)]))
-        self.hash = np.append(words.hashes(), U(0))
+        starts = np.r_[0, ends[:-1]]
+        self.hash = np.append(_Substrings(np.frombuffer(joined, np.uint8)).of(starts, ends - starts), U(0))
         self.ids = np.append(np.array(pieces, np.int32), np.int32(-1))
         # A slot names its piece, none (``none``), or that several share it (``none + 1``).
         none = len(pieces)
@@ -209,18 +209,34 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
 
 
 class _Substrings:
-    """Hashes of substrings of one byte array, equal to those of whole words."""
+    """Hashes of substrings of one byte array, which every array makes alike.
 
-    def __init__(self, data: np.ndarray):
-        from factlake.llm import textwords as t
+    Polynomials modulo 2**64 take constant time a substring. Pieces are short, so no two of them
+    cancel by their structure, as words of 1,024 letters and more can.
+    """
 
+    def __init__(self, data: np.ndarray):
         self.total = np.empty(len(data) + 1, U)
         self.total[0] = 0
-        np.cumsum(t._BYTES[data] * t._powers(t._BASE, len(data))[: len(data)], dtype=U, out=self.total[1:])
-        self.back = t._powers(t._INVERSE, len(data))
+        np.cumsum(_BYTES[data] * _powers(_GOLD, len(data))[: len(data)], dtype=U, out=self.total[1:])
+        self.back = _powers(_INVERSE, len(data))
+
+    def of(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        return mix((self.total[at + length] - self.total[at]) * self.back[at] + np.asarray(length).astype(U))
+
 
-    def of(self, at: np.ndarray, length: int) -> np.ndarray:
-        return mix((self.total[at + length] - self.total[at]) * self.back[at] + U(length))
+_BYTES = mix(np.arange(1, 257, dtype=U) * U(_GOLD))
+_INVERSE = pow(_GOLD, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64; at least n of them."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(max(n, 1 << 16), base, U)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out, dtype=U)
+    return _POWERS[base]
 
 
 def segments(texts: pa.Array) -> tuple[pa.Array, Words]:
@@ -400,7 +416,8 @@ def sample_encode(
 
     Defined results: null and empty texts have one empty segmentation; rows with the same id, null
     included, use the same random numbers, so repeated rows get equal samples; the space mark of the
-    model in a text counts as a space; an empty table gives an empty result; other columns are ignored.
+    model in a text counts as a space; a text of any length is encoded whole, in one task; an empty
+    table gives an empty result; other columns are ignored, so their names can't clash.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -452,14 +469,24 @@ def sample_encode(
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``encoded`` with a column ``text_col``: the text of the pieces; a null list gives a null text."""
+    """``encoded`` with a column ``text_col``: the text of the pieces.
+
+    Defined results: a null list, and one with a null or a number that the model doesn't have, gives
+    a null text; an empty list an empty text; lists of any length are read whole; repeated rows stay;
+    an empty table stays empty; a column of that name is replaced, whatever its case.
+    """
     names = [c for c in encoded.columns if c.lower() != text_col.lower()]
     carried = encoded.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(ids_col).alias("ids"))
 
+    def text(ids: list | None, vocab: Vocabulary) -> str | None:
+        if ids is None or not all(x is not None and 0 <= x < len(vocab.bytes) for x in ids):
+            return None
+        return vocab.decode(np.array(ids, np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path)
         for batch in batches:
-            texts = [None if x is None else vocab.decode(np.array(x, np.int64)) for x in batch.column("ids").to_pylist()]
+            texts = [text(x, vocab) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([loosened(batch.column("row")), pa.array(texts, pa.string())], ["row", "text"])
 
     kind = carried.schema["row"].dataType.simpleString()

@@ -41,7 +41,7 @@ BLOCK_ENTRIES = 1 << 20
 _ENTRIES = "block int, batch long, packed binary"
 #: Phrases with their hash, a second one, and where they stand: in which document, at which word.
 _PHRASE = (("hash", "<u8"), ("check", "<u4"), ("id", "<i8"), ("at", "<i4"))
-_KNOWN = (*_PHRASE, ("batch", "<i8"))
+_KNOWN = (*_PHRASE, ("batch", "<i4"))
 _CHECK = U(0xA24BAED4963EE407)
 _FACTOR = np.dtype([("start", "<i4"), ("length", "<i4"), ("id", "<i8"), ("at", "<i4")])
 _CLAIM = np.dtype([("id", "<i8"), ("at", "<i4"), ("length", "<i4"), ("digest", "V16")])
@@ -105,7 +105,7 @@ def remove_repeated_spans(
         shared[order] = (rank[first] != rank[last - 1])[np.repeat(np.arange(len(first)), last - first)]
         shared |= np.isin(m, _unpacked(right, (("hash", "<u8"),))["hash"])
         some = np.flatnonzero(shared)
-        some = some[_first_of(group.hash[some], group.check[some])[0]]
+        some = some[np.sort(_first_of(group.hash[some], group.check[some])[0])]
         return _rows(group.batch, {k: v[some] for k, v in group.entries().items()}, window_bits)
 
     def factors(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -235,13 +235,14 @@ def _first_of(hash_: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _rows(batch: int | None, values: dict[str, np.ndarray], bits: int) -> pa.Table:
-    """One row for each block that owns some of the phrases, which are in order of hash."""
+    """One row for each block that owns some of the phrases, in the order given, which packs ids well."""
     block = (values["hash"] >> U(64 - bits)).astype(np.int32)
-    first, last = _runs(block)
-    return _packed(block[first], np.full(len(first), batch or 0), [(values, slice(i, j)) for i, j in zip(first, last, strict=True)])
+    order = np.argsort(block, kind="stable")
+    first, last = _runs(block[order])
+    return _packed(block[order[first]], np.full(len(first), batch or 0), [(values, order[i:j]) for i, j in zip(first, last, strict=True)])
 
 
-def _packed(block: np.ndarray, batch: np.ndarray, parts: list[tuple[dict[str, np.ndarray], slice | np.ndarray]]) -> pa.Table:
+def _packed(block: np.ndarray, batch: np.ndarray, parts: list[tuple[dict[str, np.ndarray], np.ndarray]]) -> pa.Table:
     kinds = dict(_KNOWN)
     blobs = [b"".join(v[part].astype(kinds[k]).tobytes() for k, v in values.items()) for values, part in parts]
     return pa.table(
@@ -285,7 +286,8 @@ def _earlier(table: pa.Table) -> pa.Table:
     new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
     source = np.flatnonzero(new)[np.cumsum(new) - 1]
     ids = got["id"][order]
-    hit = ids > ids[source]
+    hit = np.flatnonzero(ids > ids[source])
+    hit = hit[np.lexsort((got["at"][order[source[hit]]], ids[source[hit]]))]
     found = {k: got[k][order[source[hit]]] for k in ("hash", "check", "id", "at", "batch")}
     return _answers(table, found, got["batch"][order[hit]])
 

@@ -164,8 +164,9 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a column ``score_col``: the probability of label 1, from the whole text.
 
-    Defined results: null and empty texts score what the bias gives; repeated rows score alike; an
-    empty table stays empty; a column of that name is replaced, whatever its case.
+    Defined results: null and empty texts score what the bias gives; a text of any length is scored
+    whole, by one task; repeated rows score alike; an empty table stays empty; a column of that name
+    is replaced, whatever its case, and any other names may occur.
     """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)

@@ -74,24 +74,29 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str, time_
     counts once for each time. A list of at most ``MOST_BROADCAST`` intervals is broadcast, a longer
     one is shuffled by key.
 
-    Defined results: a null or unparsable URL, or a null time, matches nothing and isn't blocked;
-    repeated captures stay; an empty list blocks nothing; columns named like the four results are
-    replaced.
+    Defined results: a null or unparsable URL, or a null time, matches nothing and isn't blocked; a
+    URL of any length is read whole; repeated captures stay; an empty list blocks nothing, and an
+    empty table of captures stays empty; columns named like the four results are replaced, and any
+    other names may occur.
     """
     new = {"host", "entry", "action", "blocked"}
-    own = captures.select(*(c for c in captures.columns if c.lower() not in new))
-    own = own.withColumn("host", F.nullif(url_host(F.col(url_col).cast("string")), F.lit("")))
+    names = [c for c in captures.columns if c.lower() not in new]
+    # The row goes along as one struct, so that only columns of this function have names.
+    host = F.nullif(url_host(F.col(f"`{url_col}`").cast("string")), F.lit(""))
+    own = captures.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), host.alias("host"), F.col(f"`{time_col}`").alias("at"))
     spans = validity(entries)
     if spans.count() <= MOST_BROADCAST:
         spans = F.broadcast(spans)
-    asked = own.select("host", F.col(time_col).alias("__at")).filter("host is not null and __at is not null").distinct()
-    asked = asked.withColumn("key", F.explode(host_keys(F.col("host"))))
-    active = asked.join(spans, "key").filter("since <= __at and (until is null or until > __at)")
+    asked = own.select("host", "at").dropna().distinct().withColumn("key", F.explode(host_keys(F.col("host"))))
+    active = asked.join(spans, "key").filter("since <= at and (until is null or until > at)")
     rank = F.struct(F.length("pattern"), F.col("kind") == "host", "pattern", "action")
-    best = active.groupBy(F.col("host").alias("__host"), "__at").agg(F.max(rank).alias("_best"))
-    best = best.select("__host", "__at", F.col("_best.pattern").alias("entry"), F.col("_best.action").alias("action"))
-    out = own.join(best, (F.col("host") == F.col("__host")) & (F.col(time_col) == F.col("__at")), "left")
-    return out.drop("__host", "__at").withColumn("blocked", F.coalesce(F.col("action") == "block", F.lit(False)))
+    best = active.groupBy("host", "at").agg(F.max(rank).alias("best"))
+    best = best.select("host", "at", F.col("best.pattern").alias("entry"), F.col("best.action").alias("action"))
+    out = own.join(best, ["host", "at"], "left")
+    return out.select(
+        *(F.col(f"row.`{c}`").alias(c) for c in names), "host", "entry", "action",
+        F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"),
+    )
 
 
 FILTER_SQL = f"""

@@ -254,9 +254,26 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     assert out == _links(rows)
 
 
+@pytest.mark.parametrize(("block", "most"), [(16, 1 << 16), (16, 3)])
+def test_far_blocks_are_skipped(spark, monkeypatch, caplog, block, most):
+    """Clusters in 64 dimensions: exact, few visits, and tasks of bounded size where blocks are few."""
+    from factlake.llm import embedding_dedup
+
+    for name, value in (("BLOCK", block), ("LEAF", 8), ("MOST_BLOCKS", most)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(12, 64))
+    rows = [(i, [float(x) for x in centres[i % 12] + r.normal(size=64) * r.choice([0.02, 0.15])]) for i in range(360)]
+    with caplog.at_level("INFO", logger="factlake.llm.embedding_dedup"):
+        got = embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in got) == _links(rows)
+    _, blocks, made, possible = caplog.records[-1].args
+    assert blocks <= most and 4 * made < possible
+
+
 def test_embedding_links_defined_cases(spark):
-    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (None, [1.0, 0.0], None), (3, [0.0, 1.0], None)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep string")
+    rows = [(1, [1.0, 0.0], "a", 1, None, 0), (1, [1.0, 0.0], "b", 1, None, 0), (None, [1.0, 0.0], None, 1, None, 0), (3, [0.0, 1.0], None, 1, None, 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep string, key int, unit binary, block int")
     out = sorted(((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in embedding_links(frame).collect()), key=str)
     assert out == sorted([(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, True), (3, 0, 3, True)], key=str)
     assert embedding_links(frame.limit(0)).count() == 0

@@ -105,6 +105,19 @@ def test_round_trips_and_defined_cases(spark):
     assert sample_encode(frame.limit(0), MODEL).count() == 0
 
 
+def test_decoding_of_odd_lists(spark):
+    rows = [(1, [], "c"), (2, None, "c"), (3, [300, None], None), (4, [10**9], None), (5, [-1], None), (6, [300], None), (6, [300], None)]
+    out = decode(spark.createDataFrame(rows, "id int, ids array<int>, Text string"), MODEL).collect()
+    piece = vocabulary(MODEL).decode(np.array([300]))
+    assert [r["text"] for r in out] == ["", None, None, None, None, piece, piece] and out[0].asDict().keys() == {"id", "ids", "text"}
+
+
+def test_a_very_long_text_is_sampled_whole(spark):
+    text = " ".join(f"word{i % 701}" for i in range(40_000))
+    rows = sample_encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), MODEL).collect()
+    assert len(rows) == 2 and all(r["round_trip"] and r["n_pieces"] > 40_000 for r in rows)
+
+
 def test_batches_of_empty_texts():
     vocab = vocabulary(MODEL)
     for texts in ([], [None], ["", None, ""]):
@@ -213,6 +226,16 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(together, [toxicity.score_texts(pa.array([t], pa.string()), model)[0] for t in texts])
 
 
+def test_a_very_long_text_is_scored_whole(spark):
+    settings = toxicity.Settings(l1=0.1)
+    grams = lambda t: np.unique(np.concatenate([i for i, _ in toxicity.features(pa.array([t]), settings)]))
+    model = toxicity.train([(grams("vile"), 1), (grams("fine"), 0)] * 20, settings)
+    long = "fine " * 300_000
+    docs = spark.createDataFrame([(1, long), (2, long + "vile"), (3, "fine"), (4, "fine vile")], "doc_id long, text string")
+    by = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert by[1] < by[2] and by[3] < by[4]
+
+
 # --- Mixing
 
 
@@ -280,6 +303,12 @@ def test_the_mix_stage_keeps_the_order(spark):
     assert len(out) > 290
 
 
+def test_a_very_long_text_is_mixed_whole(spark):
+    rows = [(1, "w " * 150_000, "a"), (2, "w " * 50, "b")]
+    out, pieces = _mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {x["id"]: x["size"] for x in out} == {1: 150_000, 2: 50} and max(p["first_word"] for p in pieces) > 140_000
+
+
 def test_mixing_of_an_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, source string")
     assert _mixed(frame) == ([], [])

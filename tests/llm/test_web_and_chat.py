@@ -68,6 +68,18 @@ def test_empty_lists_and_captures(spark):
     assert _filtered(spark, [], ENTRIES) == []
 
 
+def test_any_names_and_long_urls(spark):
+    url = "http://bad.org/" + "x" * 500_000
+    names = ("__host", "__at", "at", "row", "key", "a.b", "host", "Entry")
+    rows = [(1, url, DAY(2024, 3, 5), *"abcdefgh"), (2, url, None, *"abcdefgh"), (3, None, DAY(2024, 3, 5), *[None] * 8)]
+    c = spark.createDataFrame(rows, ["id", "link", "when", *names])
+    e = spark.createDataFrame(ENTRIES, "kind string, pattern string, action string, day date")
+    out = urls.filter_captures(c, e, "link", "when")
+    assert out.columns == ["id", "link", "when", "__host", "__at", "at", "row", "key", "a.b", "host", "entry", "action", "blocked"]
+    got = sorted((r["id"], r["__host"], r["a.b"], r["link"] == url, r["blocked"]) for r in out.collect())
+    assert got == [(1, "a", "f", True, True), (2, "a", "f", True, False), (3, None, None, False, False)]
+
+
 # --- Licenses
 
 
@@ -118,6 +130,12 @@ def test_common_licenses_with_their_headings(spark):
     assert len(whole) == 6 and [found[i] for i in range(len(texts))] == [n for n, _ in texts]
 
 
+def test_a_license_in_a_very_long_text(spark):
+    mit = dict(licenses.TEXTS)["MIT"]
+    docs = spark.createDataFrame([(1, mit + " ," * 300_000, "c"), (2, mit + " word" * 100_000, "c")], "doc_id long, text string, license string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(docs, licenses.known_texts(spark)).collect()} == {1: "MIT", 2: None}
+
+
 def test_license_tables_may_be_empty_or_repeat(spark):
     docs = spark.createDataFrame([(1, "A b"), (None, "A b")], "doc_id long, text string")
     known = spark.createDataFrame([("z", "a B!"), ("y", "a-b"), (None, "a b"), ("e", " "), ("n", None)], "license string, text string")
