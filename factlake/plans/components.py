@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.storage import written
+from factlake.storage import discard, written
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -27,8 +27,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(low.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), "edges")
+        last, e = e, written(low.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), "edges")
         state, before = _fingerprint(e), state
+        discard(last)
         if state == before:
             labels = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -1,11 +1,12 @@
 """Tables and checkpoints in the folder that driver and executors share.
 
-The cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is missing, as in
-tests on one machine, a temporary folder takes its place.
+The cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is missing and all
+of Spark runs in one process, as in tests, a temporary folder takes its place.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables; sets a local one only where the session names none."""
+    """Folder for intermediate tables; sets a local one only for a local master that names none."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="factlake-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -28,13 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a re-computation. The files go when the
-    application's file system closes.
+    Cuts the lineage: a lost executor costs a re-read, not a re-computation. The files go by
+    ``discard``, or when the application's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``written`` returned and no later plan reads."""
+    files, target = _file_system(table.sparkSession, table._written_to)
+    files.delete(target, True)
+    files.cancelDeleteOnExit(target)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
