@@ -53,3 +53,9 @@ def same_file(path: Column, other: Column) -> Column:
 
 def preview(text: Column, most: int = 100) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+
+
+def version_in_path(path: Column) -> Column:
+    """The last segment of a path that looks like a version, else Unknown."""
+    hits = F.filter(F.split(path, r"[/\\\\]"), lambda x: x.rlike(r"^[0-9]+(\.[0-9A-Za-z-]+)+$"))
+    return F.coalesce(F.element_at(F.when(F.size(hits) > 0, hits), -1), F.lit("Unknown"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,30 @@ def hit_rate(accesses: DataFrame, key: str, ts: str) -> DataFrame:
     return out.withColumn("rate", F.col("hits") / (F.col("hits") + F.col("misses")))
 
 
+def summary(hits: DataFrame, key: str) -> DataFrame:
+    """One row over all accesses with ``hit``: keys, hits, misses and rate, 0 without accesses."""
+    out = hits.agg(F.countDistinct(key).alias("keys"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return out.withColumn("rate", F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)))
+
+
+def expired(accesses: DataFrame, key: str, ts: str, seconds: float, now) -> DataFrame:
+    """``(key, last)`` of the keys that a sweep at ``now`` takes out: last used more than ``seconds`` before."""
+    last = accesses.groupBy(key).agg(F.max(ts).alias("last"))
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))
+    return last.filter(age > int(seconds * 1e6))
+
+
+def oldest(entries: DataFrame, group: str, ts: str, tie: str) -> DataFrame:
+    """``(group, oldest, since)``: the entry of each group that goes first, the one of the earliest time."""
+    return entries.groupBy(group).agg(F.min_by(tie, F.struct(ts, tie)).alias("oldest"), F.min(ts).alias("since"))
+
+
+def pressure(used: Column, most: Column, warning: float = 0.85, critical: float = 0.9) -> Column:
+    """What the share of memory in use calls for: normal, warning or critical."""
+    share = used / most
+    return F.when(share >= critical, "critical").when(share >= warning, "warning").otherwise("normal")
+
+
 def lru_hits(accesses: DataFrame, key: str, order: str, capacity: int, keys: list[str]) -> DataFrame:
     """``accesses`` with ``hit``: fewer than ``capacity`` other keys were used since this key's last use.
 
@@ -37,8 +61,15 @@ def lru_hits(accesses: DataFrame, key: str, order: str, capacity: int, keys: lis
     rows = accesses.withColumn("_chunk", chunk)
     last = [F.max(F.when(F.col(key) == k, F.col(order))).alias(f"_c{i}") for i, k in enumerate(keys)]
     carried = rows.groupBy("_chunk").agg(*last)
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select("_chunk", *[F.max(f"_c{i}").over(before).alias(f"_c{i}") for i in range(len(keys))])
+    # Two levels: what the runs of 4096 chunks before bring, and the chunks before in the same run.
+    carried = carried.withColumn("_run", F.floor(F.col("_chunk") / 4096))
+    runs = carried.groupBy("_run").agg(*[F.max(f"_c{i}").alias(f"_c{i}") for i in range(len(keys))])
+    earlier = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_run", *[F.max(f"_c{i}").over(earlier).alias(f"_r{i}") for i in range(len(keys))])
+    before = Window.partitionBy("_run").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.join(runs, "_run").select(
+        "_chunk", *[F.coalesce(F.max(f"_c{i}").over(before), F.col(f"_r{i}")).alias(f"_c{i}") for i in range(len(keys))]
+    )
     inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(carried, "_chunk")
     seen = [
@@ -70,23 +101,30 @@ def lru_hits_any(accesses: DataFrame, key: str, order: str, capacity: int) -> Da
     code = F.when(F.col("key").isNotNull(), F.to_json(F.struct("key")))
     rows = rows.select("chunk", "at", code.alias("code"), "row")
     last = rows.filter("code is not null").groupBy("chunk", "code").agg(F.max("at").alias("at"))
-    recent = F.row_number().over(Window.partitionBy("chunk").orderBy(F.col("at").desc()))
-    last = last.withColumn("n", recent).filter(F.col("n") <= capacity).drop("n")
-    chunks = rows.select("chunk").distinct()
-
-    def carry(table: pa.Table) -> pa.Table:
+    recent = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.col("at").desc())) <= capacity
+    last = last.withColumn("new", recent("chunk")).filter("new").select("chunk", "code", "at")
+    # Two levels again: one task goes over runs of 4096 chunks, then each run over its chunks.
+    last = last.withColumn("run", F.floor(F.col("chunk") / 4096).cast("long"))
+    of_run = last.groupBy("run", "code").agg(F.max("at").alias("at")).withColumn("new", recent("run")).filter("new").select("run", "code", "at")
+    chunks = rows.select("chunk", F.floor(F.col("chunk") / 4096).cast("long").alias("run")).distinct()
+    nothing = (F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("at"))
+
+    def carry(name: str, table: pa.Table, begin: pa.Table | None) -> pa.Table:
         held: OrderedDict[str, None] = OrderedDict()
+        if begin is not None:
+            held.update((c, None) for _, c in sorted(zip(begin.column("at").to_pylist(), begin.column("code").to_pylist(), strict=True)))
         out: tuple[list, list, list] = ([], [], [])
         before = None
-        for chunk, code, _ in sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "code", "at")), strict=True), key=lambda x: (x[0], x[2] is not None, x[2] or 0)):
-            if chunk != before:
-                before = chunk
+        places = zip(*(table.column(c).to_pylist() for c in (name, "code", "at")), strict=True)
+        for place, code, _ in sorted(places, key=lambda x: (x[0], x[2] is not None, x[2] or 0)):
+            if place != before:
+                before = place
                 for i, x in enumerate(held):
-                    for column, value in zip(out, (chunk, x, i), strict=True):
+                    for column, value in zip(out, (place, x, i), strict=True):
                         column.append(value)
             if code is not None:
                 _use(held, code, capacity)
-        return pa.table({"chunk": pa.array(out[0], pa.int64()), "code": pa.array(out[1], pa.string()), "at": pa.array(out[2], pa.int64())})
+        return pa.table({name: pa.array(out[0], pa.int64()), "code": pa.array(out[1], pa.string()), "at": pa.array(out[2], pa.int64())})
 
     def replay(left: pa.Table, right: pa.Table) -> pa.Table:
         held = OrderedDict((c, None) for _, c in sorted(zip(right.column("at").to_pylist(), right.column("code").to_pylist(), strict=True)))
@@ -94,8 +132,10 @@ def lru_hits_any(accesses: DataFrame, key: str, order: str, capacity: int) -> Da
         hits = [c is not None and _use(held, c, capacity) for c in left.column("code").to_pylist()]
         return pa.table({"at": left.column("at"), "hit": pa.array(hits, pa.bool_())})
 
-    marks = last.unionByName(chunks.select("chunk", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("at")))
-    state = marks.withColumn("log", F.lit(0)).groupBy("log").applyInArrow(carry, "chunk long, code string, at long")
+    runs = of_run.unionByName(chunks.select("run", *nothing).distinct()).withColumn("log", F.lit(0))
+    opened = runs.groupBy("log").applyInArrow(lambda t: carry("run", t, None), "run long, code string, at long")
+    marks = last.select("run", "chunk", "code", "at").unionByName(chunks.select("run", "chunk", *nothing))
+    state = marks.groupBy("run").cogroup(opened.groupBy("run")).applyInArrow(lambda t, b: carry("chunk", t, b), "chunk long, code string, at long")
     log = rows.select("chunk", "at", "code")
     hits = log.groupBy("chunk").cogroup(state.groupBy("chunk")).applyInArrow(replay, "at long, hit boolean")
     return rows.join(hits, "at").select(*(F.col(f"row.`{c}`").alias(c) for c in accesses.columns), "hit")

@@ -1,8 +1,7 @@
 """Kernels over edge tables: closure, cycles, build order, bounded walks, fan-in and fan-out.
 
 Loops keep no state on the driver: each round is a join against what is known, written to the
-shared folder, and ends when nothing new is found. Rounds that reach ``max_rounds`` raise an error
-instead of cutting the result short.
+shared folder, and ends when nothing new is found, however many rounds that takes.
 """
 
 from __future__ import annotations
@@ -10,87 +9,146 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.storage import written
+from factlake.storage import discard, written
 
 
-def closure(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """All (src, dst) with a path from src to dst of one edge or more.
 
     Semi-naive with doubling: what the last round found is joined with all that is known, so the
-    rounds grow with the logarithm of the longest shortest path. A node is its own descendant
-    exactly if it lies on a cycle. Edges with a null end are ignored.
+    rounds grow with the logarithm of the longest shortest path. Each round writes only what is new;
+    all that is known is the union of the rounds. A node is its own descendant exactly if it lies on
+    a cycle. Edges with a null end are ignored.
     """
-    seen = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct()
-    seen = written(seen, "closure")
-    new = seen
-    for _ in range(max_rounds):
+    new = written(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct(), "closure")
+    seen = new
+    while not new.isEmpty():
         ahead = seen.select(F.col("src").alias("mid"), F.col("dst").alias("dst"))
         behind = seen.select("src", F.col("dst").alias("mid"))
         step = new.select("src", F.col("dst").alias("mid")).join(ahead, "mid").select("src", "dst")
         back = behind.join(new.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        new = written(step.unionByName(back).distinct().join(seen, ["src", "dst"], "left_anti"), "new")
-        if new.isEmpty():
-            return seen
-        seen = written(seen.unionByName(new), "closure")
-    raise RuntimeError(f"the closure did not settle within {max_rounds} rounds")
+        new = written(step.unionByName(back).distinct().join(seen, ["src", "dst"], "left_anti"), "closure")
+        seen = seen.unionByName(new)
+    return seen
+
+
+#: Edges up to which a closure costs less than the rounds that would make it smaller.
+SMALL = 50_000
+#: Levels that are peeled off, and steps that are walked, before a round is written.
+_AT_ONCE = 8
+
+
+def peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (src, dst) that lie on a path without end, and ``(node, level)`` of all other sources.
+
+    A source's level is its longest path. Each round follows paths for so many steps in one plan, one
+    join a step; who has a shorter one gets its level and loses its edges.
+    """
+    e = written(edges.select("src", "dst").dropna().distinct(), "peeled")
+    layers: DataFrame | None = None
+    base, n = 0, e.count()
+    while n:
+        length = e.select(F.col("src").alias("node")).distinct().withColumn("level", F.lit(1))
+        for _ in range(_AT_ONCE):
+            ahead = e.join(length.withColumnRenamed("node", "dst"), "dst", "left")
+            length = ahead.groupBy(F.col("src").alias("node")).agg((F.coalesce(F.max("level"), F.lit(0)) + 1).alias("level"))
+        length = written(length, "levels")
+        done = length.filter(F.col("level") <= _AT_ONCE).select("node", (F.col("level") + base).alias("level"))
+        layers = done if layers is None else layers.unionByName(done)
+        long = length.filter(F.col("level") >= _AT_ONCE).select(F.col("node").alias("dst"))
+        last, e = e, written(e.join(long, "dst", "left_semi").select("src", "dst"), "peeled")
+        discard(last)
+        base, left, n = base + _AT_ONCE, n, e.count()
+        if n == left:
+            break
+    return e, layers
 
 
 def cyclic(nodes: DataFrame, edges: DataFrame, node: str = "node", reach: DataFrame | None = None) -> DataFrame:
-    """``(node, on_cycle, reaches_cycle)``: whether a cycle passes through, or can be reached."""
-    reach = reach if reach is not None else closure(edges)
-    on = reach.filter("src = dst").select(F.col("src").alias(node), F.lit(True).alias("on"))
-    to = reach.join(on.select(F.col(node).alias("dst")), "dst").select(F.col("src").alias(node)).distinct()
-    out = nodes.select(node).join(on, node, "left").join(to.withColumn("to", F.lit(True)), node, "left")
-    return out.select(
+    """``(node, on_cycle, reaches_cycle)``: whether a cycle passes through, or can be reached.
+
+    Without a closure at hand, nodes that can't lie on a cycle are peeled off first, and only what is
+    left is closed; what reaches a cycle is then found by walking back from it. A graph of up to
+    ``SMALL`` edges is closed at once, which takes fewer rounds and gives the same.
+    """
+    if reach is None and edges.limit(SMALL + 1).count() <= SMALL:
+        reach = closure(edges)
+    if reach is not None:
+        on = reach.filter("src = dst").select(F.col("src").alias("n"))
+        to = reach.join(on.select(F.col("n").alias("dst")), "dst").select(F.col("src").alias("n")).distinct()
+    else:
+        core, _ = peeled(edges)
+        back, _ = peeled(core.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        core = back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        on = written(closure(core).filter("src = dst").select(F.col("src").alias("n")), "on-cycle")
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        to = reached(back, on.select(F.col("n").alias("node"))).select(F.col("node").alias("n"))
+    flags = to.withColumn("to", F.lit(True)).join(on.withColumn("on", F.lit(True)), "n", "left")
+    return nodes.select(node).join(flags, F.col(node) == F.col("n"), "left").select(
         node, F.coalesce("on", F.lit(False)).alias("on_cycle"), F.coalesce("to", F.lit(False)).alias("reaches_cycle")
     )
 
 
-def build_order(nodes: DataFrame, edges: DataFrame, node: str = "node", order: str = "build", max_rounds: int = 10_000) -> DataFrame:
+def build_order(nodes: DataFrame, edges: DataFrame, node: str = "node", order: str = "build") -> DataFrame:
     """``(node, level, in_cycle)``: dependencies have lower levels; sort by (level, node).
 
     ``edges`` (src, dst) say that src depends on dst. A node's level is the longest path below it.
     Nodes on a cycle or depending on one get no level, and those on one are flagged. With
-    ``order="reference"`` dependents come first instead. Edges to unknown nodes don't count.
+    ``order="reference"`` dependents come first instead. Edges to unknown nodes don't count. Several
+    levels are peeled off before each write, which holds only the edges that are left.
     """
     known = nodes.select(F.col(node).alias("node")).dropna().distinct()
     e = edges.select("src", "dst") if order == "build" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     e = e.dropna().distinct().join(known.withColumnRenamed("node", "src"), "src", "left_semi")
-    e = written(e.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi"), "depends")
-    # Round k keeps the edges to nodes that still have edges; a node's level is the number of rounds
-    # in which it had some. What no round thins out any more depends on a cycle.
-    rounds, n = [], e.count()
-    while n:
-        rounds.append(e.select("src").distinct().withColumn("round", F.lit(len(rounds))))
-        if len(rounds) > max_rounds:
-            raise RuntimeError(f"more than {max_rounds} levels")
-        blocked = e.select(F.col("src").alias("dst")).distinct()
-        e = written(e.join(blocked, "dst", "left_semi").select("src", "dst"), "depends")
-        left, n = n, e.count()
-        if n == left:
-            break
-    stuck = e.select(F.col("src").alias("node")).distinct().withColumn("stuck", F.lit(True))
-    blocked = known.select("node", F.lit(0).alias("level"))
-    for part in rounds:
-        blocked = blocked.unionByName(part.select(F.col("src").alias("node"), (F.col("round") + 1).alias("level")))
-    levels = blocked.groupBy("node").agg(F.max("level").alias("level")).join(stuck, "node", "left")
-    cut = levels.select("node", F.when(F.col("stuck").isNull(), F.col("level")).alias("level"))
-    flags = cyclic(known, e) if n else known.select("node", F.lit(False).alias("on_cycle"))
-    return cut.join(flags.select("node", F.col("on_cycle").alias("in_cycle")), "node").select(
-        F.col("node").alias(node), "level", "in_cycle"
+    e = e.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    rest, levels = peeled(e)
+    if levels is None:
+        return known.select(F.col("node").alias(node), F.lit(0).alias("level"), F.lit(False).alias("in_cycle"))
+    stuck = rest.select(F.col("src").alias("node")).distinct().withColumn("stuck", F.lit(True))
+    out = known.join(levels, "node", "left").join(stuck, "node", "left")
+    flags = cyclic(known, rest).select("node", "on_cycle")
+    return out.join(flags, "node").select(
+        F.col("node").alias(node), F.when(F.col("stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level"), F.col("on_cycle").alias("in_cycle")
     )
 
 
+def _looped(edges: DataFrame) -> DataFrame:
+    """``(src, dst, cost)``: edges of cost 1, and one of cost 0 from each node to itself.
+
+    So many joins with them in a row reach all nodes within as many steps, without a union a step.
+    """
+    e = edges.select("src", "dst").dropna().distinct()
+    nodes = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct()
+    return e.withColumn("cost", F.lit(1)).unionByName(nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("cost")))
+
+
 def bounded_walk(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """``(node, depth)`` of the nodes within ``max_depth`` edges of the ``start`` nodes (node)."""
-    frontier = written(start.select("node").dropna().distinct().withColumn("depth", F.lit(0)), "walk")
-    seen = frontier
-    e = edges.select("src", "dst").dropna().distinct()
-    for depth in range(1, max_depth + 1):
-        step = frontier.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "walk")
-        if frontier.isEmpty():
+    seen = start.select("node").dropna().distinct().withColumn("depth", F.lit(0))
+    e = written(_looped(edges), "edges") if max_depth > 0 else edges
+    depth = 0
+    while depth < max_depth:
+        found = seen.filter(F.col("depth") == depth)
+        steps = min(_AT_ONCE, max_depth - depth)
+        for _ in range(steps):
+            ahead = found.withColumnRenamed("node", "src").join(e, "src")
+            found = ahead.groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("cost")).alias("depth"))
+        depth += steps
+        seen = written(seen.unionByName(found).groupBy("node").agg(F.min("depth").alias("depth")), "walk")
+        if depth == max_depth or seen.filter(F.col("depth") == depth).isEmpty():
             break
+    return seen
+
+
+def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``(node)``: the start nodes and all that they reach; several steps go into one round."""
+    seen = frontier = written(start.select("node").dropna().distinct(), "reached")
+    e = written(_looped(edges).select("src", "dst"), "edges")
+    while not frontier.isEmpty():
+        found = frontier
+        for _ in range(_AT_ONCE):
+            found = found.withColumnRenamed("node", "src").join(e, "src").select(F.col("dst").alias("node")).distinct()
+        frontier = written(found.join(seen, "node", "left_anti"), "reached")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -132,28 +190,44 @@ def callees(calls: DataFrame, start: DataFrame, max_depth: int = 1) -> DataFrame
     return out
 
 
-def base_chain(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``(node, base, distance)``: every ancestor along single-parent edges (src, dst), nearest first."""
-    seen = edges.select(F.col("src").alias("node"), F.col("dst").alias("base"), F.lit(1).alias("distance")).dropna()
-    last = written(seen, "chain")
-    parts = [last]
-    for distance in range(2, max_rounds + 2):
-        up = edges.select(F.col("src").alias("base"), F.col("dst").alias("next")).dropna()
-        last = last.join(up, "base").filter("next <> node").select("node", F.col("next").alias("base"))
-        last = written(last.withColumn("distance", F.lit(distance)), "chain")
-        if last.isEmpty():
-            break
-        parts.append(last)
-    else:
-        raise RuntimeError(f"a chain is longer than {max_rounds}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def base_chain(edges: DataFrame) -> DataFrame:
+    """``(node, base, distance)``: every ancestor along edges (src, dst) and its least distance.
+
+    Paths double in each round, so a chain of any length takes a logarithm of rounds; a node is no
+    base of itself.
+    """
+    seen = edges.select(F.col("src").alias("node"), F.col("dst").alias("base"), F.lit(1).alias("distance")).dropna().filter("node <> base")
+    seen = written(seen.distinct(), "chain")
+    state = None
+    while True:
+        now = seen.agg(F.count("*"), F.sum("distance")).first()
+        if now == state or not now[0]:
+            return seen
+        state = now
+        up = seen.select(F.col("node").alias("base"), F.col("base").alias("next"), F.col("distance").alias("more"))
+        step = seen.join(up, "base").filter("next <> node").select("node", F.col("next").alias("base"), (F.col("distance") + F.col("more")).alias("distance"))
+        last, seen = seen, written(seen.unionByName(step).groupBy("node", "base").agg(F.min("distance").alias("distance")), "chain")
+        discard(last)
+
+
+#: Lines of a DOT text that are put into one row.
+MOST_DOT_LINES = 1_000_000
+
+
+def dot_lines(edges: DataFrame, name: str = "CallGraph") -> DataFrame:
+    """``(place, line)``: the graph in DOT form line by line, for graphs of any size; sort by place, line."""
+    body = edges.select(F.lit(1).alias("place"), F.format_string('  "%s" -> "%s";', F.col("src").cast("string"), F.col("dst").cast("string")).alias("line"))
+    ends = edges.sparkSession.createDataFrame([(0, f"digraph {name} {{"), (2, "}")], "place int, line string")
+    return ends.unionByName(body)
 
 
 def to_dot(edges: DataFrame, name: str = "CallGraph") -> DataFrame:
-    """One row with the graph in DOT form, its edges in order; for results of bounded size."""
-    line = F.format_string('  "%s" -> "%s";', F.col("src").cast("string"), F.col("dst").cast("string"))
-    lines = edges.select(line.alias("line")).agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    return lines.select(F.concat(F.lit(f"digraph {name} {{\n"), F.array_join("lines", "\n"), F.lit("\n}")).alias("dot"))
+    """One row with the graph in DOT form, its edges in order.
+
+    A graph of more than ``MOST_DOT_LINES`` edges raises an error: its text is in ``dot_lines``.
+    """
+    n = edges.limit(MOST_DOT_LINES + 1).count()
+    if n > MOST_DOT_LINES:
+        raise ValueError(f"more than {MOST_DOT_LINES} edges don't go into one row; use dot_lines")
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+    return dot_lines(edges, name).agg(rows.alias("dot"))

@@ -8,15 +8,18 @@ splices the result. A rewrite that doesn't fit the code at the given place raise
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from inspect import Parameter, signature
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions.names import IDENTIFIER, KEYWORDS
+from factlake.operators import text
 from factlake.sources.csharp import Node, parse
 
 EDIT_SCHEMA = "doc_id string, start int, length int, new_text string, error string"
@@ -86,11 +89,9 @@ class File:
 
     def declared_at(self, n: Node) -> int:
         """Where the name stands in its declaration."""
-        head = self.source[n.start : n.end]
-        cut = re.search(rf"\b{re.escape(n.ident)}\b(?=\s*(?:<[^>]*>)?\s*(?:[=({{;,)\]]|=>|:|$|where\b))", head)
-        if not cut:
+        if n.name_start is None:
             raise CannotRewrite("the declaration has no name")
-        return n.start + cut.start()
+        return n.name_start
 
 
 def _new_name(name: str) -> str:
@@ -101,27 +102,24 @@ def _new_name(name: str) -> str:
 
 _DECLARED = (
     "ClassDeclaration", "StructDeclaration", "InterfaceDeclaration", "RecordDeclaration", "EnumDeclaration", "MethodDeclaration",
-    "PropertyDeclaration", "FieldDeclaration", "EventDeclaration", "Parameter", "LocalDeclarationStatement", "EnumMemberDeclaration",
+    "PropertyDeclaration", "FieldDeclaration", "FieldDeclarator", "EventDeclaration", "Parameter", "LocalDeclarationStatement",
+    "LocalDeclarator", "EnumMemberDeclaration",
 )
 
 
 @rewrite("Rename", "IdentifierName", *_DECLARED)
 def rename_symbol(f: File, offset: int, new_name: str, in_comments: bool = False, in_strings: bool = False) -> list[Edit]:
-    """Rename uses and declarations of the name at a place, in comments and strings as plain text."""
-    word = re.compile(r"[@\w]+")
-    at = next((m for m in word.finditer(f.source) if m.start() <= offset <= m.end()), None)
+    """Rename uses and declarations of the name at a place in one file, in comments and strings as plain text.
+
+    By name alone; :func:`factlake.tools.rename` follows the bound symbol through all files.
+    """
+    at = next((n for n in f.nodes if n.ident and _names_at(n, offset)), None)
     if not at:
         raise CannotRewrite("no name here")
-    name, new = at[0], _new_name(new_name)
-    if any(n.kind in ("ConstructorDeclaration", "DestructorDeclaration") and n.start <= offset and f.declared_at(n) == at.start() for n in f.nodes):
+    name, new = at.ident, _new_name(new_name)
+    if at.kind in ("ConstructorDeclaration", "DestructorDeclaration"):
         raise CannotRewrite("constructors are named by their type")
-    places = {n.start for n in f.uses(name)} | {f.declared_at(n) for n in f.nodes if n.kind in _DECLARED and n.ident == name}
-    for n in f.nodes:
-        if n.kind in ("ConstructorDeclaration", "DestructorDeclaration") and n.ident == name:
-            places.add(f.declared_at(n))
-        if n.type_text and n.kind != "InvocationExpression":
-            head = f.source.find(n.type_text, n.start, n.end)
-            places |= {head + m.start() for m in re.finditer(rf"\b{re.escape(name)}\b", n.type_text)} if head >= 0 else set()
+    places = {n.start for n in f.uses(name)} | {n.name_start for n in f.nodes if n.ident == name and n.name_start is not None}
     out = [Edit(p, len(name), new) for p in sorted(places)]
     kinds = ("Comment", "DocumentationComment") * in_comments + ("StringLiteralExpression",) * in_strings
     for n in f.nodes:
@@ -130,18 +128,53 @@ def rename_symbol(f: File, offset: int, new_name: str, in_comments: bool = False
     return out
 
 
-_NAMES = {"StringLiteralExpression": "text", "NumericLiteralExpression": "value", "InvocationExpression": "result", "ObjectCreationExpression": "instance"}
+def _names_at(n: Node, offset: int) -> bool:
+    start = n.start if n.kind == "IdentifierName" else n.name_start
+    return start is not None and start <= offset <= start + len(n.ident)
+
+
+#: Names of variables by the type of their value.
+VALUE_NAMES = {
+    "string": "str", "int": "num", "long": "num", "double": "value", "decimal": "amount", "bool": "flag", "DateTime": "date", "object": "obj",
+}
+_EXPRESSIONS = ("StringLiteralExpression", "NumericLiteralExpression", "InvocationExpression", "ObjectCreationExpression")
+
+
+def literal_type(value: str | None) -> str | None:
+    """The type that an expression's text shows: of literals and of objects made in place."""
+    value = (value or "").strip()
+    if re.fullmatch(r'[$@]*".*"', value, re.S):
+        return "string"
+    if value in ("true", "false"):
+        return "bool"
+    if re.fullmatch(r"'(?:\\.|[^'])+'", value):
+        return "char"
+    if number := re.fullmatch(r"-?(0[xX][0-9a-fA-F_]+|0[bB][01_]+|\d[\d_]*)([uUlL]*)", value):
+        return {"": "int", "l": "long", "u": "uint"}.get("".join(sorted(set(number[2].lower()))), "ulong")
+    if number := re.fullmatch(r"-?\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?([fFdDmM]?)", value):
+        return {"f": "float", "m": "decimal"}.get(number[1].lower(), "double")
+    if made := re.match(r"new\s+([\w.]+(?:<[^()]*>)?)\s*[({]", value):
+        return made[1]
+    return None
+
+
+def suggested_name(e: Node, value: str) -> str:
+    """A name for a variable that holds an expression, by its type and else by what it calls."""
+    known = VALUE_NAMES.get(literal_type(value) or "")
+    if not known and e.kind == "InvocationExpression" and e.receiver:
+        known = e.ident[:1].lower() + e.ident[1:]
+    return known or "value"
 
 
-@rewrite("Extract", *_NAMES)
+@rewrite("Extract", *_EXPRESSIONS)
 def introduce_variable(f: File, offset: int, name: str | None = None) -> list[Edit]:
     """A variable for the expression at a place, declared before its statement."""
-    e = f.innermost(offset, *_NAMES)
-    start = e.start - len((e.type_text or "") + ".") if e.kind == "InvocationExpression" and e.type_text else e.start
+    e = f.innermost(offset, *_EXPRESSIONS)
+    start = e.start - len(e.receiver + ".") if e.kind == "InvocationExpression" and e.receiver and e.receiver != "?" else e.start
     s = f.innermost(offset, "LocalDeclarationStatement", "ExpressionStatement", "ReturnStatement", "IfStatement", "ThrowStatement")
-    new = _new_name(name or _NAMES[e.kind])
-    text = f.source[start : e.end]
-    return [Edit(s.start, 0, f"var {new} = {text};\n{f.indent(s.start)}"), Edit(start, e.end - start, new)]
+    value = f.source[start : e.end]
+    new = _new_name(name or suggested_name(e, value))
+    return [Edit(s.start, 0, f"var {new} = {value};\n{f.indent(s.start)}"), Edit(start, e.end - start, new)]
 
 
 @rewrite("Extract", "Block")
@@ -153,28 +186,44 @@ def extract_method(f: File, offset: int, length: int, name: str) -> list[Edit]:
     if not chosen:
         raise CannotRewrite("the selection holds no statement")
     start, end = min(n.start for n in chosen), max(n.end for n in chosen)
-    local = {n.ident: n.type_text for n in f.inside(owner, "LocalDeclarationStatement", "Parameter") if n.end <= start or n.kind == "Parameter"}
-    own = {n.ident: n for n in chosen if n.kind == "LocalDeclarationStatement"}
+    inside = f.inside(owner, *_LOCALS)
+    local = {n.ident: n for n in inside if n.end <= start or n.kind == "Parameter"}
+    own = {n.ident: n for n in inside if start <= n.start < end and n.kind != "Parameter"}
     used = [n.ident for n in f.inside(owner, "IdentifierName") if start <= n.start < end]
     needed = [x for x in dict.fromkeys(used) if x in local and x not in own]
     later = [x for x in own if any(n.start >= end for n in f.uses(x, owner))]
     if len(later) > 1:
         raise CannotRewrite("more than one value is used afterwards")
-    result = own[later[0]].type_text if later else (owner.type_text if any(n.kind == "ReturnStatement" for n in chosen) else "void")
+    result = _type_of(own[later[0]]) if later else (owner.type_text if any(n.kind == "ReturnStatement" for n in chosen) else "void")
     body, pad = f.source[start:end], f.indent(owner.start)
     give = f"\n{pad}    return {later[0]};" if later else ""
     call = f"{new}({', '.join(needed)});"
     call = f"{result} {later[0]} = {call}" if later else f"return {call}" if result != "void" else call
     static = "static " if "static" in (owner.modifiers or "").split() else ""
-    params = ", ".join(f"{local[x].removeprefix('this ')} {x}" for x in needed)
+    params = ", ".join(f"{_type_of(local[x])} {x}" for x in needed)
     method = f"\n\n{pad}private {static}{result} {new}({params})\n{pad}{{\n{pad}    {body}{give}\n{pad}}}"
     return [Edit(start, end - start, call), Edit(owner.end, 0, method)]
 
 
+_LOCALS = ("LocalDeclarationStatement", "LocalDeclarator", "Parameter")
+
+
+def _type_of(n: Node) -> str:
+    """The type of a local or parameter, which ``var`` takes from its value."""
+    if n.type_text != "var":
+        return re.sub(r"^(?:(?:this|params|scoped|const)\s+)+", "", n.type_text)
+    found = literal_type(n.detail)
+    if not found:
+        raise CannotRewrite(f"the type of {n.ident} can't be told")
+    return found
+
+
 @rewrite("Encapsulate", "FieldDeclaration")
 def encapsulate_field(f: File, offset: int) -> list[Edit]:
     """A private field with a property, and the field's uses through it."""
     n = f.innermost(offset, "FieldDeclaration")
+    if any(m.kind == "FieldDeclarator" and n.start <= m.start < n.end for m in f.nodes):
+        raise CannotRewrite("the declaration has several fields")
     bare = n.ident.lstrip("_")
     prop, hidden = bare[:1].upper() + bare[1:], "_" + bare[:1].lower() + bare[1:]
     mods = [m for m in (n.modifiers or "").split() if m not in ("public", "private", "protected", "internal")]
@@ -216,8 +265,15 @@ def extract_interface(f: File, offset: int, name: str | None = None) -> list[Edi
     return [Edit(t.start, 0, text), base]
 
 
-#: What a new argument is when nothing is said, by the type's name.
-DEFAULTS = {"int": "0", "long": "0", "double": "0", "float": "0", "decimal": "0", "bool": "false", "string": '""'}
+#: What a new argument is when nothing is said, by the type's name and by how a parameter's name begins.
+DEFAULTS = {
+    "int": "0", "long": "0", "short": "0", "byte": "0", "double": "0.0", "float": "0.0", "bool": "false", "string": "null", "object": "null",
+}
+NAME_DEFAULTS = {"is": "false", "count": "0", "index": "0", "name": "null", "text": "null"}
+
+
+def _default(type_name: str) -> str:
+    return "null" if type_name.endswith("[]") else DEFAULTS.get(type_name, "default")
 
 
 def _arguments(text: str) -> list[str]:
@@ -260,7 +316,7 @@ def change_signature(f: File, offset: int, parameters: list[dict], return_type:
         out.append(Edit(at, len(m.type_text), return_type))
     for n, at, text in _calls(f, m):
         given = _arguments(text)[: len(parameters)]
-        given += [DEFAULTS.get(p["type"], "default") for p in parameters[len(given) :]]
+        given += [_default(p["type"]) for p in parameters[len(given) :]]
         out.append(Edit(at, n.end - 1 - at, ", ".join(given)))
     return out
 
@@ -270,7 +326,8 @@ def add_parameter(f: File, offset: int, type_name: str, name: str, default: str
     """One more parameter, and an argument for it in every call."""
     m = f.innermost(offset, "MethodDeclaration")
     a, b = _parameters(f, m)
-    value = default or DEFAULTS.get(type_name, "default")
+    by_name = next((v for k, v in NAME_DEFAULTS.items() if name.lower().startswith(k)), None)
+    value = default or by_name or _default(type_name)
     out = [Edit(b, 0, f"{', ' if f.source[a:b].strip() else ''}{type_name} {_new_name(name)}")]
     return out + [Edit(n.end - 1, 0, f"{', ' if text.strip() else ''}{value}") for n, _, text in _calls(f, m)]
 
@@ -281,6 +338,8 @@ def inline_temporary(f: File, offset: int) -> list[Edit]:
     d = f.innermost(offset, "LocalDeclarationStatement")
     if d.detail is None:
         raise CannotRewrite("the variable has no value")
+    if f.inside(d, "LocalDeclarator"):
+        raise CannotRewrite("the declaration has several variables")
     block = f.innermost(d.start, "Block")
     uses = [u for u in f.uses(d.ident, block) if u.start >= d.end]
     if any(re.match(r"\s*(?:=(?!=)|[-+*/%&|^]=|\+\+|--)", f.source[u.end :]) for u in uses):
@@ -318,7 +377,8 @@ def remove_unnecessary_code(f: File, offset: int = 0) -> list[Edit]:
             gone.append(n)
         if n.kind == "LocalDeclarationStatement" and n.parent >= 0:
             parent = f.nodes[n.parent]
-            if not any(u.start >= n.end for u in f.uses(n.ident, parent)) and "(" not in (n.detail or ""):
+            alone = not f.inside(n, "LocalDeclarator")
+            if alone and not any(u.start >= n.end for u in f.uses(n.ident, parent)) and "(" not in (n.detail or ""):
                 gone.append(n)
         if n.kind in ("ReturnStatement", "BreakStatement", "ContinueStatement", "ThrowStatement") and f.nodes[n.parent].kind == "Block":
             gone += [m for m in f.nodes if m.parent == n.parent and m.start >= n.end and "Statement" in m.kind]
@@ -410,32 +470,48 @@ def reverse_for_statement(f: File, offset: int) -> list[Edit]:
     return [Edit(s.start, m.end(), head)]
 
 
-def edits(documents: DataFrame, name: str, **arguments) -> DataFrame:
-    """Run a rewrite on every document (doc_id, content): rows of :data:`EDIT_SCHEMA`, or an error.
+def edits(documents: DataFrame, rule: str, targets: DataFrame | None = None, /, **arguments) -> DataFrame:
+    """Run a rewrite (doc_id, content) at each target: rows of :data:`EDIT_SCHEMA`, or an error.
 
-    ``line`` and ``column``, from 0, may stand in for ``offset``.
+    ``targets`` has a row for each place: its doc_id, and its ``offset`` or its ``line`` and ``column``
+    from 0; further columns are arguments of their own, before those in ``arguments``. Documents
+    without a target aren't touched. Without ``targets`` the rewrite runs on every whole document,
+    which only those without a place can do.
     """
-    if name not in CATALOG:
-        raise KeyError(name)
-    line, column = arguments.pop("line", None), arguments.pop("column", 0)
+    if rule not in CATALOG:
+        raise KeyError(rule)
+    source = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+    if targets is None:
+        if signature(CATALOG[rule].run).parameters["offset"].default is Parameter.empty:
+            raise ValueError(f"{rule} needs targets")
+        source = source.withColumn("more", F.lit("{}"))
+    else:
+        more = F.to_json(F.struct(*(F.col(f"`{c}`") for c in targets.columns if c != "doc_id")))
+        source = source.join(targets.select(F.col("doc_id").cast("string").alias("doc_id"), more.alias("more")), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
+            for doc, content, more in zip(batch["doc_id"], batch["content"], batch["more"], strict=True):
                 if content is None:
                     continue
-                f = File(content)
+                f, given = File(content), arguments | json.loads(more)
                 try:
-                    at = {"offset": f.offset(line, column)} if line is not None else {}
-                    found = CATALOG[name].run(f, **(arguments | at))
+                    if "line" in given:
+                        given["offset"] = f.offset(given.pop("line"), given.pop("column", 0))
+                    found = CATALOG[rule].run(f, **given)
                     rows += [(doc, e.start, e.length, e.new_text, None) for e in dict.fromkeys(found)]
                 except CannotRewrite as e:
                     rows.append((doc, None, None, None, str(e)))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "new_text", "error"])
             yield out.astype({"start": "Int32", "length": "Int32"})
 
-    return documents.select(F.col("doc_id").cast("string"), "content").mapInPandas(run, EDIT_SCHEMA)
+    return source.mapInPandas(run, EDIT_SCHEMA).distinct()
+
+
+def applied(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """``(doc_id, content, conflict)`` of all documents after edits; those with an error stay as they are."""
+    return text.apply_edits(documents, found.filter("error is null"), "doc_id", "content")
 
 
 def catalog(spark) -> DataFrame:

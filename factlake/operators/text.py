@@ -50,32 +50,72 @@ def unified_diff(diff: DataFrame, key: str) -> DataFrame:
     return diff.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("diff"))
 
 
+def hunks(pairs: DataFrame, key: str, before: str, after: str, context: int = 3) -> DataFrame:
+    """``(key, place, old_start, old_count, new_start, new_count, text)`` of the hunks of a positional diff.
+
+    Changed lines that lie at most twice ``context`` lines apart share a hunk, with ``context`` equal
+    lines around it; lines count from 1. Each line of a hunk starts with a space, - or +.
+    """
+    side = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n")
+    both = pairs.filter(F.coalesce(F.col(before), F.lit("")) != F.coalesce(F.col(after), F.lit(""))).select(key, side(before).alias("x"), side(after).alias("y"))
+    most = F.greatest(F.size("x"), F.size("y"))
+    changed = F.filter(F.sequence(F.lit(0), most - 1), lambda i: ~F.get("x", i).eqNullSafe(F.get("y", i)))
+    both = both.select(key, "x", "y", changed.alias("c"))
+    opens = F.filter("c", lambda i, k: F.coalesce(i - F.get("c", k - 1) > 2 * context + 1, F.lit(True)))
+    closes = F.filter("c", lambda i, k: F.coalesce(F.get("c", k + 1) - i > 2 * context + 1, F.lit(True)))
+    both = both.select(key, "x", "y", F.posexplode(F.arrays_zip(opens.alias("a"), closes.alias("b"))).alias("place", "h"))
+    low, high = F.greatest(F.lit(0), F.col("h.a") - context), F.least(F.greatest(F.size("x"), F.size("y")) - 1, F.col("h.b") + context)
+    both = both.select(key, "place", "x", "y", low.alias("low"), high.alias("high"))
+    minus, plus = (lambda c, m: lambda i: F.concat(F.lit(m), F.get(c, i)))("x", "-"), (lambda c, m: lambda i: F.concat(F.lit(m), F.get(c, i)))("y", "+")
+    line = lambda i: F.when(F.get("x", i).eqNullSafe(F.get("y", i)), F.concat(F.lit(" "), F.get("x", i))).otherwise(F.concat_ws("\n", minus(i), plus(i)))
+    count = lambda c: F.greatest(F.lit(0), F.least(F.size(c) - 1, F.col("high")) - F.col("low") + 1)
+    return both.select(
+        key, "place", (F.col("low") + 1).alias("old_start"), count("x").alias("old_count"), (F.col("low") + 1).alias("new_start"), count("y").alias("new_count"),
+        F.array_join(F.transform(F.sequence("low", "high"), line), "\n").alias("text"),
+    )
+
+
+def unified_text(hunks_: DataFrame, key: str, before: Column, after: Column) -> DataFrame:
+    """``(key, diff)``: hunks under their heads and the names of both sides."""
+    head = F.format_string("@@ -%d,%d +%d,%d @@", "old_start", "old_count", "new_start", "new_count")
+    rows = F.sort_array(F.collect_list(F.struct("place", F.concat_ws("\n", head, "text").alias("text"))))
+    body = F.array_join(F.transform(rows, lambda x: x["text"]), "\n")
+    return hunks_.groupBy(key).agg(F.concat(F.lit("--- "), F.first(before), F.lit("\n+++ "), F.first(after), F.lit("\n"), body).alias("diff"))
+
+
 def apply_edits(docs: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, content, conflict)``: replacements (key, start, length, new_text) spliced from the end.
 
     Starts count code points from 0; edits of equal start apply in order of length and text. Overlapping
     edits leave the text as it is and set ``conflict``.
     """
-    order = Window.partitionBy(key).orderBy("start", "length", "new_text")
-    clash = F.coalesce(F.lead("start").over(order) < F.col("start") + F.col("length"), F.lit(False))
-    all_ = edits.withColumn("clash", clash).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("start", "length", "new_text")), asc=False).alias("edits"),
-        F.max("clash").alias("conflict"),
-    )
-    body = F.coalesce(F.col(text), F.lit(""))
-    spliced = F.aggregate(
-        "edits",
-        body,
-        lambda acc, e: F.concat(
-            F.substring(acc, F.lit(1), e["start"]), e["new_text"], F.substring(acc, e["start"] + e["length"] + 1, F.length(acc))
-        ),
-    )
+    all_ = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "length", "new_text"))).alias("edits"))
+    ends = lambda e, i: F.coalesce(F.get("edits", i - 1)["start"] + F.get("edits", i - 1)["length"] > e["start"], F.lit(False))
+    all_ = all_.withColumn("conflict", F.exists(F.transform("edits", ends), lambda x: x))
     joined = docs.select(key, text).join(all_, key, "left")
     conflict = F.coalesce("conflict", F.lit(False))
+    spliced = _spliced(F.coalesce(F.col(text), F.lit("")), F.col("edits"))
     content = F.when(F.col("edits").isNotNull() & ~conflict, spliced).otherwise(F.col(text))
     return joined.select(key, content.alias("content"), conflict.alias("conflict"))
 
 
+def _spliced(text: Column, edits: Column) -> Column:
+    """The text between the edits, in order of their start, joined with the new texts at once.
+
+    Four bytes a code point make every cut a plain copy, so the work is in proportion to the text.
+    """
+
+    def whole(wide: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(edits, i)["start"] + F.get(edits, i)["length"], F.lit(0))
+        between = lambda a, n: F.decode(F.substring(wide, 4 * a + 1, 4 * n), "UTF-32")
+        pieces = F.transform(edits, lambda e, i: F.concat(between(end(i - 1), e["start"] - end(i - 1)), e["new_text"]))
+        last = end(F.size(edits) - 1)
+        tail = between(last, F.greatest(F.lit(0), (F.octet_length(wide) / 4).cast("int") - last))
+        return F.array_join(F.concat(pieces, F.array(tail)), "")
+
+    return F.get(F.transform(F.array(F.encode(text, "UTF-32")), whole), F.lit(0))
+
+
 def sort_in_place(items: DataFrame, group: str, slot: str, name: str, style: str = "alphabetical") -> DataFrame:
     """``(group, slot, name, sorted)``: the i-th slot of a group gets the i-th name in the chosen order.
 
@@ -106,12 +146,12 @@ def unused_prefixes(imports: DataFrame, used: DataFrame, name: str = "name", nam
 
 
 def xml_doc(text: Column) -> Column:
-    """Summary, returns and parameters of a documentation comment."""
-    tag = lambda t: F.trim(F.regexp_extract(text, rf"(?s)<{t}>(.*?)</{t}>", 1))
+    """Summary, returns, remarks, example and parameters of a documentation comment."""
+    tag = lambda t: F.btrim(F.regexp_extract(text, rf"(?s)<{t}>(.*?)</{t}>", 1), F.lit(" \t\r\n"))
     param = r'(?s)<param name="([^"]*)">(.*?)</param>'
     names, bodies = (F.regexp_extract_all(text, F.lit(param), F.lit(g)) for g in (1, 2))
     return F.struct(
-        tag("summary").alias("summary"), tag("returns").alias("returns"),
+        tag("summary").alias("summary"), tag("returns").alias("returns"), tag("remarks").alias("remarks"), tag("example").alias("example"),
         F.arrays_zip(names.alias("name"), bodies.alias("text")).alias("params"),
     )
 

@@ -1,24 +1,33 @@
 """Relations over syntax nodes: types, members, usings, calls, references, diagnostics and metrics.
 
-Names are bound by namespace, usings, simple name and number of arguments; where several
-declarations fit, all are kept with their number.
+Names are bound as far as source text alone tells. A name of a type is looked up in the namespace
+around it, then in the outer ones, then in the namespaces that the file's usings name. A name without
+a receiver is a local, a member of the type around it or of its bases, or a type; behind a receiver
+whose type is declared, it is a member of that type or its bases, or a static member of the type
+that the receiver names, or an extension method in scope. Overloads are told apart by the number of
+arguments. Where several declarations fit, all are kept with their number; a name that nothing here
+declares binds to nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.operators import metrics
+from factlake.operators import graph, metrics
 from factlake.storage import written
 
 TYPE_KINDS = ("ClassDeclaration", "StructDeclaration", "InterfaceDeclaration", "RecordDeclaration", "RecordStructDeclaration", "EnumDeclaration")
 NAMESPACE_KINDS = ("NamespaceDeclaration", "FileScopedNamespaceDeclaration")
 METHOD_KINDS = ("MethodDeclaration", "ConstructorDeclaration", "DestructorDeclaration", "OperatorDeclaration")
-MEMBER_KINDS = (*METHOD_KINDS, "PropertyDeclaration", "IndexerDeclaration", "FieldDeclaration", "EventDeclaration", "EnumMemberDeclaration")
-OWNERS = (*TYPE_KINDS, *NAMESPACE_KINDS, *MEMBER_KINDS)
+MEMBER_KINDS = (*METHOD_KINDS, "PropertyDeclaration", "IndexerDeclaration", "FieldDeclaration", "FieldDeclarator", "EventDeclaration", "EnumMemberDeclaration")
+#: Members that hold statements or expressions.
+BODIES = (*METHOD_KINDS, "PropertyDeclaration", "IndexerDeclaration", "FieldDeclaration", "FieldDeclarator", "EventDeclaration")
+LOCAL_KINDS = ("LocalDeclarationStatement", "LocalDeclarator", "Parameter")
+GLOBAL = "<global>"
+PLACE = ("doc_id", "start", "length", "line", "column", "end_line", "end_column")
 
 
 @dataclass(frozen=True)
@@ -34,23 +43,33 @@ class Facts:
     type_edges: DataFrame
     calls: DataFrame
     refs: DataFrame
+    namespaces: DataFrame
+    bases: DataFrame
+    locals: DataFrame
+    scopes: DataFrame
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 500) -> DataFrame:
-    """``(doc_id, node_id, owner_id, owner_kind, distance)``: every declaration that a node lies in.
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """``(doc_id, node_id, owner_id, owner_kind, owner_ident, distance)``: every declaration that a node lies in.
 
-    Declarations nest in few levels, so nodes are joined with their document's declarations by
-    containment of spans instead of walking up from parent to parent.
+    The parser lists the numbers of these declarations in each node, so this is an equi-join.
     """
-    owner = nodes.filter(F.col("kind").isin(*OWNERS)).select(
-        "doc_id", F.col("node_id").alias("owner_id"), F.col("kind").alias("owner_kind"), F.col("start").alias("os"),
-        (F.col("start") + F.col("length")).alias("oe"), F.col("depth").alias("od"), F.col("ident").alias("owner_ident"),
-    )
-    inside = nodes.select("doc_id", "node_id", "start", "length", "depth").join(owner, "doc_id")
-    inside = inside.filter("node_id <> owner_id and start >= os and start + length <= oe and depth > od")
+    owner = nodes.filter(F.col("kind").isin(*TYPE_KINDS, *NAMESPACE_KINDS, *MEMBER_KINDS)).select(
+        "doc_id", F.col("node_id").alias("owner_id"), F.col("kind").alias("owner_kind"), F.col("ident").alias("owner_ident"), F.col("depth").alias("od")
+    )
+    inside = nodes.select("doc_id", "node_id", "depth", F.explode("owners").alias("owner_id")).join(owner, ["doc_id", "owner_id"])
     return inside.select("doc_id", "node_id", "owner_id", "owner_kind", "owner_ident", (F.col("depth") - F.col("od")).alias("distance"))
 
 
+def innermost(above: DataFrame, kinds: tuple[str, ...], name: str) -> DataFrame:
+    """``(doc_id, node_id, name)``: the nearest declaration of some kinds around each node."""
+    return above.filter(F.col("owner_kind").isin(*kinds)).groupBy("doc_id", "node_id").agg(F.min_by("owner_id", "distance").alias(name))
+
+
+def _symbol(*columns: str) -> Column:
+    return F.concat_ws(":", *(F.col(c) for c in columns))
+
+
 def build(documents: DataFrame, nodes: DataFrame) -> Facts:
     """Derive the relations; the nodes are written once, since all of them read them."""
     nodes = written(nodes, "nodes")
@@ -59,24 +78,26 @@ def build(documents: DataFrame, nodes: DataFrame) -> Facts:
     space = spaces.groupBy("doc_id", "node_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "owner_ident"))), lambda x: x["owner_ident"]), ".").alias("namespace")
     )
-    outer = above.filter(F.col("owner_kind").isin(*TYPE_KINDS)).groupBy("doc_id", "node_id").agg(
-        F.min_by("owner_id", "distance").alias("type_node")
-    )
+    outer = innermost(above, TYPE_KINDS, "type_node")
     has = lambda m: F.coalesce(F.array_contains(F.split("modifiers", " "), m), F.lit(False))
-    access = F.when(has("public"), "public").when(has("protected"), "protected").when(has("internal"), "internal").when(has("private"), "private")
+    access = (
+        F.when(has("public"), "public").when(has("protected") & has("internal"), "protected internal").when(has("protected") & has("private"), "private protected")
+        .when(has("protected"), "protected").when(has("internal"), "internal").when(has("private"), "private")
+    )
     key = ["doc_id", "node_id"]
     t = nodes.filter(F.col("kind").isin(*TYPE_KINDS)).join(space, key, "left").join(outer, key, "left")
     kind = F.lower(F.regexp_replace("kind", "Declaration$", ""))
     types = t.select(
-        "doc_id", "node_id", F.concat_ws(":", "doc_id", "node_id").alias("type_id"), F.col("ident").alias("name"),
-        F.coalesce("namespace", F.lit("<global>")).alias("namespace"), kind.alias("kind"),
+        "doc_id", "node_id", _symbol("doc_id", "node_id").alias("type_id"), F.col("ident").alias("name"),
+        F.coalesce("namespace", F.lit(GLOBAL)).alias("namespace"), kind.alias("kind"),
         F.coalesce(access, F.when(F.col("type_node").isNull(), "internal").otherwise("private")).alias("accessibility"),
         has("static").alias("is_static"), has("abstract").alias("is_abstract"), has("sealed").alias("is_sealed"), "modifiers",
-        F.col("type_text").alias("bases"), F.col("line").alias("start_line"), "end_line", "type_node",
+        F.col("type_text").alias("bases"), F.col("line").alias("start_line"), "end_line", "type_node", "name_start", "start", "length",
     )
     types = written(types, "types")
+    wanted = F.col("detail").isNull() & ~F.coalesce(F.col("type_text").startswith("params "), F.lit(False))
     params = nodes.filter("kind = 'Parameter'").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(
-        F.count("*").alias("n_params"),
+        F.count("*").alias("n_params"), F.count_if(wanted).alias("n_required"),
         F.sort_array(F.collect_list(F.struct("start", F.col("ident").alias("name"), F.col("type_text").alias("type")))).alias("params"),
     )
     m = nodes.filter(F.col("kind").isin(*MEMBER_KINDS)).join(outer, key).join(params, key, "left")
@@ -85,70 +106,234 @@ def build(documents: DataFrame, nodes: DataFrame) -> Facts:
     extension = F.coalesce(F.get("params", F.lit(0))["type"].startswith("this "), F.lit(False))
     plain = F.when(F.col("type_kind").isin("interface", "enum"), "public").otherwise("private")
     members = m.select(
-        "type_id", F.concat_ws(":", "doc_id", "node_id").alias("member_id"), "doc_id", "node_id", F.col("ident").alias("name"),
-        F.lower(F.regexp_replace("kind", "Declaration$", "")).alias("kind"), "type_text", F.coalesce(access, plain).alias("accessibility"),
+        "type_id", _symbol("doc_id", "node_id").alias("member_id"), "doc_id", "node_id", F.col("ident").alias("name"),
+        F.lower(F.regexp_replace("kind", "Declaration$|Declarator$", "")).alias("kind"), "type_text", F.coalesce(access, plain).alias("accessibility"),
         has("static").alias("is_static"), has("virtual").alias("is_virtual"), (has("abstract") | (F.col("type_kind") == "interface")).alias("is_abstract"),
         has("override").alias("is_override"), has("async").alias("is_async"), extension.alias("is_extension"), "modifiers",
-        F.coalesce("n_params", F.lit(0)).alias("n_params"), "params", "type_name", "namespace", "start", "length",
-        F.col("line").alias("start_line"), "end_line",
+        F.coalesce("n_params", F.lit(0)).alias("n_params"), F.coalesce("n_required", F.lit(0)).alias("n_required"), "params", "type_name", "namespace",
+        "start", "length", F.col("line").alias("start_line"), "end_line", "name_start", F.col("receiver").alias("explicit_of"),
     )
     members = written(members, "members")
     usings = nodes.filter("kind = 'UsingDirective'").select(
         "doc_id", "start", "length", F.col("ident").alias("name"), F.coalesce(F.col("modifiers") == "static", F.lit(False)).alias("is_static"),
         F.col("type_text").alias("alias"), "line",
     )
-    return Facts(documents, nodes, above, types, members, usings, type_edges(types), calls(nodes, above, members), references(nodes, types, members))
+    whole = space.join(nodes.filter(F.col("kind").isin(*NAMESPACE_KINDS)), key, "right").select(
+        "doc_id", "node_id", F.concat_ws(".", "namespace", "ident").alias("name"), "start", "length", F.col("line").alias("start_line"), "end_line",
+        (F.col("parent_id") == 0).alias("is_outer"),
+    )
+    scopes = written(_scopes(types, members, whole, usings), "scopes")
+    placed = written(_sites(nodes, above, space, types), "sites")
+    edges = written(type_edges(placed, types, scopes), "type-edges")
+    up = edges.filter("dst_type is not null and src_type <> dst_type").select(F.col("src_type").alias("src"), F.col("dst_type").alias("dst")).distinct()
+    bases = types.select("type_id", F.col("type_id").alias("base_id"), F.lit(0).alias("distance")).unionByName(
+        graph.base_chain(up).select(F.col("node").alias("type_id"), F.col("base").alias("base_id"), "distance")
+    )
+    bases = written(bases.filter("type_id <> base_id or distance = 0"), "bases")
+    declared = written(_locals(nodes, above), "locals")
+    bound = written(references(placed, types, members, declared, scopes, bases), "refs")
+    called = written(calls(placed, members, bound, nodes), "calls")
+    return Facts(documents, nodes, above, types, members, usings, edges, called, _called_only(bound, called), whole, bases, declared, scopes)
+
+
+def _called_only(refs: DataFrame, called: DataFrame) -> DataFrame:
+    """References without the overloads that a call can't mean."""
+    fits = called.filter("callee_id is not null").select("doc_id", "start", F.col("callee_id").alias("symbol_id"))
+    many = called.filter("callee_id is not null").groupBy("doc_id", "start").agg(F.count("*").alias("n"))
+    out = refs.join(many, ["doc_id", "start"], "left").join(fits.withColumn("fits", F.lit(True)), ["doc_id", "start", "symbol_id"], "left")
+    out = out.filter("is_definition or n is null or fits")
+    return out.withColumn("n_candidates", F.when(F.col("is_definition"), F.lit(1)).otherwise(F.coalesce("n", "n_candidates")).cast("long")).select(*refs.columns)
+
+
+def _scopes(types: DataFrame, members: DataFrame, whole: DataFrame, usings: DataFrame) -> DataFrame:
+    """``(doc_id, namespace, target, rank)``: namespaces that are looked into from one, nearest first."""
+    seen = types.select("doc_id", "namespace").unionByName(whole.select("doc_id", F.col("name").alias("namespace")))
+    seen = seen.unionByName(seen.select("doc_id", F.lit(GLOBAL).alias("namespace"))).unionByName(usings.select("doc_id", F.lit(GLOBAL).alias("namespace"))).distinct()
+    parts = F.split("namespace", r"\.")
+    n = F.when(F.col("namespace") == GLOBAL, 0).otherwise(F.size(parts))
+    up = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
+        F.when(i == n, F.lit(GLOBAL)).otherwise(F.array_join(F.slice(parts, F.lit(1), n - i), ".")).alias("target"), i.alias("rank")))
+    outer = seen.select("doc_id", "namespace", F.explode(up).alias("x")).select("doc_id", "namespace", "x.target", "x.rank")
+    named = usings.filter("not is_static and alias is null").select("doc_id", F.col("name").alias("target"), F.lit(1 << 20).alias("rank"))
+    return outer.unionByName(seen.join(named, "doc_id").select("doc_id", "namespace", "target", "rank")).groupBy("doc_id", "namespace", "target").agg(F.min("rank").alias("rank"))
+
+
+def _sites(nodes: DataFrame, above: DataFrame, space: DataFrame, types: DataFrame) -> DataFrame:
+    """Names in use, with the member, the type and the namespace that they stand in."""
+    key = ["doc_id", "node_id"]
+    names = nodes.filter("kind = 'IdentifierName'").select(*PLACE, "node_id", "parent_id", F.col("ident").alias("name"), "receiver")
+    inner = types.select("doc_id", F.col("node_id").alias("type_node"), "type_id")
+    out = names.join(innermost(above, BODIES, "member_node"), key, "left").join(innermost(above, TYPE_KINDS, "type_node"), key, "left")
+    out = out.join(space, key, "left").join(inner, ["doc_id", "type_node"], "left")
+    return out.withColumn("namespace", F.coalesce("namespace", F.lit(GLOBAL)))
+
+
+def _locals(nodes: DataFrame, above: DataFrame) -> DataFrame:
+    """``(doc_id, member_node, name, symbol_id, type_text, name_start)`` of locals and parameters of members."""
+    rows = nodes.filter(F.col("kind").isin(*LOCAL_KINDS) & F.col("name_start").isNotNull())
+    made = F.regexp_extract("detail", r"^new\s+([\w.]+)", 1)
+    kind = F.when((F.col("type_text") == "var") & (F.col("kind") != "Parameter"), F.nullif(made, F.lit(""))).otherwise(F.col("type_text"))
+    return rows.join(innermost(above, BODIES, "member_node"), ["doc_id", "node_id"]).select(
+        "doc_id", "member_node", F.col("ident").alias("name"), _symbol("doc_id", "node_id").alias("symbol_id"), kind.alias("type_text"), "name_start",
+        F.col("kind").alias("node_kind"), "type_text", "line",
+    ).toDF("doc_id", "member_node", "name", "symbol_id", "type_text", "name_start", "node_kind", "written_type", "line")
+
 
+def bind_types(rows: DataFrame, types: DataFrame, scopes: DataFrame, key: list[str]) -> DataFrame:
+    """``key`` and ``found_type``: the types that (doc_id, namespace, qualifier, name) of each row means.
 
-def type_edges(types: DataFrame) -> DataFrame:
-    """``(src_type, dst_type, dst_name, kind, n_candidates)``: base and interface edges by simple name.
+    The nearest namespace that has the name decides; a qualified name also matches a whole namespace.
+    """
+    known = types.select(F.col("type_id").alias("found_type"), "name", F.col("namespace").alias("target"))
+    plain = rows.filter("qualifier is null").join(scopes, ["doc_id", "namespace"])
+    below = rows.filter("qualifier is not null").join(scopes, ["doc_id", "namespace"])
+    inside = F.when(F.col("target") == GLOBAL, F.col("qualifier")).otherwise(F.concat_ws(".", "target", "qualifier"))
+    asked = plain.unionByName(below.withColumn("target", inside))
+    hit = asked.join(known, ["name", "target"]).select(*key, "found_type", "rank")
+    best = hit.groupBy(*key).agg(F.min("rank").alias("rank"))
+    return hit.join(best, [*key, "rank"]).select(*key, "found_type").distinct()
+
+
+def _bare(type_text: Column) -> Column:
+    """The name in a type's text, without modifiers, type arguments, ranks and question marks."""
+    out = F.regexp_replace(type_text, r"^(?:(?:this|ref|out|in|params|readonly|scoped)\s+)+", "")
+    return F.regexp_extract(out, r"^([\w.]+)", 1)
+
+
+def _split_name(text: Column) -> list[Column]:
+    last = F.substring_index(text, ".", -1)
+    return [last.alias("name"), F.nullif(F.substring(text, F.lit(1), F.length(text) - F.length(last) - 1), F.lit("")).alias("qualifier")]
+
+
+def type_edges(sites: DataFrame, types: DataFrame, scopes: DataFrame) -> DataFrame:
+    """``(src_type, dst_type, dst_name, kind, n_candidates, place)``: base and interface edges.
 
     A base that no document declares has a null ``dst_type``; it counts as an interface if its name
     starts with I and a capital.
     """
-    listed = types.filter("bases is not null").select("type_id", "kind", F.posexplode(F.split(F.regexp_replace("bases", "<[^<>]*>|\\([^()]*\\)", ""), ",")).alias("i", "b"))
-    listed = listed.select(F.col("type_id").alias("src_type"), "i", F.col("kind").alias("src_kind"), F.substring_index(F.trim("b"), ".", -1).alias("dst_name"))
-    known = types.select(F.col("type_id").alias("dst_type"), F.col("name").alias("dst_name"), F.col("kind").alias("dst_kind"))
-    found = listed.join(known, "dst_name", "left")
-    count = found.groupBy("src_type", "i").agg(F.count("dst_type").alias("n_candidates"))
+    listed = types.filter("bases is not null").select("doc_id", "namespace", "type_id", F.posexplode(F.split(F.regexp_replace("bases", "<(?:[^<>]|<[^<>]*>)*>|\\([^()]*\\)", ""), ",")).alias("place", "b"))
+    listed = listed.select("doc_id", "namespace", "type_id", "place", F.trim("b").alias("b")).select("*", *_split_name(F.col("b")))
+    found = bind_types(listed, types, scopes, ["type_id", "place"])
+    out = listed.select(F.col("type_id").alias("src_type"), "place", F.col("name").alias("dst_name"))
+    out = out.join(found.select(F.col("type_id").alias("src_type"), "place", F.col("found_type").alias("dst_type")), ["src_type", "place"], "left")
+    out = out.join(types.select(F.col("type_id").alias("dst_type"), F.col("kind").alias("dst_kind")), "dst_type", "left")
+    count = out.groupBy("src_type", "place").agg(F.count("dst_type").alias("n_candidates"))
     interface = F.coalesce(F.col("dst_kind") == "interface", F.col("dst_name").rlike("^I[A-Z]"))
-    return found.join(count, ["src_type", "i"]).select(
-        "src_type", "dst_type", "dst_name", F.when(interface, "interface").otherwise("base").alias("kind"), "n_candidates"
+    return out.join(count, ["src_type", "place"]).select(
+        "src_type", "dst_type", "dst_name", F.when(interface, "interface").otherwise("base").alias("kind"), "n_candidates", "place"
     )
 
 
-def calls(nodes: DataFrame, above: DataFrame, members: DataFrame) -> DataFrame:
-    """``(caller_id, callee_id, callee_name, doc_id, line, column, args, n_candidates)``.
+def references(sites: DataFrame, types: DataFrame, members: DataFrame, locals_: DataFrame, scopes: DataFrame, bases: DataFrame) -> DataFrame:
+    """``(symbol_id, symbol_kind, doc_id, start, ..., is_definition, n_candidates)``: bound names and declarations."""
+    key = ["doc_id", "start"]
+    bare = sites.filter("receiver is null")
+    # Locals and parameters: of several of a name, the last one declared before the place.
+    near = bare.join(locals_.select("doc_id", "member_node", "name", "symbol_id", "name_start", "type_text"), ["doc_id", "member_node", "name"])
+    near = near.filter("name_start <= start").groupBy(*key).agg(F.max_by(F.struct("symbol_id", "type_text"), "name_start").alias("x"))
+    local = near.select(*key, F.col("x.symbol_id").alias("symbol_id"), F.lit("local").alias("symbol_kind"))
+    # Members that a type has itself or from the nearest base.
+    own = members.filter("kind not in ('constructor', 'destructor')").select(F.col("type_id").alias("base_id"), "member_id", "name", F.col("type_text").alias("member_type"))
+    has = bases.join(own, "base_id").select("type_id", "name", "member_id", "distance", "member_type")
+
+    def members_of(rows: DataFrame) -> DataFrame:
+        """Rows of (key, type_id, name): the members of that name in the nearest type."""
+        hit = rows.join(has, ["type_id", "name"])
+        best = hit.groupBy(*key).agg(F.min("distance").alias("distance"))
+        return hit.join(best, [*key, "distance"]).select(*key, F.col("member_id").alias("symbol_id"), "member_type").distinct()
+
+    rest = bare.join(local.select(*key), key, "left_anti")
+    mine = members_of(rest.filter("type_id is not null"))
+    inner = mine.select(*key, "symbol_id", F.lit("member").alias("symbol_kind"))
+    # What is left without a receiver may be a type; so may the receiver of another name.
+    left = rest.join(mine.select(*key).distinct(), key, "left_anti")
+    types_of = lambda rows: bind_types(rows, types, scopes, key)
+    typed = types_of(left.select(*key, "namespace", "name", F.lit(None).cast("string").alias("qualifier")))
+    named = typed.select(*key, F.col("found_type").alias("symbol_id"), F.lit("type").alias("symbol_kind"))
+    behind = sites.filter("receiver is not null and receiver <> '?'")
+    # A type of a qualified name.
+    qualified = types_of(behind.select(*key, "namespace", "name", F.col("receiver").alias("qualifier")))
+    # The receiver's type: this, base, a local, a member of the type around, or a type itself.
+    this = behind.filter("receiver = 'this'").select(*key, "name", "type_id")
+    super_ = behind.filter("receiver = 'base'").select(*key, "name", "type_id").join(bases.filter("distance = 1"), "type_id").select(*key, "name", F.col("base_id").alias("type_id"))
+    simple = behind.filter("receiver not in ('this', 'base')").withColumn("head", F.regexp_replace("receiver", r"^this\.", ""))
+    one = simple.filter("not head like '%.%'")
+    of_local = one.join(locals_.select("doc_id", "member_node", F.col("name").alias("head"), "name_start", "type_text"), ["doc_id", "member_node", "head"])
+    of_local = of_local.filter("name_start <= start and receiver = head").groupBy(*key, "name", "namespace").agg(F.max_by("type_text", "name_start").alias("type_text"))
+    other = one.join(of_local.select(*key), key, "left_anti")
+    fields = has.select("type_id", F.col("name").alias("head"), "distance", "member_type")
+    of_member = other.join(fields, ["type_id", "head"]).groupBy(*key, "name", "namespace").agg(F.min_by("member_type", "distance").alias("type_text"))
+    by_text = of_local.select(*key, "name", "namespace", "type_text").unionByName(of_member)
+    by_text = by_text.select(*key, "namespace", F.col("name").alias("wanted"), _bare(F.col("type_text")).alias("b")).select("*", *_split_name(F.col("b")))
+    valued = types_of(by_text.select(*key, "namespace", "name", "qualifier")).join(by_text.select(*key, F.col("wanted").alias("name")), key)
+    valued = valued.select(*key, "name", F.col("found_type").alias("type_id"))
+    still = simple.join(by_text.select(*key), key, "left_anti").select(*key, "namespace", F.col("name").alias("wanted"), "receiver")
+    still = still.select(*key, "namespace", "wanted", *_split_name(F.col("receiver")))
+    static = types_of(still.select(*key, "namespace", "name", "qualifier")).join(still.select(*key, F.col("wanted").alias("name")), key)
+    static = static.select(*key, "name", F.col("found_type").alias("type_id"))
+    outer = written(members_of(this.unionByName(super_).unionByName(valued).unionByName(static)), "bound")
+    far = outer.select(*key, "symbol_id", F.lit("member").alias("symbol_kind"))
+    whole = qualified.join(far.select(*key).distinct(), key, "left_anti").select(*key, F.col("found_type").alias("symbol_id"), F.lit("type").alias("symbol_kind"))
+    # Extension methods in scope, where the receiver's type has no such member.
+    extra = members.filter("is_extension").select("name", F.col("namespace").alias("target"), F.col("member_id").alias("symbol_id"))
+    loose = sites.filter("receiver is not null").join(far.unionByName(whole).select(*key).distinct(), key, "left_anti")
+    extended = loose.join(scopes, ["doc_id", "namespace"]).join(extra, ["name", "target"]).select(*key, "symbol_id", F.lit("member").alias("symbol_kind")).distinct()
+    used = local
+    for part in (inner, named, far, whole, extended):
+        used = used.unionByName(part)
+    count = used.groupBy(*key).agg(F.count("*").alias("n_candidates"))
+    used = used.join(count, key).join(sites.select(*PLACE), key)
+    used = used.select("symbol_id", "symbol_kind", *PLACE, F.lit(False).alias("is_definition"), "n_candidates")
+    return used.unionByName(_definitions(types, members, locals_))
 
-    Callees are bound by name and number of arguments; unknown ones have a null id.
-    """
-    inside = above.filter(F.col("owner_kind").isin(*METHOD_KINDS, "PropertyDeclaration")).groupBy("doc_id", "node_id").agg(F.min_by("owner_id", "distance").alias("o"))
-    sites = nodes.filter("kind = 'InvocationExpression'").join(inside, ["doc_id", "node_id"])
-    args = F.when(F.coalesce(F.trim("detail"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split("detail", ","), lambda x: F.trim(x)))
-    sites = sites.select(F.concat_ws(":", "doc_id", "o").alias("caller_id"), "doc_id", "node_id", "line", "column", F.col("ident").alias("callee_name"), args.alias("args"))
-    known = members.filter("kind = 'method'").select(F.col("member_id").alias("callee_id"), F.col("name").alias("callee_name"), "n_params")
-    hit = sites.join(known, (sites.callee_name == known.callee_name) & (F.size("args") == F.col("n_params")), "left").drop(known.callee_name)
-    count = hit.groupBy("doc_id", "node_id").agg(F.count("callee_id").alias("n_candidates"))
-    return hit.join(count, ["doc_id", "node_id"]).select("caller_id", "callee_id", "callee_name", "doc_id", "line", "column", "args", "n_candidates")
 
+def _definitions(types: DataFrame, members: DataFrame, locals_: DataFrame) -> DataFrame:
+    """Declarations as rows of references, at their names; line and columns are left to the document."""
+    id_of = {"type": (types, "type_id"), "member": (members, "member_id"), "local": (locals_, "symbol_id")}
+    out = None
+    for kind, (rows, symbol) in id_of.items():
+        line = "line" if kind == "local" else "start_line"
+        part = rows.filter("name_start is not null").select(
+            F.col(symbol).alias("symbol_id"), F.lit(kind).alias("symbol_kind"), "doc_id", F.col("name_start").alias("start"), F.length("name").alias("length"),
+            F.col(line).alias("line"), F.lit(None).cast("int").alias("column"), F.col(line).alias("end_line"), F.lit(None).cast("int").alias("end_column"),
+            F.lit(True).alias("is_definition"), F.lit(1).cast("long").alias("n_candidates"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
-def references(nodes: DataFrame, types: DataFrame, members: DataFrame) -> DataFrame:
-    """``(symbol_id, doc_id, start, length, line, column, end_line, end_column, is_definition)`` by name."""
-    symbols = types.select(F.col("type_id").alias("symbol_id"), "name").unionByName(members.select(F.col("member_id").alias("symbol_id"), "name"))
-    place = ("doc_id", "start", "length", "line", "column", "end_line", "end_column")
-    used = nodes.filter("kind = 'IdentifierName'").select("ident", *place).join(symbols, F.col("ident") == F.col("name"))
-    return used.select("symbol_id", *place, F.lit(False).alias("is_definition"))
 
+def calls(sites: DataFrame, members: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(caller_id, callee_id, callee_name, doc_id, start, line, column, args, n_candidates)``.
 
-def metrics_of(facts: Facts) -> DataFrame:
+    Callees are the bound methods that take this many arguments; unknown ones have a null id.
+    """
+    made = nodes.filter("kind = 'InvocationExpression'").select(
+        "doc_id", "start", F.col("ident").alias("callee_name"), "receiver", F.coalesce("args", F.array().cast("array<string>")).alias("args")
+    )
+    at = made.join(sites.filter("member_node is not null").select("doc_id", "start", "member_node", "line", "column"), ["doc_id", "start"])
+    bound = refs.filter("not is_definition and symbol_kind = 'member'").select("doc_id", "start", F.col("symbol_id").alias("callee_id"))
+    methods = members.filter("kind = 'method'").select(F.col("member_id").alias("callee_id"), "n_params", "n_required", "is_extension", F.get("params", F.col("n_params").cast("int") - 1)["type"].startswith("params ").alias("many"))
+    given = F.size("args") + (F.col("is_extension") & F.col("receiver").isNotNull()).cast("int")
+    fits = (given >= F.col("n_required")) & ((given <= F.col("n_params")) | F.coalesce("many", F.lit(False)))
+    hit = at.join(bound, ["doc_id", "start"]).join(methods, "callee_id").filter(fits).select("doc_id", "start", "callee_id")
+    out = at.join(hit, ["doc_id", "start"], "left")
+    count = out.groupBy("doc_id", "start").agg(F.count("callee_id").alias("n_candidates"))
+    return out.join(count, ["doc_id", "start"]).select(
+        _symbol("doc_id", "member_node").alias("caller_id"), "callee_id", "callee_name", "doc_id", "start", "line", "column", "args", "n_candidates"
+    )
+
+
+def metrics_of(facts: Facts, nested: str = "inclusive") -> DataFrame:
     """Complexity and lines of each method and property, with their type, namespace and document.
 
-    Branches of a nested type's members also count for the types around it. An accessor counts one
-    and its branches.
+    Branches of a nested type's members also count for the members around it, unless ``nested`` is
+    ``exclusive``. An accessor counts one and its branches.
     """
     branch = facts.nodes.filter(F.col("kind").isin(*metrics.BRANCH_KINDS)).select("doc_id", "node_id", "kind")
     accessor = facts.nodes.filter("kind = 'AccessorDeclaration'").select("doc_id", "node_id", "kind")
-    inside = facts.above.select("doc_id", "node_id", "owner_id").join(branch.unionByName(accessor), ["doc_id", "node_id"])
+    inside = facts.above.filter(F.col("owner_kind").isin(*MEMBER_KINDS)).join(branch.unionByName(accessor), ["doc_id", "node_id"])
+    if nested == "exclusive":
+        inside = innermost(inside, MEMBER_KINDS, "owner_id")
     count = inside.groupBy("doc_id", F.col("owner_id").alias("node_id")).agg(F.count("*").alias("more"))
     m = facts.members.filter("kind in ('method', 'constructor', 'property')").join(count, ["doc_id", "node_id"], "left")
     return m.select(
@@ -157,18 +342,35 @@ def metrics_of(facts: Facts) -> DataFrame:
     )
 
 
-def syntax_diagnostics(documents: DataFrame) -> DataFrame:
-    """Unbalanced brackets, the errors that need no compiler: ``(id, severity, message, doc_id, ...)``."""
-    bare = F.regexp_replace("content", r'(?s)//[^\n]*|/\*.*?\*/|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', " ")
-    rows = documents.select("doc_id", "path", bare.alias("t"), F.size(F.split("content", "\n")).alias("n"))
-    count = lambda c: F.length("t") - F.length(F.translate("t", c, ""))
-    found = rows.select(
-        "doc_id", "path", "n",
-        F.explode(F.array(*(F.struct(F.lit(c).alias("id"), F.lit(m).alias("message"), (count(a) - count(b)).alias("open")) for c, m, a, b in (
-            ("CS1513", "} expected", "{", "}"), ("CS1026", ") expected", "(", ")"), ("CS1003", "] expected", "[", "]"))))).alias("x"),
-    )
-    return found.filter("x.open <> 0").select(
-        F.col("x.id").alias("id"), F.lit("Error").alias("severity"), F.col("x.message").alias("message"), "doc_id", "path",
-        (F.col("n") - 1).alias("start_line"), F.lit(0).alias("start_column"), (F.col("n") - 1).alias("end_line"),
-        F.lit(0).alias("end_column"), F.lit(0).alias("warning_level"), F.lit(False).alias("is_warn_as_error"),
+#: Severities of the diagnostics that the parser and the relations give.
+SEVERITY = {"CS0168": "Warning", "CS0219": "Warning", "CS8019": "Hidden"}
+
+
+def diagnostics(facts: Facts) -> DataFrame:
+    """What source text alone shows: ``(id, severity, message, doc_id, path, project, start_line, ...)``.
+
+    Syntax errors of the parser; names declared twice (CS0101, CS0111 by number of parameters);
+    locals that are never named again (CS0168 without a value, CS0219 with one); and usings that
+    nothing needs (CS8019, hidden).
+    """
+    place = ("doc_id", F.col("line").alias("start_line"), F.col("column").alias("start_column"), "end_line", "end_column")
+    wrong = facts.nodes.filter("kind = 'Error'").select(F.col("ident").alias("id"), F.col("detail").alias("message"), *place)
+    decl = facts.nodes.select("doc_id", "node_id", F.col("line").alias("start_line"), F.col("column").alias("start_column"), "end_line", "end_column")
+    again = lambda rows, by, id_, text: rows.join(
+        rows.groupBy(*by).agg(F.min(F.struct("doc_id", "node_id")).alias("first"), F.count("*").alias("n")).filter("n > 1"), list(by)
+    ).filter("struct(doc_id, node_id) <> first").select(F.lit(id_).alias("id"), F.concat(F.col("name"), F.lit(text)).alias("message"), "doc_id", "node_id")
+    plain = facts.types.filter("type_node is null and not coalesce(array_contains(split(modifiers, ' '), 'partial'), false)")
+    twice = again(plain, ("namespace", "name"), "CS0101", " is declared twice in its namespace")
+    methods = facts.members.filter("kind = 'method'").withColumn("kinds", F.concat_ws(",", F.transform("params", lambda x: x["type"])))
+    twice = twice.unionByName(again(methods, ("type_id", "name", "kinds"), "CS0111", " is declared twice in its type")).join(decl, ["doc_id", "node_id"]).drop("node_id")
+    unread = facts.locals.filter("node_kind <> 'Parameter'").join(facts.refs.filter("not is_definition and symbol_kind = 'local'").select("symbol_id").distinct(), "symbol_id", "left_anti")
+    unread = unread.withColumn("node_id", F.substring_index("symbol_id", ":", -1).cast("long")).join(facts.nodes.select("doc_id", "node_id", "detail"), ["doc_id", "node_id"])
+    id_ = F.when(F.col("detail").isNull(), "CS0168").otherwise("CS0219")
+    unread = unread.select(id_.alias("id"), F.concat(F.col("name"), F.lit(" is never used")).alias("message"), "doc_id", "node_id").join(decl, ["doc_id", "node_id"]).drop("node_id")
+    out = wrong.unionByName(twice).unionByName(unread)
+    severity = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv)), F.col("id")), F.lit("Error"))
+    more = [c for c in ("path", "project") if c in facts.documents.columns]
+    return out.join(facts.documents.select("doc_id", *more), "doc_id").select(
+        "id", severity.alias("severity"), "message", "doc_id", *more, "start_line", "start_column", "end_line", "end_column",
+        F.when(severity == "Error", 0).otherwise(F.when(F.col("id") == "CS8019", 4).otherwise(3)).alias("warning_level"), F.lit(False).alias("is_warn_as_error"),
     )

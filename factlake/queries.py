@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factlake import tools
 from factlake.functions import names
-from factlake.operators import cache, graph, metrics, text
+from factlake.operators import cache, graph, lookup, metrics, text
 from factlake.sources.tables import table
 from factlake.streaming import sessions
 
@@ -79,27 +80,18 @@ def build_order(spark, d):
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_returnflag = 'R')")
 def startup_projects(spark, d):
-    used = table(spark, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
-    return table(spark, d, "supplier").join(used, "s_suppkey", "left_anti").select("s_suppkey", "s_name")
-
-
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), walk AS (
-  SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_size = 1
-  UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 4)
-SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
-def call_graph_bfs(spark, d):
-    start = table(spark, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("node"))
-    nodes, _ = graph.call_graph(_part_edges(spark, d, True), start, 4)
-    return nodes
+    used = table(spark, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1 and l_returnflag = 'R'").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    projects = table(spark, d, "supplier").select(F.col("s_suppkey").alias("project"), "s_name", F.lit("Exe").alias("output_type"))
+    return tools.startup_projects(projects, used).select(F.col("project").alias("s_suppkey"), "s_name")
 
 
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), walk AS (
   SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_size = 1
   UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 10)
 SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
-def call_graph_bfs_10(spark, d):
+def call_graph_bfs(spark, d):
     start = table(spark, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("node"))
-    nodes, _ = graph.call_graph(_part_edges(spark, d, True), start, 10)
+    nodes, _ = graph.call_graph(_part_edges(spark, d, True), start)
     return nodes
 
 
@@ -245,9 +237,8 @@ def node_depth(spark, d):
 JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts GROUP BY e.event_id""")
 def point_lookup(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    hits = e.join(o, e.user_id == o.o_custkey).filter("o_orderdate <= ts")
-    return hits.groupBy("event_id").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("order_key"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("order_key"))
+    return lookup.last_before(e, o, "user_id", "ts", "order_key", "order_key").filter("order_key is not null").select("event_id", "order_key")
 
 
 @query("""WITH s AS (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1, 2)
@@ -376,13 +367,8 @@ def to_camel(spark, d):
     )
 
 
-@query("SELECT page_id, list_last(string_split(html[1:400], '.')) AS segment FROM pages")
-def last_segment(spark, d):
-    return table(spark, d, "pages").select("page_id", names.last_segment(F.left("html", F.lit(400))).alias("segment"))
-
-
 @query("SELECT page_id, list_last(string_split(html, '.')) AS segment FROM pages")
-def last_segment_whole(spark, d):
+def last_segment(spark, d):
     return table(spark, d, "pages").select("page_id", names.last_segment(F.col("html")).alias("segment"))
 
 
@@ -409,6 +395,29 @@ def cache_hit_rate(spark, d):
     return cache.hit_rate(cache.ttl_hits(table(spark, d, "events"), "user_id", "ts", 3600, "event_id"), "user_id", "ts")
 
 
+@query(f"""WITH {_TTL} SELECT count(DISTINCT user_id) AS keys, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) FILTER (hit) / count(*) AS rate FROM h""")
+def cache_summary(spark, d):
+    return cache.summary(cache.ttl_hits(table(spark, d, "events"), "user_id", "ts", 3600, "event_id"), "user_id")
+
+
+@query("SELECT user_id, max(ts) AS last FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 10 DAY")
+def cache_expired(spark, d):
+    e = table(spark, d, "events")
+    return cache.expired(e, "user_id", "ts", 864_000, e.agg(F.max("ts")).first()[0])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size / 50 >= 0.9 THEN 'critical' WHEN p_size / 50 >= 0.85 THEN 'warning' ELSE 'normal' END AS level FROM part")
+def cache_pressure(spark, d):
+    return table(spark, d, "part").select("p_partkey", cache.pressure(F.col("p_size"), F.lit(50)).alias("level"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Unknown' ELSE p_size || '.0.1' END AS version FROM part""")
+def version_in_path(spark, d):
+    part = F.when(F.col("p_size") % 3 == 0, F.lit("net")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".0.1")))
+    path = F.concat(F.lit("C:\\packages\\log\\"), part, F.lit("\\lib/x.dll"))
+    return table(spark, d, "part").select("p_partkey", names.version_in_path(path).alias("version"))
+
+
 @query("""WITH t AS (SELECT DISTINCT event_type AS k FROM events),
 seen AS (SELECT e.event_id, e.event_type, t.k, max(CASE WHEN e.event_type = t.k THEN e.event_id END) OVER (
   PARTITION BY t.k ORDER BY e.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events e, t),
@@ -424,9 +433,7 @@ def cache_lru_hits(spark, d):
 
 @query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS oldest, min(o_orderdate) AS since FROM orders GROUP BY o_custkey")
 def topk_oldest(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(
-        F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("oldest"), F.min("o_orderdate").alias("since")
-    )
+    return cache.oldest(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
 
 
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
@@ -451,8 +458,7 @@ FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey,
 def to_json_response(spark, d):
     r, n = table(spark, d, "region"), table(spark, d, "nation")
     rows = r.join(n, n.n_regionkey == r.r_regionkey, "left").groupBy("r_regionkey", "r_name").agg(F.count("n_nationkey").alias("nations"))
-    body = F.to_json(F.struct(F.lit(True).alias("success"), F.col("r_name").alias("name"), "nations"))
-    return rows.select("r_regionkey", body.alias("response"))
+    return rows.withColumnRenamed("r_name", "name").select("r_regionkey", tools.envelope("name", "nations").alias("response"))
 
 
 @query("""SELECT 'digraph Nations {' || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) || '}' AS dot FROM (

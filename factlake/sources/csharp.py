@@ -20,7 +20,13 @@ from factlake.functions.names import KEYWORDS
 
 NODE_SCHEMA = (
     "doc_id string, node_id long, parent_id long, kind string, start int, length int, line int, column int, "
-    "end_line int, end_column int, depth int, ident string, modifiers string, type_text string, detail string"
+    "end_line int, end_column int, depth int, ident string, modifiers string, type_text string, detail string, "
+    "receiver string, args array<string>, name_start int, owners array<long>, ancestors array<string>"
+)
+OWNERS = frozenset(
+    "ClassDeclaration StructDeclaration InterfaceDeclaration RecordDeclaration RecordStructDeclaration EnumDeclaration NamespaceDeclaration "
+    "FileScopedNamespaceDeclaration MethodDeclaration ConstructorDeclaration DestructorDeclaration OperatorDeclaration PropertyDeclaration "
+    "IndexerDeclaration FieldDeclaration FieldDeclarator EventDeclaration EnumMemberDeclaration".split()
 )
 MODIFIERS = frozenset(
     "public private protected internal static abstract sealed virtual override async readonly const new extern unsafe "
@@ -46,6 +52,12 @@ _TOKEN = re.compile(
 )
 
 
+_ASSIGN = frozenset(("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "??=", "++", "--"))
+
+
+_TYPE_MARKS = frozenset((".", "<", ">", ",", "?", "[", "]", "*", "::", "(", ")"))
+
+
 @dataclass
 class Token:
     kind: str
@@ -65,6 +77,9 @@ class Node:
     modifiers: str | None = None
     type_text: str | None = None
     detail: str | None = None
+    receiver: str | None = None
+    args: list[str] | None = None
+    name_start: int | None = None
     number: int = field(default=-1)
 
 
@@ -82,7 +97,7 @@ class _Parser:
         self.source = source
         self.code, self.trivia = tokens(source)
         self.nodes: list[Node] = []
-        self.at = 0
+        self.wrong: list[tuple[str, str, int, int]] = []
         self.match = self._brackets()
 
     def _brackets(self) -> dict[int, int]:
@@ -93,19 +108,31 @@ class _Parser:
             if t.text in pairs:
                 stack.append(i)
             elif t.text in pairs.values():
-                while stack and pairs[self.code[stack[-1]].text] != t.text:
-                    stack.pop()
-                if stack:
-                    out[stack.pop()] = i
-        for i in stack:
+                if not any(pairs[self.code[k].text] == t.text for k in stack):
+                    self.wrong.append(("CS1022", f"{t.text} unexpected", t.start, t.end))
+                    continue
+                while pairs[self.code[stack[-1]].text] != t.text:
+                    self._open(stack.pop(), t.start)
+                out[stack.pop()] = i
+        for i in reversed(stack):
             out[i] = len(self.code) - 1
+            self._open(i, self.code[-1].end)
         return out
 
+    def _open(self, i: int, at: int) -> None:
+        """Note that bracket i has no partner before a place."""
+        t = self.code[i]
+        error = {"{": ("CS1513", "} expected"), "(": ("CS1026", ") expected"), "[": ("CS1003", "] expected")}[t.text]
+        self.wrong.append((*error, at, at))
+
     def text(self, i: int) -> str:
         return self.code[i].text if 0 <= i < len(self.code) else ""
 
-    def add(self, kind: str, first: int, last: int, parent: Node | None, **more) -> Node:
+    def add(self, kind: str, first: int, last: int, parent: Node | None, name: int | None = None, **more) -> Node:
+        """A node from token ``first`` to ``last``; its name, if it declares one, is token ``name``."""
         last = max(first, min(last, len(self.code) - 1))
+        if name is not None:
+            more |= {"ident": self.text(name), "name_start": self.code[name].start if name < len(self.code) else None}
         start = self.code[first].start if self.code else 0
         end = self.code[last].end if self.code else len(self.source)
         node = Node(kind, start, end, parent.number if parent else -1, parent.depth + 1 if parent else 0, **more)
@@ -125,8 +152,62 @@ class _Parser:
             kind = {"doc": "DocumentationComment", "directive": "Directive"}.get(t.kind, "Comment")
             node = Node(kind, t.start, t.end, 0, 1, detail=t.text, number=len(self.nodes))
             self.nodes.append(node)
+            if t.text.startswith("/*") and not (t.text.endswith("*/") and len(t.text) > 3):
+                self.wrong.append(("CS1035", "end of comment expected", t.start, t.end))
+        for t in self.code:
+            if t.kind in ("string", "verbatim", "raw") and (len(t.text.lstrip("$@")) < 2 or not t.text.endswith('"')):
+                self.wrong.append(("CS1010", "end of string expected", t.start, t.end))
+        for id_, message, start, end in sorted(self.wrong, key=lambda x: (x[2], x[0])):
+            self.nodes.append(Node("Error", start, end, 0, 1, ident=id_, detail=message, number=len(self.nodes)))
         return self.nodes
 
+    def type_names(self, i: int, j: int, parent: Node) -> None:
+        """Names of types between two tokens, as in a declaration."""
+        for k in range(i, j):
+            t = self.code[k]
+            if t.kind == "name" and t.text not in KEYWORDS and t.text not in ("var", "where", "notnull", "unmanaged", "await"):
+                self.add("IdentifierName", k, k, parent, ident=t.text, receiver=self._receiver(k))
+
+    def declarators(self, i: int, j: int) -> list[tuple[int, int, int]]:
+        """(name, first of the value, end) of each variable in a declaration; no value has equal places."""
+        out, k = [], i
+        while k < j:
+            # Up to the name, commas may stand between type arguments; behind "=", in expressions.
+            cut = self._comma(k, j)
+            equals = self.find(k, cut, "=")
+            name = equals - 1
+            if name < i or self.code[name].kind != "name":
+                break
+            out.append((name, min(equals + 1, cut), cut))
+            k = cut + 1
+        return out
+
+    def _value_end(self, i: int, j: int) -> int:
+        """The next comma that isn't inside brackets or the type arguments of an expression."""
+        while i < j:
+            t = self.text(i)
+            if t in ("(", "[", "{") and i in self.match:
+                i = self.match[i]
+            elif t == "<" and self.code[i - 1].kind == "name":
+                i = self._arguments_end(i, j) or i
+            elif t == ",":
+                return i
+            i += 1
+        return j
+
+    def _arguments_end(self, i: int, j: int) -> int | None:
+        """The closing mark of type arguments that begin at i, by the rule of the language, if they are some."""
+        deep = 0
+        for k in range(i, j):
+            x = self.text(k)
+            if x in ("<", ">"):
+                deep += 1 if x == "<" else -1
+                if not deep:
+                    return k if self.text(k + 1) in ("(", ")", "]", "}", ":", ";", ",", ".", "?", "==", "!=", "|", "^", "&&", "||", "&", "[", "{", "") else None
+            elif self.code[k].kind != "name" and x not in (",", ".", "?", "[", "]", "(", ")"):
+                return None
+        return None
+
     def find(self, i: int, end: int, marks: str) -> int:
         """The next token at bracket depth 0 that is one of the marks."""
         while i < end:
@@ -145,7 +226,7 @@ class _Parser:
                 i += 1
             elif t == "[":
                 j = self.match.get(i, i)
-                self.add("AttributeList", i, j, parent, detail=self.source_of(i + 1, j))
+                self.attributes(i, j, self.add("AttributeList", i, j, parent, detail=self.source_of(i + 1, j)))
                 i = j + 1
             elif t in ("using", "global") and owner is None and (t == "using" or self.text(i + 1) == "using"):
                 i = self.using(i, end, parent)
@@ -154,6 +235,25 @@ class _Parser:
             else:
                 i = self.member(i, end, parent, owner)
 
+    def attributes(self, i: int, end: int, parent: Node) -> None:
+        """The attributes between two square brackets, with the texts of their arguments."""
+        k = i + 1
+        if self.text(k + 1) == ":":  # a target such as assembly
+            k += 2
+        while k < end:
+            j = self._value_end(k, end)
+            paren = self.find(k, j, "(")
+            args = self._listed(paren + 1, self.match.get(paren, j)) if paren < j else []
+            self.add("Attribute", k, j - 1, parent, ident=self.source_of(k, paren), args=args)
+            k = j + 1
+
+    def explicit(self, i: int, k: int) -> tuple[int, str | None]:
+        """Where the type of a member named by token k ends, and the interface that it names explicitly."""
+        j = k
+        while j - 2 > i and self.text(j - 1) == "." and self.code[j - 2].kind == "name":
+            j -= 2
+        return j, self.source_of(j, k - 1) if j < k else None
+
     def using(self, i: int, end: int, parent: Node) -> int:
         j = self.find(i, end, ";")
         if self.text(i + 1) in ("(", "var"):
@@ -194,18 +294,25 @@ class _Parser:
         if self.text(i) == "event":
             k = stop - 1
             j = self.match.get(stop, stop) if self.text(stop) == "{" else self.find(stop, end, ";")
-            self.add("EventDeclaration", first, j, parent, ident=self.text(k), modifiers=modifiers, type_text=self.source_of(i + 1, k))
+            event = self.add("EventDeclaration", first, j, parent, k, modifiers=modifiers, type_text=self.source_of(i + 1, k))
+            self.type_names(i + 1, k, event)
             return j + 1
         if paren < stop and (self.code[paren - 1].kind == "name" or self.text(paren - 1) in (">", "]") or self.text(i) in ("operator", "~")):
             return self.method(first, i, paren, end, parent, owner, modifiers)
         if self.text(stop) in ("{", "=>") and stop > i:
             return self.property(first, i, stop, end, parent, modifiers)
         j = self.find(i, end, ";")
-        k = self.find(i, j, "= ,")
-        self.add("FieldDeclaration", first, j, parent, ident=self.text(k - 1), modifiers=modifiers, type_text=self.source_of(i, k - 1))
-        if self.text(k) == "=":
-            self.expression(k + 1, j, self.nodes[-1])
-        return j + 1
+        found = self.declarators(i, j)
+        kind = self.source_of(i, found[0][0]) if found else None
+        node = None
+        for n, (name, value, stop) in enumerate(found):
+            if not n:
+                node = self.add("FieldDeclaration", first, j, parent, name, modifiers=modifiers, type_text=kind)
+                self.type_names(i, name, node)
+            else:
+                self.add("FieldDeclarator", name, stop - 1, parent, name, modifiers=modifiers, type_text=kind)
+            self.expression(value, stop, self.nodes[-1] if n else node)
+        return max(j, i) + 1
 
     def type(self, first: int, i: int, end: int, parent: Node, modifiers: str | None) -> int:
         kind = _TYPES[self.text(i)]
@@ -218,7 +325,9 @@ class _Parser:
         colon = self.find(i + 2, body, ":")
         where = next((k for k in range(i, body) if self.code[k].text == "where"), body)
         bases = self.source_of(colon + 1, where) if colon < where else None
-        node = self.add(kind, first, last, parent, ident=name, modifiers=modifiers, type_text=bases)
+        node = self.add(kind, first, last, parent, i + 1, modifiers=modifiers, type_text=bases)
+        if bases:
+            self.type_names(colon + 1, where, node)
         paren = self.find(i + 2, min(colon, body), "(")
         if paren < min(colon, body):
             self.parameters(paren, node)
@@ -228,7 +337,7 @@ class _Parser:
                 while k < last:
                     j = self.find(k, last, ",")
                     if self.code[k].kind == "name":
-                        self.add("EnumMemberDeclaration", k, j - 1, node, ident=self.text(k))
+                        self.add("EnumMemberDeclaration", k, j - 1, node, k)
                     k = j + 1
             else:
                 self.members(body + 1, last, node, name)
@@ -244,7 +353,8 @@ class _Parser:
                 begin = self.match.get(begin, begin) + 1
             if equals - 1 >= begin:
                 default = self.source_of(equals + 1, j) if equals < j else None
-                self.add("Parameter", k, j - 1, parent, ident=self.text(equals - 1), type_text=self.source_of(begin, equals - 1), detail=default)
+                node = self.add("Parameter", k, j - 1, parent, equals - 1, type_text=self.source_of(begin, equals - 1), detail=default)
+                self.type_names(begin, equals - 1, node)
             k = j + 1
 
     def _comma(self, i: int, end: int) -> int:
@@ -258,8 +368,8 @@ class _Parser:
                 angle += 1
             elif t == ">":
                 angle -= 1
-            elif t == "," and angle <= 0:
-                return i
+            elif t == "," and angle <= 0 or t == "=":
+                return i if t == "," else self._value_end(i, end)
             i += 1
         return end
 
@@ -283,7 +393,9 @@ class _Parser:
             kind = "DestructorDeclaration" if self.text(k - 1) == "~" else "ConstructorDeclaration"
         elif "operator" in (self.text(k), self.text(k - 1), self.text(i)):
             kind = "OperatorDeclaration"
-        node = self.add(kind, first, last, parent, ident=name, modifiers=modifiers, type_text=self.source_of(i, k) or None)
+        stop, face = self.explicit(i, k) if kind == "MethodDeclaration" else (k, None)
+        node = self.add(kind, first, last, parent, k, modifiers=modifiers, type_text=self.source_of(i, stop) or None, receiver=face)
+        self.type_names(i, k, node)
         self.parameters(paren, node)
         if self.text(body) == "{":
             block = self.add("Block", body, last, node)
@@ -299,7 +411,9 @@ class _Parser:
         if self.text(k) == "]":
             kind = "IndexerDeclaration"
             k = next((a for a, b in self.match.items() if b == k), k) - 1
-        node = self.add(kind, first, last, parent, ident=self.text(k), modifiers=modifiers, type_text=self.source_of(i, k))
+        upto, face = self.explicit(i, k)
+        node = self.add(kind, first, last, parent, k, modifiers=modifiers, type_text=self.source_of(i, upto), receiver=face)
+        self.type_names(i, k, node)
         if self.text(stop) == "=>":
             self.expression(stop + 1, last, node)
             return last + 1
@@ -357,7 +471,7 @@ class _Parser:
                 elif t == "switch" or self.text(i + 1) == "(" and t not in ("return", "throw", "else", "try", "do"):
                     node = self.add(_STATEMENTS[t], i, j - 1, parent)
                     close = self.match.get(i + 1, i + 1)
-                    self.expression(i + 2, close, node)
+                    self.expression(self.head(t, i + 2, close, node), close, node)
                     self.statements(close + 1, j, node)
                 else:
                     node = self.add(_STATEMENTS[t], i, j - 1, parent, detail=self.source_of(i + 1, j - 1) if t in ("return", "throw") else None)
@@ -376,16 +490,49 @@ class _Parser:
                 self.local(begin, j, parent)
             i = j
 
+    def head(self, t: str, i: int, close: int, node: Node) -> int:
+        """The variables that a loop, using or catch declares; where its other expressions begin."""
+        if t == "foreach":
+            k = next((k for k in range(i, close) if self.text(k) == "in"), close)
+            if k < close and k - 2 >= i and self.code[k - 1].kind == "name":
+                self.add("LocalDeclarator", k - 1, k - 1, node, k - 1, type_text=self.source_of(i, k - 1))
+                self.type_names(i, k - 1, node)
+                return k + 1
+        elif t in ("for", "using"):
+            stop = self.find(i, close, ";")
+            equals = self.find(i, stop, "= (")
+            if self.text(equals) == "=" and equals - 2 >= i and equals < stop and all(self.code[k].kind == "name" for k in (equals - 1, equals - 2)):
+                found = self.declarators(i, stop)
+                for name, value, end in found:
+                    given = self.source_of(value, end) or None
+                    self.add("LocalDeclarator", name, end - 1, node, name, type_text=self.source_of(i, found[0][0]), detail=given)
+                    self.expression(value, end, node)
+                self.type_names(i, found[0][0], node)
+                return stop
+        elif t == "catch" and close - i == 2 and self.code[close - 1].kind == "name":
+            self.add("LocalDeclarator", close - 1, close - 1, node, close - 1, type_text=self.text(i))
+            self.type_names(i, close - 1, node)
+            return close
+        return i
+
     def local(self, i: int, j: int, parent: Node) -> None:
         """A declaration, a local function or an expression statement."""
         stop = self.find(i, j, "= ; (")
-        names = [k for k in range(i, min(stop, j)) if self.code[k].kind == "name"]
-        if len(names) >= 2 and self.text(stop) in ("=", ";") and self.code[stop - 1].kind == "name" and self.text(i) not in ("await", "yield", "goto", "new", "throw"):
-            node = self.add(
-                "LocalDeclarationStatement", i, j - 1, parent, ident=self.text(stop - 1), type_text=self.source_of(i, stop - 1),
-                detail=self.source_of(stop + 1, self.find(stop, j, ";")) if self.text(stop) == "=" else None,
-            )
-            self.expression(stop + 1, j, node)
+        first = self.find(i, min(stop, j), ",")
+        k = (first if first < stop and self.text(i) != "(" and "<" not in [self.text(x) for x in range(i, first)] else stop) - 1
+        typed = k > i and self.code[k].kind == "name" and (self.code[k - 1].kind == "name" or self.text(k - 1) in (">", "]", "?", "*", ")"))
+        typed = typed and all(self.code[x].kind == "name" or self.text(x) in _TYPE_MARKS for x in range(i, k))
+        if typed and self.text(stop) in ("=", ";") and self.text(i) not in ("await", "yield", "goto", "new", "throw"):
+            found = self.declarators(i, self.find(i, j, ";"))
+            kind, node = self.source_of(i, found[0][0]), None
+            for n, (name, value, stop) in enumerate(found):
+                given = self.source_of(value, stop) or None
+                if not n:
+                    node = self.add("LocalDeclarationStatement", i, j - 1, parent, name, type_text=kind, detail=given)
+                    self.type_names(i, name, node)
+                else:
+                    self.add("LocalDeclarator", name, stop - 1, node, name, type_text=kind, detail=given)
+                self.expression(value, stop, self.nodes[-1] if n else node)
             return
         node = self.add("ExpressionStatement", i, j - 1, parent)
         self.expression(i, j, node)
@@ -405,14 +552,23 @@ class _Parser:
                 close = self._generic(i + 1, end)
                 if self.text(close) == "(" and self.text(i - 1) != "new":
                     last = self.match.get(close, close)
-                    receiver = self._receiver(i)
                     args = self.source_of(close + 1, last)
-                    self.add("InvocationExpression", i, last, parent, ident=t.text, type_text=receiver, detail=args)
+                    self.add("InvocationExpression", i, last, parent, ident=t.text, receiver=self._receiver(i), detail=args, args=self._listed(close + 1, last))
                 elif self.text(i - 1) == "new":
-                    self.add("ObjectCreationExpression", i - 1, self.match.get(close, close), parent, ident=t.text)
-                self.add("IdentifierName", i, i, parent, ident=t.text)
+                    while self.text(close) == "." and close + 1 < end and self.code[close + 1].kind == "name":
+                        self.add("IdentifierName", i, i, parent, ident=self.text(i), receiver=self._receiver(i))
+                        i, t = close + 1, self.code[close + 1]
+                        close = self._generic(i + 1, end)
+                    last = self.match.get(close, close) if self.text(close) == "(" else close
+                    args = self._listed(close + 1, last) if last > close else None
+                    self.add("ObjectCreationExpression", i, last, parent, ident=t.text, receiver=self._receiver(i), args=args)
+                    self.nodes[-1].start = self.code[i - 1 if self.text(i - 1) == "new" else i].start
+                writes = self.text(i + 1) in _ASSIGN or self.text(i - 1) in ("++", "--", "out", "ref")
+                self.add("IdentifierName", i, i, parent, ident=t.text, receiver=self._receiver(i), detail="write" if writes else None)
             elif t.kind in ("string", "verbatim", "raw"):
-                self.add("StringLiteralExpression", i, i, parent, detail=t.text)
+                node = self.add("StringLiteralExpression", i, i, parent, detail=t.text)
+                if "$" in t.text[:2]:
+                    self._holes(t, node)
             elif t.kind == "number":
                 self.add("NumericLiteralExpression", i, i, parent, detail=t.text)
             elif t.text == "?" and self._conditional(i, end):
@@ -421,6 +577,37 @@ class _Parser:
                 self.add("BinaryExpression", i, i, parent, detail=t.text)
             i += 1
 
+    def _listed(self, i: int, end: int) -> list[str]:
+        """Texts of the arguments between two brackets."""
+        out = []
+        while i < end:
+            j = self._value_end(i, end)
+            out.append(self.source_of(i, j))
+            i = j + 1
+        return out
+
+    def _holes(self, t: Token, node: Node) -> None:
+        """The expressions in an interpolated string."""
+        i, text = t.text.index('"') + 1, t.text
+        while i < len(text):
+            if text[i] == "{" and text[i + 1 : i + 2] != "{":
+                deep, j, stop = 1, i + 1, None
+                while j < len(text) and deep:
+                    deep += (text[j] in "{([") - (text[j] in "})]")
+                    if deep == 1 and text[j] in ":," and stop is None and text[j : j + 2] != "::":
+                        stop = j
+                    j += 1
+                inner = _Parser(text[i + 1 : j - 1 if stop is None else stop])
+                inner.expression(0, len(inner.code), Node("", 0, depth=node.depth, number=-1))
+                first = len(self.nodes)
+                for n in inner.nodes:
+                    n.start, n.end = n.start + t.start + i + 1, n.end + t.start + i + 1
+                    n.parent, n.number = node.number if n.parent < 0 else n.parent + first, n.number + first
+                    self.nodes.append(n)
+                i = j
+            else:
+                i += 2 if text[i : i + 2] == "{{" else 1
+
     def _generic(self, i: int, end: int) -> int:
         """Past type arguments that begin at i, if they are some."""
         if self.text(i) != "<":
@@ -440,9 +627,12 @@ class _Parser:
         return i
 
     def _receiver(self, i: int) -> str | None:
+        """What stands before the dot: names, or ? for any other expression."""
         j = i
         while self.text(j - 1) in (".", "?.") and j >= 2 and self.code[j - 2].kind == "name":
             j -= 2
+        if self.text(j - 1) in (".", "?.") and j >= 1:
+            return "?"
         return self.source_of(j, i - 1) if j < i else None
 
     def _conditional(self, i: int, end: int) -> bool:
@@ -454,7 +644,26 @@ class _Parser:
 
 def parse(source: str) -> list[Node]:
     """Nodes of one file, the root first, parents before children."""
-    return _Parser(source.removeprefix("﻿")).run()
+    return _Parser(source.removeprefix("\ufeff")).run()
+
+
+def _chains(nodes: list[Node]) -> tuple[list[list[int]], list[list[str]]]:
+    """For each node, root first: the declarations that it lies in, and the kinds of all its ancestors."""
+    owners: list[list[int]] = []
+    kinds: list[list[str]] = []
+    declared: list[Node] = [n for n in nodes if n.kind in OWNERS]
+    for n in nodes:
+        if n.parent < 0:
+            owners.append([])
+            kinds.append([])
+        elif n.parent == 0 and n.kind in ("Comment", "DocumentationComment", "Directive", "Error"):
+            owners.append([d.number for d in declared if d.start <= n.start and n.end <= d.end])
+            kinds.append([nodes[0].kind, *(nodes[d].kind for d in owners[-1])])
+        else:
+            up = nodes[n.parent]
+            owners.append(owners[n.parent] + [n.parent] * (up.kind in OWNERS))
+            kinds.append([*kinds[n.parent], up.kind])
+    return owners, kinds
 
 
 def syntax_nodes(documents: DataFrame) -> DataFrame:
@@ -467,16 +676,17 @@ def syntax_nodes(documents: DataFrame) -> DataFrame:
             for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
                 if content is None:
                     continue
-                text = content.removeprefix("﻿")
+                text = content.removeprefix("\ufeff")
                 starts = [0, *(m.end() for m in re.finditer("\n", text))]
-                for n in parse(text):
+                nodes = parse(text)
+                for n, owners, kinds in zip(nodes, *_chains(nodes), strict=True):
                     a, b = (bisect.bisect_right(starts, x) - 1 for x in (n.start, n.end))
                     rows.append(
                         (doc, n.number, n.parent if n.parent >= 0 else None, n.kind, n.start, n.end - n.start, a, n.start - starts[a],
-                         b, n.end - starts[b], n.depth, n.ident, n.modifiers, n.type_text, n.detail)
+                         b, n.end - starts[b], n.depth, n.ident, n.modifiers, n.type_text, n.detail, n.receiver, n.args, n.name_start,
+                         owners, kinds)
                     )
             out = pd.DataFrame(rows, columns=columns)
-            out["parent_id"] = out["parent_id"].astype("Int64")
-            yield out
+            yield out.astype({"parent_id": "Int64", "name_start": "Int32"})
 
     return documents.select(F.col("doc_id").cast("string"), "content").mapInPandas(run, NODE_SCHEMA)

@@ -86,11 +86,14 @@ def test_calls(facts):
     m = {r["member_id"]: r["name"] for r in facts.members.collect()}
     found = sorted((m[r["caller_id"]], m.get(r["callee_id"])) for r in facts.calls.collect())
     assert found == [("Area", "Log"), ("Area", "Scale"), ("Area", "Scale"), ("Log", "Scale"), ("Scale", "Log")]
-    assert {m[r["caller_id"]] for r in tools.get_caller_info(facts, "Log", indirect=True).collect()} == {"Area", "Log", "Scale"}
-    assert {m[r["callee"]] for r in tools.get_callee_info(facts, "Log").collect()} == {"Scale"}
-    nodes, sites, dot = tools.get_call_graph(facts, "Scale", 10)
+    of = lambda name: tools.members_named(facts, name)
+    assert {m[r["caller_id"]] for r in tools.get_caller_info(facts, of("Log"), indirect=True).collect()} == {"Area", "Log", "Scale"}
+    assert {(m[r["caller_id"]], r["context"]) for r in tools.get_caller_info(facts, of("Scale")).collect()} >= {("Log", "double Log(object x) { return Scale(1); }")}
+    assert {m[r["callee"]] for r in tools.get_callee_info(facts, of("Log")).collect()} == {"Scale"}
+    nodes, sites, dot = tools.get_call_graph(facts, of("Scale"), 10)
     assert {m[r["node"]]: r["fan_in_sites"] for r in nodes.collect()} == {"Scale": 1, "Log": 1} and sites.count() == 2
-    assert dot.collect()[0]["dot"].startswith("digraph CallGraph {")
+    lines = [r["line"] for r in dot.orderBy("place", "line").collect()]
+    assert lines == ["digraph CallGraph {", '  "Circle.Log" -> "Circle.Scale";', '  "Circle.Scale" -> "Circle.Log";', "}"]
 
 
 def test_points_and_references(spark, facts):
@@ -117,7 +120,8 @@ def test_imports(facts):
     got = tools.sort_usings(facts, "alphabetical").filter("doc_id = 's'").collect()[0]["content"].split("\n")[:4]
     assert got == ["using Lib.Unused;", "using Lib.Used;", "using System;", "using System.Text;"]
     assert {r["namespace"] for r in tools.add_missing_imports(facts, {"Scale": "X.Y"}).collect()} == set()
-    assert tools.organize_imports(facts).filter("gap").count() == 1
+    kept = tools.organize_imports(facts).filter("doc_id = 's'").collect()[0]["content"].split("\n")[:5]
+    assert kept == ["using System;", "using System.Text;", "", "using Lib.Unused;", "using Lib.Used;"]
     assert tools.extension_methods(facts).filter("doc_id = 's'").collect()[0]["name"] == "Twice"
 
 
@@ -138,8 +142,13 @@ def test_generated_code(spark, facts):
     assert [r["code"] for r in tools.generate_interface_impl(facts, "IShape").collect()] == ["public double Area() => throw new NotImplementedException();"]
     code = tools.generate_constructor(spark, "A", [("int", "Size"), ("string", "name")], ["size"]).collect()[0]["code"]
     assert code == "public A(int size, string name) : base(size)\n{\n    _size = size;\n    _name = name;\n}"
-    assert tools.generate_property("int", "Size", backing=True).startswith("private int _size;")
-    assert "out int a" in tools.generate_deconstructor([("int", "A")])
+    assert tools.generate_property(spark, "int", "Size", backing=True).startswith("private int _size;")
+    shapes = [tools.generate_property(spark, "int", "A", **f) for f in ({}, {"read_only": True}, {"setter": False}, {"getter": False})]
+    assert [x.split("{")[1] for x in shapes] == [" get; set; }", " get; }", " get; private set; }", " set; }"]
+    assert "out int a" in tools.generate_deconstructor(spark, [("int", "A")])
+    assert tools.generate_declaration("field", "x") == "private object _x;" and tools.generate_declaration("class", "A").startswith("public class A")
+    with pytest.raises(ValueError):
+        tools.generate_declaration("event", "x")
 
 
 def _rewritten(source, rule, mark, **more):
@@ -157,7 +166,9 @@ def test_rewrites():
     assert "int Add(int a, int b)" in (x := _rewritten(s, "add_parameter", "Add", type_name="int", name="b")) and "Add(a, 0)" in x
     assert "class A : IA" in _rewritten(s.replace("int Add", "public int Add"), "extract_interface", "class")
     out = _rewritten(s, "extract_method", "var q", length=10, name="Make")
-    assert "var q = Make();" in out and "private var Make()" in out
+    assert "int q = Make();" in out and "private int Make()" in out
+    with pytest.raises(rewrites.CannotRewrite):  # a type that the text doesn't show
+        _rewritten(s.replace("= 5", "= Add(1)"), "extract_method", "var q", length=15, name="Make")
     assert "x is T" in _rewritten("class A { void M() { if (x as T != null) { } } }", "safely_remove_as", "x as")
     assert "!(x is T)" in _rewritten("class A { void M() { if (x as T == null) { } } }", "safely_remove_as", "x as")
     with pytest.raises(rewrites.CannotRewrite):
@@ -168,11 +179,101 @@ def test_rewrites():
     assert _rewritten(plain, "rename_symbol", "Foo {", new_name="Bar", in_comments=True) == "// Bar and Barbar\nclass Bar { }\n"
 
 
-def test_refactor_over_a_table(docs):
-    out = tools.refactor(docs, "rename_symbol", offset=SHAPES.index("Scale"), new_name="Grow").filter("doc_id = 's'").collect()[0]
-    assert "Grow(_r)" in out["content"] and "Scale" not in out["content"]
-    rows = {r["doc_id"]: r for r in tools.preview(docs, "convert_for_to_foreach", line=2).collect()}
-    assert rows["s"]["error"] and rows["s"]["edits"] == 0
+def test_rewrites_that_need_a_form():
+    two = "class A { int a, b; void M() { int p = 1, q = 2; Go(p, q); } }"
+    for rule, mark in (("encapsulate_field", "int a"), ("inline_temporary", "int p"), ("convert_if_to_switch", "Go"), ("convert_foreach_to_for", "Go"), ("reverse_for_statement", "Go")):
+        with pytest.raises(rewrites.CannotRewrite):
+            _rewritten(two, rule, mark)
+    names = {"a.Total()": "total", "Total()": "value", "1.5": "value", "2m": "amount", '"x"': "str", "new DateTime(1)": "date"}
+    for value, name in names.items():
+        mark = value if value[0] not in "an" else value.split(".")[-1].removeprefix("new ")
+        assert f"var {name} = {value};" in _rewritten(f"class A {{ void M() {{ Go({value}); }} }}", "introduce_variable", mark)
+
+
+def test_refactor_over_a_table(spark, docs):
+    other = "class Other { void M() { Scale(2); } double Scale(double x) { return x; } }"
+    more = docs.unionByName(docs.limit(1).select(F.lit("o").alias("doc_id"), F.lit("X").alias("project"), F.lit("/x.cs").alias("path"), F.lit(other).alias("content"), F.lit(1).alias("n_lines"), F.lit(1).cast("long").alias("size")))
+    target = spark.createDataFrame([("s", SHAPES.index("Scale"), "Grow")], "doc_id string, offset int, new_name string")
+    out = {r["doc_id"]: r["content"] for r in tools.refactor(more, "rename_symbol", target).collect()}
+    assert "Grow(_r)" in out["s"] and "Scale" not in out["s"] and out["o"] == other and out["h"] == HELPER
+    at = spark.createDataFrame([("s", 2, 0)], "doc_id string, line int, column int")
+    rows = {r["doc_id"]: r for r in tools.preview(docs, rewrites.edits(docs, "convert_for_to_foreach", at)).collect()}
+    assert rows["s"]["error"] and rows["s"]["edits"] == 0 and set(rows) == {"s"}
+    with pytest.raises(ValueError):
+        rewrites.edits(docs, "inline_temporary")
+
+
+def _facts_of(spark, **files):
+    rows = [(k, v) for k, v in files.items()]
+    frame = spark.createDataFrame(rows, "doc_id string, content string").withColumn("n_lines", F.size(F.split("content", "\n")))
+    return frame, plans.build(frame, csharp.syntax_nodes(frame))
+
+
+def test_rename_follows_the_symbol_through_files(spark):
+    base = "namespace A { public class Box { public Box() { } public virtual int Name() { return 1; } } }"
+    child = "using A;\nnamespace B { class Crate : Box { public override int Name() { return base.Name(); } } }"
+    far = "namespace C { class Box { int Name() { return Name(); } } } // Box"
+    user = "using A;\nclass User { Box box = new Box(); int M(Box x) { return box.Name() + x.Name() + this.box.Name(); } } // Box"
+    docs, f = _facts_of(spark, base=base, child=child, far=far, user=user)
+    target = spark.createDataFrame([("base", base.index("Box"), "Chest")], "doc_id string, offset int, new_name string")
+    out = {r["doc_id"]: r["content"] for r in rewrites.applied(docs, tools.rename(f, target, in_comments=True)).collect()}
+    assert out["base"] == base.replace("Box", "Chest") and out["child"] == child.replace("Box", "Chest")
+    assert out["far"] == far and out["user"] == user.replace("Box", "Chest").replace("Box", "Chest")
+    target = spark.createDataFrame([("child", child.index("Name()"), "Title")], "doc_id string, offset int, new_name string")
+    out = {r["doc_id"]: r["content"] for r in rewrites.applied(docs, tools.rename(f, target)).collect()}
+    assert out["far"] == far and all("Name" not in out[x] for x in ("base", "child", "user"))
+
+
+def test_names_are_bound_by_scope(spark):
+    a = "namespace A { public class T { public int F(int x) { return x; } public int F(int x, int y) { return F(x); } } }"
+    b = "namespace B { public class T { public int F(int x) { return x; } } }"
+    user = """using B;
+namespace A.Inner
+{
+    class User
+    {
+        T near;
+        B.T far;
+        int G(T t) { var made = new B.T(); return t.F(1, 2) + far.F(G(F2(1, 2), 3)) + made.F(3) + unknown.F(4); }
+        int F2(int x, int y) { return 0; }
+    }
+}"""
+    _, f = _facts_of(spark, a=a, b=b, user=user)
+    name = {r["member_id"]: f"{r['namespace']}.{r['name']}/{r['n_params']}" for r in f.members.collect()}
+    rows = [(r["callee_name"], name.get(r["callee_id"]), len(r["args"])) for r in f.calls.filter("doc_id = 'user'").collect()]
+    assert sorted(rows, key=str) == sorted([("F", "A.F/2", 2), ("F", "B.F/1", 1), ("G", None, 2), ("F2", "A.Inner.F2/2", 2), ("F", "B.F/1", 1), ("F", None, 1)], key=str)
+    assert [name.get(r["callee_id"]) for r in f.calls.filter("doc_id = 'a'").collect()] == ["A.F/1"]
+
+
+def test_explicit_implementations(spark):
+    text = "interface I { void M(); int P { get; } } interface J { void M(); } class C : I, J { void I.M() { } public void M() { } int I.P { get { return 1; } } }"
+    _, f = _facts_of(spark, c=text)
+    m = {r["member_id"]: r for r in f.members.collect()}
+    rows = {(m[r["member_id"]]["start"], m[r["interface_member"]]["type_name"], m[r["interface_member"]]["name"], r["is_explicit"]) for r in tools.implementations(f).collect()}
+    assert rows == {(text.index("void I.M"), "I", "M", True), (text.index("public void M"), "J", "M", False), (text.index("int I.P"), "I", "P", True)}
+
+
+def test_declarators_holes_and_errors(spark):
+    text = 'class C { int a, b = 2; void M() { int p = 1, q = F<int, string>(1, 2); var s = $"{H(a)} {{no}} {G(p):x}"; a.b = 3; y += x; foreach (var z in s) { } } string t = "open\n'
+    docs, f = _facts_of(spark, c=text)
+    assert sorted(r["name"] for r in f.members.filter("kind = 'field'").collect()) == ["a", "b", "t"]
+    local = {r["name"]: r["type_text"] for r in f.locals.collect()}
+    assert local == {"p": "int", "q": "int", "s": None, "z": None}
+    detail = {r["ident"]: r["detail"] for r in f.nodes.filter("kind in ('LocalDeclarationStatement', 'LocalDeclarator')").collect()}
+    assert detail["p"] == "1" and detail["q"] == "F<int, string>(1, 2)"
+    assert {(r["callee_name"], tuple(r["args"])) for r in f.calls.collect()} == {("F", ("1", "2")), ("H", ("a",)), ("G", ("p",))}
+    wrong = {r["id"]: (r["start_line"], r["start_column"]) for r in plans.diagnostics(f).filter("severity = 'Error'").collect()}
+    assert wrong == {"CS1010": (0, text.index('"open')), "CS1513": (0, len(text) - 1)}
+    assert [r["is_valid"] for r in tools.validated(docs).collect()] == [False]
+
+
+def test_documentation_of_any_length(spark):
+    lines = "\n".join(f"/// line {i}" for i in range(200))
+    text = f"/// <summary>\n{lines}\n/// </summary>\n/// <remarks>r</remarks>\n/// <example>e</example>\n[Old]\n[New(1)]\nclass C {{ }}\n/// <summary>other</summary>\n\nclass D {{ }}"
+    _, f = _facts_of(spark, c=text)
+    rows = {r["symbol_id"]: r["documentation"] for r in tools.documentation(f).collect()}
+    doc = next(iter(rows.values()))
+    assert len(rows) == 1 and doc["summary"].startswith("line 0") and doc["summary"].endswith("line 199") and doc["remarks"] == "r" and doc["example"] == "e"
 
 
 def test_changes_as_json(spark, docs):
@@ -191,21 +292,28 @@ def test_solutions_and_projects(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / f"{name}.csproj").write_text(body)
         (tmp_path / name / "C.cs").write_text("class C {\n")
-    every = f"{tmp_path}/*/*.csproj"
-    assert sorted(r["project"] for r in projects.solution_projects(spark, str(tmp_path / "A.sln")).collect()) == ["App", "Lib"]
-    assert [r["path"] for r in projects.solution_projects(spark, str(tmp_path / "B.slnx")).collect()] == ["Lib/Lib.csproj"]
-    assert sorted((r["project"], r["tfm"], r["output_type"]) for r in projects.projects(spark, every).collect()) == [("App", "net8.0", "Exe"), ("Lib", "Unknown", "Library")]
-    assert [tuple(r) for r in projects.project_refs(spark, every).collect()] == [("App", "Lib")]
-    assert [tuple(r) for r in projects.package_refs(spark, every).collect()] == [("App", "P", "1.0")]
-    listed = tools.list_projects(spark, str(tmp_path / "A.sln"), str(tmp_path)).collect()
+    (tmp_path / "Old.csproj").write_text('<Project xmlns="http://schemas"><PropertyGroup><TargetFrameworkVersion>v4.7.2</TargetFrameworkVersion></PropertyGroup></Project>')
+    every = projects.texts(spark, f"{tmp_path}/*/*.csproj")
+    solutions = projects.texts(spark, str(tmp_path / "A.sln"))
+    assert sorted(r["project"] for r in projects.solution_projects(solutions).collect()) == ["App", "Lib"]
+    assert [r["path"] for r in projects.solution_projects(projects.texts(spark, str(tmp_path / "B.slnx"))).collect()] == ["Lib/Lib.csproj"]
+    assert sorted((r["project"], r["tfm"], r["output_type"]) for r in projects.projects(every).collect()) == [("App", "net8.0", "Exe"), ("Lib", "Unknown", "Library")]
+    assert [r["tfm"] for r in projects.projects(projects.texts(spark, str(tmp_path / "Old.csproj"))).collect()] == ["net472"]
+    assert [tuple(r) for r in projects.project_refs(every).collect()] == [("App", "Lib")]
+    assert [tuple(r) for r in projects.package_refs(every).collect()] == [("App", "P", "1.0")]
+    listed = tools.list_projects(solutions, every).collect()
     assert {r["project"]: r["n_packages"] for r in listed} == {"App": 1, "Lib": 0}
-    info = tools.get_solution_info(projects.projects(spark, every), projects.project_refs(spark, every)).collect()
+    info = tools.get_solution_info(projects.projects(every), projects.project_refs(every)).collect()
     assert {r["project"]: (r["level"], r["is_startup"]) for r in info} == {"Lib": (0, False), "App": (1, True)}
+    (tmp_path / "App" / "Models").mkdir()
+    (tmp_path / "App" / "Models" / "D.cs").write_text("class D { }")
     files = projects.documents(spark, str(tmp_path))
-    assert files.count() == 2 and plans.syntax_diagnostics(files).count() == 2
+    owner = {r["path"].rsplit("/", 1)[1] + r["path"].split("/")[-2]: r["project"] for r in files.collect()}
+    assert owner == {"C.csApp": "App", "C.csLib": "Lib", "D.csModels": "App"}
+    wrong = plans.diagnostics(plans.build(files, csharp.syntax_nodes(files)))
+    assert wrong.filter("id = 'CS1513'").count() == 2 and tools.get_diagnostics(wrong, "/z/c.CS").count() == wrong.count()
     seen = files.select("path", "mtime")
-    assert projects.changed(files, seen).count() == 0 and projects.changed(files, seen.limit(1)).count() == 1
-    assert tools.get_diagnostics(plans.syntax_diagnostics(files), "/z/c.CS").count() == 2
+    assert projects.changed(files, seen).count() == 0 and projects.changed(files, seen.limit(1)).count() == 2
 
 
 def test_path_guards(tmp_path):
@@ -231,6 +339,6 @@ def test_smaller_lookups(spark, docs, facts):
     assert "Inner" not in {r["name"] for r in tools.visible_members(facts).collect()}
     marked = spark.createDataFrame([("a", "class C { [Test(1, \"x\")] void M() { } }")], "doc_id string, content string").withColumn("n_lines", F.lit(1))
     found = tools.attributes(plans.build(marked, csharp.syntax_nodes(marked))).collect()
-    assert [(r["name"], r["arguments"]) for r in found] == [("Test", '1, "x"')]
+    assert [(r["name"], r["arguments"], r["named"]) for r in found] == [("Test", ["1", '"x"'], [])]
     both = spark.createDataFrame([("int", "int"), ("int", "long")], "a string, b string").select(tools.conversions(F.col("a"), F.col("b")).alias("c")).collect()
     assert [tuple(r["c"]) for r in both] == [(True, True, False), (False, False, True)]

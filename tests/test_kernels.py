@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import datetime
+import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from factlake import queries
+from factlake import queries, storage
 from factlake.functions import names
-from factlake.operators import cache, graph, metrics, text
+from factlake.operators import cache, graph, lookup, metrics, text
 from factlake.plans.components import connected_components
 from factlake.streaming.sessions import sessions
 
@@ -84,9 +86,73 @@ def test_calls(spark):
     assert dot == 'digraph CallGraph {\n  "M" -> "N";\n  "M" -> "P";\n  "N" -> "P";\n}'
 
 
-def test_base_chain_raises_on_cycles(spark):
-    with pytest.raises(RuntimeError):
-        graph.base_chain(spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "src int, dst int"), max_rounds=5)
+def test_base_chains_of_any_length(spark):
+    rows = graph.base_chain(spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 4), (None, 1)], "src int, dst int")).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)]
+    chain = graph.base_chain(spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    got = chain.agg(F.count("*"), F.min(F.col("base") - F.col("node") - F.col("distance")), F.max("distance")).first()
+    assert tuple(got) == (300 * 301 // 2, 0, 300)
+    diamond = graph.base_chain(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 4)], "src int, dst int"))
+    assert {r["distance"] for r in diamond.filter("node = 1 and base = 4").collect()} == {1}
+
+
+@pytest.mark.parametrize(("seed", "small"), [(0, 0), (1, 0), (2, 0), (3, 100)])
+def test_cycles_of_random_graphs(spark, monkeypatch, seed, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    r = random.Random(seed + 50)
+    edges = sorted({(r.randrange(20), r.randrange(20)) for _ in range(r.choice([6, 15, 30]))})
+    reach = _reach(edges)
+    on = {a for a, b in reach if a == b}
+    to = on | {a for a, b in reach if b in on}
+    nodes = spark.range(22).select(F.col("id").alias("node"))
+    rows = graph.cyclic(nodes, spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {x["node"]: (x["on_cycle"], x["reaches_cycle"]) for x in rows} == {n: (n in on, n in to) for n in range(22)}
+
+
+def test_dot_of_a_large_graph(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_DOT_LINES", 2)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    with pytest.raises(ValueError):
+        graph.to_dot(edges)
+    assert [r["line"] for r in graph.dot_lines(edges, "G").orderBy("place", "line").collect()] == ["digraph G {", *(f'  "{a}" -> "{b}";' for a, b in ("ab", "bc", "cd")), "}"]
+
+
+def test_medians(spark):
+    r = random.Random(3)
+    groups = {
+        "many": [r.gauss(0, 5) for _ in range(3001)], "even": [r.random() for _ in range(1000)], "same": [7.0] * 50, "one": [3.5],
+        "skew": [10.0**r.randrange(12) for _ in range(400)] + [1.0] * 400, "odd values": [float("nan"), float("inf"), float("-inf"), 1.0, 2.0, 4.0], "none": [float("nan")],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("many", None), (None, 1.0)]
+    got = {x["g"]: x["middle"] for x in metrics.medians(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    want = {g: statistics.median(v for v in values if abs(v) < float("inf")) for g, values in groups.items() if g != "none"}
+    assert got == pytest.approx(want)
+
+
+def test_last_before(spark):
+    r = random.Random(4)
+    rows = [(i, r.randrange(5), r.randrange(40)) for i in range(200)] + [(900, None, 3), (901, 2, None)]
+    marks = [(r.randrange(5), r.randrange(40), i) for i in range(60)]
+    a = spark.createDataFrame(rows, "id int, key int, at int")
+    b = spark.createDataFrame(marks, "key int, at int, mark int")
+    got = {x["id"]: x["mark"] for x in lookup.last_before(a, b, "key", "at", "mark", "mark").collect()}
+    want = {i: max(((t, m) for k, t, m in marks if k == key and at is not None and t <= at), default=(0, None))[1] for i, key, at in rows}
+    assert got == want
+
+
+def test_hunks(spark):
+    before = [f"line {i}" for i in range(40)]
+    after = list(before)
+    after[0], after[10], after[17], after[18], after[39] = "a", "b", "c", "d", "e"
+    pairs = spark.createDataFrame([(1, "\n".join(before), "\n".join([*after, "new"])), (2, "x", "x"), (3, None, "y"), (4, "a\nb", "a")], "k int, a string, b string")
+    rows = {(r["k"], r["place"]): r for r in text.hunks(pairs, "k", "a", "b").collect()}
+    assert {k: (r["old_start"], r["old_count"], r["new_start"], r["new_count"]) for k, r in rows.items()} == {
+        (1, 0): (1, 4, 1, 4), (1, 1): (8, 15, 8, 15), (1, 2): (37, 4, 37, 5), (3, 0): (1, 1, 1, 1), (4, 0): (1, 2, 1, 1),
+    }
+    assert rows[1, 2]["text"].split("\n") == [" line 36", " line 37", " line 38", "-line 39", "+e", "+new"]
+    assert rows[4, 0]["text"] == " a\n-b"
+    merged = text.hunks(pairs, "k", "a", "b", 0).filter("k = 1").count()
+    assert merged == 4
 
 
 def test_positional_diff(spark):
@@ -105,6 +171,12 @@ def test_edits(spark):
     edits = spark.createDataFrame([(1, 0, 5, "HEY"), (1, 6, 5, "X"), (2, 0, 2, "x"), (2, 1, 1, "y"), (4, 1, 1, "")], "k int, start int, length int, new_text string")
     got = {r["k"]: (r["content"], r["conflict"]) for r in text.apply_edits(docs, edits, "k", "t").collect()}
     assert got == {1: ("HEY X", False), 2: ("abc", True), 3: (None, False), 4: ("éz", False)}
+    long = "é🙂ab" * 5000
+    many = spark.createDataFrame([(1, 4 * i, 2, f"<{i}>") for i in range(5000)] + [(1, 20_000, 0, "end")], "k int, start int, length int, new_text string")
+    out = text.apply_edits(spark.createDataFrame([(1, long)], "k int, t string"), many, "k", "t").collect()[0]
+    assert out["content"] == "".join(f"<{i}>ab" for i in range(5000)) + "end" and not out["conflict"]
+    same = spark.createDataFrame([(1, 1, 0, "x"), (1, 1, 0, "w"), (1, 1, 1, "Q")], "k int, start int, length int, new_text string")
+    assert text.apply_edits(spark.createDataFrame([(1, "abc")], "k int, t string"), same, "k", "t").collect()[0]["content"] == "awxQc"
 
 
 def test_sorting_in_place(spark):
@@ -179,6 +251,49 @@ def test_lru_of_any_number_of_keys(spark, capacity, tmp_path):
         assert {r["event_id"]: r["hit"] for r in rows} == {r["event_id"]: r["hit"] for r in got} and len(rows) == len(got)
 
 
+def test_lru_over_many_chunks(spark):
+    r = random.Random(8)
+    keys = [r.choice("abcdef") for _ in range(3000)]
+    held, want = [], []
+    for k in keys:
+        want.append(k in held)
+        held = [x for x in held if x != k][-2:] + [k]
+    log = spark.createDataFrame([(k, i * 20_000) for i, k in enumerate(keys)], "key string, seq long")
+    for out in (cache.lru_hits(log, "key", "seq", 3, list("abcdef")), cache.lru_hits_any(log, "key", "seq", 3)):
+        assert [x["hit"] for x in out.orderBy("seq").collect()] == want
+
+
+def test_cache_administration(spark):
+    log = _log(spark, [("a", 0), ("a", 50), ("b", 0), ("b", 5000)])
+    hits = cache.ttl_hits(log, "key", "ts", 0.1, "seq")
+    assert tuple(cache.summary(hits, "key").first()) == (2, 1, 3, 0.25) and cache.summary(hits.limit(0), "key").first()["rate"] == 0.0
+    assert [r["key"] for r in cache.expired(log, "key", "ts", 1.0, datetime.datetime(2024, 1, 1, 0, 0, 5)).collect()] == ["a"]
+
+
+def test_tables_need_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda *_: None)}))
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(type("Session", (), {"sparkContext": Context}))
+    kept = storage.written(spark.range(3).toDF("x"), "test")
+    folder = kept._written_to.removeprefix("file:")
+    assert os.path.isdir(folder) and kept.count() == 3
+    storage.discard(kept)
+    assert not os.path.exists(folder)
+
+
+def test_command_line(capsys):
+    from factlake.__main__ import main
+
+    assert main(["--version"]) == 0 and capsys.readouterr().out.startswith("factlake ")
+    assert main([]) == 0 and "usage" in capsys.readouterr().out
+    assert main(["list"]) == 0 and "code_metrics" in capsys.readouterr().out.split()
+    assert main(["run", "nothing", "x"]) == 2
+
+
 def test_stream_and_table_have_the_same_sessions(spark, tmp_path):
     log = _log(spark, [(r, m) for r, m in (("a", 0), ("a", 400), ("a", 1500), ("b", 100), ("b", 9000))])
     table = {tuple(r) for r in sessions(log, "key", "ts", "500 milliseconds").collect()}
