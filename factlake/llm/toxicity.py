@@ -26,11 +26,15 @@ _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 
 @dataclass(frozen=True)
 class Settings:
-    """FTRL-proximal and feature parameters; ``most_rows`` bounds the labelled rows that train."""
+    """FTRL-proximal and feature parameters; ``most_rows`` bounds the labelled rows that train.
+
+    Step size, L1 weight and epochs are those of the least ``cross_validated`` loss among 24 settings,
+    over 12,000 training rows in four folds.
+    """
 
     bits: int = 22
     gaps: tuple[int, ...] = (1, 2, 3)
-    alpha: float = 2.0
+    alpha: float = 4.0
     beta: float = 1.0
     l1: float = 6.0
     l2: float = 0.01
@@ -102,6 +106,23 @@ def _squash(x: float) -> float:
     return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+def cross_validated(rows: list[tuple[np.ndarray, int, int]], settings: Settings) -> float:
+    """Mean log loss over (distinct coordinates, label, fold) rows, each fold scored by a model of the others.
+
+    Settings are compared by this on training rows alone; no other row takes part in their choice.
+    """
+    loss = []
+    for fold in sorted({f for _, _, f in rows}):
+        model = train([(i, y) for i, y, f in rows if f != fold], settings)
+        weight = np.zeros(1 << settings.bits)
+        weight[model.index] = model.weight
+        for index, label, f in rows:
+            if f == fold:
+                p = _squash(float(weight[index].sum()) + model.bias)
+                loss.append(-math.log(p if label else 1 - p))
+    return float(np.mean(loss)) if loss else math.inf
+
+
 def fit(texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, settings: Settings) -> Model:
     """Train on at most ``settings.most_rows`` labelled texts, those whose id hashes lowest.
 

@@ -4,17 +4,21 @@ import hashlib
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline as pipeline
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
-from brute import base_metrics, components, near, substring, targets, words
+from brute import base_metrics, caught, components, decision_list, ftrl, grams, mix64, near, quality_features, sigmoid, substring, targets, words
+from pyspark.sql import functions as F
 
 from factlake.llm import toxicity
 from factlake.llm.queries import MODEL, ORACLE_SQL, QUERIES
 from factlake.llm.sentencepiece_sampling import sample_encode
+from factlake.llm.textwords import split_words
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.FOLDER), reason="no test tables")
 
@@ -43,7 +47,14 @@ def test_substring_query(spark, texts):
 def test_quality_query(spark, texts):
     rows = QUERIES["op2_quality_rules"](spark, oracle.FOLDER).collect()
     assert {r["doc_id"]: tuple(r)[1:7] for r in rows} == {i: base_metrics(t) for i, t in texts}
-    assert not any(r["kept"] for r in rows if r["base_failed"])
+    label = {}
+    for i, y in oracle.database().execute("SELECT doc_id, quality FROM labels WHERE quality IN (0, 1)").fetchall():
+        label[i] = max(y, label.get(i, 0))
+    order = {r["id"]: r["h"] for r in spark.createDataFrame([(i,) for i in label], "id long").select("id", F.xxhash64("id").alias("h")).collect()}
+    text = dict(texts)
+    learnt = [(quality_features(text[i]), label[i]) for i in sorted(label, key=order.get) if i in text and not base_metrics(text[i])[5]]
+    rules = decision_list(learnt)
+    assert {r["doc_id"]: r["kept"] for r in rows} == {i: not base_metrics(t)[5] and not caught(rules, quality_features(t)) for i, t in texts}
 
 
 def test_embedding_query(spark):
@@ -62,6 +73,24 @@ def test_toxicity_query(spark, texts):
     rows = {r["doc_id"]: r for r in QUERIES["op10_toxicity"](spark, oracle.FOLDER).collect()}
     assert set(rows) == {i for i, _ in texts}
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows.values())
+    s, cache = toxicity.Settings(), {}
+
+    def word_hash(word):
+        if word not in cache:
+            cache[word] = int(split_words(pa.array([word])).hashes()[0])
+        return cache[word]
+
+    label = {}
+    for i, y in oracle.database().execute("SELECT doc_id, toxic FROM labels WHERE toxic IN (0, 1)").fetchall():
+        if zlib.crc32(str(i).encode()) % 5:
+            label[i] = max(y, label.get(i, 0))
+    text = dict(texts)
+    order = sorted((i for i in label if text.get(i) is not None), key=lambda i: mix64(i))
+    weight = ftrl([(sorted(grams(text[i], word_hash)), label[i]) for i in order], s.alpha, s.beta, s.l1, s.l2, s.epochs)
+    bias = weight.pop(None)
+    want = {i: sigmoid(bias + sum(weight.get(g, 0.0) for g in grams(t, word_hash))) for i, t in texts}
+    assert {i: r["score"] for i, r in rows.items()} == pytest.approx(want, abs=1e-9)
+    assert {i: r["held_out"] for i, r in rows.items()} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in texts}
 
 
 def test_sampling_query(spark, texts):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import math
 import random
 import zlib
@@ -8,13 +9,14 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import base_metrics, targets, words
+from brute import base_metrics, decision_list, ftrl, grams, targets, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factlake.llm import mixing, quality_rules, toxicity
 from factlake.llm.queries import MODEL
 from factlake.llm.sentencepiece_sampling import build_lattice, decode, sample_encode, sample_texts, segments, vocabulary
+from factlake.llm.textwords import split_words
 
 TEXTS = [None, "", " ", "a", "The quick brown fox.\nIt jumps  over", "ünï çødé 漢字 🙂 \t x", " lead", "trail  ", "▁mark ▁", "a" * 3000, "\n\n", "x\x00y"]
 
@@ -185,9 +187,42 @@ def test_decision_list_by_hand():
     assert len(rules) == 1 and rules[0][0].feature == "symbol_share" and rules[0][0].above
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_decision_lists_match_a_plain_one(seed):
+    r = random.Random(seed)
+    names = ["symbol_share", "bar_share", "mean_word"]
+    rows, noise = [], 0.03 if seed < 2 else 0.0
+    for _ in range(600 if seed >= 2 else r.choice([30, 200])):
+        x = {n: round(r.random(), r.choice([1, 3])) for n in names}
+        bad = (x["symbol_share"] > 0.7 and x["bar_share"] < 0.6) or x["mean_word"] < 0.1
+        rows.append((x, int(not bad) if r.random() >= noise else r.randrange(2)))
+    got = quality_rules.cover([(i, y, *x.values()) for i, (x, y) in enumerate(rows)], names, quality_rules.Settings())
+    assert [[(c.feature, c.above, c.threshold) for c in rule] for rule in got] == decision_list(rows) and (got or noise)
+
+
 # --- Toxicity
 
 
+def test_training_matches_a_plain_one():
+    r = random.Random(5)
+    s = toxicity.Settings(l1=0.7, epochs=3)
+    texts = [" ".join(r.choice("Vile you there alpha béta 漢字 x1".split()) for _ in range(r.choice([0, 1, 3, 12]))) for _ in range(80)] + [None, "é-é!"]
+    made = [np.unique(np.concatenate([i for i, _ in toxicity.features(pa.array([t], pa.string()), s)])) for t in texts]
+    assert [set(m.tolist()) for m in made] == [grams(t, _word_hash) for t in texts]
+    rows = [(m, int("Vile" in (t or ""))) for m, t in zip(made, texts, strict=True)]
+    model = toxicity.train(rows, s)
+    want = ftrl([(m.tolist(), y) for m, y in rows], s.alpha, s.beta, s.l1, s.l2, s.epochs)
+    assert model.bias == pytest.approx(want.pop(None)) and {i for i, w in want.items() if w} == set(model.index.tolist())
+    assert dict(zip(model.index.tolist(), model.weight, strict=True)) == pytest.approx({i: w for i, w in want.items() if w})
+    folds = [(m, y, i % 4) for i, (m, y) in enumerate(rows)]
+    assert 0 < toxicity.cross_validated(folds, s) < toxicity.cross_validated(folds, toxicity.Settings(l1=1e9)) < math.inf
+
+
+@functools.cache
+def _word_hash(word):
+    return int(split_words(pa.array([word])).hashes()[0])
+
+
 def test_toxicity_learns_words_and_skip_grams(spark):
     r = random.Random(3)
     rows, labels = [], []
