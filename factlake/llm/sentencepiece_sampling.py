@@ -64,7 +64,12 @@ class Vocabulary:
         if (byte_ids < 0).any():
             raise ValueError("the model has no byte fallback")
         self.byte_ids = byte_ids
+        self.pieces = pa.array(self.bytes, pa.large_binary())
         self.longest = max(len(self.bytes[i]) for i in pieces)
+        self.begins = np.zeros((self.longest + 1, 1 << 16), bool)
+        for i in pieces:
+            if len(self.bytes[i]) > 1:
+                self.begins[len(self.bytes[i]), self.bytes[i][0] << 8 | self.bytes[i][1]] = True
         # Zipf's law over the rank; bytes rank after all pieces.
         rank = np.full(n, float(n))
         rank[pieces] = np.arange(1, len(pieces) + 1)
@@ -103,6 +108,14 @@ class Vocabulary:
         found[self.hash[found] != h] = none
         return found
 
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of pieces in a row, and where those of each run of pieces end."""
+        made = self.pieces.take(pa.array(ids))
+        _, where, what = made.buffers()
+        offsets = np.frombuffer(where, np.int64)[made.offset : made.offset + len(made) + 1]
+        data = np.frombuffer(what, np.uint8) if what is not None else np.zeros(0, np.uint8)
+        return data[offsets[0] :], offsets[ends] - offsets[0]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of the pieces, without the space that encoding puts in front."""
         text = b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -129,6 +142,8 @@ class Lattice:
     piece: np.ndarray
     prob: np.ndarray  # of an edge, given its node
     upto: np.ndarray  # running sum of prob inside a node; at least 1 at the last edge
+    log_prob: np.ndarray
+    log_rest: np.ndarray  # logarithm of what the node's other edges have together
 
 
 def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary, power: float) -> Lattice:
@@ -137,7 +152,7 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
     n = int(sizes.sum())
     if not n:
         none = np.zeros(0, np.int64)
-        return Lattice(none, none, none, none, none, np.zeros(0), np.zeros(0))
+        return Lattice(none, none, none, none, none, *(np.zeros(0) for _ in range(4)))
     offset = np.cumsum(sizes) - sizes
     left = np.repeat(offset + sizes, sizes) - np.arange(n)  # bytes to the segment's end
     text = data[np.repeat(starts - offset, sizes) + np.arange(n)]
@@ -154,13 +169,17 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
     width[text >= 0xF0] = 4
     covered = np.zeros(n, bool)
     hashes = _Substrings(text)
+    pair = text.astype(np.uint16) << 8
+    pair[:-1] |= text[1:]
     for length in range(1, vocab.longest + 1):
         at = at[left[at] >= length]
         if not len(at):
             break
-        hit = vocab.find(hashes.of(at, length))
+        # Only bytes that some piece of this length begins with are looked up.
+        may = at if length == 1 else at[vocab.begins[length, pair[at]]]
+        hit = vocab.find(hashes.of(may, length))
         known = hit < len(vocab.ids) - 1
-        src = at[known]
+        src = may[known]
         found.append((src, length, vocab.ids[hit[known]]))
         if length <= 4:
             covered[src[width[src] == length]] = True
@@ -199,13 +218,20 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
         beta[node] = total
         log_prob[i:j] = w - np.repeat(total, count[node])
     prob = np.exp(log_prob)
-    del weight, log_prob, beta
-    prob[np.repeat(count == 1, count)] = 1.0
+    del weight, beta
+    sure = np.repeat(count == 1, count)
+    prob[sure] = 1.0
+    log_prob[sure] = 0.0
+    rest = 1.0 - prob
+    rest[rest < 1e-12] = 0.0
+    with np.errstate(divide="ignore"):
+        log_rest = np.log(rest)
+    del rest, sure
     total = np.cumsum(prob)
     some = count > 0
     upto = total - np.repeat(total[first[some]] - prob[first[some]], count[some])
     upto[last[some] - 1] = 2.0
-    return Lattice(number[offset], first, last, to, piece, prob, upto)
+    return Lattice(number[offset], first, last, to, piece, prob, upto, log_prob, log_rest)
 
 
 class _Substrings:
@@ -309,14 +335,12 @@ class _Search:
 
     def add(self, edges: np.ndarray, depth: int, barred: tuple[int, ...], bound: float) -> None:
         """Take a path whose perturbed value is ``bound``, and divide what is left of its subspace."""
-        prob = self.lattice.prob[edges]
         with np.errstate(divide="ignore"):
-            upto = np.cumsum(np.log(prob))
-            rest = 1.0 - prob[depth:]
-            if barred and len(rest):
-                rest[0] -= self.lattice.prob[list(barred)].sum()
-            rest[rest < 1e-12] = 0.0
-            mass = np.log(rest)
+            upto = np.cumsum(self.lattice.log_prob[edges])
+            mass = self.lattice.log_rest[edges[depth:]]
+            if barred and len(mass):
+                rest = 1.0 - self.lattice.prob[edges[depth]] - self.lattice.prob[list(barred)].sum()
+                mass[0] = math.log(rest) if rest >= 1e-12 else -math.inf
             mass[1:] += upto[depth:-1]
             if depth and len(mass):
                 mass[0] += upto[depth - 1]
@@ -431,15 +455,19 @@ def sample_encode(
                 ids = pc.fill_null(batch.column("id"), -(1 << 63)).to_numpy(zero_copy_only=False)
                 keys = mix(ids.astype(np.int64).view(U) ^ salt)
                 found = sample_texts(batch.column("text"), keys, k, power, vocab)
-                texts = pc.replace_substring(pc.fill_null(batch.column("text"), ""), _SPACE, " ").to_pylist()
+                said, place = utf8(pc.replace_substring(pc.fill_null(batch.column("text"), ""), _SPACE, " "))
                 flat = [x for row in found for x in row]
                 row = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 sizes = [len(x.ids) for x in flat]
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()),
-                    pa.array(np.concatenate([x.ids for x in flat]) if flat else np.zeros(0, np.int32), pa.int32()),
-                )
-                same = [vocab.decode(x.ids) == texts[r] for x, r in zip(flat, row, strict=True)]
+                ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+                every = np.concatenate([x.ids for x in flat]) if flat else np.zeros(0, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every, pa.int32()))
+                # Pieces give the text back behind the space that encoding puts in front.
+                made, cut = vocab.joined(every, ends)
+                same = [
+                    np.array_equal(made[a + (b > a) : b], said[place[r] : place[r + 1]]) and (a == b or made[a] == 0x20)
+                    for a, b, r in zip(cut[:-1], cut[1:], row, strict=True)
+                ]
                 column = lambda name: pa.array([getattr(x, name) for x in flat], pa.float64())  # noqa: B023, E731
                 out = pa.RecordBatch.from_arrays(
                     [
@@ -457,8 +485,8 @@ def sample_encode(
                 if together:
                     is_first = pc.equal(out.column("sample"), 0)
                     others = out.filter(pc.invert(is_first)).select(out.schema.names[1:]).to_struct_array()
-                    ends = np.cumsum([0] + [len(x) - 1 for x in found])
-                    first, more = out.filter(is_first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)
+                    upto = np.cumsum([0] + [len(x) - 1 for x in found])
+                    first, more = out.filter(is_first), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), others)
                     out = pa.RecordBatch.from_arrays([*first.columns, more], [*first.schema.names, "more"])
                 yield out
 
