@@ -97,7 +97,7 @@ def code_analyze(spark, d):
     return _parts(tools.analyze_code(facts_of(spark, d))).drop("max_depth", "nodes")
 
 
-@query("""SELECT doc AS doc_id, 'Shop.' || b AS namespace, 'Part' || k AS type, 'Part' || h AS base, 'IPriced' AS interfaces, 6 AS n_members,
+@query("""SELECT doc AS doc_id, 'Shop.' || b AS namespace, 'Part' || k AS type, 'Part' || h AS base, 'IPriced' AS interfaces, 6::BIGINT AS n_members,
   'int Total(int n) int Next(int n) int Next(int n, int m)' AS methods, concat_ws(',', 'System', 'Shop.' || hb, CASE WHEN s % 2 = 0 THEN 'Shop.Spare' END) AS usings FROM p""", _P)
 def code_lists(spark, d):
     rows = _parts(tools.code_lists(facts_of(spark, d)))
@@ -335,7 +335,7 @@ def code_interfaces(spark, d):
     return rows.select("name", "interface", F.array_join("members", ",").alias("members"))
 
 
-@query("""SELECT doc AS doc_id, a + 1 AS inheritance_depth FROM p UNION ALL SELECT mini, 1 FROM m UNION ALL SELECT doc, 1 FROM b UNION ALL SELECT 'S', 1""", _P, _M, _B)
+@query("""SELECT doc AS doc_id, (a + 1)::INT AS inheritance_depth FROM p UNION ALL SELECT mini, 1 FROM m UNION ALL SELECT doc, 1 FROM b UNION ALL SELECT 'S', 1""", _P, _M, _B)
 def code_inheritance_depth(spark, d):
     return tools.inheritance_depth(facts_of(spark, d)).select(_owner("type_id").alias("doc_id"), "inheritance_depth")
 

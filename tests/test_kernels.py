@@ -24,8 +24,14 @@ GRAPHS = {
 }
 
 
+@pytest.fixture(params=[2])
+def short_rounds(request, monkeypatch):
+    """Few steps a round, so that small graphs take several."""
+    monkeypatch.setattr(graph, "_AT_ONCE", request.param)
+
+
 @pytest.mark.parametrize("name", GRAPHS)
-def test_graph_fixtures(spark, name):
+def test_graph_fixtures(spark, short_rounds, name):
     edges, reach, cyclic, build, reference = GRAPHS[name]
     known = sorted({x for e in edges for x in e if x != "X"} | {"A"})
     e = spark.createDataFrame(edges, "src string, dst string")
@@ -47,7 +53,7 @@ def _reach(edges):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_random_graphs(spark, seed):
+def test_random_graphs(spark, short_rounds, seed):
     r = random.Random(seed)
     edges = sorted({(r.randrange(14), r.randrange(14)) for _ in range(r.choice([8, 20, 40]))})
     e = spark.createDataFrame(edges + [(None, 1), (2, None)], "src long, dst long")
@@ -97,7 +103,7 @@ def test_base_chains_of_any_length(spark):
 
 
 @pytest.mark.parametrize(("seed", "small"), [(0, 0), (1, 0), (2, 0), (3, 100)])
-def test_cycles_of_random_graphs(spark, monkeypatch, seed, small):
+def test_cycles_of_random_graphs(spark, short_rounds, monkeypatch, seed, small):
     monkeypatch.setattr(graph, "SMALL", small)
     r = random.Random(seed + 50)
     edges = sorted({(r.randrange(20), r.randrange(20)) for _ in range(r.choice([6, 15, 30]))})
