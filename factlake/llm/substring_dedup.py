@@ -24,6 +24,7 @@ number of its copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.textwords import U, Words, loosened, phrases, split_words
+from factlake.llm.textwords import U, Words, inside, loosened, mix, rolling, split_words
 
 #: Bytes of text that a batch of documents should have.
 BATCH_BYTES = 4 << 20
@@ -42,7 +43,7 @@ _ENTRIES = "block int, batch long, packed binary"
 #: Phrases with their hash, a second one, and where they stand: in which document, at which word.
 _PHRASE = (("hash", "<u8"), ("check", "<u4"), ("id", "<i8"), ("at", "<i4"))
 _KNOWN = (*_PHRASE, ("batch", "<i4"))
-_CHECK = U(0xA24BAED4963EE407)
+_STEP, _CHECK = U(0xD1342543DE82EF95), U(0xA24BAED4963EE407)
 _FACTOR = np.dtype([("start", "<i4"), ("length", "<i4"), ("id", "<i8"), ("at", "<i4")])
 _CLAIM = np.dtype([("id", "<i8"), ("at", "<i4"), ("length", "<i4"), ("digest", "V16")])
 
@@ -92,24 +93,25 @@ def remove_repeated_spans(
     window_bits = _bits(words)
 
     def seeds(table: pa.Table) -> pa.Table:
-        group = _Group(table, window, seed, salt)
-        return _rows(group.batch, {"hash": np.unique(group.minimizers)}, seed_bits)
+        group = _Group(table, window, salt)
+        return _rows(group.batch, {"hash": np.unique(group.minimizers(seed))}, seed_bits)
 
     def index(left: pa.Table, right: pa.Table) -> pa.Table:
-        group = _Group(left, window, seed, salt)
-        m = group.minimizers
-        order = np.argsort(m, kind="stable")
+        group = _Group(left, window, salt)
+        m = group.minimizers(seed)
+        order = np.argsort(m)
         first, last = _runs(m[order])
         rank = group.rank[order]
+        low, high = (f.reduceat(rank, first) if len(first) else rank for f in (np.minimum, np.maximum))
         shared = np.zeros(len(m), bool)
-        shared[order] = (rank[first] != rank[last - 1])[np.repeat(np.arange(len(first)), last - first)]
+        shared[order] = np.repeat(low != high, last - first)
         shared |= np.isin(m, _unpacked(right, (("hash", "<u8"),))["hash"])
         some = np.flatnonzero(shared)
         some = some[np.sort(_first_of(group.hash[some], group.check[some])[0])]
         return _rows(group.batch, {k: v[some] for k, v in group.entries().items()}, window_bits)
 
     def factors(left: pa.Table, right: pa.Table) -> pa.Table:
-        group = _Group(left, window, seed, salt)
+        group = _Group(left, window, salt)
         return _messages(group, group.factors(_unpacked(right, _KNOWN)))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -159,26 +161,40 @@ class _Sorted:
 class _Group(_Sorted):
     """The phrases of a batch of texts that have an id."""
 
-    def __init__(self, table: pa.Table, window: int, seed: int, salt: int):
+    def __init__(self, table: pa.Table, window: int, salt: int):
         super().__init__(table)
         self.window = window
         self.batch = table.column("batch")[0].as_py() if table.num_rows else None
-        h = self.words.hashes(salt)
-        self.hash, at = phrases(h, self.words.first, window)
-        self.check = (phrases(h, self.words.first, window, _CHECK)[0] >> U(32)).astype(np.uint32)
-        owner = self.words.owner[at]
-        short, place = phrases(h, self.words.first, seed)
-        where = np.searchsorted(place, at)
-        low = short[where] if len(where) else short[:0]
-        for j in range(1, window - seed + 1):
-            low = np.minimum(low, short[where + j])
-        use = self.has_id[owner]
-        if not use.all():
-            self.hash, self.check, at, owner, low = (x[use] for x in (self.hash, self.check, at, owner, low))
-        self.minimizers, self.owner, self.at = low, owner, at - self.words.first[owner]
+        self.hashes = self.words.hashes(salt)
+        place = inside(self.words.first, window)
+        owner = self.words.owner[place]
+        if not self.has_id.all():
+            place, owner = place[self.has_id[owner]], owner[self.has_id[owner]]
+        self.place, self.owner = place, owner
+        self.at = place - self.words.first[owner]
         changes = np.r_[False, self.ids[1:] != self.ids[:-1]] if len(self.ids) else np.zeros(0, bool)
         self.rank = np.cumsum(changes)[owner]
 
+    def _rolled(self, k: int, step: np.uint64) -> np.ndarray:
+        return mix(rolling(self.hashes, k, step)) if len(self.place) else np.zeros(0, U)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self._rolled(self.window, _STEP)[self.place]
+
+    @cached_property
+    def check(self) -> np.ndarray:
+        return (self._rolled(self.window, _CHECK)[self.place] >> U(32)).astype(np.uint32)
+
+    def minimizers(self, seed: int) -> np.ndarray:
+        """The smallest hash of ``seed`` words in each window, by doubling the span of the minimum."""
+        low, span, want = self._rolled(seed, _STEP), 1, self.window - seed + 1
+        while span < want:
+            more = min(span, want - span)
+            low = np.minimum(low[: max(0, len(low) - more)], low[more:])
+            span += more
+        return low[self.place]
+
     def entries(self) -> dict[str, np.ndarray]:
         return {"hash": self.hash, "check": self.check, "id": self.ids[self.owner], "at": self.at}
 
@@ -223,7 +239,7 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _first_of(hash_: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first place of each distinct phrase, in order of hash, and which of them each place has."""
-    order = np.argsort(hash_, kind="stable")
+    order = np.argsort(hash_)
     h, c = hash_[order], check[order]
     if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any():
         order = np.lexsort((check, hash_))
@@ -231,7 +247,7 @@ def _first_of(hash_: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndar
     new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
     run = np.empty(len(h), np.int64)
     run[order] = np.cumsum(new) - 1
-    return order[new], run
+    return np.minimum.reduceat(order, np.flatnonzero(new)) if len(h) else order, run
 
 
 def _rows(batch: int | None, values: dict[str, np.ndarray], bits: int) -> pa.Table:
@@ -271,7 +287,7 @@ def _unpacked(table: pa.Table, kinds: tuple[tuple[str, str], ...], batch: bool =
 def _repeated(table: pa.Table) -> pa.Table:
     """For a block of the first round: each batch's hashes that another batch has too."""
     got = _unpacked(table, (("hash", "<u8"),), batch=True)
-    order = np.argsort(got["hash"], kind="stable")
+    order = np.argsort(got["hash"])
     h = got["hash"][order]
     same = h[1:] == h[:-1]
     hit = order[np.r_[False, same] | np.r_[same, False]] if len(h) else order

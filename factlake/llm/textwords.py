@@ -112,20 +112,29 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def rolling(hashes: np.ndarray, k: int, step: np.uint64 = _PHRASE) -> np.ndarray:
+    """A polynomial in ``step`` over each k hashes in a row, by joining halves."""
+    if k == 1:
+        return hashes.copy()
+    half = k // 2
+    out = rolling(hashes, half, step)
+    power = U(pow(int(step), half, 1 << 64))
+    out = out[: max(0, len(out) - half)] * power + out[half:]
+    if k % 2:
+        out = out[: max(0, len(out) - 1)] * step + hashes[k - 1 :]
+    return out
+
+
+def inside(first: np.ndarray, k: int) -> np.ndarray:
+    """The words at which k words in a row stay in one text."""
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(first[-1])
+    return np.flatnonzero(left >= k)
+
+
 def phrases(hashes: np.ndarray, first: np.ndarray, k: int, step: np.uint64 = _PHRASE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of k words that stay in one text, and the index of their first word."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    out = hashes[:n].copy()
-    for j in range(1, k):
-        out *= step
-        out += hashes[j : j + n]
-    whole = np.ones(n + k, bool)
-    for cut in first[1:-1]:
-        whole[max(0, cut - k + 1) : cut] = False
-    whole = whole[:n]
-    return mix(out[whole]), np.flatnonzero(whole)
+    at = inside(first, k)
+    return mix(rolling(hashes, k, step)[at]) if len(at) else np.zeros(0, U), at
 
 
 def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch | pa.Table]:
