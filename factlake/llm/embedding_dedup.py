@@ -32,7 +32,7 @@ from factlake.storage import written
 
 #: Vectors of the sample, leading directions, vectors of a block and of a side of a task, and vectors
 #: compared at once.
-SAMPLE, DIRECTIONS, BLOCK, LEAF = 8192, 16, 8192, 256
+SAMPLE, DIRECTIONS, BLOCK, LEAF = 8192, 16, 16384, 256
 #: Blocks whose boxes the driver and each task hold, 272 bytes each. Beyond that many, blocks get
 #: larger, tasks don't.
 MOST_BLOCKS = 1 << 16
