@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.textwords import U, Words, mix, phrases, slices, split_words
+from factlake.llm.textwords import U, Words, mix, phrases, release, slices, split_words
 from factlake.plans.components import connected_components
 from factlake.storage import written
 
@@ -34,7 +34,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: A pair is verified if the estimate is at least the threshold less so many standard errors.
 DEVIATIONS = 5.0
 #: Rows of one side of a block comparison, and shingles in all its sets together.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Set sizes by which hashes that collide may mislead before the words are looked at.
 SLACK = 2
 
@@ -276,6 +276,7 @@ def _links_between(mixed: DataFrame, texts: DataFrame, reps: DataFrame, width: i
     spread = members.unionByName(strays).join(texts.select(F.col("id").alias("rep"), "text"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         ids, comp = (table.column(c).to_numpy() for c in ("rep", "c"))
         stray = table.column("stray").to_numpy(zero_copy_only=False)
         a, b = [], []

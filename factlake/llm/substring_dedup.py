@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.textwords import U, Words, inside, loosened, mix, rolling, split_words
+from factlake.llm.textwords import U, Words, inside, loosened, mix, release, rolling, split_words
 
 #: Bytes of text that a batch of documents should have.
 BATCH_BYTES = 4 << 20
@@ -143,6 +143,7 @@ class _Sorted:
     """The texts of a batch in order of id, null ids last, and their words."""
 
     def __init__(self, table: pa.Table):
+        release()
         if table.num_rows:
             table = table.take(pc.sort_indices(table, [("id", "ascending"), ("mark", "ascending")]))
         self.table = table

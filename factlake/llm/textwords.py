@@ -6,6 +6,7 @@ found and hashed on the UTF-8 bytes. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -137,19 +138,36 @@ def phrases(hashes: np.ndarray, first: np.ndarray, k: int, step: np.uint64 = _PH
     return mix(rolling(hashes, k, step)[at]) if len(at) else np.zeros(0, U), at
 
 
-def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch | pa.Table]:
-    """Cut a batch into runs of whole rows with about ``most`` bytes of text, to bound memory."""
+def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 1 << 21, rows: int = 4096) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Cut a batch into runs of whole rows with about ``most`` bytes of text and at most ``rows`` rows, to bound memory."""
     column = batch.column(text)
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0)
     total = np.cumsum(sizes)
     i = 0
     while i < len(sizes):
         before = total[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(total, before + most, "right")))
+        j = max(i + 1, min(i + rows, int(np.searchsorted(total, before + most, "right"))))
+        release()
         yield batch.slice(i, j - i)
         i = j
 
 
+def release() -> None:
+    """Give memory that arrays no longer use back to the system, where its allocator can.
+
+    Workers live through many tasks, and what one task freed would count against the next one's limit.
+    """
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another allocator, which does as it likes
+    _TRIM = None
+
+
 def loosened(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A struct column whose fields may all be null, as a schema without nullability declares them."""
     if isinstance(column, pa.ChunkedArray):
