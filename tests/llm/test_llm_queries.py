@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline as pipeline
+import duckdb
 import numpy as np
 import oracle
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pytest
 from brute import base_metrics, caught, components, decision_list, ftrl, grams, mix64, near, quality_features, sigmoid, substring, targets, words
 from pyspark.sql import functions as F
 
-from factlake.llm import toxicity
+from factlake.llm import licenses, toxicity
 from factlake.llm.queries import MODEL, ORACLE_SQL, QUERIES
 from factlake.llm.sentencepiece_sampling import sample_encode
 from factlake.llm.textwords import split_words
@@ -118,6 +119,7 @@ def _corpus():
         w[3] = "changed" if i % 2 else w[3]
         rows.append((i, " ".join(w), "en", "a", 0))
     rows += [(700, None, None, None, None), (701, "", "en", "a", 0), (702, "\n", "en", None, 1)]
+    rows += [(703, " ".join(f"{vocabulary[i * i % 487]}{i % 701}" for i in range(20_000)), "fr", "b", 5)]
     return rows, labels
 
 
@@ -166,6 +168,33 @@ def test_the_pipeline_samples_without_replacement(spark):
     assert all(len(r["more"]) == 1 and r["more"][0]["ids"] != r["ids"] and r["more"][0]["round_trip"] for r in rows if r["doc_id"] < 2)
 
 
+def test_stages_ignore_other_columns(spark, tmp_path):
+    rows, labels = _corpus()
+    docs = spark.createDataFrame(rows[:200], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clash = docs
+    for c in ("id", "score", "kept", "row", "batch", "mark", "slot", "carried", "size", "taken", "ids", "key", "rep", "epoch", "whole"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    for name, stage in pipeline.STAGES:
+        plain, other = (sorted(map(str, stage(spark, d, str(tmp_path)).collect())) for d in (docs, clash))
+        assert plain == other, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert pipeline.reject_toxic(spark, docs, str(tmp_path / "none")).count() == docs.count()
+
+
+def test_license_query_finds_planted_texts(spark, tmp_path):
+    mit, zlib_ = dict(licenses.TEXTS)["MIT"], dict(licenses.TEXTS)["Zlib"]
+    texts = [mit, "Copyright (c) 2020 X\n" + mit.upper(), zlib_.replace("acknowledgment", "acknowledgement"), "LICENCED under CC-BY NC 4.0!", mit + " x", None, "", "..."]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: (r["digest"], r["license"]) for r in QUERIES["op7_license_scan"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {i: (d, n) for i, d, n in con.execute("SELECT doc_id, digest, license FROM (" + ORACLE_SQL["op7_license_scan"] + ")").fetchall()} == rows
+    assert [rows[i][1] for i in range(8)] == ["MIT", "MIT", "Zlib", "CC-BY-NC-4.0 notice", None, None, None, None]
+
+
 def test_each_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
     assert toxicity.Settings().most_rows == 16_000
