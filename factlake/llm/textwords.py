@@ -140,6 +140,7 @@ def phrases(hashes: np.ndarray, first: np.ndarray, k: int, step: np.uint64 = _PH
 
 def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 1 << 21, rows: int = 4096) -> Iterator[pa.RecordBatch | pa.Table]:
     """Cut a batch into runs of whole rows with about ``most`` bytes of text and at most ``rows`` rows, to bound memory."""
+    release()
     column = batch.column(text)
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0)
     total = np.cumsum(sizes)
@@ -147,7 +148,6 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 1 << 21, row
     while i < len(sizes):
         before = total[i - 1] if i else 0
         j = max(i + 1, min(i + rows, int(np.searchsorted(total, before + most, "right"))))
-        release()
         yield batch.slice(i, j - i)
         i = j
 
