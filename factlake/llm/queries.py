@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import chat, licenses, mixing, quality_rules, toxicity, urls
+from factlake.llm import chat, licenses, mixing, quality_rules, secrets, toxicity, urls
 from factlake.llm.embedding_dedup import LINKS_SQL, embedding_links
 from factlake.llm.near_dedup import NEAR_SQL, near_duplicates
 from factlake.llm.sentencepiece_sampling import sample_encode
@@ -80,6 +80,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_mixing,
         op10_toxicity,
+        op11_secret_scan,
     )
 }
 
