@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import chat, licenses, mixing, quality_rules, secrets, toxicity, urls
+from factlake.llm import chat, importance, licenses, mixing, quality_rules, secrets, toxicity, urls
 from factlake.llm.embedding_dedup import LINKS_SQL, embedding_links
 from factlake.llm.near_dedup import NEAR_SQL, near_duplicates
 from factlake.llm.sentencepiece_sampling import sample_encode
@@ -84,6 +84,12 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    out = importance.resample(documents, benchmark)
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_mixing,
         op10_toxicity,
         op11_secret_scan,
+        op12_importance_resampling,
     )
 }
 
@@ -109,4 +116,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": licenses.SCAN_SQL,
     "op8_chat_formatting": chat.DIGEST_SQL,
     "op9_mixing": mixing.MIX_SQL,
+    "op12_importance_resampling": importance.RESAMPLE_SQL,
 }
