@@ -244,8 +244,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 
 
 #: CRC-32 of the hex digits ``x`` of some bytes, from the polynomial.
-_CRC_SQL = """
-crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS tab)"""
+CRC_SQL = """crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS tab)"""
 
 
 def crc_sql(x: str) -> str:
@@ -254,7 +253,7 @@ def crc_sql(x: str) -> str:
 
 
 RESAMPLE_SQL = rf"""
-WITH {_CRC_SQL.strip()},
+WITH {CRC_SQL},
 texts AS (SELECT true AS own, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
 said AS (SELECT own, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
 counts AS (SELECT own, id, word, count(*) AS n FROM said GROUP BY ALL),

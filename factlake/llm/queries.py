@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import chat, importance, licenses, mixing, quality_rules, secrets, toxicity, urls
+from factlake.llm import chat, importance, licenses, mixing, periodic_runs, quality_rules, secrets, toxicity, urls
 from factlake.llm.embedding_dedup import LINKS_SQL, embedding_links
 from factlake.llm.near_dedup import NEAR_SQL, near_duplicates
 from factlake.llm.sentencepiece_sampling import sample_encode
@@ -90,6 +90,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.plant_periods(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return periodic_runs.digests(periodic_runs.find_runs(planted, "id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_secret_scan,
         op12_importance_resampling,
+        op13_periodic_runs,
     )
 }
 
@@ -117,4 +123,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": chat.DIGEST_SQL,
     "op9_mixing": mixing.MIX_SQL,
     "op12_importance_resampling": importance.RESAMPLE_SQL,
+    "op13_periodic_runs": periodic_runs.RUNS_SQL,
 }
