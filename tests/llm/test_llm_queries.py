@@ -196,5 +196,5 @@ def test_license_query_finds_planted_texts(spark, tmp_path):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert toxicity.Settings().most_rows == 16_000
