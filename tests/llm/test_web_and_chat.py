@@ -80,6 +80,16 @@ def test_any_names_and_long_urls(spark):
     assert got == [(1, "a", "f", True, True), (2, "a", "f", True, False), (3, None, None, False, False)]
 
 
+def test_hosts_of_any_number_of_labels(spark):
+    deep = "a." * 200_000
+    day = DAY(2024, 3, 20)
+    rows = [(1, f"http://{deep}bad.org/"), (2, f"http://{deep}ok.bad.org"), (3, "http://" + "b" * 400_000 + ".org"), (4, f"http://{deep}x.net/" + "." * 100_000), (5, "http://org")]
+    more = [("domain", "z.x.net", "block", DAY(2024, 1, 1)), ("domain", "very.deep.a.a.a.bad.org", "block", DAY(2024, 1, 1)), ("domain", "", "block", DAY(2024, 1, 1))]
+    out = _filtered(spark, [(i, u, day, "clash", None) for i, u in rows], ENTRIES + more)
+    assert [x[2:] for x in out] == [("bad.org", "block", True)] * 2 + [("org", "block", True), (None, None, False), ("org", "block", True)]
+    assert urls.label_counts(urls.validity(spark.createDataFrame(ENTRIES + more, "kind string, pattern string, action string, day date"))) == [1, 2, 3, 7]
+
+
 # --- Licenses
 
 
