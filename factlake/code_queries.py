@@ -34,17 +34,29 @@ def query(sql: str, *ctes: str):
     return add
 
 
-_KNOWN: dict[tuple, plans.Facts] = {}
+_KNOWN: dict[str, tuple[tuple, plans.Facts]] = {}
+
+
+def _relations(spark: SparkSession, d: str, kind: str, make: Callable[[DataFrame], DataFrame]) -> plans.Facts:
+    """Relations of sources made from ``part``, derived once for the same files of a session."""
+    part = table(spark, d, "part")
+    file = part.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = file.agg(F.count("*"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()
+    key = (spark.sparkContext.applicationId, d, *state)
+    if kind not in _KNOWN or _KNOWN[kind][0] != key:
+        docs = written(make(part), "sources")
+        _KNOWN[kind] = (key, plans.build(docs, csharp.syntax_nodes(docs)))
+    return _KNOWN[kind][1]
 
 
 def facts_of(spark: SparkSession, d: str) -> plans.Facts:
-    """The relations of the sources made from ``part``."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _KNOWN:
-        docs = written(generated.sources(table(spark, d, "part")), "sources")
-        _KNOWN.clear()
-        _KNOWN[key] = plans.build(docs, csharp.syntax_nodes(docs))
-    return _KNOWN[key]
+    """The relations of the classes, interfaces and small files made from ``part``."""
+    return _relations(spark, d, "shop", generated.sources)
+
+
+def chains_of(spark: SparkSession, d: str) -> plans.Facts:
+    """The relations of the classes whose methods call each other through chains."""
+    return _relations(spark, d, "chain", generated.chain_sources)
 
 
 # Rows of part as the sources see them: u lines of usings, q tests, e whether there is a base, a bases in all.
@@ -778,3 +790,50 @@ _rewrite(
     _method("switch (a)", "{", "    case {s}:", "        Go();", "        break;", "    case 0:", "        return;", "    default:", "        Stop();", "        break;", "}"),
 )
 _rewrite("reverse_for_statement", _method("for (int i = 0; i < {s}; i++) { Go(i); }"), "for (", _method("for (int i = {s} - 1; i >= 0; i--) { Go(i); }"))
+
+
+# --- Chains of expressions
+
+# Classes that have one above (h), the steps that they climb (d), and the class they reach (e).
+_N = """n AS (SELECT k, h, d, k >> d AS e FROM (SELECT p_partkey AS k, p_partkey // 2 AS h, least(1 + p_partkey % 6, length(bin(p_partkey)) - 1)::INT AS d FROM part WHERE p_partkey > 1))"""
+
+
+@query("""SELECT 'N' || k AS doc_id, v.name, 'Node' || CASE v.name WHEN 'end' THEN e ELSE h END AS type
+FROM n, (VALUES ('end'), ('first'), ('kid'), ('x'), ('next')) v(name)""", _N)
+def code_chain_types(spark, d):
+    """Types of variables that have none written, by what they are given."""
+    return chains_of(spark, d).locals.filter("inferred is not null and node_kind <> 'LocalFunctionStatement'").select("doc_id", "name", F.col("value_type").alias("type"))
+
+
+@query("""SELECT 'N' || k AS doc_id, v.args, 'Node' || CASE WHEN v.far THEN e ELSE h END AS owner, v.type, 1::BIGINT AS n_candidates
+FROM n, (VALUES ('"a"', false, 'string'), ('1', false, 'int'), ('end.Rank("s")', false, 'string'), ('"s"', true, 'string'), ('((Node)o).Rank(3)', false, 'int'),
+  ('3', false, 'int'), ('Twice(4)', false, 'int'), ('5', true, 'int')) v(args, far, type)""", _N)
+def code_chain_overloads(spark, d):
+    """Of two overloads of one parameter, the one that the argument's type calls, behind receivers of every kind."""
+    f = chains_of(spark, d)
+    to = f.members.select(F.col("member_id").alias("callee_id"), F.col("type_name").alias("owner"), F.get("params", F.lit(0))["type"].alias("type"))
+    rows = f.calls.filter("callee_name = 'Rank'").join(to, "callee_id", "left")
+    return rows.select("doc_id", F.regexp_replace(F.array_join("args", ", "), r"\(Node\d+\)", "(Node)").alias("args"), "owner", "type", "n_candidates")
+
+
+@query("""SELECT 'N' || k AS doc_id, CASE WHEN i % 2 = 1 THEN 'Climb' ELSE 'Up' END AS name, 'Node' || (k >> (i - 1)) AS owner, 1::BIGINT AS n
+FROM (SELECT *, unnest(range(1, d + 1)) AS i FROM n) UNION ALL SELECT 'N' || k, 'Up', 'Node' || k, 2 FROM n""", _N)
+def code_chain_steps(spark, d):
+    """The members that each step of a chain means."""
+    f = chains_of(spark, d)
+    m = f.members.filter("name in ('Up', 'Climb')").select(F.col("member_id").alias("symbol_id"), "name", F.col("type_name").alias("owner"))
+    return f.refs.filter("not is_definition").join(m, "symbol_id").groupBy("doc_id", "name", "owner").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'N' || k AS doc_id, '(int low, int high)' AS pair, 2::BIGINT AS loops, 'int Twice' AS inner, 4::BIGINT AS complexity, 0::BIGINT AS calls_of_inner FROM n""", _N)
+def code_chain_constructs(spark, d):
+    """Tuple results, loops over streams and functions inside methods, as the parser and the metrics see them."""
+    f = chains_of(spark, d)
+    n = f.nodes.groupBy("doc_id").agg(
+        F.max(F.when((F.col("kind") == "MethodDeclaration") & (F.col("ident") == "Span"), F.col("type_text"))).alias("pair"),
+        F.count_if(F.col("kind") == "ForEachStatement").alias("loops"),
+        F.max(F.when(F.col("kind") == "LocalFunctionStatement", F.concat_ws(" ", "type_text", "ident"))).alias("inner"),
+    )
+    walk = plans.metrics_of(f).filter("name = 'Walk'").select("doc_id", "complexity")
+    called = f.calls.groupBy("doc_id").agg(F.count_if(F.col("callee_name") == "Twice").alias("calls_of_inner"))
+    return n.join(walk, "doc_id").join(called, "doc_id")

@@ -3,9 +3,11 @@
 Names are bound as far as source text alone tells. A name of a type is looked up in the namespace
 around it, then in the outer ones, then in the namespaces that the file's usings name. A name without
 a receiver is a local, a member of the type around it or of its bases, or a type; behind a receiver
-whose type is declared, it is a member of that type or its bases, or a static member of the type
-that the receiver names, or an extension method in scope. Overloads are told apart by the number of
-arguments. Where several declarations fit, all are kept with their number; a name that nothing here
+whose type is known, it is a member of that type or its bases, or a static member of the type
+that the receiver names, or an extension method in scope; types of receivers follow from chains of
+members, calls, elements, awaits and conversions, through variables and parameters of lambdas (see
+:mod:`factlake.plans.expressions`). Overloads are told apart by the number of arguments and by how
+their types convert. Where several declarations fit, all are kept with their number; a name that nothing here
 declares binds to nothing.
 """
 
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.operators import graph, metrics
+from factlake.plans import expressions
+from factlake.plans.expressions import GLOBAL
 from factlake.storage import written
 
 TYPE_KINDS = ("ClassDeclaration", "StructDeclaration", "InterfaceDeclaration", "RecordDeclaration", "RecordStructDeclaration", "EnumDeclaration")
@@ -25,8 +29,7 @@ METHOD_KINDS = ("MethodDeclaration", "ConstructorDeclaration", "DestructorDeclar
 MEMBER_KINDS = (*METHOD_KINDS, "PropertyDeclaration", "IndexerDeclaration", "FieldDeclaration", "FieldDeclarator", "EventDeclaration", "EnumMemberDeclaration")
 #: Members that hold statements or expressions.
 BODIES = (*METHOD_KINDS, "PropertyDeclaration", "IndexerDeclaration", "FieldDeclaration", "FieldDeclarator", "EventDeclaration")
-LOCAL_KINDS = ("LocalDeclarationStatement", "LocalDeclarator", "Parameter")
-GLOBAL = "<global>"
+LOCAL_KINDS = ("LocalDeclarationStatement", "LocalDeclarator", "Parameter", "LambdaParameter", "LocalFunctionStatement")
 PLACE = ("doc_id", "start", "length", "line", "column", "end_line", "end_column")
 
 
@@ -131,8 +134,11 @@ def build(documents: DataFrame, nodes: DataFrame) -> Facts:
     )
     bases = written(bases.filter("type_id <> base_id or distance = 0"), "bases")
     declared = written(_locals(nodes, above), "locals")
-    bound = written(references(placed, types, members, declared, scopes, bases), "refs")
-    called = written(calls(placed, members, bound, nodes), "calls")
+    bindings = expressions.Bindings(placed, _other_expressions(nodes, above, space, types), types, members, declared, scopes, bases)
+    used, inferred = bindings.solve()
+    declared = written(declared.join(inferred, "symbol_id", "left").withColumn("value_type", F.coalesce("given_type", "inferred", "type_text")), "locals")
+    bound = written(used.unionByName(_definitions(types, members, declared)), "refs")
+    called = written(calls(placed, members, bound, nodes, declared), "calls")
     return Facts(documents, nodes, above, types, members, usings, edges, called, _called_only(bound, called), whole, bases, declared, scopes)
 
 
@@ -161,48 +167,54 @@ def _scopes(types: DataFrame, members: DataFrame, whole: DataFrame, usings: Data
 def _sites(nodes: DataFrame, above: DataFrame, space: DataFrame, types: DataFrame) -> DataFrame:
     """Names in use, with the member, the type and the namespace that they stand in."""
     key = ["doc_id", "node_id"]
-    names = nodes.filter("kind = 'IdentifierName'").select(*PLACE, "node_id", "parent_id", F.col("ident").alias("name"), "receiver")
+    names = nodes.filter("kind = 'IdentifierName'").select(*PLACE, "node_id", "parent_id", F.col("ident").alias("name"), "receiver", "target")
+    made = nodes.filter("kind = 'InvocationExpression'").select("doc_id", "start", F.size("args").alias("n_args"), "arg_starts")
+    names = names.join(made, ["doc_id", "start"], "left")
     inner = types.select("doc_id", F.col("node_id").alias("type_node"), "type_id")
     out = names.join(innermost(above, BODIES, "member_node"), key, "left").join(innermost(above, TYPE_KINDS, "type_node"), key, "left")
     out = out.join(space, key, "left").join(inner, ["doc_id", "type_node"], "left")
     return out.withColumn("namespace", F.coalesce("namespace", F.lit(GLOBAL)))
 
 
-def _locals(nodes: DataFrame, above: DataFrame) -> DataFrame:
-    """``(doc_id, member_node, name, symbol_id, type_text, name_start)`` of locals and parameters of members."""
-    rows = nodes.filter(F.col("kind").isin(*LOCAL_KINDS) & F.col("name_start").isNotNull())
-    made = F.regexp_extract("detail", r"^new\s+([\w.]+)", 1)
-    kind = F.when((F.col("type_text") == "var") & (F.col("kind") != "Parameter"), F.nullif(made, F.lit(""))).otherwise(F.col("type_text"))
-    return rows.join(innermost(above, BODIES, "member_node"), ["doc_id", "node_id"]).select(
-        "doc_id", "member_node", F.col("ident").alias("name"), _symbol("doc_id", "node_id").alias("symbol_id"), kind.alias("type_text"), "name_start",
-        F.col("kind").alias("node_kind"), "type_text", "line",
-    ).toDF("doc_id", "member_node", "name", "symbol_id", "type_text", "name_start", "node_kind", "written_type", "line")
-
+def _other_expressions(nodes: DataFrame, above: DataFrame, space: DataFrame, types: DataFrame) -> DataFrame:
+    """``(doc_id, at, kind, type_text, target, namespace, own_type)`` of the expressions that aren't names.
 
-def bind_types(rows: DataFrame, types: DataFrame, scopes: DataFrame, key: list[str]) -> DataFrame:
-    """``key`` and ``found_type``: the types that (doc_id, namespace, qualifier, name) of each row means.
-
-    The nearest namespace that has the name decides; a qualified name also matches a whole namespace.
+    Creations, conversions and literals tell their type; accesses to elements and awaits have that of
+    their target, or of the type around them, ``own_type``, where they are applied to ``this``.
     """
-    known = types.select(F.col("type_id").alias("found_type"), "name", F.col("namespace").alias("target"))
-    plain = rows.filter("qualifier is null").join(scopes, ["doc_id", "namespace"])
-    below = rows.filter("qualifier is not null").join(scopes, ["doc_id", "namespace"])
-    inside = F.when(F.col("target") == GLOBAL, F.col("qualifier")).otherwise(F.concat_ws(".", "target", "qualifier"))
-    asked = plain.unionByName(below.withColumn("target", inside))
-    hit = asked.join(known, ["name", "target"]).select(*key, "found_type", "rank")
-    best = hit.groupBy(*key).agg(F.min("rank").alias("rank"))
-    return hit.join(best, [*key, "rank"]).select(*key, "found_type").distinct()
-
+    number = (
+        F.when(F.col("detail").rlike("(?i)^0[xb].*[^l]$"), "int").when(F.col("detail").rlike("(?i)m$"), "decimal").when(F.col("detail").rlike("(?i)f$"), "float")
+        .when(F.col("detail").rlike("(?i)(ul|lu)$"), "ulong").when(F.col("detail").rlike("(?i)l$"), "long").when(F.col("detail").rlike("(?i)u$"), "uint")
+        .when(F.col("detail").rlike("(?i)[.ed]"), "double").otherwise("int")
+    )
+    text = (
+        F.when(F.col("kind") == "NumericLiteralExpression", number).when(F.col("kind") == "StringLiteralExpression", "string")
+        .otherwise(F.col("type_text"))
+    )
+    kinds = ("ObjectCreationExpression", "CastExpression", "ElementAccessExpression", "AwaitExpression", "NumericLiteralExpression", "StringLiteralExpression")
+    rows = nodes.filter(F.col("kind").isin(*kinds)).join(space, ["doc_id", "node_id"], "left")
+    around = innermost(above, TYPE_KINDS, "type_node").join(types.select("doc_id", F.col("node_id").alias("type_node"), F.col("type_id").alias("own_type")), ["doc_id", "type_node"])
+    rows = rows.join(around.select("doc_id", "node_id", "own_type"), ["doc_id", "node_id"], "left")
+    return rows.select(
+        "doc_id", F.col("start").alias("at"), "kind", text.alias("type_text"), "target", F.coalesce("namespace", F.lit(GLOBAL)).alias("namespace"),
+        F.when(F.col("receiver") == "this", F.col("own_type")).alias("own_type"),
+    )
 
-def _bare(type_text: Column) -> Column:
-    """The name in a type's text, without modifiers, type arguments, ranks and question marks."""
-    out = F.regexp_replace(type_text, r"^(?:(?:this|ref|out|in|params|readonly|scoped)\s+)+", "")
-    return F.regexp_extract(out, r"^([\w.]+)", 1)
 
+def _locals(nodes: DataFrame, above: DataFrame) -> DataFrame:
+    """``(doc_id, member_node, name, symbol_id, type_text, name_start, ...)`` of locals and parameters of members.
 
-def _split_name(text: Column) -> list[Column]:
-    last = F.substring_index(text, ".", -1)
-    return [last.alias("name"), F.nullif(F.substring(text, F.lit(1), F.length(text) - F.length(last) - 1), F.lit("")).alias("qualifier")]
+    ``type_text`` is the type that is written, or made in place; ``given_type`` only the former.
+    """
+    rows = nodes.filter(F.col("kind").isin(*LOCAL_KINDS) & F.col("name_start").isNotNull())
+    untyped = (F.col("type_text") == "var") & (F.col("kind") != "Parameter")
+    made = F.nullif(F.regexp_extract("detail", r"^new\s+([\w.]+)", 1), F.lit(""))
+    kind = F.when(untyped, made).otherwise(F.col("type_text"))
+    return rows.join(innermost(above, BODIES, "member_node"), ["doc_id", "node_id"]).select(
+        "doc_id", "member_node", F.col("ident").alias("name"), _symbol("doc_id", "node_id").alias("symbol_id"), kind.alias("type_text"), "name_start",
+        F.when(~untyped, F.col("type_text")).alias("given_type"), F.col("kind").alias("node_kind"), F.col("type_text").alias("written_type"), "line", "target",
+        F.coalesce(F.col("modifiers") == "foreach", F.lit(False)).alias("is_element"), F.when(F.col("kind") == "LambdaParameter", F.col("detail")).alias("of_lambda"),
+    )
 
 
 def type_edges(sites: DataFrame, types: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -212,8 +224,8 @@ def type_edges(sites: DataFrame, types: DataFrame, scopes: DataFrame) -> DataFra
     starts with I and a capital.
     """
     listed = types.filter("bases is not null").select("doc_id", "namespace", "type_id", F.posexplode(F.split(F.regexp_replace("bases", "<(?:[^<>]|<[^<>]*>)*>|\\([^()]*\\)", ""), ",")).alias("place", "b"))
-    listed = listed.select("doc_id", "namespace", "type_id", "place", F.trim("b").alias("b")).select("*", *_split_name(F.col("b")))
-    found = bind_types(listed, types, scopes, ["type_id", "place"])
+    listed = listed.select("doc_id", "namespace", "type_id", "place", F.trim("b").alias("b")).select("*", *expressions.split_name(F.col("b")))
+    found = expressions.bind_types(listed, types, scopes, ["type_id", "place"])
     out = listed.select(F.col("type_id").alias("src_type"), "place", F.col("name").alias("dst_name"))
     out = out.join(found.select(F.col("type_id").alias("src_type"), "place", F.col("found_type").alias("dst_type")), ["src_type", "place"], "left")
     out = out.join(types.select(F.col("type_id").alias("dst_type"), F.col("kind").alias("dst_kind")), "dst_type", "left")
@@ -224,69 +236,6 @@ def type_edges(sites: DataFrame, types: DataFrame, scopes: DataFrame) -> DataFra
     )
 
 
-def references(sites: DataFrame, types: DataFrame, members: DataFrame, locals_: DataFrame, scopes: DataFrame, bases: DataFrame) -> DataFrame:
-    """``(symbol_id, symbol_kind, doc_id, start, ..., is_definition, n_candidates)``: bound names and declarations."""
-    key = ["doc_id", "start"]
-    bare = sites.filter("receiver is null")
-    # Locals and parameters: of several of a name, the last one declared before the place.
-    near = bare.join(locals_.select("doc_id", "member_node", "name", "symbol_id", "name_start", "type_text"), ["doc_id", "member_node", "name"])
-    near = near.filter("name_start <= start").groupBy(*key).agg(F.max_by(F.struct("symbol_id", "type_text"), "name_start").alias("x"))
-    local = near.select(*key, F.col("x.symbol_id").alias("symbol_id"), F.lit("local").alias("symbol_kind"))
-    # Members that a type has itself or from the nearest base.
-    own = members.filter("kind not in ('constructor', 'destructor')").select(F.col("type_id").alias("base_id"), "member_id", "name", F.col("type_text").alias("member_type"))
-    has = bases.join(own, "base_id").select("type_id", "name", "member_id", "distance", "member_type")
-
-    def members_of(rows: DataFrame) -> DataFrame:
-        """Rows of (key, type_id, name): the members of that name in the nearest type."""
-        hit = rows.join(has, ["type_id", "name"])
-        best = hit.groupBy(*key).agg(F.min("distance").alias("distance"))
-        return hit.join(best, [*key, "distance"]).select(*key, F.col("member_id").alias("symbol_id"), "member_type").distinct()
-
-    rest = bare.join(local.select(*key), key, "left_anti")
-    mine = members_of(rest.filter("type_id is not null"))
-    inner = mine.select(*key, "symbol_id", F.lit("member").alias("symbol_kind"))
-    # What is left without a receiver may be a type; so may the receiver of another name.
-    left = rest.join(mine.select(*key).distinct(), key, "left_anti")
-    types_of = lambda rows: bind_types(rows, types, scopes, key)
-    typed = types_of(left.select(*key, "namespace", "name", F.lit(None).cast("string").alias("qualifier")))
-    named = typed.select(*key, F.col("found_type").alias("symbol_id"), F.lit("type").alias("symbol_kind"))
-    behind = sites.filter("receiver is not null and receiver <> '?'")
-    # A type of a qualified name.
-    qualified = types_of(behind.select(*key, "namespace", "name", F.col("receiver").alias("qualifier")))
-    # The receiver's type: this, base, a local, a member of the type around, or a type itself.
-    this = behind.filter("receiver = 'this'").select(*key, "name", "type_id")
-    super_ = behind.filter("receiver = 'base'").select(*key, "name", "type_id").join(bases.filter("distance = 1"), "type_id").select(*key, "name", F.col("base_id").alias("type_id"))
-    simple = behind.filter("receiver not in ('this', 'base')").withColumn("head", F.regexp_replace("receiver", r"^this\.", ""))
-    one = simple.filter("not head like '%.%'")
-    of_local = one.join(locals_.select("doc_id", "member_node", F.col("name").alias("head"), "name_start", "type_text"), ["doc_id", "member_node", "head"])
-    of_local = of_local.filter("name_start <= start and receiver = head").groupBy(*key, "name", "namespace").agg(F.max_by("type_text", "name_start").alias("type_text"))
-    other = one.join(of_local.select(*key), key, "left_anti")
-    fields = has.select("type_id", F.col("name").alias("head"), "distance", "member_type")
-    of_member = other.join(fields, ["type_id", "head"]).groupBy(*key, "name", "namespace").agg(F.min_by("member_type", "distance").alias("type_text"))
-    by_text = of_local.select(*key, "name", "namespace", "type_text").unionByName(of_member)
-    by_text = by_text.select(*key, "namespace", F.col("name").alias("wanted"), _bare(F.col("type_text")).alias("b")).select("*", *_split_name(F.col("b")))
-    valued = types_of(by_text.select(*key, "namespace", "name", "qualifier")).join(by_text.select(*key, F.col("wanted").alias("name")), key)
-    valued = valued.select(*key, "name", F.col("found_type").alias("type_id"))
-    still = simple.join(by_text.select(*key), key, "left_anti").select(*key, "namespace", F.col("name").alias("wanted"), "receiver")
-    still = still.select(*key, "namespace", "wanted", *_split_name(F.col("receiver")))
-    static = types_of(still.select(*key, "namespace", "name", "qualifier")).join(still.select(*key, F.col("wanted").alias("name")), key)
-    static = static.select(*key, "name", F.col("found_type").alias("type_id"))
-    outer = written(members_of(this.unionByName(super_).unionByName(valued).unionByName(static)), "bound")
-    far = outer.select(*key, "symbol_id", F.lit("member").alias("symbol_kind"))
-    whole = qualified.join(far.select(*key).distinct(), key, "left_anti").select(*key, F.col("found_type").alias("symbol_id"), F.lit("type").alias("symbol_kind"))
-    # Extension methods in scope, where the receiver's type has no such member.
-    extra = members.filter("is_extension").select("name", F.col("namespace").alias("target"), F.col("member_id").alias("symbol_id"))
-    loose = sites.filter("receiver is not null").join(far.unionByName(whole).select(*key).distinct(), key, "left_anti")
-    extended = loose.join(scopes, ["doc_id", "namespace"]).join(extra, ["name", "target"]).select(*key, "symbol_id", F.lit("member").alias("symbol_kind")).distinct()
-    used = local
-    for part in (inner, named, far, whole, extended):
-        used = used.unionByName(part)
-    count = used.groupBy(*key).agg(F.count("*").alias("n_candidates"))
-    used = used.join(count, key).join(sites.select(*PLACE), key)
-    used = used.select("symbol_id", "symbol_kind", *PLACE, F.lit(False).alias("is_definition"), "n_candidates")
-    return used.unionByName(_definitions(types, members, locals_))
-
-
 def _definitions(types: DataFrame, members: DataFrame, locals_: DataFrame) -> DataFrame:
     """Declarations as rows of references, at their names; line and columns are left to the document."""
     id_of = {"type": (types, "type_id"), "member": (members, "member_id"), "local": (locals_, "symbol_id")}
@@ -302,15 +251,18 @@ def _definitions(types: DataFrame, members: DataFrame, locals_: DataFrame) -> Da
     return out
 
 
-def calls(sites: DataFrame, members: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
+def calls(sites: DataFrame, members: DataFrame, refs: DataFrame, nodes: DataFrame, locals_: DataFrame) -> DataFrame:
     """``(caller_id, callee_id, callee_name, doc_id, start, line, column, args, n_candidates)``.
 
-    Callees are the bound methods that take this many arguments; unknown ones have a null id.
+    Callees are the bound methods that take this many arguments; unknown ones have a null id. Calls of
+    functions declared among statements are none of a member's, what they do belongs to the member around them.
     """
     made = nodes.filter("kind = 'InvocationExpression'").select(
         "doc_id", "start", F.col("ident").alias("callee_name"), "receiver", F.coalesce("args", F.array().cast("array<string>")).alias("args")
     )
     at = made.join(sites.filter("member_node is not null").select("doc_id", "start", "member_node", "line", "column"), ["doc_id", "start"])
+    inner = locals_.filter("node_kind = 'LocalFunctionStatement'").select("symbol_id")
+    at = at.join(refs.filter("not is_definition and symbol_kind = 'local'").join(inner, "symbol_id").select("doc_id", "start"), ["doc_id", "start"], "left_anti")
     bound = refs.filter("not is_definition and symbol_kind = 'member'").select("doc_id", "start", F.col("symbol_id").alias("callee_id"))
     methods = members.filter("kind = 'method'").select(F.col("member_id").alias("callee_id"), "n_params", "n_required", "is_extension", F.get("params", F.col("n_params").cast("int") - 1)["type"].startswith("params ").alias("many"))
     given = F.size("args") + (F.col("is_extension") & F.col("receiver").isNotNull()).cast("int")

@@ -21,7 +21,7 @@ from factlake.functions.names import KEYWORDS
 NODE_SCHEMA = (
     "doc_id string, node_id long, parent_id long, kind string, start int, length int, line int, column int, "
     "end_line int, end_column int, depth int, ident string, modifiers string, type_text string, detail string, "
-    "receiver string, args array<string>, name_start int, owners array<long>, ancestors array<string>"
+    "receiver string, args array<string>, name_start int, target int, arg_starts array<int>, owners array<long>, ancestors array<string>"
 )
 OWNERS = frozenset(
     "ClassDeclaration StructDeclaration InterfaceDeclaration RecordDeclaration RecordStructDeclaration EnumDeclaration NamespaceDeclaration "
@@ -58,6 +58,14 @@ _ASSIGN = frozenset(("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "??=",
 _TYPE_MARKS = frozenset((".", "<", ">", ",", "?", "[", "]", "*", "::", "(", ")"))
 
 
+#: Words that may stand in front of a type.
+_BEFORE_TYPE = frozenset("this ref out in params readonly scoped where new static const global unmanaged class struct notnull default await".split())
+#: Words that begin no declaration, whatever follows.
+_NO_TYPE = frozenset("await yield goto new throw return else case when in is as not and or typeof nameof sizeof".split())
+#: Signs of a type that stands in brackets before a value.
+_VALUE_BEGINS = frozenset(("(", "!", "~"))
+
+
 @dataclass
 class Token:
     kind: str
@@ -80,6 +88,8 @@ class Node:
     receiver: str | None = None
     args: list[str] | None = None
     name_start: int | None = None
+    target: int | None = None  # where the expression begins that this one is applied to, or that gives it its value
+    arg_starts: list[int] | None = None  # where each argument begins, -1 if it is no such expression
     number: int = field(default=-1)
 
 
@@ -99,6 +109,8 @@ class _Parser:
         self.nodes: list[Node] = []
         self.wrong: list[tuple[str, str, int, int]] = []
         self.match = self._brackets()
+        self.opening = {j: i for i, j in self.match.items()}
+        self.around = self._around()
 
     def _brackets(self) -> dict[int, int]:
         pairs, out, stack = {"(": ")", "[": "]", "{": "}"}, {}, []
@@ -119,6 +131,17 @@ class _Parser:
             self._open(i, self.code[-1].end)
         return out
 
+    def _around(self) -> list[int]:
+        """For each token, the innermost bracket around it, or -1."""
+        out, stack = [], [-1]
+        for i in range(len(self.code)):
+            while stack[-1] >= 0 and self.match[stack[-1]] <= i:
+                stack.pop()
+            out.append(stack[-1])
+            if i in self.match:
+                stack.append(i)
+        return out
+
     def _open(self, i: int, at: int) -> None:
         """Note that bracket i has no partner before a place."""
         t = self.code[i]
@@ -165,6 +188,8 @@ class _Parser:
         """Names of types between two tokens, as in a declaration."""
         for k in range(i, j):
             t = self.code[k]
+            if k > i and (self.text(k - 1) in (">", "]", "?") or self.code[k - 1].kind == "name" and self.text(k - 1) not in _BEFORE_TYPE):
+                continue  # the name of a tuple's element
             if t.kind == "name" and t.text not in KEYWORDS and t.text not in ("var", "where", "notnull", "unmanaged", "await"):
                 self.add("IdentifierName", k, k, parent, ident=t.text, receiver=self._receiver(k))
 
@@ -290,7 +315,7 @@ class _Parser:
             self.statements(first, j, parent)
             return max(j, first + 1)
         stop = self.find(i, end, "; { => =")
-        paren = self.find(i, stop, "(")
+        paren = self._parameters_at(i, stop)
         if self.text(i) == "event":
             k = stop - 1
             j = self.match.get(stop, stop) if self.text(stop) == "{" else self.find(stop, end, ";")
@@ -314,6 +339,22 @@ class _Parser:
             self.expression(value, stop, self.nodes[-1] if n else node)
         return max(j, i) + 1
 
+    def _parameters_at(self, i: int, stop: int) -> int:
+        """The bracket of a method's parameters: not that of a tuple, nor one among type arguments."""
+        k, angle = i, 0
+        while k < stop:
+            t = self.text(k)
+            if t == "(":
+                if k > i and not angle and self.text(k - 1) not in ("(", ","):
+                    return k
+                k = self.match.get(k, k)
+            elif t == "[":
+                k = self.match.get(k, k)
+            elif t in ("<", ">") and "operator" not in (self.text(k - 1), self.text(k - 2)):
+                angle = max(0, angle + (1 if t == "<" else -1))
+            k += 1
+        return stop
+
     def type(self, first: int, i: int, end: int, parent: Node, modifiers: str | None) -> int:
         kind = _TYPES[self.text(i)]
         if self.text(i) == "record" and self.text(i + 1) in ("class", "struct"):
@@ -325,7 +366,9 @@ class _Parser:
         colon = self.find(i + 2, body, ":")
         where = next((k for k in range(i, body) if self.code[k].text == "where"), body)
         bases = self.source_of(colon + 1, where) if colon < where else None
-        node = self.add(kind, first, last, parent, i + 1, modifiers=modifiers, type_text=bases)
+        angle = self._type_end(i + 1, body) if self.text(i + 2) == "<" else i + 2
+        given = self.source_of(i + 3, angle - 1) if angle > i + 2 else None
+        node = self.add(kind, first, last, parent, i + 1, modifiers=modifiers, type_text=bases, detail=given)
         if bases:
             self.type_names(colon + 1, where, node)
         paren = self.find(i + 2, min(colon, body), "(")
@@ -445,7 +488,12 @@ class _Parser:
         t = self.text(i)
         if t == "{":
             return self.match.get(i, i) + 1
-        if t in ("if", "while", "for", "foreach", "switch", "using", "lock", "catch", "fixed") and self.text(i + 1 + (t == "foreach" and self.text(i + 1) == "await")) == "(":
+        if t == "await" and self.text(i + 1) in ("foreach", "using"):
+            return self.statement_end(i + 1, end)
+        if (paren := self._local_function(i, end)) is not None:
+            body = self.find(self.match.get(paren, paren) + 1, end, "{ => ;")
+            return min((self.match.get(body, body) if self.text(body) == "{" else self.find(body, end, ";")) + 1, end)
+        if t in ("if", "while", "for", "foreach", "switch", "using", "lock", "catch", "fixed") and self.text(i + 1) == "(":
             j = self.match.get(i + 1, i + 1) + 1
             if t == "catch" and self.text(j) == "when":
                 j = self.match.get(j + 1, j + 1) + 1
@@ -455,6 +503,49 @@ class _Parser:
             return self.find(j, end, ";") + 1 if t == "do" else j
         return min(self.find(i, end, ";") + 1, end)
 
+    def _local_function(self, i: int, end: int) -> int | None:
+        """The bracket of the parameters of the local function that begins at i, if one does."""
+        while self.text(i) in ("static", "async", "unsafe", "extern"):
+            i += 1
+        if i >= end or self.code[i].kind != "name" and self.text(i) != "(" or self.text(i) in _STATEMENTS or self.text(i) in _NO_TYPE:
+            return None
+        stop = self.find(i, end, "; { => =")
+        if stop >= end or self.text(stop) not in ("{", "=>"):
+            return None
+        paren = self._parameters_at(i, stop)
+        if paren >= stop or self.text(self.match.get(paren, paren) + 1) not in ("{", "=>", "where"):
+            return None
+        k = self._name_before(paren, i)
+        typed = k > i and self.code[k].kind == "name" and self.text(k) not in KEYWORDS
+        before = self.text(k - 1)
+        return paren if typed and (before in (">", "]", "?", ")", "*") or self.code[k - 1].kind == "name" and before not in _NO_TYPE) else None
+
+    def _name_before(self, paren: int, i: int) -> int:
+        """The name in front of a bracket of parameters and its type parameters."""
+        k, deep = paren - 1, 0
+        if self.text(k) == ">":
+            while k > i:
+                deep += (self.text(k) == ">") - (self.text(k) == "<")
+                k -= 1
+                if not deep:
+                    break
+        return k
+
+    def local_function(self, first: int, paren: int, end: int, parent: Node) -> None:
+        """A function declared among statements: a symbol of the member around it, with a body of its own."""
+        i = first
+        while self.text(i) in ("static", "async", "unsafe", "extern"):
+            i += 1
+        k = self._name_before(paren, i)
+        node = self.add("LocalFunctionStatement", first, end - 1, parent, k, type_text=self.source_of(i, k), modifiers=self.source_of(first, i) or None)
+        self.type_names(i, k, node)
+        self.parameters(paren, node)
+        body = self.find(self.match.get(paren, paren) + 1, end, "{ => ;")
+        if self.text(body) == "{":
+            self.statements(body + 1, end - 1, self.add("Block", body, end - 1, node))
+        elif self.text(body) == "=>":
+            self.expression(body + 1, end - 1, node)
+
     def statements(self, i: int, end: int, parent: Node) -> None:
         while i < end:
             t, begin = self.text(i), i
@@ -462,14 +553,18 @@ class _Parser:
                 i += 1
                 continue
             j = max(i + 1, min(self.statement_end(i, end), end))
+            if t == "await" and self.text(i + 1) in ("foreach", "using"):
+                i, t = i + 1, self.text(i + 1)
             if t == "{":
                 block = self.add("Block", i, j - 1, parent)
                 self.statements(i + 1, j - 1, block)
+            elif (paren := self._local_function(i, j)) is not None:
+                self.local_function(i, paren, j, parent)
             elif t in _STATEMENTS and self.code[i].kind == "name":
                 if t == "using" and self.text(i + 1) != "(":
                     self.local(i + 1, j, parent)
                 elif t == "switch" or self.text(i + 1) == "(" and t not in ("return", "throw", "else", "try", "do"):
-                    node = self.add(_STATEMENTS[t], i, j - 1, parent)
+                    node = self.add(_STATEMENTS[t], begin, j - 1, parent)
                     close = self.match.get(i + 1, i + 1)
                     self.expression(self.head(t, i + 2, close, node), close, node)
                     self.statements(close + 1, j, node)
@@ -495,7 +590,7 @@ class _Parser:
         if t == "foreach":
             k = next((k for k in range(i, close) if self.text(k) == "in"), close)
             if k < close and k - 2 >= i and self.code[k - 1].kind == "name":
-                self.add("LocalDeclarator", k - 1, k - 1, node, k - 1, type_text=self.source_of(i, k - 1))
+                self.add("LocalDeclarator", k - 1, k - 1, node, k - 1, type_text=self.source_of(i, k - 1), modifiers="foreach", target=self.root_of(k + 1, close))
                 self.type_names(i, k - 1, node)
                 return k + 1
         elif t in ("for", "using"):
@@ -505,7 +600,7 @@ class _Parser:
                 found = self.declarators(i, stop)
                 for name, value, end in found:
                     given = self.source_of(value, end) or None
-                    self.add("LocalDeclarator", name, end - 1, node, name, type_text=self.source_of(i, found[0][0]), detail=given)
+                    self.add("LocalDeclarator", name, end - 1, node, name, type_text=self.source_of(i, found[0][0]), detail=given, target=self.root_of(value, end))
                     self.expression(value, end, node)
                 self.type_names(i, found[0][0], node)
                 return stop
@@ -516,8 +611,15 @@ class _Parser:
         return i
 
     def local(self, i: int, j: int, parent: Node) -> None:
-        """A declaration, a local function or an expression statement."""
-        stop = self.find(i, j, "= ; (")
+        """A declaration or an expression statement."""
+        stop = self._parameters_at(i, self.find(i, j, "= ;"))
+        if self.text(i) == "var" and self.text(i + 1) == "(" and self.text(self.match.get(i + 1, i) + 1) == "=":
+            node = self.add("ExpressionStatement", i, j - 1, parent)
+            for k in range(i + 2, self.match[i + 1]):
+                if self.code[k].kind == "name" and self.text(k) != "_":
+                    self.add("LocalDeclarator", k, k, node, k, type_text="var")
+            self.expression(self.match[i + 1] + 2, j, node)
+            return
         first = self.find(i, min(stop, j), ",")
         k = (first if first < stop and self.text(i) != "(" and "<" not in [self.text(x) for x in range(i, first)] else stop) - 1
         typed = k > i and self.code[k].kind == "name" and (self.code[k - 1].kind == "name" or self.text(k - 1) in (">", "]", "?", "*", ")"))
@@ -528,17 +630,20 @@ class _Parser:
             for n, (name, value, stop) in enumerate(found):
                 given = self.source_of(value, stop) or None
                 if not n:
-                    node = self.add("LocalDeclarationStatement", i, j - 1, parent, name, type_text=kind, detail=given)
+                    node = self.add("LocalDeclarationStatement", i, j - 1, parent, name, type_text=kind, detail=given, target=self.root_of(value, stop))
                     self.type_names(i, name, node)
                 else:
-                    self.add("LocalDeclarator", name, stop - 1, node, name, type_text=kind, detail=given)
+                    self.add("LocalDeclarator", name, stop - 1, node, name, type_text=kind, detail=given, target=self.root_of(value, stop))
                 self.expression(value, stop, self.nodes[-1] if n else node)
             return
         node = self.add("ExpressionStatement", i, j - 1, parent)
         self.expression(i, j, node)
 
     def expression(self, i: int, end: int, parent: Node) -> None:
-        """Invocations, object creations, conditionals, literals and names, flat under ``parent``."""
+        """Invocations, object creations, accesses, conversions, conditionals, literals and names, flat under ``parent``.
+
+        Each has the place of the expression that it is applied to, so chains can be followed by joins.
+        """
         while i < end:
             t = self.code[i]
             if t.text == "{" and i in self.match and parent.kind != "InitializerExpression":
@@ -548,23 +653,46 @@ class _Parser:
                     self.statements(i + 1, self.match[i], block)
                     i = self.match[i] + 1
                     continue
-            if t.kind == "name" and t.text not in KEYWORDS:
+            if (past := self._declared_here(i, end, parent)) is not None:
+                i = past
+                continue
+            if t.text == "await" and i + 1 < end and (self.code[i + 1].kind == "name" or self.text(i + 1) == "("):
+                last = self.operand_end(i + 1, end) - 1
+                self.add("AwaitExpression", i, last, parent, target=self.primary_at(last))
+            elif t.text == "as" and t.kind == "name":
+                stop = self._type_end(i + 1, end)
+                self.add("CastExpression", i, stop - 1, parent, type_text=self.source_of(i + 1, stop))
+            elif t.kind == "name" and t.text not in KEYWORDS:
                 close = self._generic(i + 1, end)
+                target = self.primary_at(i - 2) if self.text(i - 1) in (".", "?.") else None
                 if self.text(close) == "(" and self.text(i - 1) != "new":
                     last = self.match.get(close, close)
                     args = self.source_of(close + 1, last)
-                    self.add("InvocationExpression", i, last, parent, ident=t.text, receiver=self._receiver(i), detail=args, args=self._listed(close + 1, last))
+                    self.add(
+                        "InvocationExpression", i, last, parent, ident=t.text, receiver=self._receiver(i), detail=args,
+                        args=self._listed(close + 1, last), target=target, arg_starts=self._argument_starts(close + 1, last),
+                    )
                 elif self.text(i - 1) == "new":
+                    first = i
                     while self.text(close) == "." and close + 1 < end and self.code[close + 1].kind == "name":
                         self.add("IdentifierName", i, i, parent, ident=self.text(i), receiver=self._receiver(i))
                         i, t = close + 1, self.code[close + 1]
                         close = self._generic(i + 1, end)
                     last = self.match.get(close, close) if self.text(close) == "(" else close
                     args = self._listed(close + 1, last) if last > close else None
-                    self.add("ObjectCreationExpression", i, last, parent, ident=t.text, receiver=self._receiver(i), args=args)
-                    self.nodes[-1].start = self.code[i - 1 if self.text(i - 1) == "new" else i].start
+                    starts = self._argument_starts(close + 1, last) if last > close else None
+                    made = self.source_of(first, max(i + 1, self._type_end(first, end)))
+                    self.add("ObjectCreationExpression", i, last, parent, ident=t.text, receiver=self._receiver(i), args=args, type_text=made, arg_starts=starts)
+                    self.nodes[-1].start = self.code[first - 1].start
+                    target = None
                 writes = self.text(i + 1) in _ASSIGN or self.text(i - 1) in ("++", "--", "out", "ref")
-                self.add("IdentifierName", i, i, parent, ident=t.text, receiver=self._receiver(i), detail="write" if writes else None)
+                self.add("IdentifierName", i, i, parent, ident=t.text, receiver=self._receiver(i), detail="write" if writes else None, target=target)
+            elif t.text == "[" and i in self.match and self._is_access(i):
+                self.add("ElementAccessExpression", i, self.match[i], parent, receiver="this" if self.text(i - 1) == "this" else None, target=self.primary_at(i - 1 - (self.text(i - 1) == "?")))
+            elif t.text == "(" and self._is_cast(i, end):
+                self.add("CastExpression", i, self.operand_end(i, end) - 1, parent, type_text=self.source_of(i + 1, self.match[i]))
+                self.type_names(i + 1, self.match[i], parent)
+                i = self.match[i]
             elif t.kind in ("string", "verbatim", "raw"):
                 node = self.add("StringLiteralExpression", i, i, parent, detail=t.text)
                 if "$" in t.text[:2]:
@@ -577,6 +705,190 @@ class _Parser:
                 self.add("BinaryExpression", i, i, parent, detail=t.text)
             i += 1
 
+    # Where expressions begin: each is known by the place of its own sign, which is the last name of a
+    # chain, the bracket of an element access, or the word or bracket that converts, creates or awaits.
+
+    def primary_at(self, e: int) -> int | None:
+        """The place of the expression that ends with token e, if it is a name, a chain, a literal or one in brackets."""
+        while e > 0 and self.text(e) == "!":
+            e -= 1
+        if e < 0 or e >= len(self.code):
+            return None
+        t = self.code[e]
+        if t.kind == "name":
+            return None if t.text in ("this", "base") else self._created(e) if self._created(e) is not None else t.start
+        if t.kind != "mark":
+            return t.start
+        if e not in self.opening:
+            return None
+        o = self.opening[e]
+        b = o - 1
+        if t.text == "}" and self.text(b) == ")":
+            b = self.opening.get(b, b) - 1
+        if self.text(b) == ">":
+            b = self._name_before(b + 1, 0)
+        made = self._created(b) if b >= 0 and self.code[b].kind == "name" else None
+        if made is not None:
+            return made
+        if t.text == "}":
+            return None
+        if t.text == "]":
+            return self.code[o].start
+        if b >= 0 and self.code[b].kind == "name" and self.text(b) not in _STATEMENTS:
+            return None if self.text(b) in KEYWORDS else self.code[b].start
+        return self.root_of(o + 1, e)
+
+    def _created(self, b: int) -> int | None:
+        """The place of ``new`` in front of a type's name that ends with token b."""
+        while self.text(b - 1) == "." and b >= 2 and self.code[b - 2].kind == "name":
+            b -= 2
+        return self.code[b - 1].start if self.text(b - 1) == "new" else None
+
+    def root_of(self, i: int, j: int) -> int | None:
+        """The place of the one expression that the tokens from i to j are, if they are one."""
+        if i >= j:
+            return None
+        if self.text(i) == "await":
+            return self.code[i].start if self.operand_end(i + 1, j) == j else None
+        if self.text(i) == "(" and self.match.get(i) == j - 1:
+            return self.root_of(i + 1, j - 1)
+        if self._is_cast(i, j):
+            return self.code[i].start if self.operand_end(i, j) == j else None
+        k = next((k for k in range(i, j) if self.text(k) == "as" and self.around[k] == self.around[i]), None)
+        if k is not None:
+            return self.code[k].start if self._type_end(k + 1, j) == j else None
+        return self.primary_at(j - 1) if self.operand_end(i, j) == j else None
+
+    def operand_end(self, i: int, end: int) -> int:
+        """Past the chain of accesses and calls that begins at i."""
+        if i >= end:
+            return i
+        if self._is_cast(i, end):
+            return self.operand_end(self.match[i] + 1, end)
+        if self.text(i) == "new":
+            k = self._type_end(i + 1, end)
+            if self.text(k) == "(" and k in self.match:
+                k = self.match[k] + 1
+            if self.text(k) == "{" and k in self.match:
+                k = self.match[k] + 1
+        elif self.text(i) == "(" and i in self.match:
+            k = self.match[i] + 1
+        elif self.code[i].kind != "mark":
+            k = i + 1
+        else:
+            return i
+        while k < end:
+            t = self.text(k)
+            if t in (".", "?.") and k + 1 < end and self.code[k + 1].kind == "name":
+                k += 2
+            elif t in ("(", "[") and k in self.match:
+                k = self.match[k] + 1
+            elif t == "<" and self._generic(k, end) > k:
+                k = self._generic(k, end)
+            elif t == "!" or t == "?" and self.text(k + 1) == "[":
+                k += 1
+            else:
+                break
+        return min(k, end)
+
+    def _type_end(self, i: int, end: int) -> int:
+        """Past the type that begins at i."""
+        if self.text(i) == "(" and i in self.match:
+            k = self.match[i] + 1
+        else:
+            k = i + 1
+            while self.text(k) in (".", "::") and k + 1 < end:
+                k += 2
+        if self.text(k) == "<":
+            deep, m = 0, k
+            while m < end:
+                deep += (self.text(m) == "<") - (self.text(m) == ">")
+                m += 1
+                if not deep:
+                    k = m
+                    break
+        while k < end and (self.text(k) == "?" and self.text(k + 1) in ("", ")", ",", ";", "[") or self.text(k) == "[" and k in self.match):
+            k = self.match[k] + 1 if self.text(k) == "[" else k + 1
+        return min(k, end)
+
+    def _is_cast(self, i: int, end: int) -> bool:
+        """Whether a type in brackets begins at i that the expression behind it is converted to."""
+        if self.text(i) != "(" or i not in self.match or i > 0 and (self.code[i - 1].kind == "name" and self.text(i - 1) not in _NO_TYPE or self.text(i - 1) in (")", "]", ">")):
+            return False
+        m = self.match[i]
+        if m + 1 >= end or m == i + 1 or self._type_end(i + 1, m) != m or self.code[i + 1].kind != "name":
+            return False
+        behind = self.code[m + 1]
+        if behind.kind == "mark":
+            return behind.text in _VALUE_BEGINS and self.text(i + 1) in KEYWORDS and m == i + 2
+        return behind.text not in ("as", "is", "switch", "and", "or", "when", "with", "in")
+
+    def _is_access(self, i: int) -> bool:
+        """Whether a square bracket takes an element of what stands before it."""
+        i -= self.text(i - 1) == "?" and not self._conditional(i - 1, len(self.code))
+        t = self.code[i - 1] if i > 0 else None
+        if t is None or t.kind == "name" and t.text in KEYWORDS and t.text != "this":
+            return False
+        return t.kind == "name" and self._created(i - 1) is None or t.text in (")", "]")
+
+    def _argument_starts(self, i: int, end: int) -> list[int]:
+        out = []
+        while i < end:
+            j = self._value_end(i, end)
+            begin = i + 2 if self.text(i + 1) == ":" and self.code[i].kind == "name" else i
+            start = self.root_of(begin, j)
+            out.append(-1 if start is None else start)
+            i = j + 1
+        return out
+
+    def _declared_here(self, i: int, end: int, parent: Node) -> int | None:
+        """Past a variable that an expression declares at i: parameters of a lambda, ``out`` and pattern variables."""
+        t = self.code[i]
+        if t.text == "async" and self.text(i + 1) != "." and (self.text(i + 2) == "=>" or self.text(self.match.get(i + 1, i) + 1) == "=>"):
+            return i + 1
+        arm = self.around[i] >= 0 and self.text(self.around[i]) == "{" and self.text(self.around[i] - 1) == "switch"
+        if t.kind == "name" and self.text(i + 1) == "=>" and not arm and t.text not in KEYWORDS:
+            self._lambda_parameter(i, i, i + 1, 0, i, parent)
+            return i + 1
+        if t.text == "(" and i in self.match and self.text(self.match[i] + 1) == "=>" and not arm:
+            k, n = i + 1, 0
+            while k < self.match[i]:
+                j = self._comma(k, self.match[i])
+                name = self.find(k, j, "=") - 1
+                if self.code[name].kind == "name":
+                    self._lambda_parameter(k, name, j, n, i, parent)
+                k, n = j + 1, n + 1
+            return self.match[i] + 1
+        named = i > 0 and (self.text(i - 1) in ("out", "is") or arm and self.text(i - 1) in (",", "{"))
+        if named and t.kind == "name" and t.text not in ("not", "null"):
+            k = self._type_end(i, end)
+            if k < end and self.code[k].kind == "name" and self.text(k) not in KEYWORDS and self.text(k) not in ("and", "or", "when", "_", "with"):
+                self.type_names(i, k, parent)
+                self.add("LocalDeclarator", k, k, parent, k, type_text=self.source_of(i, k))
+                return k + 1
+        return None
+
+    def _lambda_parameter(self, first: int, name: int, end: int, n: int, at: int, parent: Node) -> None:
+        """Parameter n of the lambda that begins at a token: its type is written, or asked of the call it is an argument of."""
+        while self.text(first) in ("ref", "out", "in", "scoped", "params"):
+            first += 1
+        written = self.source_of(first, name) or None
+        call, place, o = None, None, self.around[at]
+        if written is None and o >= 0 and self.text(o) == "(":
+            b = self._name_before(o, 0) if self.text(o - 1) == ">" else o - 1
+            if b >= 0 and self.code[b].kind == "name" and self.text(b) not in KEYWORDS:
+                call = self._created(b) if self._created(b) is not None else self.code[b].start
+                k = o + 1
+                place = 0
+                while (j := self._value_end(k, at)) < at:
+                    k, place = j + 1, place + 1
+        elif written is None and parent.type_text and (m := re.match(r"(?:Func|Action|Predicate|Comparison)<(.*)>$", parent.type_text)):
+            written = _type_arguments(m[1])[n : n + 1]
+            written = written[0] if written else None
+        self.type_names(first, name, parent)
+        detail = f"{place}:{n}" if place is not None else None
+        self.add("LambdaParameter", name, name, parent, name, type_text=written or "var", target=call, detail=detail)
+
     def _listed(self, i: int, end: int) -> list[str]:
         """Texts of the arguments between two brackets."""
         out = []
@@ -603,6 +915,8 @@ class _Parser:
                 for n in inner.nodes:
                     n.start, n.end = n.start + t.start + i + 1, n.end + t.start + i + 1
                     n.parent, n.number = node.number if n.parent < 0 else n.parent + first, n.number + first
+                    n.target = None if n.target is None else n.target + t.start + i + 1
+                    n.arg_starts = n.arg_starts and [a if a < 0 else a + t.start + i + 1 for a in n.arg_starts]
                     self.nodes.append(n)
                 i = j
             else:
@@ -642,6 +956,17 @@ class _Parser:
         )
 
 
+def _type_arguments(text: str) -> list[str]:
+    """The types between commas, outside of brackets."""
+    out, deep, begin = [], 0, 0
+    for i, c in enumerate(text):
+        deep += (c in "<([") - (c in ">)]")
+        if c == "," and not deep:
+            out.append(text[begin:i].strip())
+            begin = i + 1
+    return [*out, text[begin:].strip()]
+
+
 def parse(source: str) -> list[Node]:
     """Nodes of one file, the root first, parents before children."""
     return _Parser(source.removeprefix("\ufeff")).run()
@@ -684,9 +1009,9 @@ def syntax_nodes(documents: DataFrame) -> DataFrame:
                     rows.append(
                         (doc, n.number, n.parent if n.parent >= 0 else None, n.kind, n.start, n.end - n.start, a, n.start - starts[a],
                          b, n.end - starts[b], n.depth, n.ident, n.modifiers, n.type_text, n.detail, n.receiver, n.args, n.name_start,
-                         owners, kinds)
+                         n.target, n.arg_starts, owners, kinds)
                     )
             out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"parent_id": "Int64", "name_start": "Int32"})
+            yield out.astype({"parent_id": "Int64", "name_start": "Int32", "target": "Int32"})
 
     return documents.select(F.col("doc_id").cast("string"), "content").mapInPandas(run, NODE_SCHEMA)

@@ -116,6 +116,58 @@ def sources(part: DataFrame) -> DataFrame:
     return out.select("doc_id", "project", path.alias("path"), "content", F.size(F.split("content", "\n")).alias("n_lines"), F.octet_length("content").cast("long").alias("size"))
 
 
+def chain_source() -> Column:
+    """A class of one row of ``_rows`` that reaches the class of half its key, and those above, through chains.
+
+    Its method ``Walk`` climbs 1 + k % 6 steps, or as many as there are, by methods and fields in turn.
+    """
+    based = F.col("h").isNotNull()
+    steps = F.least(F.col("k") % 6 + 1, F.length(F.bin("k")) - 1)
+    step = lambda i: F.when(i % 2 == 1, F.concat(F.lit(".Climb("), i.cast("string"), F.lit(")"))).otherwise(".Up")
+    climb = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(steps, F.lit(1)).cast("int")), step), "")
+    own = _lines(
+        _text("        public Node%d Up;", "h"),
+        _text("        public Node%d Climb(int n) { return Up; }", "h"),
+        _text("        public List<Node%d> Kids;", "h"),
+        _text("        public Task<Node%d> Load() { return null; }", "h"),
+        _text("        public Node%d this[int i] { get { return Up; } }", "h"),
+        _text("        public void Each(Action<Node%d> act, int n) { }", "h"),
+        "        public async Task<int> Walk(object o)",
+        "        {",
+        F.concat(F.lit("            var end = this"), climb, F.lit(";")),
+        "            var first = Kids[0];",
+        '            first.Rank("a");',
+        "            foreach (var kid in Kids) { kid.Rank(1); }",
+        "            await foreach (var late in Later()) { if (late == null) { continue; } }",
+        '            Each(x => x.Rank(end.Rank("s")), 2);',
+        "            var next = await Load();",
+        _text("            next.Rank(((Node%d)o).Rank(3));", "h"),
+        "            int Twice(int t) { return t * 2; }",
+        "            this[0].Rank(Twice(4));",
+        "            return end.Rank(5);",
+        "        }",
+    )
+    return _lines(
+        "using System;",
+        "namespace Chain",
+        "{",
+        _text("    public class Node%d", "k"),
+        "    {",
+        F.when(based, own),
+        "        public int Rank(int n) { return n; }",
+        "        public string Rank(string s) { return s; }",
+        "        public (int low, int high) Span(int n) { return Both(n); }",
+        "    }",
+        "}",
+    )
+
+
+def chain_sources(part: DataFrame) -> DataFrame:
+    """``(doc_id, project, path, content)`` of a file for each part; ids begin with N."""
+    rows = _rows(part).select(F.concat(F.lit("N"), F.col("k").cast("string")).alias("doc_id"), F.lit("Chain").alias("project"), chain_source().alias("content"))
+    return rows.select("doc_id", "project", F.concat(F.lit("/src/Chain/"), "doc_id", F.lit(".cs")).alias("path"), "content")
+
+
 def project_files(part: DataFrame) -> DataFrame:
     """``(path, text)`` of a project file for each part: it refers to that of half its key."""
     rows = _rows(part)

@@ -54,3 +54,21 @@ def discard(table: DataFrame) -> None:
 def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+class Growing:
+    """A table in the shared folder that rounds of a loop append to; its plan stays as small as it begins."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self._spark, self._schema = first.sparkSession, first.schema
+        self.path = f"{shared_dir(self._spark)}/factlake-{name}-{uuid.uuid4().hex}"
+        self.add(first)
+        files, target = _file_system(self._spark, self.path)
+        files.deleteOnExit(target)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*self._schema.names).write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        """All rows that have been added so far."""
+        return self._spark.read.schema(self._schema).parquet(self.path)

@@ -15,6 +15,7 @@ from factlake.functions import names
 from factlake.operators import graph, metrics, rewrites, text
 from factlake.plans import facts as plans
 from factlake.plans.components import connected_components
+from factlake.plans.expressions import bind_types
 from factlake.plans.facts import NAMESPACE_KINDS, TYPE_KINDS, Facts
 from factlake.sources import csharp
 from factlake.sources import projects as source
@@ -390,9 +391,11 @@ def type_info(type_text: Column) -> Column:
 
 
 def infer_types(facts: Facts, points: DataFrame) -> DataFrame:
-    """The type of the member, local or literal at each point, as far as source text tells it."""
+    """The type of the member, local or literal at each point; one that isn't written follows from the first value."""
     at = offsets(facts.documents, points)
-    named = symbols_at(facts, points).filter("type_text is not null").select("doc_id", "line", "column", "type_text")
+    told = facts.locals.select("symbol_id", "value_type")
+    named = symbols_at(facts, points).join(told, "symbol_id", "left").withColumn("type_text", F.coalesce("value_type", "type_text"))
+    named = named.filter("type_text is not null").select("doc_id", "line", "column", "type_text")
     known = constants(facts).select("doc_id", F.col("start").alias("s"), F.col("length").alias("n"), F.col("type").alias("type_text"))
     fixed = at.join(known, "doc_id").filter("s <= offset and offset <= s + n").select("doc_id", "line", "column", "type_text")
     return named.unionByName(fixed).distinct().withColumn("type", type_info(F.col("type_text")))
@@ -553,7 +556,7 @@ def class_coupling(facts: Facts) -> DataFrame:
     said = said.filter(~F.col("full").isin(*names.KEYWORDS, "var", "dynamic")).join(own, "type_id")
     last = F.substring_index("full", ".", -1)
     said = said.select("*", last.alias("name"), F.nullif(F.substring("full", F.lit(1), F.length("full") - F.length(last) - 1), F.lit("")).alias("qualifier"))
-    found = plans.bind_types(said, facts.types, facts.scopes, ["type_id", "full"])
+    found = bind_types(said, facts.types, facts.scopes, ["type_id", "full"])
     uses = said.select("type_id", "full").join(found, ["type_id", "full"], "left").select("type_id", F.coalesce("found_type", "full").alias("other"))
     return metrics.coupling(uses, "type_id", "other")
 
