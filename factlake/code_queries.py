@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from factlake import tools
 from factlake.operators import metrics, rewrites
 from factlake.plans import facts as plans
+from factlake.plans import flow
 from factlake.sources import csharp, generated
 from factlake.sources import projects as source
 from factlake.sources.tables import table
@@ -741,8 +742,8 @@ def _method(*lines: str) -> str:
     return "\n".join(["class A{k}", "{", "    void Run(int a)", "    {", *(f"        {x}" for x in lines), "    }", "}", ""])
 
 
-def _rewrite(rule: str, before: str, mark: str | None, after: str, shift: int = 0, /, **arguments) -> None:
-    """Register a query that runs a rewrite at a mark of a template filled in for each part."""
+def _rewrite(rule: str, before: str, mark: str | None, after: str, shift: int = 0, case: str = "", /, **arguments) -> None:
+    """Register a query that runs a rewrite at a mark of a template filled in for each part; ``case`` tells several apart."""
 
     def run(spark, d):
         made = F.replace(F.replace(F.lit(before), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string"))
@@ -750,7 +751,7 @@ def _rewrite(rule: str, before: str, mark: str | None, after: str, shift: int =
         targets = docs.select("doc_id", _in(F.col("content"), mark, shift).alias("offset")) if mark else None
         return tools.refactor(docs, rule, targets, **arguments)
 
-    run.__name__ = f"rewrite_{rule}"
+    run.__name__ = f"rewrite_{rule}{case}"
     filled = after.replace("'", "''")
     query(f"SELECT 'R' || p_partkey AS doc_id, replace(replace('{filled}', '{{k}}', p_partkey::VARCHAR), '{{s}}', p_size::VARCHAR) AS content, false AS conflict FROM part")(run)
 
@@ -761,6 +762,16 @@ _rewrite(
     "class A{k}\n{\n    int Run(int a)\n    {\n        int b = {s};\n        int c = Make(b, a);\n        return c;\n    }\n\n"
     "    private int Make(int b, int a)\n    {\n        int c = b * a;\n        return c;\n    }\n}\n", length=14, name="Make",
 )
+_SUM = "class A{k}\n{\n    int Run(int[] xs, int most)\n    {\n        int total = {s};\n        foreach (int x in xs)\n        {\n            "
+_rewrite(
+    "extract_method", _SUM + "total += x;\n            if (total > most) { break; }\n        }\n        return total;\n    }\n}\n", "total += x;",
+    _SUM + "total = Add(total, x);\n            if (total > most) { break; }\n        }\n        return total;\n    }\n\n"
+    "    private int Add(int total, int x)\n    {\n        total += x;\n        return total;\n    }\n}\n", 0, "_of_outer_local", length=11, name="Add",
+)
+_rewrite(
+    "remove_unnecessary_code", _method("while (true)", "{", "    Go({s});", "    if (a > 1) { return; }", "}", "Go(a);", "Go(0);"), None,
+    _method("while (true)", "{", "    Go({s});", "    if (a > 1) { return; }", "}"), 0, "_out_of_reach",
+)
 _rewrite("rename_symbol", "class A{k} { int Add(int a) { return Add({s}); } } // Add\n", "Add", "class A{k} { int Sum(int a) { return Sum({s}); } } // Sum\n", new_name="Sum", in_comments=True)
 _rewrite("introduce_variable", _method("Go({s});"), "Go(", _method("var num = {s};", "Go(num);"), 3)
 _rewrite(
@@ -837,3 +848,43 @@ def code_chain_constructs(spark, d):
     walk = plans.metrics_of(f).filter("name = 'Walk'").select("doc_id", "complexity")
     called = f.calls.groupBy("doc_id").agg(F.count_if(F.col("callee_name") == "Twice").alias("calls_of_inner"))
     return n.join(walk, "doc_id").join(called, "doc_id")
+
+
+# --- Control and data flow
+
+_F = "f AS (SELECT p_partkey AS k, (p_size % 4)::INT AS q, p_partkey % 2 = 1 AS odd FROM part)"
+
+
+def _flow(spark: SparkSession, d: str) -> DataFrame:
+    """Statements with their flow, with the text they begin with and the names of variables."""
+    docs = generated.flow_sources(table(spark, d, "part"))
+    nodes = written(csharp.syntax_nodes(docs), "nodes")
+    inside = plans.innermost(plans.ancestors(nodes), plans.BODIES, "member_node")
+    rows = written(flow.units(nodes, inside), "units").join(docs, "doc_id")
+    return rows.withColumn("text", F.substring(F.col("content"), F.col("start") + 1, F.col("length"))).drop("content")
+
+
+@query("""SELECT 'F' || k AS doc_id, (2 * q + CASE WHEN odd THEN 8 ELSE 10 END)::BIGINT AS units, (CASE q WHEN 0 THEN 1 ELSE 2 * q END + CASE WHEN odd THEN 6 ELSE 7 END)::BIGINT AS blocks,
+  'Go(total);' AS unreachable FROM f""", _F)
+def code_flow_blocks(spark, d):
+    """Statements, basic blocks, and what control can't reach."""
+    rows = _flow(spark, d)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("units"), F.countDistinct("block").alias("blocks"), F.max(F.when(~F.col("reachable"), F.col("text"))).alias("unreachable"))
+
+
+@query("""SELECT 'F' || k AS doc_id, v.text, CASE WHEN v.text = 'int total = 0;' THEN CASE WHEN odd OR q > 0 THEN 3 ELSE 2 END WHEN odd THEN 3 ELSE 2 END::BIGINT AS live_out,
+  0::BIGINT AS reaching FROM f, (VALUES ('int total = 0;'), ('total = a;')) v(text) WHERE v.text <> 'total = a;'
+UNION ALL SELECT 'F' || k, 'total = a;', CASE WHEN odd THEN 3 ELSE 2 END, 1 FROM f
+UNION ALL SELECT 'F' || k, CASE WHEN odd THEN 'return total;' ELSE 'return b;' END, 0, CASE WHEN odd THEN q + 2 ELSE 1 END FROM f""", _F)
+def code_flow_live(spark, d):
+    """How many variables are read after a statement before they are written again, and how many statements may have given what it reads."""
+    rows = _flow(spark, d).filter("text in ('int total = 0;', 'total = a;') or kind = 'ReturnStatement'")
+    return rows.select("doc_id", "text", F.size("live_out").cast("long").alias("live_out"), F.size("reaching").cast("long").alias("reaching"))
+
+
+@query("""SELECT 'F' || k AS doc_id, q::BIGINT AS tests, (CASE q WHEN 0 THEN 1 ELSE 3 * q END + CASE WHEN odd THEN 8 ELSE 10 END)::BIGINT AS edges FROM f""", _F)
+def code_flow_edges(spark, d):
+    """Edges between basic blocks."""
+    rows = written(_flow(spark, d), "units")
+    tests = rows.groupBy("doc_id").agg(F.count_if((F.col("kind") == "IfStatement") & F.col("text").contains("total +=")).alias("tests"))
+    return flow.edges(rows).groupBy("doc_id").agg(F.count("*").alias("edges")).join(tests, "doc_id")

@@ -8,11 +8,15 @@ splices the result. A rewrite that doesn't fit the code at the given place raise
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from inspect import Parameter, signature
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 
 from factlake.functions.names import IDENTIFIER, KEYWORDS
 from factlake.operators import text
+from factlake.plans.flow import EXIT, LOOPS, STATEMENTS, Flow, member_flow
+from factlake.plans.flow import members as flow_members
 from factlake.sources.csharp import Node, parse
 
 EDIT_SCHEMA = "doc_id string, start int, length int, new_text string, error string"
@@ -45,6 +51,8 @@ class Rewrite:
 
 
 CATALOG: dict[str, Rewrite] = {}
+#: Declarations that hold statements.
+MEMBERS = ("MethodDeclaration", "ConstructorDeclaration", "DestructorDeclaration", "OperatorDeclaration", "PropertyDeclaration", "IndexerDeclaration")
 
 
 def rewrite(category: str, *applies_to: str):
@@ -80,6 +88,16 @@ class File:
     def inside(self, n: Node, *kinds: str) -> list[Node]:
         return [m for m in self.nodes if m is not n and n.start <= m.start and m.end <= n.end and m.kind in kinds]
 
+    def around(self, n: Node, *kinds: str) -> Node:
+        """The nearest node of some kinds that a node lies in, or the root."""
+        while n.parent > 0 and self.nodes[n.parent].kind not in kinds:
+            n = self.nodes[n.parent]
+        return self.nodes[max(n.parent, 0)]
+
+    def flow(self, owner: Node) -> Flow:
+        """Control and data flow of a member."""
+        return member_flow([n for n in self.nodes if n is owner or n.depth > owner.depth and owner.start <= n.start and n.end <= owner.end], owner)
+
     def indent(self, offset: int) -> str:
         line = self.source.rfind("\n", 0, offset) + 1
         return re.match(r"[ \t]*", self.source[line:])[0]
@@ -177,42 +195,79 @@ def introduce_variable(f: File, offset: int, name: str | None = None) -> list[Ed
     return [Edit(s.start, 0, f"var {new} = {value};\n{f.indent(s.start)}"), Edit(start, e.end - start, new)]
 
 
+#: What a jump leaves or goes on with.
+_JUMPS = {"BreakStatement": (*LOOPS, "DoStatement", "SwitchStatement"), "ContinueStatement": (*LOOPS, "DoStatement")}
+
+
 @rewrite("Extract", "Block")
-def extract_method(f: File, offset: int, length: int, name: str) -> list[Edit]:
-    """A method of the statements in a span; what they read of locals and parameters becomes parameters."""
+def extract_method(f: File, offset: int, length: int, name: str, types: dict | None = None) -> list[Edit]:
+    """A method of the statements in a span, by the flow of control and data through them.
+
+    What they read of variables that have a value before becomes parameters. One variable that they write
+    and that is read afterwards, whether declared inside or outside, becomes the result; more than one is
+    refused, and so is control that leaves the span in several ways. ``types`` gives types of variables
+    that are declared with ``var``, by name.
+    """
     new, owner = _new_name(name), f.innermost(offset, "MethodDeclaration", "ConstructorDeclaration")
-    kinds = ("LocalDeclarationStatement", "ExpressionStatement", "ReturnStatement", "IfStatement", "ForStatement", "ForEachStatement", "WhileStatement")
-    chosen = [n for n in f.inside(owner, *kinds) if offset <= n.start and n.end <= offset + length]
+    chosen = [n for n in f.inside(owner, *STATEMENTS) if offset <= n.start and n.end <= offset + length and n.kind != "SwitchLabel"]
     if not chosen:
         raise CannotRewrite("the selection holds no statement")
     start, end = min(n.start for n in chosen), max(n.end for n in chosen)
-    inside = f.inside(owner, *_LOCALS)
-    local = {n.ident: n for n in inside if n.end <= start or n.kind == "Parameter"}
-    own = {n.ident: n for n in inside if start <= n.start < end and n.kind != "Parameter"}
-    used = [n.ident for n in f.inside(owner, "IdentifierName") if start <= n.start < end]
-    needed = [x for x in dict.fromkeys(used) if x in local and x not in own]
-    later = [x for x in own if any(n.start >= end for n in f.uses(x, owner))]
-    if len(later) > 1:
+    outer = [n for n in chosen if not any(m is not n and m.start <= n.start and n.end <= m.end for m in chosen)]
+    clauses = ("ElseClause", "CatchClause", "FinallyClause")
+    if len({n.parent for n in outer}) > 1 or outer[0].kind in clauses or any(n.kind in clauses and n.parent == outer[-1].parent and f.source[end : n.start].strip() == "" for n in f.nodes if n.start >= end):
+        raise CannotRewrite("the selection isn't a row of whole statements")
+    flow = f.flow(owner)
+    units = {k: u for k, u in flow.units.items() if start <= u.node.start < end}
+    if any(f.text(u.node).startswith(("yield ", "goto ")) for u in units.values()):
+        raise CannotRewrite("the selection yields or jumps")
+    entries = {k for k in flow.first if k in units} | {x for k, u in flow.units.items() if k not in units for x in u.next if x in units}
+    leaves = {x for u in units.values() if u.reachable for x in u.next if x not in units and x >= 0}
+    jumps = any(u.node.kind in _JUMPS and f.around(u.node, *_JUMPS[u.node.kind]).start < start for u in units.values())
+    returns = any(u.node.kind == "ReturnStatement" for u in units.values())
+    falls = bool(leaves) or any(x == EXIT and u.node.kind not in ("ReturnStatement", "ThrowStatement") for u in units.values() for x in u.next)
+    if len(entries) > 1 or jumps or len(leaves) > 1 or returns and falls:
+        raise CannotRewrite("control enters or leaves the selection in several ways")
+    bits = lambda rows: functools.reduce(operator.or_, rows, 0)
+    inside = bits(1 << i for i, s in enumerate(flow.symbols) if start <= s.name_start < end)
+    written, used = bits(u.writes | u.may for u in units.values()), bits(u.reads | u.writes | u.may for u in units.values())
+    live = bits(flow.units[k].live_in for k in entries) if any(u.reachable for u in units.values()) else used
+    needed, results = live & used & ~inside, written & bits(flow.units[x].live_in for x in leaves)
+    if results.bit_count() > 1:
         raise CannotRewrite("more than one value is used afterwards")
-    result = _type_of(own[later[0]]) if later else (owner.type_text if any(n.kind == "ReturnStatement" for n in chosen) else "void")
+    first_use = lambda i: min((n.start for n in f.uses(flow.symbols[i].ident, owner) if n.start >= start), default=end)
+    type_of = lambda i: (types or {}).get(flow.symbols[i].ident) or _type_of(flow.symbols[i])
+    given = sorted(flow_members(needed), key=first_use)
+    unset = flow_members(used & ~needed & ~inside)
+    result = flow.symbols[results.bit_length() - 1] if results else None
+    kind = type_of(results.bit_length() - 1) if results else owner.type_text or "void" if returns else "void"
+    waits = any(start <= n.start < end for n in f.inside(owner, "AwaitExpression"))
+    if waits and returns:
+        kind = re.sub(r"^(?:[\w.]*\b)?Task(?:<(.*)>)?$", lambda m: m[1] or "void", kind)
     body, pad = f.source[start:end], f.indent(owner.start)
-    give = f"\n{pad}    return {later[0]};" if later else ""
-    call = f"{new}({', '.join(needed)});"
-    call = f"{result} {later[0]} = {call}" if later else f"return {call}" if result != "void" else call
+    lines = [*(f"{type_of(i)} {flow.symbols[i].ident};" for i in unset), body, *([f"return {result.ident};"] if result else [])]
+    kept = [i for i in flow_members(inside & ~results) if any(n.start >= end for n in f.uses(flow.symbols[i].ident, owner))]
+    call = f"{'await ' if waits else ''}{new}({', '.join(flow.symbols[i].ident for i in given)});"
+    if result:
+        call = f"{result.ident} = {call}" if not results & inside else f"{kind} {result.ident} = {call}"
+    elif returns:
+        call = f"return {call}" if kind != "void" else f"{call}\n{f.indent(start)}return;"
     static = "static " if "static" in (owner.modifiers or "").split() else ""
-    params = ", ".join(f"{_type_of(local[x])} {x}" for x in needed)
-    method = f"\n\n{pad}private {static}{result} {new}({params})\n{pad}{{\n{pad}    {body}{give}\n{pad}}}"
+    if waits:
+        static, kind = static + "async ", "Task" if kind == "void" else f"Task<{kind}>"
+    # Variables that the span declares, but that only get their value after it, are still declared there.
+    call = "".join(f"{type_of(i)} {flow.symbols[i].ident};\n{f.indent(start)}" for i in kept) + call
+    params = ", ".join(f"{type_of(i)} {flow.symbols[i].ident}" for i in given)
+    text_ = "".join(f"\n{pad}    {x}" for x in lines)
+    method = f"\n\n{pad}private {static}{kind} {new}({params})\n{pad}{{{text_}\n{pad}}}"
     return [Edit(start, end - start, call), Edit(owner.end, 0, method)]
 
 
-_LOCALS = ("LocalDeclarationStatement", "LocalDeclarator", "Parameter")
-
-
 def _type_of(n: Node) -> str:
     """The type of a local or parameter, which ``var`` takes from its value."""
     if n.type_text != "var":
         return re.sub(r"^(?:(?:this|params|scoped|const)\s+)+", "", n.type_text)
-    found = literal_type(n.detail)
+    found = literal_type(n.detail) if n.detail else None
     if not found:
         raise CannotRewrite(f"the type of {n.ident} can't be told")
     return found
@@ -369,7 +424,7 @@ def safely_remove_as(f: File, offset: int) -> list[Edit]:
 
 @rewrite("Simplify", "CompilationUnit")
 def remove_unnecessary_code(f: File, offset: int = 0) -> list[Edit]:
-    """Drop usings whose last segment isn't named, statements after an exit, and locals never read."""
+    """Drop usings whose last segment isn't named, statements that control can't reach, and locals never read."""
     gone: list[Node] = []
     named = {n.ident for n in f.nodes if n.kind == "IdentifierName"} | set(re.findall(r"\w+", " ".join(n.type_text or "" for n in f.nodes)))
     for n in f.nodes:
@@ -380,11 +435,26 @@ def remove_unnecessary_code(f: File, offset: int = 0) -> list[Edit]:
             alone = not f.inside(n, "LocalDeclarator")
             if alone and not any(u.start >= n.end for u in f.uses(n.ident, parent)) and "(" not in (n.detail or ""):
                 gone.append(n)
-        if n.kind in ("ReturnStatement", "BreakStatement", "ContinueStatement", "ThrowStatement") and f.nodes[n.parent].kind == "Block":
-            gone += [m for m in f.nodes if m.parent == n.parent and m.start >= n.end and "Statement" in m.kind]
+        if n.kind in MEMBERS:
+            gone += _unreachable(f, n)
     return _cut(f, gone)
 
 
+def _unreachable(f: File, owner: Node) -> list[Node]:
+    """Statements of a member, in blocks, that control can't reach; functions among them may still be called."""
+    units = sorted(f.flow(owner).units.values(), key=lambda u: u.node.start)
+    units = [u for u in units if u.node.kind != "LocalFunctionStatement"]
+    if all(u.reachable for u in units):
+        return []
+    starts, dead = [u.node.start for u in units], [0, *accumulate(not u.reachable for u in units)]
+    out = []
+    for n in f.inside(owner, *STATEMENTS):
+        i, j = bisect_left(starts, n.start), bisect_left(starts, n.end)
+        if i < j and dead[j] - dead[i] == j - i and n.kind not in ("SwitchLabel", "LocalFunctionStatement") and f.nodes[n.parent].kind == "Block":
+            out.append(n)
+    return out
+
+
 def _cut(f: File, gone: list[Node]) -> list[Edit]:
     """Deletions of nodes, with their line where nothing else is on it."""
     out, upto = [], -1

@@ -140,18 +140,14 @@ class Bindings:
         all_ = self.members.select(F.col("type_text"), *where).unionByName(self.members.select(F.explode("params.type").alias("type_text"), *where))
         all_ = all_.unionByName(written_ones.select(F.col("given_type").alias("type_text"), *where)).unionByName(self.others.select("type_text", *where))
         new = all_.filter("type_text is not null").select(plain_type(F.col("type_text")).alias("type_text"), *where).distinct()
-        known: Growing | None = None
+        known = Growing("texts")
         while True:
             apart = new.withColumn("arguments", type_arguments(F.col("type_text")))
-            apart = written(apart.withColumn("element", element_type(F.col("type_text"), F.col("arguments"))), "texts")
-            if known is None:
-                known = Growing(apart, "texts")
-            elif apart.isEmpty():
-                break
-            else:
-                known.add(apart)
+            apart = known.add(apart.withColumn("element", element_type(F.col("type_text"), F.col("arguments"))))
             inner = apart.select(F.explode(F.array_compact(F.concat("arguments", F.array("element")))).alias("type_text"), *where).filter("type_text <> ''").distinct()
             new = inner.join(known.table(), ["type_text", *where], "left_anti")
+            if new.isEmpty():
+                break
         texts = known.table()
         asked = texts.filter(~F.col("type_text").rlike(r"[\])]\??$")).select("type_text", *where, bare(F.col("type_text")).alias("b"))
         found = bind_types(asked.select("type_text", *where, *split_name(F.col("b"))), self.types, self.scopes, ["type_text", *where])
@@ -272,58 +268,55 @@ class Bindings:
         up = self.bases.filter("distance = 1").select("type_id", "base_id")
         theirs = behind.filter("receiver = 'base'").join(up, "type_id").drop("type_id").withColumnRenamed("base_id", "type_id")
         asked = rest.filter("type_id is not null").select(*ask).unionByName(behind.filter("receiver = 'this'").select(*ask)).unionByName(theirs.select(*ask))
-        own = written(self.nearest(asked, False), "candidates")
-        inner = own.filter("n = 1 or n_args is null").drop("n")
-        pending = own.filter("n > 1 and n_args is not null").drop("n")
+        candidates, values, inferred = Growing("candidates"), Growing("values"), Growing("inferred")
+        own = candidates.add(self.nearest(asked, False))
+        sure = "n = 1 or n_args is null"
+        inner = own.filter(sure).drop("n")
         # What is left without a receiver may be a type; names behind names may be a type of a namespace.
         left = rest.join(own.select(*KEY).distinct(), KEY, "left_anti")
         named = self.types_at(left.select(*KEY, "namespace", "name", _none("qualifier")))
         dotted = behind.filter("receiver <> '?'").select(*KEY, "namespace", "name", F.col("receiver").alias("qualifier"))
         named = written(named.withColumn("whole", F.lit(False)).unionByName(self.types_at(dotted).withColumn("whole", F.lit(True))), "named-types")
         waiting = written(behind.join(own.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, "target", "name", "n_args", "namespace"), "waiting")
-        new = written(self.typed(self._first_values(local, inner, named)), "values")
-        bound, values = Growing(inner, "bound"), Growing(new, "values")
-        inferred: Growing | None = None
-        fresh, extra = inner, None
+        new = values.add(self.typed(self._first_values(local, inner, named)))
+        fresh, extra, extends = inner, None, not self.extensions.isEmpty()
         while True:
             # 1. Names behind what the last round typed.
             receivers = new.select("doc_id", F.col("at").alias("target"), "type_id")
-            found = written(self.nearest(waiting.join(receivers, ["doc_id", "target"])), "candidates")
-            pending = pending.unionByName(found.filter("n > 1 and n_args is not null").drop("n"))
-            found = found.filter("n = 1 or n_args is null").drop("n")
-            found = found if extra is None else found.unionByName(extra)
+            found = self.nearest(waiting.join(receivers, ["doc_id", "target"]), extends)
+            found = candidates.add(found if extra is None else found.unionByName(extra.withColumn("n", F.lit(1).cast("long")))).filter(sure).drop("n")
             # 2. Variables that get their type from a value of the last round, or as parameters of a lambda from a call that was bound.
-            told = self._variables(new, fresh.unionByName(found))
-            told = written(told if inferred is None else told.join(inferred.table(), "symbol_id", "left_anti"), "variables")
+            told = self._variables(new, found if fresh is None else fresh.unionByName(found))
+            told = inferred.add(told if fresh is not None else told.join(inferred.table(), "symbol_id", "left_anti"))
             # 3. The values that follow.
             uses = local.join(told, "symbol_id").select("doc_id", F.col("start").alias("at"), "type_text", "ctx_doc", "ctx_space", "type_id", F.lit(False).alias("delegate"))
             called = sites.filter("n_args is not null").select("doc_id", F.col("start").alias("at"), F.lit(True).alias("called"))
             uses = uses.join(called, ["doc_id", "at"], "left").withColumn("delegate", F.coalesce("called", F.lit(False))).drop("called")
             step = self.member_values(found).unionByName(uses).unionByName(self._other_values(new))
-            new = written(self.typed(step.join(values.table().select("doc_id", "at"), ["doc_id", "at"], "left_anti")), "values")
-            bound.add(found)
-            values.add(new)
-            if inferred is None:
-                inferred = Growing(told, "inferred")
-            else:
-                inferred.add(told)
-            fresh, extra = found, None
+            new = values.add(self.typed(step.join(values.table().select("doc_id", "at"), ["doc_id", "at"], "left_anti")))
+            fresh, extra = None, None
             if not new.isEmpty():
                 continue
             # Nothing follows any more: overloads by the types of arguments, of nested calls the inner ones first.
-            done = bound.table().select(*KEY).distinct()
-            pending = written(pending.join(done, KEY, "left_anti").distinct(), "pending")
+            known = candidates.table()
+            done = known.filter(sure).select(*KEY).distinct()
+            pending = known.filter(f"not ({sure})").drop("n").join(done, KEY, "left_anti").distinct()
             if not pending.isEmpty():
+                pending = written(pending, "pending")
                 extra = written(self.better_overloads(self.ready(pending, values.table()), values.table()), "overloads")
                 continue
+            if not extends:
+                break
             # Extension methods behind receivers of unknown type; of a chain of them, the first one first.
             loose = waiting.join(done, KEY, "left_anti").join(named.filter("whole").select(*KEY), KEY, "left_anti")
             some = written(self.extended(loose), "loose")
+            if some.isEmpty():
+                break
             later = loose.join(some.select("doc_id", F.col("start").alias("target")).distinct(), ["doc_id", "target"]).select(*KEY)
             extra = written(some.join(later, KEY, "left_anti"), "loose")
             if extra.isEmpty():
                 break
-        return self._references(local, bound.table(), named), self._inferred_texts(inferred.table())
+        return self._references(local, candidates.table().filter(sure).drop("n"), named), self._inferred_texts(inferred.table())
 
     def _first_values(self, local: DataFrame, inner: DataFrame, named: DataFrame) -> DataFrame:
         """Values that no other expression decides."""

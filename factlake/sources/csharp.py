@@ -564,23 +564,29 @@ class _Parser:
                 if t == "using" and self.text(i + 1) != "(":
                     self.local(i + 1, j, parent)
                 elif t == "switch" or self.text(i + 1) == "(" and t not in ("return", "throw", "else", "try", "do"):
-                    node = self.add(_STATEMENTS[t], begin, j - 1, parent)
                     close = self.match.get(i + 1, i + 1)
+                    node = self.add(_STATEMENTS[t], begin, j - 1, parent, args=[self.source_of(i + 2, close)])
                     self.expression(self.head(t, i + 2, close, node), close, node)
                     self.statements(close + 1, j, node)
                 else:
                     node = self.add(_STATEMENTS[t], i, j - 1, parent, detail=self.source_of(i + 1, j - 1) if t in ("return", "throw") else None)
-                    if t in ("else", "try", "do", "catch"):
+                    if t == "do":
+                        stop = self.statement_end(i + 1, j)
+                        node.args = [self.source_of(stop + 2, self.match.get(stop + 1, stop + 1))]
+                        self.statements(i + 1, stop, node)
+                        self.expression(stop + 1, j - 1, node)
+                    elif t in ("else", "try", "catch"):
                         self.statements(i + 1, j, node)
                     else:
                         self.expression(i + 1, j - 1, node)
             elif t in ("case", "default") and self.find(i, end, ":") < end and t != "default" or t == "default" and self.text(i + 1) == ":":
                 colon = self.find(i, end, ":")
-                self.add("SwitchLabel", i, colon, parent)
+                label = self.add("SwitchLabel", i, colon, parent, detail=self.source_of(i, colon + 1))
+                self.expression(i + 1, colon, label)
                 i = colon + 1
                 continue
             elif t in ("finally", "unsafe", "checked", "unchecked"):
-                self.statements(i + 1, j, parent)
+                self.statements(i + 1, j, self.add("FinallyClause", i, j - 1, parent) if t == "finally" else parent)
             else:
                 self.local(begin, j, parent)
             i = j
@@ -686,7 +692,11 @@ class _Parser:
                     self.nodes[-1].start = self.code[first - 1].start
                     target = None
                 writes = self.text(i + 1) in _ASSIGN or self.text(i - 1) in ("++", "--", "out", "ref")
-                self.add("IdentifierName", i, i, parent, ident=t.text, receiver=self._receiver(i), detail="write" if writes else None, target=target)
+                reads = writes and self.text(i + 1) != "=" and self.text(i - 1) != "out"  # a write that reads, too
+                self.add(
+                    "IdentifierName", i, i, parent, ident=t.text, receiver=self._receiver(i), detail="write" if writes else None, target=target,
+                    args=["read"] if reads else None,
+                )
             elif t.text == "[" and i in self.match and self._is_access(i):
                 self.add("ElementAccessExpression", i, self.match[i], parent, receiver="this" if self.text(i - 1) == "this" else None, target=self.primary_at(i - 1 - (self.text(i - 1) == "?")))
             elif t.text == "(" and self._is_cast(i, end):

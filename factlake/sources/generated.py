@@ -168,6 +168,28 @@ def chain_sources(part: DataFrame) -> DataFrame:
     return rows.select("doc_id", "project", F.concat(F.lit("/src/Chain/"), "doc_id", F.lit(".cs")).alias("path"), "content")
 
 
+def flow_sources(part: DataFrame) -> DataFrame:
+    """``(doc_id, content)`` of a method with branches, loops and a statement out of reach for each part; ids begin with F."""
+    rows = part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    tests = F.when(F.col("s") % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("s") % 4, F.lit(1))), lambda i: F.concat(F.lit("        if (a == "), i.cast("string"), F.lit(") { total += b; }"))), "\n"))
+    odd = F.col("k") % 2 == 1
+    text = _lines(
+        _text("class F%d", "k"),
+        "{",
+        "    int Run(int a, int b)",
+        "    {",
+        "        int total = 0;",
+        tests,
+        _text("        while (a > b) { a--; if (a == %d) { continue; } total = a; }", "s"),
+        F.when(odd, F.lit("        return total;")).otherwise("        do { b++; } while (b < a);\n        return b;"),
+        "        Go(total);",
+        "    }",
+        "}",
+        "",
+    )
+    return rows.select(F.concat(F.lit("F"), F.col("k").cast("string")).alias("doc_id"), text.alias("content"))
+
+
 def project_files(part: DataFrame) -> DataFrame:
     """``(path, text)`` of a project file for each part: it refers to that of half its key."""
     rows = _rows(part)

@@ -57,18 +57,20 @@ def _file_system(spark: SparkSession, path: str):
 
 
 class Growing:
-    """A table in the shared folder that rounds of a loop append to; its plan stays as small as it begins."""
+    """A table in the shared folder that rounds of a loop add to; it is read by one scan, however many rounds there are."""
 
-    def __init__(self, first: DataFrame, name: str):
-        self._spark, self._schema = first.sparkSession, first.schema
-        self.path = f"{shared_dir(self._spark)}/factlake-{name}-{uuid.uuid4().hex}"
-        self.add(first)
-        files, target = _file_system(self._spark, self.path)
-        files.deleteOnExit(target)
+    def __init__(self, name: str):
+        self.name = name
+        self._batches: list[DataFrame] = []
 
-    def add(self, rows: DataFrame) -> None:
-        rows.select(*self._schema.names).write.mode("append").parquet(self.path)
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write more rows, and return them read back."""
+        if self._batches:
+            rows = rows.select(*self._batches[0].columns)
+        self._batches.append(written(rows, self.name))
+        return self._batches[-1]
 
     def table(self) -> DataFrame:
         """All rows that have been added so far."""
-        return self._spark.read.schema(self._schema).parquet(self.path)
+        first = self._batches[0]
+        return first.sparkSession.read.schema(first.schema).parquet(*(b._written_to for b in self._batches))

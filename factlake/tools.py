@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from factlake.functions import names
 from factlake.operators import graph, metrics, rewrites, text
 from factlake.plans import facts as plans
+from factlake.plans import flow
 from factlake.plans.components import connected_components
 from factlake.plans.expressions import bind_types
 from factlake.plans.facts import NAMESPACE_KINDS, TYPE_KINDS, Facts
@@ -943,8 +944,23 @@ def validated(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("errors").isNull().alias("is_valid"), "errors")
 
 
+def flow_units(facts: Facts) -> DataFrame:
+    """The statements of all members with what control and data flow tell of them; see :func:`factlake.plans.flow.units`."""
+    return flow.units(facts.nodes, plans.innermost(facts.above, plans.BODIES, "member_node"))
+
+
+def unreachable(facts: Facts) -> DataFrame:
+    """``(doc_id, node_id, kind, start, length)``: the statements that control can't reach."""
+    return flow_units(facts).filter("not reachable and kind <> 'LocalFunctionStatement'").select("doc_id", "node_id", "kind", "start", "length")
+
+
 def data_flow(facts: Facts, spans: DataFrame) -> DataFrame:
-    """For each span (doc_id, begin, stop): locals that are declared, read and written in it, and read outside it."""
+    """For each span (doc_id, begin, stop): locals by what happens to them inside and outside of it, and what flows in and out.
+
+    ``declared``, ``read_inside``, ``written_inside``, ``read_outside`` and ``written_outside`` go by places.
+    ``flows_in`` are locals whose value from before the span may be read in it, ``flows_out`` those whose
+    value from the span may be read after it.
+    """
     uses = facts.refs.filter("not is_definition and symbol_kind = 'local'").select("doc_id", "start", "symbol_id")
     uses = uses.join(facts.nodes.filter("kind = 'IdentifierName'").select("doc_id", "start", F.col("detail").alias("how")), ["doc_id", "start"])
     own = facts.locals.select("symbol_id", "name", "member_node", "name_start")
@@ -953,10 +969,28 @@ def data_flow(facts: Facts, spans: DataFrame) -> DataFrame:
     inside = spans.join(members, "doc_id").filter("ms <= begin and stop <= me").join(uses, ["doc_id", "member_node"])
     within, writes = F.col("start").between(F.col("begin"), F.col("stop")), F.coalesce(F.col("how") == "write", F.lit(False))
     some = lambda c: F.sort_array(F.collect_set(F.when(c, F.col("name"))))
-    return inside.groupBy("doc_id", "begin", "stop").agg(
+    by_place = inside.groupBy("doc_id", "begin", "stop").agg(
         some(F.col("name_start").between(F.col("begin"), F.col("stop"))).alias("declared"), some(within & ~writes).alias("read_inside"),
         some(within & writes).alias("written_inside"), some(~within & ~writes).alias("read_outside"), some(~within & writes).alias("written_outside"),
     )
+    units = written(flow_units(facts).join(spans.select("doc_id").distinct(), "doc_id", "left_semi"), "units")
+    key = ["doc_id", "begin", "stop"]
+    here = units.join(spans, "doc_id").filter("begin <= start and start + length <= stop")
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    all_ = here.groupBy(*key).agg(
+        flat(F.concat("reads", "writes")).alias("used"), flat("writes").alias("given"), F.min_by("live_in", "start").alias("before"),
+        F.array_except(flat("next"), F.collect_list("node_id")).alias("exits"),
+    )
+    behind = all_.select(*key, F.explode("exits").alias("node_id")).join(units.select("doc_id", "node_id", "live_in"), ["doc_id", "node_id"])
+    after = behind.groupBy(*key).agg(flat("live_in").alias("after"))
+    locals_ = facts.locals.select("doc_id", "name", "name_start", F.substring_index("symbol_id", ":", -1).cast("long").alias("symbol"))
+    both = all_.join(after, key, "left").select(*key, F.array_intersect("before", "used").alias("into"), F.array_intersect("given", F.coalesce("after", F.array().cast("array<long>"))).alias("out"))
+    ends = both.select(*key, F.explode(F.concat(F.transform("into", lambda x: F.struct(x.alias("symbol"), F.lit(True).alias("into"))), F.transform("out", lambda x: F.struct(x.alias("symbol"), F.lit(False).alias("into"))))).alias("x"))
+    ends = ends.select(*key, "x.*").join(locals_, ["doc_id", "symbol"])
+    early = F.col("into") & ~F.col("name_start").between(F.col("begin"), F.col("stop"))
+    flows = ends.groupBy(*key).agg(some(early).alias("flows_in"), some(~F.col("into")).alias("flows_out"))
+    none = F.array().cast("array<string>")
+    return by_place.join(flows, key, "left").withColumns({c: F.coalesce(c, none) for c in ("flows_in", "flows_out")})
 
 
 def control_flow(facts: Facts, spans: DataFrame) -> DataFrame:
