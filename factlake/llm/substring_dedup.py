@@ -6,14 +6,18 @@ and the first place there. The index is cut by hash into blocks that each fit a
 document is looked up in every block: a batch of documents sends each block the phrases that the
 block owns, and gets back the reference position of those that an earlier document has.
 
-Parsing is greedy, from left to right. A factor starts at the first phrase that the index knows, and
-grows by a word as long as the next phrase stands in the reference right behind the last one. Where
-it can't grow any more, the phrases that reach across its end are looked up on their own, so a
-phrase that is copied from elsewhere begins the next factor and none is lost at a boundary. A factor
-is at least ``window`` words long, so all of them are duplicate spans.
-
-Hashes only find factors. Each factor is confirmed on its words: it sends a digest of them to the
-document it was copied from, which compares it with its own words at that place.
+Words in a row whose phrases all have an earlier place are a stretch; nothing beyond it can be copied
+with it. Stretches are parsed greedily, from left to right: a factor is the longest run of words from
+its begin that stands in a reference document, found by walking that document's suffix automaton. Where
+it ends, the phrases that reach across its end are still to be covered, so the next factor begins
+``window`` - 1 words before. A factor is at least ``window`` words long, so all of them are duplicate
+spans, and no phrase is lost at a boundary. The reference documents of a stretch are those in which its
+phrases come first; as the parse goes on, those of the phrases that the factor so far holds are tried.
+Where all phrases of a stretch stand in a row in one document, that is the longest factor already. For
+the others the batch asks for the texts of the reference documents, each once.
+
+Hashes only find factors. Those of one document in a row are confirmed by a digest of their words,
+which that document compares with its own; all others are found on the words themselves.
 
 Before the index is made, a first round exchanges only minimizers, the smallest hash of the short
 phrases in each window; equal windows have equal minimizers, so a window whose minimizer no other
@@ -33,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.llm.periodic_runs import SuffixAutomaton
 from factlake.llm.textwords import U, Words, inside, loosened, mix, release, rolling, split_words
 
 #: Bytes of text that a batch of documents should have.
@@ -40,14 +45,22 @@ BATCH_BYTES = 4 << 20
 #: Entries that a block of the index should have.
 BLOCK_ENTRIES = 1 << 20
 _ENTRIES = "block int, batch long, packed binary"
+_MESSAGES = "batch long, kind int, packed binary"
+#: Kinds of messages: runs of a text's phrases, claims of words, texts wanted, texts sent.
+_OWN, _CLAIMED, _WANT, _SERVED = range(4)
 #: Phrases with their hash, a second one, and where they stand: in which document, at which word.
 _PHRASE = (("hash", "<u8"), ("check", "<u4"), ("id", "<i8"), ("at", "<i4"))
 _KNOWN = (*_PHRASE, ("batch", "<i4"))
 _STEP, _CHECK = U(0xD1342543DE82EF95), U(0xA24BAED4963EE407)
 _FACTOR = np.dtype([("start", "<i4"), ("length", "<i4"), ("id", "<i8"), ("at", "<i4")])
+_ASKED = np.dtype([("id", "<i8"), ("to", "<i8")])
 _CLAIM = np.dtype([("id", "<i8"), ("at", "<i4"), ("length", "<i4"), ("digest", "V16")])
 
 
+#: Words of reference documents whose automata are kept at a time.
+_AUTOMATA_WORDS = 400_000
+
+
 class HashCollision(RuntimeError):
     """Phrases of different words have the same hashes; another ``salt`` tells them apart."""
 
@@ -63,8 +76,9 @@ def remove_repeated_spans(
 ) -> DataFrame:
     """Per row of ``docs``: ``(id, text, n_words, n_removed, spans, factors, carried)``.
 
-    ``text`` has the words left, joined by one space; ``factors`` the (start, length) of each copied
-    run of words in the input, and the ``source`` id and ``source_start`` it was copied from;
+    ``text`` has the words left, joined by one space; ``factors`` the (start, length) of each factor of
+    the parse, and the ``source`` id and ``source_start`` it was copied from; they overlap by less than
+    a window;
     ``spans`` the (start, length) of the removed runs, the union of the factors; ``carried`` a struct
     of the columns named in ``carry``. A word goes if it lies in a window of ``window`` words that
     also starts in a row with a smaller id; windows are judged on the input. Words are runs of
@@ -115,13 +129,18 @@ def remove_repeated_spans(
         return _messages(group, group.factors(_unpacked(right, _KNOWN)))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _cut(_Sorted(left), right)
+        return _cut(_Sorted(left), right, window)
 
     grouped = texts.groupBy("batch")
     shared = grouped.applyInArrow(seeds, _ENTRIES).groupBy("block").applyInArrow(_repeated, _ENTRIES)
     entries = grouped.cogroup(shared.groupBy("batch")).applyInArrow(index, _ENTRIES)
     known = entries.groupBy("block").applyInArrow(_earlier, _ENTRIES)
-    said = grouped.cogroup(known.groupBy("batch")).applyInArrow(factors, "batch long, claim boolean, packed binary").distinct()
+    said = grouped.cogroup(known.groupBy("batch")).applyInArrow(factors, _MESSAGES).distinct()
+    # Not a filter, which would go below the distinct and have the factors made twice.
+    wanted = said.mapInArrow(lambda batches: (b.filter(pc.equal(b.column("kind"), _WANT)) for b in batches), _MESSAGES)
+    served = grouped.cogroup(wanted.groupBy("batch")).applyInArrow(_serve, "id long, text string, to array<long>")
+    served = served.select(F.explode("to").alias("batch"), F.lit(_SERVED).alias("kind"), F.encode(F.concat_ws(" ", "id", "text"), "UTF-8").alias("packed"))
+    said = said.unionByName(served)
     carried = texts.schema["carried"].dataType.simpleString()
     out = (
         "id long, text string, n_words long, n_removed long, spans array<struct<start:int,length:int>>, "
@@ -317,23 +336,105 @@ def _answers(table: pa.Table, values: dict[str, np.ndarray], to: np.ndarray) ->
     return _packed(block, to[order[first]], [(values, order[i:j]) for i, j in zip(first, last, strict=True)])
 
 
+def _stretches(start: np.ndarray, length: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Runs (first, last) of the runs of one text whose phrases follow each other without a gap."""
+    gap = np.flatnonzero(start[1:] > (start + length - window + 1)[:-1]) + 1
+    edges = [0, *gap.tolist(), len(start)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def _messages(group: _Group, factors: tuple[np.ndarray, ...]) -> pa.Table:
-    """Factors for the own batch, one row a text, and claims of their words for those of their sources."""
+    """Runs of phrases for the own batch, one row a text; claims of their words, or wishes for texts, for those of their sources."""
     text, start, length, sid, sat, sbatch = factors
-    rows: list[tuple[int, bool, bytes]] = []
+    rows: list[tuple[int, int, bytes]] = []
     first, last = _runs(text)
     for i, j in zip(first, last, strict=True):
         d = int(text[i])
         mine = np.zeros(j - i, _FACTOR)
         for name, values in zip(("start", "length", "id", "at"), (start, length, sid, sat), strict=True):
             mine[name] = values[i:j]
-        rows.append((group.batch, False, np.array([group.ids[d], group.marks[d]], "<i8").tobytes() + mine.tobytes()))
+        rows.append((group.batch, _OWN, np.array([group.ids[d], group.marks[d]], "<i8").tobytes() + mine.tobytes()))
         words = group.said(d)
-        for k in range(i, j):
-            digest = _digest(words, start[k], length[k])
-            rows.append((int(sbatch[k]), True, np.array([(sid[k], sat[k], length[k], digest)], _CLAIM).tobytes()))
-    batch, claim, packed = zip(*dict.fromkeys(rows), strict=True) if rows else ((), (), ())
-    return pa.table({"batch": pa.array(batch, pa.int64()), "claim": pa.array(claim, pa.bool_()), "packed": pa.array(packed, pa.binary())})
+        for a, b in _stretches(start[i:j], length[i:j], group.window):
+            if b == a + 1:
+                k = i + a
+                digest = _digest(words, start[k], length[k])
+                rows.append((int(sbatch[k]), _CLAIMED, np.array([(sid[k], sat[k], length[k], digest)], _CLAIM).tobytes()))
+            else:
+                rows += [(int(sbatch[k]), _WANT, np.array([(sid[k], group.batch)], _ASKED).tobytes()) for k in range(i + a, i + b)]
+    batch, kind, packed = zip(*dict.fromkeys(rows), strict=True) if rows else ((), (), ())
+    return pa.table({"batch": pa.array(batch, pa.int64()), "kind": pa.array(kind, pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+
+def _serve(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The texts of a batch that others want, with the batches that do; rows of one id are all sent."""
+    asked = np.unique(np.frombuffer(b"".join(wanted.column("packed").to_pylist()), _ASKED))
+    chosen = texts.filter(pc.is_in(texts.column("id"), pa.array(np.unique(asked["id"])))).select(["id", "text"])
+    to = {int(asked["id"][i]): asked["to"][i:j] for i, j in zip(*_runs(asked["id"]), strict=True)}
+    lists = pa.array([to[x] for x in chosen.column("id").to_pylist()], pa.list_(pa.int64()))
+    return pa.table({"id": chosen.column("id").combine_chunks(), "text": chosen.column("text").combine_chunks(), "to": lists})
+
+
+class _Reference:
+    """The texts of the documents that stretches are parsed against, with their automata."""
+
+    def __init__(self, packed: list[bytes]):
+        self.texts: dict[int, list[list[bytes]]] = {}
+        for x in packed:
+            id_, _, text = x.partition(b" ")
+            self.texts.setdefault(int(id_), []).append(text.split())
+        self.ready: dict[int, list[tuple[SuffixAutomaton, dict[bytes, int]]]] = {}
+        self.words = 0
+
+    def automata(self, id_: int) -> list[tuple[SuffixAutomaton, dict[bytes, int]]]:
+        """The automata of an id's texts; others are given up where they take too much memory together."""
+        if id_ not in self.ready:
+            size = sum(map(len, self.texts.get(id_, ())))
+            if self.words + size > _AUTOMATA_WORDS:
+                self.ready, self.words = {}, 0
+            self.words += size
+            out = []
+            for words in self.texts.get(id_, ()):
+                number: dict[bytes, int] = {}
+                out.append((SuffixAutomaton([number.setdefault(w, len(number)) for w in words]), number))
+            self.ready[id_] = out
+        return self.ready[id_]
+
+    def longest(self, words: list[bytes], j: int, id_: int) -> tuple[int, int]:
+        """How far the words from j on stand in an id's texts in a row, and where they begin there."""
+        best, place = j, 0
+        for automaton, number in self.automata(id_):
+            state, k = 0, j
+            while k < len(words) and (follows := automaton.step(state, number.get(words[k], -2))):
+                state, k = follows, k + 1
+            if k > best:
+                best, place = k, automaton.first_end[state] - (k - j) + 1
+        return best, place
+
+
+def parse_stretch(words: list[bytes], runs: np.ndarray, reference: _Reference, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, id, place) of a stretch, from the runs of its phrases and their first places."""
+    out, j, skip = [], int(runs["start"][0]), 0
+    stop = int(runs["start"][-1] + runs["length"][-1])
+    ends = runs["start"] + runs["length"] - window  # the last phrase of each run
+    while True:
+        while ends[skip] < j:
+            skip += 1
+        k, best, tried = skip, (j, 0, 0), set()
+        while k < len(runs) and runs["start"][k] <= max(j, best[0] - window + 1):
+            id_ = int(runs["id"][k])
+            if id_ not in tried:
+                tried.add(id_)
+                end, place = reference.longest(words, j, id_)
+                if end > best[0]:
+                    best = (end, id_, place)
+            k += 1
+        if best[0] - j < window:
+            raise HashCollision(f"hashes of different phrases agree in {int(runs['id'][skip])}: use another salt")
+        out.append((j, best[0] - j, best[1], best[2]))
+        if best[0] >= stop:
+            return out
+        j = best[0] - window + 1
 
 
 def _digest(words: list[bytes], start: int, length: int) -> bytes:
@@ -355,18 +456,25 @@ def _confirm(group: _Sorted, claims: Iterator[bytes]) -> None:
             raise HashCollision(f"hashes of different phrases agree in {id_}: use another salt")
 
 
-def _cut(group: _Sorted, messages: pa.Table) -> pa.Table:
+def _cut(group: _Sorted, messages: pa.Table, window: int) -> pa.Table:
     """The texts of a batch without the words of their factors."""
-    claim = messages.column("claim").to_pylist()
+    kind = messages.column("kind").to_numpy()
     packed = messages.column("packed").to_pylist()
-    _confirm(group, (x for x, c in zip(packed, claim, strict=True) if c))
-    mine = {x[:16]: np.frombuffer(x[16:], _FACTOR) for x, c in zip(packed, claim, strict=True) if not c}
+    of = lambda k: (packed[i] for i in np.flatnonzero(kind == k))
+    _confirm(group, of(_CLAIMED))
+    reference = _Reference(list(of(_SERVED)))
+    mine = {x[:16]: np.frombuffer(x[16:], _FACTOR) for x in of(_OWN)}
     texts, spans, removed, factors = [], [], [], []
     for d in range(len(group.ids)):
         words = group.said(d)
-        found = mine.get(np.array([group.ids[d], group.marks[d]], "<i8").tobytes()) if group.has_id[d] else None
+        runs = mine.get(np.array([group.ids[d], group.marks[d]], "<i8").tobytes()) if group.has_id[d] else None
         gone: list[tuple[int, int]] = []
-        if found is not None:
+        found = None
+        if runs is not None:
+            parts = []
+            for a, b in _stretches(runs["start"], runs["length"], window):
+                parts += [tuple(runs[a])] if b == a + 1 else parse_stretch(words, runs[a:b], reference, window)
+            found = np.array(parts, _FACTOR)
             step = np.zeros(len(words) + 1, np.int64)
             np.add.at(step, found["start"], 1)
             np.add.at(step, found["start"] + found["length"], -1)

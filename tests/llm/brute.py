@@ -68,22 +68,36 @@ def substring(rows, k=13):
 
 
 def factors(rows, k=13):
-    """(start, length, source, source start) of greedy factors, by the first place of each phrase."""
-    first, out = {}, {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
-        w = words(t)
-        for j in range(len(w) - k + 1):
-            first.setdefault(tuple(w[j : j + k]), (i, j))
-    for i, t in rows:
-        w, found = words(t), []
-        for j in range(len(w) - k + 1):
-            source, at = first[tuple(w[j : j + k])]
-            if source < i:
-                if found and found[-1][0] + found[-1][1] == j + k - 1 and found[-1][2] == source and found[-1][3] + found[-1][1] == at + k - 1:
-                    found[-1][1] += 1
-                else:
-                    found.append([j, k, source, at])
-        out[i] = [tuple(f) for f in found]
+    """(start, length) of the longest runs of words from left to right that some earlier text has, and what they may be copied from.
+
+    A plain parser: at each place every place of every earlier text is tried; the next factor begins k - 1
+    words before the last one's end. Values are lists of (start, length, {(id, place)}).
+    """
+    said = {i: words(t) for i, t in rows}
+    out = {}
+    for i, w in said.items():
+        places = {}
+        for other in said:
+            if other < i:
+                for p in range(len(said[other]) - k + 1):
+                    places.setdefault(tuple(said[other][p : p + k]), []).append((other, p))
+        found, j = [], 0
+        while j + k <= len(w):
+            best, copied = 0, set()
+            for other, p in places.get(tuple(w[j : j + k]), ()):
+                n = k
+                while j + n < len(w) and p + n < len(said[other]) and w[j + n] == said[other][p + n]:
+                    n += 1
+                if n >= best:
+                    copied = copied if n == best else set()
+                    best = n
+                    copied.add((other, p))
+            if best:
+                found.append((j, best, copied))
+                j += best - k + 1 if j + best < len(w) else len(w)
+            else:
+                j += 1
+        out[i] = found
     return out
 
 

@@ -177,11 +177,26 @@ def test_factors_are_those_of_a_plain_parser(spark, monkeypatch, batch):
     out = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = {r["id"]: [tuple(f) for f in r["factors"]] for r in out}
     want = factors(rows)
-    assert got == want and sum(map(len, want.values())) > 100
+    assert {i: [f[:2] for f in fs] for i, fs in got.items()} == {i: [f[:2] for f in fs] for i, fs in want.items()}
+    assert all(f[2:] in x[2] for i, fs in got.items() for f, x in zip(fs, want[i], strict=True)) and sum(map(len, want.values())) > 100
     said = {i: words(t) for i, t in rows}
     assert all(said[i][a : a + n] == said[s][b : b + n] and s < i for i, fs in got.items() for a, n, s, b in fs)
 
 
+@pytest.mark.parametrize("batch", [100, 1 << 20])
+def test_a_longer_copy_isnt_cut_by_an_older_one_of_its_middle(spark, monkeypatch, batch):
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", batch)
+    w = [f"w{i}" for i in range(40)]
+    edited = w[:20] + ["other"] + w[21:]
+    rows = [(0, " ".join(["x", *w[10:23], "y"])), (1, " ".join(w)), (2, " ".join(w)), (3, " ".join(edited)), (4, " ".join(["z", *w, *edited])), (4, "no copy"), (5, " ".join(w * 30))]
+    out = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {r["id"]: [tuple(f) for f in r["factors"]] for r in out if r["n_words"] > 2}
+    assert got[2] == [(0, 40, 1, 0)] and got[1] == [(10, 13, 0, 1)] and got[3] == [(0, 20, 1, 0), (21, 19, 1, 21)]
+    assert got[4] == [(1, 40, 1, 0), (41, 40, 3, 0)]
+    assert got[5][:3] == [(0, 60, 4, 1), (48, 52, 4, 9), (88, 52, 4, 9)]
+    assert _spans(spark.createDataFrame([tuple(r) for r in rows[:4]], "doc_id long, text string").transform(remove_repeated_spans)) == substring(rows[:4])
+
+
 def test_phrases_of_different_words_are_kept(spark):
     a, b = _thue_morse(10)
     start = " ".join(f"w{i}" for i in range(12))
