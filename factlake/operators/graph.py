@@ -6,10 +6,10 @@ shared folder, and ends when nothing new is found, however many rounds that take
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.storage import discard, written
+from factlake.storage import Growing, discard, written
 
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -32,57 +32,188 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return seen
 
 
-#: Edges up to which a closure costs less than the rounds that would make it smaller.
-SMALL = 50_000
 #: Levels that are peeled off, and steps that are walked, before a round is written.
 _AT_ONCE = 8
 
 
+def _reversed(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _ends(pointers: DataFrame) -> DataFrame:
+    """Pointers (node, next, length, base) followed to where they end: with ``low`` and ``looped``.
+
+    A pointer says that a node's level is the greater of ``base`` and ``length`` plus the level of
+    ``next``; following two gives another of that form. Each round doubles the steps, so a path takes a
+    logarithm of rounds. Who still points to a node with a pointer after more steps than there are
+    pointers leads into a ring, and then ``next`` lies on the ring; ``low`` is the least node passed.
+    """
+    pointers = pointers.withColumn("low", F.col("node"))
+    nodes, n, steps, t = pointers.select(F.col("node").alias("next"), F.lit(True).alias("looped")), pointers.count(), 1, pointers
+    while True:
+        for _ in range(2):
+            ahead = t.select(F.col("node").alias("next"), F.col("next").alias("then"), F.col("length").alias("more"), F.col("base").alias("their"), F.col("low").alias("least"))
+            t = t.join(ahead, "next", "left").select(
+                "node", F.coalesce("then", "next").alias("next"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"),
+                F.greatest("base", F.col("length") + F.col("their")).alias("base"), F.least("low", "least").alias("low"),
+            )
+        t, steps = written(t, "ends"), steps * 4
+        out = t.join(nodes, "next", "left").withColumn("looped", F.coalesce("looped", F.lit(False)))
+        if steps > n or out.filter("looped").isEmpty():
+            return out
+
+
+def _pointers(edges: DataFrame) -> DataFrame:
+    """``(node, next, length, base)`` of the sources of edges (src, dst, length, base) that have one target."""
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.max("dst").alias("next"), F.max("length").alias("length"), F.max("base").alias("base"))
+    return out.filter("n = 1").drop("n")
+
+
 def peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Edges (src, dst) that lie on a path without end, and ``(node, level)`` of all other sources.
+    """Edges (src, dst) that lie on a path without end, and ``(node, level)`` of all nodes on no such path.
 
-    A source's level is its longest path. Each round follows paths for so many steps in one plan, one
-    join a step; who has a shorter one gets its level and loses its edges.
+    A node's level is its longest path. A round takes off so many levels from the ends in one plan, one
+    join a level, and then follows the nodes with one way on to where they end, however far that is, and
+    puts the end in their place. So chains take a logarithm of rounds, and only nodes with several ways
+    on take one for each eight levels.
     """
-    e = written(edges.select("src", "dst").dropna().distinct(), "peeled")
-    layers: DataFrame | None = None
-    base, n = 0, e.count()
-    while n:
-        length = e.select(F.col("src").alias("node")).distinct().withColumn("level", F.lit(1))
+    whole = written(edges.select("src", "dst").dropna().distinct(), "peeled")
+    if whole.isEmpty():
+        return whole, None
+    e = whole.select("src", "dst", F.lit(1).cast("long").alias("length"), F.lit(0).cast("long").alias("base"))
+    ends = whole.select(F.col("dst").alias("node")).distinct().join(whole.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    levels, followed = Growing("levels"), []
+    ends = levels.add(ends.withColumn("level", F.lit(0).cast("long")))
+    while True:
+        reach = ends.withColumn("done", F.lit(True))
         for _ in range(_AT_ONCE):
-            ahead = e.join(length.withColumnRenamed("node", "dst"), "dst", "left")
-            length = ahead.groupBy(F.col("src").alias("node")).agg((F.coalesce(F.max("level"), F.lit(0)) + 1).alias("level"))
-        length = written(length, "levels")
-        done = length.filter(F.col("level") <= _AT_ONCE).select("node", (F.col("level") + base).alias("level"))
-        layers = done if layers is None else layers.unionByName(done)
-        long = length.filter(F.col("level") >= _AT_ONCE).select(F.col("node").alias("dst"))
-        last, e = e, written(e.join(long, "dst", "left_semi").select("src", "dst"), "peeled")
-        discard(last)
-        base, left, n = base + _AT_ONCE, n, e.count()
-        if n == left:
+            ahead = e.join(reach.withColumnRenamed("node", "dst"), "dst", "left")
+            level = F.greatest(F.max("base"), F.max(F.col("length") + F.coalesce("level", F.lit(0))))
+            ahead = ahead.groupBy(F.col("src").alias("node")).agg(level.alias("level"), F.bool_and(F.coalesce("done", F.lit(False))).alias("done"))
+            reach = ahead.unionByName(ends.withColumn("done", F.lit(True)))
+        done = written(reach.filter("done").drop("done"), "done")
+        known = done.withColumnRenamed("node", "dst")
+        left = e.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(known, "dst", "left")
+        gained = F.max(F.greatest("base", F.col("length") + F.col("level"))).over(Window.partitionBy("src"))
+        left = written(left.withColumn("gained", F.coalesce(gained, "base")).withColumn("open", F.count_if(F.col("level").isNull()).over(Window.partitionBy("src"))), "left")
+        new = done.join(ends.select("node"), "node", "left_anti")
+        levels.add(new)
+        ends = levels.add(left.filter("open = 0").select(F.col("src").alias("node"), F.col("gained").alias("level")).distinct())
+        e = left.filter("level is null").select("src", "dst", "length", F.col("gained").alias("base"))
+        pointers = written(_pointers(e.join(ends.select(F.col("node").alias("src")), "src", "left_anti")), "pointers")
+        stuck = pointers.isEmpty()
+        if not stuck:
+            followed.append(written(_ends(pointers), "followed"))
+            to = followed[-1].filter("not looped").select(F.col("node").alias("dst"), F.col("next").alias("then"), F.col("length").alias("more"), F.col("base").alias("their"))
+            e = e.join(pointers.select(F.col("node").alias("src")), "src", "left_anti").join(to, "dst", "left")
+            e = e.select("src", F.coalesce("then", "dst").alias("dst"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.greatest("base", F.col("length") + F.col("their")).alias("base"))
+        e = e.groupBy("src", "dst").agg(F.max("length").alias("length"), F.max("base").alias("base"))
+        e = written(e.withColumn("base", F.max("base").over(Window.partitionBy("src"))), "peeled")
+        if e.isEmpty() or stuck and ends.isEmpty() and new.isEmpty():
             break
-    return e, layers
+    for f in reversed(followed):
+        hit = f.filter("not looped").join(levels.table().withColumnRenamed("node", "next"), "next")
+        levels.add(hit.select("node", F.greatest("base", F.col("length") + F.col("level")).alias("level")))
+    out = levels.table().select("node", F.col("level").cast("int").alias("level"))
+    free = written(out.select("node"), "free")
+    rest = whole.join(free.withColumnRenamed("node", "src"), "src", "left_anti").join(free.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    return written(rest.select("src", "dst"), "rest"), out
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of the nodes that lie on a cycle; nodes of one component reach each other.
+
+    Edges on no path between cycles are peeled off from both sides. Nodes with one way on are left out,
+    their ends in their place; what is left is coloured: every node gets the greatest node that reaches
+    it, and those of a colour that reach that node are a component (forward-backward colouring). At last
+    the nodes left out are in the component of their end if one of its nodes leads to them. Nothing is
+    closed; chains and rings take a logarithm of rounds, the rest as many as its paths are long, eight
+    steps a round.
+    """
+    e = edges.select("src", "dst").dropna().distinct()
+    forward, _ = peeled(e)
+    back, _ = peeled(_reversed(forward))
+    e = written(_reversed(back).distinct(), "core")
+    found = Growing("components")
+    found.add(e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
+    e = e.filter("src <> dst")
+    left_out = []
+    while True:
+        plain = e.withColumn("length", F.lit(1)).withColumn("base", F.lit(0))
+        pointers = written(_pointers(plain), "pointers")
+        if pointers.isEmpty():
+            break
+        ends = written(_ends(pointers), "followed")
+        # Of nodes that lead into a ring, those that pointers of others come to lie on it.
+        ring = ends.filter("looped")
+        found.add(ring.join(ring.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("component")))
+        straight = ends.filter("not looped").select("node", "next")
+        left_out.append((e, pointers.select("node", "next").join(straight.select("node"), "node", "left_semi"), straight))
+        gone = ring.select("node")
+        e = e.join(pointers.select(F.col("node").alias("src")), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        e = e.join(straight.select(F.col("node").alias("dst"), F.col("next").alias("then")), "dst", "left").select("src", F.coalesce("then", "dst").alias("dst"))
+        found.add(e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct())
+        e = written(e.filter("src <> dst").distinct(), "core")
+    while not e.isEmpty():
+        nodes = written(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct(), "nodes")
+        colour = _coloured(nodes, e)
+        of = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        same = e.join(of("src"), "src").join(of("dst"), "dst").filter("src_colour = dst_colour").select("src", "dst")
+        roots = colour.filter("node = colour").select("node")
+        part = written(reached(_reversed(same), roots).join(colour, "node"), "part")
+        found.add(part.withColumn("n", F.count("*").over(Window.partitionBy("colour"))).filter("n > 1").select("node", F.col("colour").alias("component")))
+        e = e.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
+        e = written(e.select("src", "dst"), "core")
+    known = written(found.table().groupBy("node").agg(F.min("component").alias("component")), "known")
+    for e, pointers, straight in reversed(left_out):
+        # Into the chains from a node of the component of their end, and down them.
+        at = straight.join(known.select(F.col("node").alias("next"), "component"), "next").select(F.col("node").alias("dst"), "component")
+        entered = e.join(at, "dst").join(known.select(F.col("node").alias("src"), "component"), ["src", "component"]).select(F.col("dst").alias("node")).distinct()
+        passed = _downstream(pointers, entered).join(at.withColumnRenamed("dst", "node"), "node").select("node", "component")
+        known = written(known.unionByName(passed).groupBy("node").agg(F.min("component").alias("component")), "known")
+    low = known.groupBy("component").agg(F.min("node").alias("least"))
+    return known.join(low, "component").select("node", F.col("least").alias("component"))
+
+
+def _coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, colour)``: the greatest node that reaches each one, itself included."""
+    step = _looped(edges).select("src", "dst")
+    colour = nodes.select("node", F.col("node").alias("colour"))
+    step = written(step, "edges")
+    while True:
+        last = colour
+        for _ in range(_AT_ONCE):
+            colour = colour.withColumnRenamed("node", "src").join(step, "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("colour"))
+        colour = written(colour, "colours")
+        if colour.join(last, ["node", "colour"], "left_anti").isEmpty():
+            return colour
+
+
+def _downstream(pointers: DataFrame, start: DataFrame) -> DataFrame:
+    """``(node)``: the start nodes and all that pointers (node, next) lead to from them, by doubling their steps."""
+    seen, jump = start.select("node"), pointers
+    while True:
+        new = seen.join(jump, "node").select(F.col("next").alias("node"))
+        seen = written(seen.unionByName(new).distinct(), "downstream")
+        far = jump.select(F.col("node").alias("next"), F.col("next").alias("then"))
+        jump = written(jump.join(far, "next").select("node", F.col("then").alias("next")), "jumps")
+        if jump.isEmpty():
+            return seen
 
 
 def cyclic(nodes: DataFrame, edges: DataFrame, node: str = "node", reach: DataFrame | None = None) -> DataFrame:
     """``(node, on_cycle, reaches_cycle)``: whether a cycle passes through, or can be reached.
 
-    Without a closure at hand, nodes that can't lie on a cycle are peeled off first, and only what is
-    left is closed; what reaches a cycle is then found by walking back from it. A graph of up to
-    ``SMALL`` edges is closed at once, which takes fewer rounds and gives the same.
+    What reaches a cycle has a path without end; what lies on one is in a strong component. Where the
+    closure ``reach`` is at hand, it tells both.
     """
-    if reach is None and edges.limit(SMALL + 1).count() <= SMALL:
-        reach = closure(edges)
     if reach is not None:
         on = reach.filter("src = dst").select(F.col("src").alias("n"))
         to = reach.join(on.select(F.col("n").alias("dst")), "dst").select(F.col("src").alias("n")).distinct()
     else:
         core, _ = peeled(edges)
-        back, _ = peeled(core.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        core = back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        on = written(closure(core).filter("src = dst").select(F.col("src").alias("n")), "on-cycle")
-        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        to = reached(back, on.select(F.col("n").alias("node"))).select(F.col("node").alias("n"))
+        on = strong_components(core).select(F.col("node").alias("n"))
+        to = core.select(F.col("src").alias("n")).distinct()
     flags = to.withColumn("to", F.lit(True)).join(on.withColumn("on", F.lit(True)), "n", "left")
     return nodes.select(node).join(flags, F.col(node) == F.col("n"), "left").select(
         node, F.coalesce("on", F.lit(False)).alias("on_cycle"), F.coalesce("to", F.lit(False)).alias("reaches_cycle")
