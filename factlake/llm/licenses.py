@@ -69,7 +69,7 @@ SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PRO
 LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
 CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
 SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-#: Known texts by name that the SQL has too; notices of one line count as texts of their own.
+#: Known texts by name; notices of one line count as texts of their own.
 TEXTS = (
     ("MIT", _MIT),
     ("ISC", _ISC),
@@ -161,7 +161,7 @@ def _canonical_sql(column: str) -> str:
     return f"trim(regexp_replace({out}, '{PUNCTUATION}', ' ', 'g'))"
 
 
-_ROWS = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in TEXTS)
+_ROWS = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in (*TEXTS, *more_texts()))
 SCAN_SQL = f"""
 WITH known(license, text) AS (VALUES {_ROWS}),
 names AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM known GROUP BY 1),

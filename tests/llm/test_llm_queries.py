@@ -195,6 +195,18 @@ def test_license_query_finds_planted_texts(spark, tmp_path):
     assert [rows[i][1] for i in range(8)] == ["MIT", "MIT", "Zlib", "CC-BY-NC-4.0 notice", None, None, None, None]
 
 
+def test_license_query_and_sql_know_every_text(spark, tmp_path):
+    known = [*licenses.TEXTS, *licenses.more_texts()]
+    texts = [t if i % 2 else f"Copyright (c) 2001 Y\n{t.upper()}" for i, (_, t) in enumerate(known)] + [t + " more" for _, t in known]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: (r["digest"], r["license"]) for r in QUERIES["op7_license_scan"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {i: (d, n) for i, d, n in con.execute("SELECT doc_id, digest, license FROM (" + ORACLE_SQL["op7_license_scan"] + ")").fetchall()} == rows
+    assert [rows[i][1] for i in range(len(known))] == [n for n, _ in known] and all(rows[i][1] is None for i in range(len(known), len(texts)))
+
+
 def test_each_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert toxicity.Settings().most_rows == 16_000
