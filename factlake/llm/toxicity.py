@@ -206,5 +206,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
-    """Whether the CRC-32 of the id's text leaves no remainder: such rows never train."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == 0
+    """Whether the CRC-32 of the id's text leaves no remainder: such rows never train. A null id's text is empty, so it is held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
