@@ -116,7 +116,7 @@ def mix_sources(
     the slot that took the block says where in the mix it stands. A source's pieces hold ``floor(target)`` words.
 
     Defined results: null and wordless texts have size 0 and no piece; a null source is a source of
-    its own, last in order; equal rows are separate documents; null ids are ordered first; a text of
+    its own, last in order; equal rows are separate documents; null ids are ordered by a hash of their text; a text of
     any length is counted whole and falls into as many pieces as blocks; an empty table gives empty
     results. Columns not named are ignored unless carried, so their names can't clash. One task
     orders the sources, of which it reads one row each.
@@ -128,6 +128,7 @@ def mix_sources(
         F.col(id_col).cast("long").alias("id"),
         F.col(source_col).cast("string").alias("source"),
         size.alias("size"),
+        F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"))).alias("mark"),
         carried.alias("carried"),
     )
     rows = written(rows, "sized")
@@ -139,9 +140,9 @@ def mix_sources(
     ends = written(blocks.groupBy("s").agg(F.max("stop").alias("end")), "ends")
 
     sized = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
-        "row", "id", rows["source"], "size", "s", "source_size", "target", "carried"
+        "row", "id", rows["source"], "size", "mark", "s", "source_size", "target", "carried"
     )
-    placed = sized.drop("carried", "source").withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
+    placed = sized.drop("carried", "source").withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("mark").cast("string"))).cast("binary")))
     placed = placed.withColumn("bucket", F.substring("key", 1, 4))
     sums = placed.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
     # Words before a bucket: those before its 256 neighbours, and those before it among them, so that
@@ -168,7 +169,7 @@ def mix_sources(
     pieces = cut.select(
         "row", "epoch", (begin - F.col("low")).alias("first_word"), (F.least("high", "stop") - begin).alias("n_words"), "slot"
     )
-    return sized.drop("s"), pieces
+    return sized.drop("s", "mark"), pieces
 
 
 def mixed_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
