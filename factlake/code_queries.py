@@ -858,9 +858,7 @@ _F = "f AS (SELECT p_partkey AS k, (p_size % 4)::INT AS q, p_partkey % 2 = 1 AS
 def _flow(spark: SparkSession, d: str) -> DataFrame:
     """Statements with their flow, with the text they begin with and the names of variables."""
     docs = generated.flow_sources(table(spark, d, "part"))
-    nodes = written(csharp.syntax_nodes(docs), "nodes")
-    inside = plans.innermost(plans.ancestors(nodes), plans.BODIES, "member_node")
-    rows = written(flow.units(nodes, inside), "units").join(docs, "doc_id")
+    rows = flow.units(docs).join(docs, "doc_id")
     return rows.withColumn("text", F.substring(F.col("content"), F.col("start") + 1, F.col("length"))).drop("content")
 
 

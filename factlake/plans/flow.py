@@ -13,14 +13,14 @@ be written, and what it reads counts as read where it stands.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.sources.csharp import Node
+from factlake.sources.csharp import Node, parse
 
 ENTRY, EXIT = -1, -2
 #: Statements that are a unit of their own, with the expressions below them.
@@ -366,42 +366,52 @@ UNITS = (
     "doc_id string, member_node long, node_id long, kind string, start int, length int, block int, place int, reachable boolean, next array<long>, "
     "reads array<long>, writes array<long>, live_in array<long>, live_out array<long>, reaching array<long>"
 )
-_NODE = ("node_id", "parent_id", "kind", "start", "length", "depth", "ident", "detail", "receiver", "args", "name_start")
+#: Declarations that hold statements.
+BODIES = (
+    "MethodDeclaration", "ConstructorDeclaration", "DestructorDeclaration", "OperatorDeclaration", "PropertyDeclaration", "IndexerDeclaration",
+    "FieldDeclaration", "FieldDeclarator", "EventDeclaration",
+)
 
 
-def units(nodes: DataFrame, member_of: DataFrame) -> DataFrame:
-    """Rows of ``UNITS``: the statements of each member with their flow.
+def by_member(nodes: list[Node]) -> Iterator[tuple[Node, list[Node]]]:
+    """Each declaration of a file that holds statements, with the nodes that it is the nearest one around."""
+    of: list[int] = []
+    inside: dict[int, list[Node]] = defaultdict(list)
+    for n in nodes:
+        of.append(n.number if n.kind in BODIES else of[n.parent] if n.parent >= 0 else -1)
+        if of[-1] >= 0:
+            inside[of[-1]].append(n)
+    for number, its in inside.items():
+        yield nodes[number], its
+
 
-    ``member_of`` (doc_id, node_id, member_node) says what member a node lies in. ``next`` are the
-    statements that may follow, -2 for the end of the member; variables are the nodes that declare them;
-    ``reaching`` are the statements whose values what this one reads may have. A member is solved by one
-    task; members without statements have no rows.
+def units(documents: DataFrame) -> DataFrame:
+    """Rows of ``UNITS``: the statements of each member of documents (doc_id, content) with their flow.
+
+    ``next`` are the statements that may follow, -2 for the end of the member; variables are the nodes
+    that declare them; ``reaching`` are the statements whose values what this one reads may have. A
+    document is parsed and solved by one task, member by member, so nothing is shuffled; null contents
+    and members without statements have no rows.
     """
-    rows = nodes.join(member_of, ["doc_id", "node_id"]).select("doc_id", "member_node", *_NODE)
-    heads = member_of.select("doc_id", "member_node").distinct().withColumn("node_id", F.col("member_node"))
-    rows = rows.unionByName(nodes.join(heads, ["doc_id", "node_id"]).select("doc_id", "member_node", *_NODE)).dropDuplicates(["doc_id", "member_node", "node_id"])
-
-    def solve(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("node_id")
-        nodes_ = []
-        for r in table.itertuples(index=False):
-            missing = r.parent_id is None or r.parent_id != r.parent_id
-            n = Node(r.kind, r.start, r.start + r.length, -1 if missing else int(r.parent_id), r.depth, r.ident, detail=r.detail, receiver=r.receiver)
-            n.args = None if r.args is None else list(r.args)
-            n.name_start = None if r.name_start is None or r.name_start != r.name_start else int(r.name_start)
-            n.number = int(r.node_id)
-            nodes_.append(n)
-        owner = next(n for n in nodes_ if n.number == key[1])
-        flow = member_flow(nodes_, owner)
-        ids = lambda bits: [flow.symbols[i].number for i in members(bits)]
-        out = [
-            (*key, k, u.node.kind, u.node.start, u.node.end - u.node.start, u.block, u.place, u.reachable, sorted(u.next), ids(u.reads), ids(u.writes | u.may),
-             ids(u.live_in), ids(u.live_out), sorted(u.reaching))
-            for k, u in flow.units.items()
-        ]
-        return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in UNITS.split(", ")])
-
-    return rows.groupBy("doc_id", "member_node").applyInPandas(solve, UNITS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.strip().split(" ")[0] for c in UNITS.split(", ")]
+        for batch in batches:
+            rows = []
+            for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
+                if content is None:
+                    continue
+                for owner, nodes in by_member(parse(content)):
+                    flow = member_flow(nodes, owner)
+                    ids = lambda bits, flow=flow: [flow.symbols[i].number for i in members(bits)]
+                    rows += [
+                        (doc, owner.number, k, u.node.kind, u.node.start, u.node.end - u.node.start, u.block, u.place, u.reachable, sorted(u.next), ids(u.reads),
+                         ids(u.writes | u.may), ids(u.live_in), ids(u.live_out), sorted(u.reaching))
+                        for k, u in flow.units.items()
+                    ]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return documents.select(F.col("doc_id").cast("string"), "content").mapInPandas(run, UNITS)
 
 
 def edges(units_: DataFrame) -> DataFrame:

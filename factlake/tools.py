@@ -946,7 +946,7 @@ def validated(documents: DataFrame) -> DataFrame:
 
 def flow_units(facts: Facts) -> DataFrame:
     """The statements of all members with what control and data flow tell of them; see :func:`factlake.plans.flow.units`."""
-    return flow.units(facts.nodes, plans.innermost(facts.above, plans.BODIES, "member_node"))
+    return flow.units(facts.documents)
 
 
 def unreachable(facts: Facts) -> DataFrame:
@@ -973,7 +973,7 @@ def data_flow(facts: Facts, spans: DataFrame) -> DataFrame:
         some(F.col("name_start").between(F.col("begin"), F.col("stop"))).alias("declared"), some(within & ~writes).alias("read_inside"),
         some(within & writes).alias("written_inside"), some(~within & ~writes).alias("read_outside"), some(~within & writes).alias("written_outside"),
     )
-    units = written(flow_units(facts).join(spans.select("doc_id").distinct(), "doc_id", "left_semi"), "units")
+    units = written(flow.units(facts.documents.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")), "units")
     key = ["doc_id", "begin", "stop"]
     here = units.join(spans, "doc_id").filter("begin <= start and start + length <= stop")
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
