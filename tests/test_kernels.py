@@ -102,9 +102,8 @@ def test_base_chains_of_any_length(spark):
     assert {r["distance"] for r in diamond.filter("node = 1 and base = 4").collect()} == {1}
 
 
-@pytest.mark.parametrize(("seed", "small"), [(0, 0), (1, 0), (2, 0), (3, 100)])
-def test_cycles_of_random_graphs(spark, short_rounds, monkeypatch, seed, small):
-    monkeypatch.setattr(graph, "SMALL", small)
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_of_random_graphs(spark, short_rounds, seed):
     r = random.Random(seed + 50)
     edges = sorted({(r.randrange(20), r.randrange(20)) for _ in range(r.choice([6, 15, 30]))})
     reach = _reach(edges)
@@ -115,6 +114,42 @@ def test_cycles_of_random_graphs(spark, short_rounds, monkeypatch, seed, small):
     assert {x["node"]: (x["on_cycle"], x["reaches_cycle"]) for x in rows} == {n: (n in on, n in to) for n in range(22)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_and_levels_of_many_graphs(spark, seed):
+    """Random graphs side by side: sparse ones, ones with one way on from each node, and rings."""
+    r = random.Random(seed)
+    edges, component, level = [], {}, {}
+    for g in range(60):
+        n, kind = r.randint(1, 14), r.random()
+        own = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, n * (1 if kind < 0.5 else 2)))]
+        own = [(i, r.randrange(n)) for i in range(n)] if kind < 0.3 else [*((i, (i + 1) % n) for i in range(n)), *own[:1]] if kind > 0.85 else own
+        own = [(a + 100 * g, b + 100 * g) for a, b in own]
+        reach = _reach(own)
+        used = {x for e in own for x in e}
+        component |= {a: min(b for b in used if (a, b) in reach and (b, a) in reach) for a in used if (a, a) in reach}
+        free = {a for a in used if not any(b in component for x, b in reach if x == a) and a not in component}
+        for _ in used:
+            level |= {a: max((level.get(b, 0) + 1 for x, b in own if x == a), default=0) for a in free}
+        edges += own
+    r.shuffle(edges)
+    e = spark.createDataFrame(edges, "src long, dst long")
+    rest, levels = graph.peeled(e)
+    assert {x["node"]: x["level"] for x in levels.collect()} == level
+    assert {tuple(x) for x in rest.collect()} == {(a, b) for a, b in edges if a not in level and b not in level}
+    assert {x["node"]: x["component"] for x in graph.strong_components(e).collect()} == component
+
+
+def test_long_rings_and_chains(spark):
+    n = 50_000
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    chain = spark.range(n).select((F.col("id") + n).alias("src"), (F.col("id") + n + 1).alias("dst"))
+    nodes = spark.range(2 * n + 1).withColumnRenamed("id", "node")
+    rows = graph.cyclic(nodes, ring.unionByName(chain)).groupBy("on_cycle", "reaches_cycle").count().collect()
+    assert {tuple(x) for x in rows} == {(True, True, n), (False, False, n + 1)}
+    built = graph.build_order(nodes, chain).filter(F.col("node") >= n)
+    assert built.filter(F.col("level") != 2 * n - F.col("node")).isEmpty() and built.count() == n + 1
+
+
 def test_dot_of_a_large_graph(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_DOT_LINES", 2)
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
