@@ -65,7 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document stands where its first words do, so rows in order, part file by part file, hold each
     source in nearly its proportion. Null and wordless texts have no words to take and go; a null source
-    is one of its own; documents without an id come first in a source's stream.
+    is one of its own; documents without an id stand where a hash of their text puts them.
     """
     documents, pieces = mixing.mix_sources(docs, carry=["text", "lang", "n_chars"])
     copies = pieces.groupBy("row", "epoch").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("slot"))
