@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.storage import Growing, discard, written
+from factlake.storage import discard, written
 
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -51,13 +51,13 @@ def _ends(pointers: DataFrame) -> DataFrame:
     pointers = pointers.withColumn("low", F.col("node"))
     nodes, n, steps, t = pointers.select(F.col("node").alias("next"), F.lit(True).alias("looped")), pointers.count(), 1, pointers
     while True:
-        for _ in range(2):
+        for _ in range(3):
             ahead = t.select(F.col("node").alias("next"), F.col("next").alias("then"), F.col("length").alias("more"), F.col("base").alias("their"), F.col("low").alias("least"))
             t = t.join(ahead, "next", "left").select(
                 "node", F.coalesce("then", "next").alias("next"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"),
                 F.greatest("base", F.col("length") + F.col("their")).alias("base"), F.least("low", "least").alias("low"),
             )
-        t, steps = written(t, "ends"), steps * 4
+        t, steps = written(t, "ends"), steps * 8
         out = t.join(nodes, "next", "left").withColumn("looped", F.coalesce("looped", F.lit(False)))
         if steps > n or out.filter("looped").isEmpty():
             return out
@@ -82,89 +82,100 @@ def peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return whole, None
     e = whole.select("src", "dst", F.lit(1).cast("long").alias("length"), F.lit(0).cast("long").alias("base"))
     ends = whole.select(F.col("dst").alias("node")).distinct().join(whole.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    levels, followed = Growing("levels"), []
-    ends = levels.add(ends.withColumn("level", F.lit(0).cast("long")))
+    ends = ends.withColumn("level", F.lit(0).cast("long"))
+    levels, followed = ends, []
     while True:
-        reach = ends.withColumn("done", F.lit(True))
+        first = ends.withColumns({"done": F.lit(True), "old": F.lit(True)})
+        reach = first
         for _ in range(_AT_ONCE):
-            ahead = e.join(reach.withColumnRenamed("node", "dst"), "dst", "left")
+            ahead = e.join(reach.select(F.col("node").alias("dst"), "level", "done"), "dst", "left")
             level = F.greatest(F.max("base"), F.max(F.col("length") + F.coalesce("level", F.lit(0))))
             ahead = ahead.groupBy(F.col("src").alias("node")).agg(level.alias("level"), F.bool_and(F.coalesce("done", F.lit(False))).alias("done"))
-            reach = ahead.unionByName(ends.withColumn("done", F.lit(True)))
-        done = written(reach.filter("done").drop("done"), "done")
-        known = done.withColumnRenamed("node", "dst")
-        left = e.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(known, "dst", "left")
-        gained = F.max(F.greatest("base", F.col("length") + F.col("level"))).over(Window.partitionBy("src"))
-        left = written(left.withColumn("gained", F.coalesce(gained, "base")).withColumn("open", F.count_if(F.col("level").isNull()).over(Window.partitionBy("src"))), "left")
-        new = done.join(ends.select("node"), "node", "left_anti")
-        levels.add(new)
-        ends = levels.add(left.filter("open = 0").select(F.col("src").alias("node"), F.col("gained").alias("level")).distinct())
+            reach = ahead.withColumn("old", F.lit(False)).unionByName(first)
+        done = written(reach.filter("done"), "done")
+        new = done.filter("not old").select("node", "level")
+        left = e.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst"), "level"), "dst", "left")
+        by_source = Window.partitionBy("src")
+        gained = F.max(F.greatest("base", F.col("length") + F.col("level"))).over(by_source)
+        left = written(left.withColumn("gained", F.coalesce(gained, "base")).withColumn("open", F.count_if(F.col("level").isNull()).over(by_source)), "left")
+        ends = left.filter("open = 0").select(F.col("src").alias("node"), F.col("gained").alias("level")).distinct()
+        levels = levels.unionByName(new).unionByName(ends)
         e = left.filter("level is null").select("src", "dst", "length", F.col("gained").alias("base"))
-        pointers = written(_pointers(e.join(ends.select(F.col("node").alias("src")), "src", "left_anti")), "pointers")
+        if e.isEmpty():
+            break
+        pointers = written(_pointers(e), "pointers")
         stuck = pointers.isEmpty()
-        if not stuck:
-            followed.append(written(_ends(pointers), "followed"))
-            to = followed[-1].filter("not looped").select(F.col("node").alias("dst"), F.col("next").alias("then"), F.col("length").alias("more"), F.col("base").alias("their"))
-            e = e.join(pointers.select(F.col("node").alias("src")), "src", "left_anti").join(to, "dst", "left")
-            e = e.select("src", F.coalesce("then", "dst").alias("dst"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.greatest("base", F.col("length") + F.col("their")).alias("base"))
+        if stuck:
+            if new.isEmpty() and ends.isEmpty():
+                break
+            continue
+        followed.append(_ends(pointers))
+        to = followed[-1].filter("not looped").select(F.col("node").alias("dst"), F.col("next").alias("then"), F.col("length").alias("more"), F.col("base").alias("their"))
+        e = e.join(pointers.select(F.col("node").alias("src")), "src", "left_anti").join(to, "dst", "left")
+        e = e.select("src", F.coalesce("then", "dst").alias("dst"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.greatest("base", F.col("length") + F.col("their")).alias("base"))
         e = e.groupBy("src", "dst").agg(F.max("length").alias("length"), F.max("base").alias("base"))
-        e = written(e.withColumn("base", F.max("base").over(Window.partitionBy("src"))), "peeled")
-        if e.isEmpty() or stuck and ends.isEmpty() and new.isEmpty():
+        e = written(e.withColumn("base", F.max("base").over(by_source)), "peeled")
+        if e.isEmpty():
             break
     for f in reversed(followed):
-        hit = f.filter("not looped").join(levels.table().withColumnRenamed("node", "next"), "next")
-        levels.add(hit.select("node", F.greatest("base", F.col("length") + F.col("level")).alias("level")))
-    out = levels.table().select("node", F.col("level").cast("int").alias("level"))
-    free = written(out.select("node"), "free")
+        levels = written(levels, "levels")
+        hit = f.filter("not looped").join(levels.withColumnRenamed("node", "next"), "next")
+        levels = levels.unionByName(hit.select("node", F.greatest("base", F.col("length") + F.col("level")).alias("level")))
+    levels = written(levels.select("node", F.col("level").cast("int").alias("level")), "levels")
+    free = levels.select("node")
     rest = whole.join(free.withColumnRenamed("node", "src"), "src", "left_anti").join(free.withColumnRenamed("node", "dst"), "dst", "left_anti")
-    return written(rest.select("src", "dst"), "rest"), out
+    return written(rest.select("src", "dst"), "rest"), levels
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of the nodes that lie on a cycle; nodes of one component reach each other.
 
-    Edges on no path between cycles are peeled off from both sides. Nodes with one way on are left out,
-    their ends in their place; what is left is coloured: every node gets the greatest node that reaches
-    it, and those of a colour that reach that node are a component (forward-backward colouring). At last
-    the nodes left out are in the component of their end if one of its nodes leads to them. Nothing is
-    closed; chains and rings take a logarithm of rounds, the rest as many as its paths are long, eight
-    steps a round.
+    Edges into what lies on no path without end are peeled off. Nodes with one way on are left out,
+    their ends in their place; what is left is peeled from the other side and coloured: every node gets
+    the greatest node that reaches it, and those of a colour that reach that node are a component
+    (forward-backward colouring). At last the nodes left out are in the component of their end if one of
+    its nodes leads to them. Nothing is closed; chains and rings take a logarithm of rounds, the rest as
+    many as its paths are long, eight steps a round.
     """
-    e = edges.select("src", "dst").dropna().distinct()
-    forward, _ = peeled(e)
-    back, _ = peeled(_reversed(forward))
-    e = written(_reversed(back).distinct(), "core")
-    found = Growing("components")
-    found.add(e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
-    e = e.filter("src <> dst")
-    left_out = []
+    core, _ = peeled(edges)
+    return _components(core)
+
+
+def _components(core: DataFrame) -> DataFrame:
+    """As ``strong_components``, of edges that ``peeled`` has left."""
+    own = core.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    found, left_out = own, []
+    e, both_sides = core.filter("src <> dst"), False
     while True:
-        plain = e.withColumn("length", F.lit(1)).withColumn("base", F.lit(0))
-        pointers = written(_pointers(plain), "pointers")
+        pointers = written(_pointers(e.withColumn("length", F.lit(1)).withColumn("base", F.lit(0))), "pointers")
         if pointers.isEmpty():
-            break
-        ends = written(_ends(pointers), "followed")
+            if both_sides or e.isEmpty():
+                break
+            back, _ = peeled(_reversed(e))
+            e, both_sides = _reversed(back), True
+            continue
+        ends = _ends(pointers)
         # Of nodes that lead into a ring, those that pointers of others come to lie on it.
         ring = ends.filter("looped")
-        found.add(ring.join(ring.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("component")))
+        found = found.unionByName(ring.join(ring.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("component")))
         straight = ends.filter("not looped").select("node", "next")
         left_out.append((e, pointers.select("node", "next").join(straight.select("node"), "node", "left_semi"), straight))
-        gone = ring.select("node")
-        e = e.join(pointers.select(F.col("node").alias("src")), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        e = e.join(pointers.select(F.col("node").alias("src")), "src", "left_anti").join(ring.select(F.col("node").alias("dst")), "dst", "left_anti")
         e = e.join(straight.select(F.col("node").alias("dst"), F.col("next").alias("then")), "dst", "left").select("src", F.coalesce("then", "dst").alias("dst"))
-        found.add(e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct())
-        e = written(e.filter("src <> dst").distinct(), "core")
+        e = written(e.distinct(), "core")
+        found = found.unionByName(e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
+        e = e.filter("src <> dst")
     while not e.isEmpty():
-        nodes = written(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct(), "nodes")
+        nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
         colour = _coloured(nodes, e)
         of = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
         same = e.join(of("src"), "src").join(of("dst"), "dst").filter("src_colour = dst_colour").select("src", "dst")
         roots = colour.filter("node = colour").select("node")
         part = written(reached(_reversed(same), roots).join(colour, "node"), "part")
-        found.add(part.withColumn("n", F.count("*").over(Window.partitionBy("colour"))).filter("n > 1").select("node", F.col("colour").alias("component")))
+        found = found.unionByName(part.withColumn("n", F.count("*").over(Window.partitionBy("colour"))).filter("n > 1").select("node", F.col("colour").alias("component")))
         e = e.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
         e = written(e.select("src", "dst"), "core")
-    known = written(found.table().groupBy("node").agg(F.min("component").alias("component")), "known")
+    known = written(found.groupBy("node").agg(F.min("component").alias("component")), "known")
     for e, pointers, straight in reversed(left_out):
         # Into the chains from a node of the component of their end, and down them.
         at = straight.join(known.select(F.col("node").alias("next"), "component"), "next").select(F.col("node").alias("dst"), "component")
@@ -212,7 +223,7 @@ def cyclic(nodes: DataFrame, edges: DataFrame, node: str = "node", reach: DataFr
         to = reach.join(on.select(F.col("n").alias("dst")), "dst").select(F.col("src").alias("n")).distinct()
     else:
         core, _ = peeled(edges)
-        on = strong_components(core).select(F.col("node").alias("n"))
+        on = _components(core).select(F.col("node").alias("n"))
         to = core.select(F.col("src").alias("n")).distinct()
     flags = to.withColumn("to", F.lit(True)).join(on.withColumn("on", F.lit(True)), "n", "left")
     return nodes.select(node).join(flags, F.col(node) == F.col("n"), "left").select(
