@@ -75,6 +75,15 @@ def split_name(text: Column) -> list[Column]:
     return [last.alias("name"), F.nullif(F.substring(text, F.lit(1), F.length(text) - F.length(last) - 1), F.lit("")).alias("qualifier")]
 
 
+def number_type(text: Column) -> Column:
+    """The type of a number by how it is written; in hex digits, e and f are no marks."""
+    hex_ = text.rlike("(?i)^0[xb]")
+    return (
+        F.when(text.rlike("(?i)(ul|lu)$"), "ulong").when(text.rlike("(?i)l$"), "long").when(text.rlike("(?i)u$"), "uint").when(hex_, "int")
+        .when(text.rlike("(?i)m$"), "decimal").when(text.rlike("(?i)f$"), "float").when(text.rlike("(?i)[.ed]"), "double").otherwise("int")
+    )
+
+
 def type_arguments(type_text: Column) -> Column:
     """The type arguments of a type's text, an empty array if it has none; any depth of brackets."""
     inside = F.regexp_extract(plain_type(type_text), r"(?s)^[\w.]+\s*<(.*)>\??$", 1)

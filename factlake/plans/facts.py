@@ -182,13 +182,8 @@ def _other_expressions(nodes: DataFrame, above: DataFrame, space: DataFrame, typ
     Creations, conversions and literals tell their type; accesses to elements and awaits have that of
     their target, or of the type around them, ``own_type``, where they are applied to ``this``.
     """
-    number = (
-        F.when(F.col("detail").rlike("(?i)^0[xb].*[^l]$"), "int").when(F.col("detail").rlike("(?i)m$"), "decimal").when(F.col("detail").rlike("(?i)f$"), "float")
-        .when(F.col("detail").rlike("(?i)(ul|lu)$"), "ulong").when(F.col("detail").rlike("(?i)l$"), "long").when(F.col("detail").rlike("(?i)u$"), "uint")
-        .when(F.col("detail").rlike("(?i)[.ed]"), "double").otherwise("int")
-    )
     text = (
-        F.when(F.col("kind") == "NumericLiteralExpression", number).when(F.col("kind") == "StringLiteralExpression", "string")
+        F.when(F.col("kind") == "NumericLiteralExpression", expressions.number_type(F.col("detail"))).when(F.col("kind") == "StringLiteralExpression", "string")
         .otherwise(F.col("type_text"))
     )
     kinds = ("ObjectCreationExpression", "CastExpression", "ElementAccessExpression", "AwaitExpression", "NumericLiteralExpression", "StringLiteralExpression")

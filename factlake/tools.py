@@ -16,7 +16,7 @@ from factlake.operators import graph, metrics, rewrites, text
 from factlake.plans import facts as plans
 from factlake.plans import flow
 from factlake.plans.components import connected_components
-from factlake.plans.expressions import bind_types
+from factlake.plans.expressions import bind_types, number_type
 from factlake.plans.facts import NAMESPACE_KINDS, TYPE_KINDS, Facts
 from factlake.sources import csharp
 from factlake.sources import projects as source
@@ -1075,7 +1075,7 @@ def conversions(from_type: Column, to_type: Column) -> Column:
 
 def constants(facts: Facts) -> DataFrame:
     """Literal values with their type's name."""
-    kind = F.when(F.col("kind") == "StringLiteralExpression", "string").when(F.col("detail").rlike("[.]|[fFdDmM]$"), "double").otherwise("int")
+    kind = F.when(F.col("kind") == "StringLiteralExpression", "string").otherwise(number_type(F.col("detail")))
     rows = facts.nodes.filter(F.col("kind").isin("StringLiteralExpression", "NumericLiteralExpression"))
     return rows.select("doc_id", "start", "length", F.col("detail").alias("value"), kind.alias("type"))
 

@@ -304,3 +304,9 @@ def test_constructs_of_newer_versions():
     assert kinds("InvocationExpression") == ["N", "Y", "Go", "G", "W"]
     assert [n.ident for n in nodes if n.kind in ("LocalDeclarationStatement", "LocalDeclarator")] == ["x", "z", "w", "t", "u", "v", "s", "f"]
     assert [n.ident for n in nodes if n.kind == "IdentifierName" and n.ident in ("a", "b", "l", "r")] == []
+
+
+def test_types_of_numbers(spark):
+    want = {"1": "int", "1_000": "int", "2L": "long", "3u": "uint", "4UL": "ulong", "5lu": "ulong", "1.5": "double", "1e3": "double", "2d": "double", "1.5f": "float", "2m": "decimal", "0xFF": "int", "0xFEL": "long", "0b11": "int", "0x1Eu": "uint"}
+    rows = spark.createDataFrame(list(want.items()), "t string, w string").select("t", "w", expressions.number_type(F.col("t")).alias("got")).collect()
+    assert {r["t"]: r["got"] for r in rows} == want
