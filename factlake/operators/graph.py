@@ -143,8 +143,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def _components(core: DataFrame) -> DataFrame:
     """As ``strong_components``, of edges that ``peeled`` has left."""
-    own = core.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    found, left_out = own, []
+    if core.isEmpty():
+        return core.select(F.col("src").alias("node"), F.col("src").alias("component"))
+    node = F.col("src").alias("node")
+    # Nodes that lead to themselves, at once or through nodes left out, are components of their own unless in a larger one.
+    loops = core.filter("src = dst").select(node)
+    found, left_out = core.limit(0).select(node, F.col("src").alias("component")), []
     e, both_sides = core.filter("src <> dst"), False
     while True:
         pointers = written(_pointers(e.withColumn("length", F.lit(1)).withColumn("base", F.lit(0))), "pointers")
@@ -163,7 +167,7 @@ def _components(core: DataFrame) -> DataFrame:
         e = e.join(pointers.select(F.col("node").alias("src")), "src", "left_anti").join(ring.select(F.col("node").alias("dst")), "dst", "left_anti")
         e = e.join(straight.select(F.col("node").alias("dst"), F.col("next").alias("then")), "dst", "left").select("src", F.coalesce("then", "dst").alias("dst"))
         e = written(e.distinct(), "core")
-        found = found.unionByName(e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
+        loops = loops.unionByName(e.filter("src = dst").select(node))
         e = e.filter("src <> dst")
     while not e.isEmpty():
         nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
@@ -175,13 +179,16 @@ def _components(core: DataFrame) -> DataFrame:
         found = found.unionByName(part.withColumn("n", F.count("*").over(Window.partitionBy("colour"))).filter("n > 1").select("node", F.col("colour").alias("component")))
         e = e.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
         e = written(e.select("src", "dst"), "core")
-    known = written(found.groupBy("node").agg(F.min("component").alias("component")), "known")
+    loops = loops.distinct().withColumn("component", F.col("node"))
+    whole = lambda known: known.unionByName(loops.join(known.select("node"), "node", "left_anti"))
     for e, pointers, straight in reversed(left_out):
-        # Into the chains from a node of the component of their end, and down them.
+        # Into the chains from a node of the component of their end, and down them; what is found here counts before a loop.
+        known = written(whole(found), "known")
         at = straight.join(known.select(F.col("node").alias("next"), "component"), "next").select(F.col("node").alias("dst"), "component")
         entered = e.join(at, "dst").join(known.select(F.col("node").alias("src"), "component"), ["src", "component"]).select(F.col("dst").alias("node")).distinct()
         passed = _downstream(pointers, entered).join(at.withColumnRenamed("dst", "node"), "node").select("node", "component")
-        known = written(known.unionByName(passed).groupBy("node").agg(F.min("component").alias("component")), "known")
+        found = written(found.unionByName(passed), "found")
+    known = written(whole(found), "known")
     low = known.groupBy("component").agg(F.min("node").alias("least"))
     return known.join(low, "component").select("node", F.col("least").alias("component"))
 
@@ -248,9 +255,9 @@ def build_order(nodes: DataFrame, edges: DataFrame, node: str = "node", order: s
         return known.select(F.col("node").alias(node), F.lit(0).alias("level"), F.lit(False).alias("in_cycle"))
     stuck = rest.select(F.col("src").alias("node")).distinct().withColumn("stuck", F.lit(True))
     out = known.join(levels, "node", "left").join(stuck, "node", "left")
-    flags = cyclic(known, rest).select("node", "on_cycle")
-    return out.join(flags, "node").select(
-        F.col("node").alias(node), F.when(F.col("stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level"), F.col("on_cycle").alias("in_cycle")
+    flags = _components(rest).select("node", F.lit(True).alias("on"))
+    return out.join(flags, "node", "left").select(
+        F.col("node").alias(node), F.when(F.col("stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level"), F.coalesce("on", F.lit(False)).alias("in_cycle")
     )
 
 
