@@ -18,7 +18,7 @@ from factlake.plans import flow
 from factlake.sources import csharp, generated
 from factlake.sources import projects as source
 from factlake.sources.tables import table
-from factlake.storage import written
+from factlake.storage import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -857,9 +857,8 @@ _F = "f AS (SELECT p_partkey AS k, (p_size % 4)::INT AS q, p_partkey % 2 = 1 AS
 
 def _flow(spark: SparkSession, d: str) -> DataFrame:
     """Statements with their flow, with the text they begin with and the names of variables."""
-    docs = generated.flow_sources(table(spark, d, "part"))
-    rows = flow.units(docs).join(docs, "doc_id")
-    return rows.withColumn("text", F.substring(F.col("content"), F.col("start") + 1, F.col("length"))).drop("content")
+    part = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    return flow.units(generated.flow_sources(part), texts=True)
 
 
 @query("""SELECT 'F' || k AS doc_id, (2 * q + CASE WHEN odd THEN 8 ELSE 10 END)::BIGINT AS units, (CASE q WHEN 0 THEN 1 ELSE 2 * q END + CASE WHEN odd THEN 6 ELSE 7 END)::BIGINT AS blocks,
@@ -883,6 +882,6 @@ def code_flow_live(spark, d):
 @query("""SELECT 'F' || k AS doc_id, q::BIGINT AS tests, (CASE q WHEN 0 THEN 1 ELSE 3 * q END + CASE WHEN odd THEN 8 ELSE 10 END)::BIGINT AS edges FROM f""", _F)
 def code_flow_edges(spark, d):
     """Edges between basic blocks."""
-    rows = written(_flow(spark, d), "units")
-    tests = rows.groupBy("doc_id").agg(F.count_if((F.col("kind") == "IfStatement") & F.col("text").contains("total +=")).alias("tests"))
-    return flow.edges(rows).groupBy("doc_id").agg(F.count("*").alias("edges")).join(tests, "doc_id")
+    test = (F.col("kind") == "IfStatement") & F.col("text").contains("total +=")
+    rows = _flow(spark, d).groupBy("doc_id").agg(F.sum(F.size("leads")).alias("edges"), F.count_if(test).alias("tests"))
+    return rows.select("doc_id", "edges", "tests")

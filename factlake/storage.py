@@ -56,6 +56,18 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` over enough tasks for work that costs much a row, such as parsing.
+
+    A small Parquet file comes in one partition, however many rows it has and however much is made of
+    each. The tasks are a few for each core, so that all are busy to the end, and more where each would
+    get above 20,000 rows. The rows are counted, so ``df`` should be cheap to read.
+    """
+    rows = df.count()
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, rows // 20_000)
+    return df.repartition(min(tasks, rows // 32 + 1), *keys)
+
+
 class Growing:
     """A table in the shared folder that rounds of a loop add to; it is read by one scan, however many rounds there are."""
 

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from factlake import tools
+from factlake import code_queries, tools
 from factlake.operators import rewrites
 from factlake.plans import expressions, facts, flow
 from factlake.sources import csharp
@@ -310,3 +310,27 @@ def test_types_of_numbers(spark):
     want = {"1": "int", "1_000": "int", "2L": "long", "3u": "uint", "4UL": "ulong", "5lu": "ulong", "1.5": "double", "1e3": "double", "2d": "double", "1.5f": "float", "2m": "decimal", "0xFF": "int", "0xFEL": "long", "0b11": "int", "0x1Eu": "uint"}
     rows = spark.createDataFrame(list(want.items()), "t string, w string").select("t", "w", expressions.number_type(F.col("t")).alias("got")).collect()
     assert {r["t"]: r["got"] for r in rows} == want
+
+
+def test_a_table_in_one_file_is_dealt_out_before_it_is_parsed(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = code_queries._flow(spark, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "part.parquet")).rdd.getNumPartitions() == 1
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and rows.select("doc_id").distinct().count() == 3000
+
+
+def test_units_hold_their_text_and_the_blocks_they_lead_to(spark):
+    loops = "class B { void M(int a) { do { if (a > 1) { continue; } a--; } while (a > 0); try { Go(a); } catch (E e) { return; } while (a < 9) { a++; } } int P { get { return 1; } } }"
+    docs = spark.createDataFrame([("a", SUM), ("b", loops)], "doc_id string, content string")
+    units = flow.units(docs, texts=True).collect()
+    text = {"a": SUM, "b": loops}
+    assert units and all(r["text"] == text[r["doc_id"]][r["start"] : r["start"] + r["length"]] for r in units)
+    at = {(r["doc_id"], r["node_id"]): r for r in units}
+    want = set()
+    for r in units:
+        for x in r["next"]:
+            to = at.get((r["doc_id"], x))
+            if to is None or to["block"] != r["block"] or to["place"] != r["place"] + 1:
+                want.add((r["doc_id"], r["member_node"], r["block"], -1 if to is None else to["block"]))
+    got = [tuple(r) for r in flow.edges(flow.units(docs)).collect()]
+    assert len(got) == len(want) > 15 and set(got) == want
