@@ -334,3 +334,13 @@ def test_units_hold_their_text_and_the_blocks_they_lead_to(spark):
                 want.add((r["doc_id"], r["member_node"], r["block"], -1 if to is None else to["block"]))
     got = [tuple(r) for r in flow.edges(flow.units(docs)).collect()]
     assert len(got) == len(want) > 15 and set(got) == want
+
+
+def test_only_the_relations_that_are_asked_for_are_derived(spark):
+    docs = spark.createDataFrame([("a", SUM)], "doc_id string, content string")
+    f = facts.build(docs, csharp.syntax_nodes(docs))
+    derived = lambda: {k for k in vars(f) if k not in ("documents", "_parsed")}
+    assert derived() == set()
+    assert f.nodes.filter("kind = 'LocalDeclarationStatement'").count() > 0 and derived() == {"nodes"}
+    assert f.types.count() == 1 and derived() == {"nodes", "above", "_space", "types"}
+    assert tools.unused_locals(f).count() == 0 and "local_uses" in derived() and "_solved" not in derived()
