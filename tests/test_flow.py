@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from factlake import code_queries, tools
+from factlake import code_queries, storage, tools
 from factlake.operators import rewrites
 from factlake.plans import expressions, facts, flow
 from factlake.sources import csharp
@@ -344,3 +344,31 @@ def test_only_the_relations_that_are_asked_for_are_derived(spark):
     assert f.nodes.filter("kind = 'LocalDeclarationStatement'").count() > 0 and derived() == {"nodes"}
     assert f.types.count() == 1 and derived() == {"nodes", "above", "_space", "types"}
     assert tools.unused_locals(f).count() == 0 and "local_uses" in derived() and "_solved" not in derived()
+
+
+def test_places_of_names_come_with_the_nodes(spark):
+    nested = "using N; // top\nnamespace A { namespace B.C { class D { enum E { One = 1 } class F { int P { get { int v = One; return v; } } void M(D d) { M(d); } } } } delegate void G(); }"
+    docs = spark.createDataFrame([("a", SOURCE), ("b", nested), ("c", "namespace X; int y = Go(1); class Z { /* in */ Z z = new Z(); }")], "doc_id string, content string")
+    f = facts.build(docs, csharp.syntax_nodes(docs))
+    assert f.local_uses.count() > 0 and not {"above", "types"} & set(vars(f))
+    kinds = {k for k in facts.MEMBER_KINDS if k != "EnumMemberDeclaration"}
+    around = {}
+    for r in f.above.collect():
+        around.setdefault((r["doc_id"], r["node_id"]), []).append((r["distance"], r["owner_id"], r["owner_kind"], r["owner_ident"]))
+    for r in f.nodes.collect():
+        up = sorted(around.get((r["doc_id"], r["node_id"]), []))
+        first = lambda of: next((i for _, i, kind, _ in up if kind in of), None)
+        spaces = [ident for _, _, kind, ident in reversed(up) if kind in facts.NAMESPACE_KINDS]
+        assert (r["in_type"], r["in_member"], r["in_space"]) == (first(facts.TYPE_KINDS), first(kinds), ".".join(spaces) if spaces else None)
+    assert {r["in_space"] for r in f.nodes.collect()} == {None, "N", "A", "A.B.C", "X"}
+
+
+def test_a_round_of_binding_is_two_tables(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(storage, "written", lambda df, name, f=storage.written: names.append(name) or f(df, name))
+    docs = spark.createDataFrame([("a", "class A { A Up; A Go() { return Up; } int Rank(int n) { return n; } int Rank(string s) { return 1; } void M() { var x = this.Go().Up; x.Go().Rank(1); } }")], "doc_id string, content string")
+    f = facts.build(docs, csharp.syntax_nodes(docs))
+    assert {(r["callee_name"], r["n_candidates"]) for r in f.calls.collect()} == {("Go", 1), ("Rank", 1)}
+    assert [r["inferred"] for r in f.locals.filter("name = 'x'").collect()] == ["A"]
+    rounds = [n for n in names if n in ("candidates", "values", "inferred")]
+    assert len(rounds) > 8 and rounds == ["candidates", "values"] * (len(rounds) // 2)
