@@ -32,8 +32,10 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return seen
 
 
-#: Levels that are peeled off, and steps that are walked, before a round is written.
+#: Levels that are peeled off before a round is written.
 _AT_ONCE = 8
+#: Steps that are walked before one is; after each exchange Spark plans the rest anew, so a plan costs the square of its steps.
+_STEPS = 4
 
 
 def _reversed(edges: DataFrame) -> DataFrame:
@@ -278,7 +280,7 @@ def bounded_walk(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFram
     depth = 0
     while depth < max_depth:
         found = seen.filter(F.col("depth") == depth)
-        steps = min(_AT_ONCE, max_depth - depth)
+        steps = min(_STEPS, max_depth - depth)
         for _ in range(steps):
             ahead = found.withColumnRenamed("node", "src").join(e, "src")
             found = ahead.groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("cost")).alias("depth"))

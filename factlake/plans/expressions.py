@@ -54,13 +54,10 @@ def bind_types(rows: DataFrame, types: DataFrame, scopes: DataFrame, key: list[s
     The nearest namespace that has the name decides; a qualified name also matches a whole namespace.
     """
     known = types.select(F.col("type_id").alias("found_type"), "name", F.col("namespace").alias("target"))
-    plain = rows.filter("qualifier is null").join(scopes, ["doc_id", "namespace"])
-    below = rows.filter("qualifier is not null").join(scopes, ["doc_id", "namespace"])
-    inside = F.when(F.col("target") == GLOBAL, F.col("qualifier")).otherwise(F.concat_ws(".", "target", "qualifier"))
-    asked = plain.unionByName(below.withColumn("target", inside))
-    hit = asked.join(known, ["name", "target"]).select(*key, "found_type", "rank")
-    best = hit.groupBy(*key).agg(F.min("rank").alias("rank"))
-    return hit.join(best, [*key, "rank"]).select(*key, "found_type").distinct()
+    inside = F.when(F.col("qualifier").isNull(), F.col("target")).when(F.col("target") == GLOBAL, F.col("qualifier")).otherwise(F.concat_ws(".", "target", "qualifier"))
+    hit = rows.join(scopes, ["doc_id", "namespace"]).withColumn("target", inside).join(known, ["name", "target"])
+    best = hit.withColumn("best", F.min("rank").over(Window.partitionBy(*key))).filter("rank = best")
+    return best.select(*key, "found_type").distinct()
 
 
 def plain_type(type_text: Column) -> Column:
@@ -118,16 +115,6 @@ def conversions() -> list[tuple[str, str, int]]:
     return [(a, b, n) for a, wider in WIDER.items() for n, b in enumerate(wider.split(), 1)]
 
 
-def local_uses(sites: DataFrame, locals_: DataFrame) -> DataFrame:
-    """``(doc_id, start, symbol_id)`` of names that mean locals and parameters.
-
-    Of several of a name, the last one declared before the place; a function anywhere in the member.
-    """
-    near = sites.filter("receiver is null").join(locals_.select("doc_id", "member_node", "name", "symbol_id", "name_start", "node_kind"), ["doc_id", "member_node", "name"])
-    near = near.filter("name_start <= start or node_kind = 'LocalFunctionStatement'")
-    return near.groupBy(*KEY).agg(F.max_by("symbol_id", "name_start").alias("symbol_id"))
-
-
 class Bindings:
     """Names bound to locals, members and types, over the sites, expressions and declarations of all documents."""
 
@@ -159,8 +146,7 @@ class Bindings:
         Each distinct text is taken apart and looked up once, so the rounds that follow only join with this.
         """
         where = ["doc_id", "namespace"]
-        own = self.sites.select("doc_id", "member_node", "namespace").distinct()
-        written_ones = self.locals.filter("given_type is not null").join(own, ["doc_id", "member_node"])
+        written_ones = self.locals.filter("given_type is not null").withColumnRenamed("space", "namespace")
         all_ = self.members.select(F.col("type_text"), *where).unionByName(self.members.select(F.explode("params.type").alias("type_text"), *where))
         all_ = all_.unionByName(written_ones.select(F.col("given_type").alias("type_text"), *where)).unionByName(self.others.select("type_text", *where))
         new = all_.filter("type_text is not null").select(plain_type(F.col("type_text")).alias("type_text"), *where).distinct()
@@ -213,7 +199,8 @@ class Bindings:
         return asked.join(self.scopes, ["doc_id", "namespace"]).join(self.extensions, ["name", "target"]).select(*KEY, "n_args", "symbol_id").distinct()
 
     def types_at(self, rows: DataFrame) -> DataFrame:
-        return bind_types(rows, self.types, self.scopes, KEY).withColumnRenamed("found_type", "symbol_id")
+        """``(doc_id, start, whole, symbol_id)``: the types that names mean; ``whole`` tells those with a qualifier."""
+        return bind_types(rows.withColumn("whole", F.col("qualifier").isNotNull()), self.types, self.scopes, [*KEY, "whole"]).withColumnRenamed("found_type", "symbol_id")
 
     def _worth(self) -> DataFrame:
         """``(symbol_id, called, ...)``: the value of a member where it is named or called: what a property holds, a method returns, a delegate gives back."""
@@ -294,14 +281,12 @@ class Bindings:
 
     # -- all of it
 
-    def solve(self, local: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """References (without declarations), and ``(symbol_id, inferred)``, the types of variables that have none written.
-
-        ``local`` are the names that mean locals, as ``local_uses`` gives them.
-        """
+    def solve(self) -> tuple[DataFrame, DataFrame]:
+        """References (without declarations), and ``(symbol_id, inferred)``, the types of variables that have none written."""
         sites = self.sites
+        local = sites.filter("local_id is not null").withColumnRenamed("local_id", "symbol_id")
         plain, behind = sites.filter("receiver is null"), sites.filter("receiver is not null")
-        rest = plain.join(local.select(*KEY), KEY, "left_anti")
+        rest = plain.filter("local_id is null")
         ask = ("doc_id", "start", "type_id", "name", "n_args", "namespace")
         up = self.bases.filter("distance = 1").select("type_id", "base_id")
         theirs = behind.filter("receiver = 'base'").join(up, "type_id").drop("type_id").withColumnRenamed("base_id", "type_id")
@@ -312,9 +297,8 @@ class Bindings:
         inner = own.filter(sure)
         # What is left without a receiver may be a type; names behind names may be a type of a namespace.
         left = rest.join(own.select(*KEY).distinct(), KEY, "left_anti")
-        named = self.types_at(left.select(*KEY, "namespace", "name", _none("qualifier")))
         dotted = behind.filter("receiver <> '?'").select(*KEY, "namespace", "name", F.col("receiver").alias("qualifier"))
-        named = written(named.withColumn("whole", F.lit(False)).unionByName(self.types_at(dotted).withColumn("whole", F.lit(True))), "named-types")
+        named = written(self.types_at(left.select(*KEY, "namespace", "name", _none("qualifier")).unionByName(dotted)), "named-types")
         waiting = written(behind.join(own.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, "target", "name", "n_args", "namespace"), "waiting")
         follows, lambdas = self._edges(local)
         new = values.add(self._first_values(local, inner, named).distinct())
@@ -362,9 +346,8 @@ class Bindings:
 
     def _first_values(self, local: DataFrame, inner: DataFrame, named: DataFrame) -> DataFrame:
         """Values that no other expression decides."""
-        place = self.sites.select(*KEY, "namespace", "n_args")
         known = self.locals.filter("given_type is not null").select("symbol_id", plain_type(F.col("given_type")).alias("type_text"), "node_kind")
-        used = local.join(known, "symbol_id").join(place, KEY)
+        used = local.select(*KEY, "symbol_id", "namespace", "n_args").join(known, "symbol_id")
         function, called = F.col("node_kind") == "LocalFunctionStatement", F.col("n_args").isNotNull()
         here, no = [F.col("doc_id").alias("ctx_doc"), F.col("namespace").alias("ctx_space"), _none("type_id")], F.lit(False).alias("delegate")
         used = used.filter((function == called) | ~function).select("doc_id", F.col("start").alias("at"), "type_text", *here, (~function & called).alias("delegate"))
@@ -387,13 +370,12 @@ class Bindings:
 
         ``how`` is ``value`` or ``held`` at uses of a variable that is or runs through the target, and else the kind of the expression.
         """
-        place = self.sites.select(*KEY, F.col("n_args").isNotNull().alias("delegate"), F.col("receiver").isNotNull().alias("behind"))
-        uses = self._unknown.join(local.select("symbol_id", "start"), "symbol_id").join(place.drop("behind"), KEY)
-        uses = written(uses.withColumnRenamed("start", "at"), "uses")
+        uses = self._unknown.join(local.select("symbol_id", F.col("start").alias("at"), F.col("n_args").isNotNull().alias("delegate")), "symbol_id")
+        uses = written(uses, "uses")
         own = uses.filter("of_lambda is null").select("doc_id", "target", "at", F.when(F.col("is_element"), "held").otherwise("value").alias("how"), "delegate")
         others = self.others.filter("type_text is null and target is not null").select("doc_id", "target", "at", F.col("kind").alias("how"), F.lit(False).alias("delegate"))
         asked = uses.filter("of_lambda is not null").select("doc_id", F.col("target").alias("start"), "i", "k", "at", "delegate")
-        lambdas = written(asked.join(place.drop("delegate"), KEY), "lambdas")
+        lambdas = written(asked.join(self.sites.select(*KEY, F.col("receiver").isNotNull().alias("behind")), KEY), "lambdas")
         return written(others.unionByName(own), "follows"), None if lambdas.isEmpty() else lambdas
 
     @staticmethod

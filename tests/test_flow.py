@@ -372,3 +372,38 @@ def test_a_round_of_binding_is_two_tables(spark, monkeypatch):
     assert [r["inferred"] for r in f.locals.filter("name = 'x'").collect()] == ["A"]
     rounds = [n for n in names if n in ("candidates", "values", "inferred")]
     assert len(rounds) > 8 and rounds == ["candidates", "values"] * (len(rounds) // 2)
+
+
+def joins(df):
+    return len(re.findall(r"\bJoin\b", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_names_come_with_the_local_they_mean_and_their_arguments(spark):
+    inner = "class A { int f; int M(int a, int b) { { var f = a; Go(f, b); } foreach (var x in f) { Go(x); } f = Two(f); int Two(int t) { return Go(t, $\"{a}\"); } this.f = b; xs.Each(y => y.Go(a)); return late; int late = 1; } int P { get { var a = f; return a; } } }"
+    docs = spark.createDataFrame([("a", SOURCE), ("b", inner), ("c", SUM)], "doc_id string, content string")
+    f = facts.build(docs, csharp.syntax_nodes(docs))
+    sites = f.nodes.filter("kind = 'IdentifierName'")
+    near = sites.filter("receiver is null").select("doc_id", "start", F.col("in_member").alias("member_node"), F.col("ident").alias("name")).join(f.declared, ["doc_id", "member_node", "name"])
+    near = near.filter("name_start <= start or node_kind = 'LocalFunctionStatement'").groupBy("doc_id", "start").agg(F.max_by("symbol_id", "name_start").alias("symbol_id"))
+    want = {tuple(r) for r in near.collect()}
+    assert len(want) > 10 and {tuple(r) for r in f.local_uses.collect()} == want and f.local_uses.count() == len(want)
+    made = f.nodes.filter("kind = 'InvocationExpression'").select("doc_id", "start", "ident", "receiver", "args", "arg_starts")
+    called = sites.filter("call_args is not null").select("doc_id", "start", "ident", "receiver", "call_args", "call_starts")
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, map(tuple, called.collect()))) and made.count() > 5
+
+
+def test_names_of_types_are_looked_up_by_two_joins(spark):
+    docs = spark.createDataFrame([("a", "using N.M; namespace N { class B { } class A : B, M.C, IX { } namespace M { class C { } class B : N.B { } class D : B { } } }")], "doc_id string, content string")
+    f = facts.build(docs, csharp.syntax_nodes(docs))
+    edges = facts.type_edges(f.types, f.scopes)
+    assert joins(edges) <= 4
+    name = {r["type_id"]: f"{r['namespace']}.{r['name']}" for r in f.types.collect()}
+    got = {(name[r["src_type"]], name.get(r["dst_type"]), r["dst_name"], r["n_candidates"]) for r in edges.collect()}
+    assert got == {("N.A", "N.B", "B", 1), ("N.A", "N.M.C", "C", 1), ("N.A", None, "IX", 0), ("N.M.B", "N.B", "B", 1), ("N.M.D", "N.M.B", "B", 1)}
+
+
+def test_calls_and_references_need_few_joins(spark):
+    docs = spark.createDataFrame([("a", "class A { int R(int n) { return n; } int R(string s) { return R(1) + R(\"x\") + Z(2); } void M() { In(R(3)); int In(int a) { return a; } } }")], "doc_id string, content string")
+    f = facts.build(docs, csharp.syntax_nodes(docs))
+    assert joins(facts.calls(f._sites, f.members, f._bound, f.declared)) <= 3
+    assert sorted((r["callee_name"], r["n_candidates"], *r["args"]) for r in f.calls.collect()) == [("R", 1, "\"x\""), ("R", 1, "1"), ("R", 1, "3"), ("Z", 0, "2")]

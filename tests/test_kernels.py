@@ -345,3 +345,17 @@ def test_stream_and_table_have_the_same_sessions(spark, tmp_path):
     q.awaitTermination()
     live = {tuple(r) for r in spark.sql("SELECT * FROM live").collect()}
     assert len(table) == 4 and live <= table and len(live) >= 3
+
+
+def test_walks_write_after_few_steps_and_reach_the_same(spark, monkeypatch):
+    written, joins = graph.written, []
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return written(df, name)
+
+    monkeypatch.setattr(graph, "written", counted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(23)] + [(5, 3), (40, 41)], "src int, dst int")
+    start = spark.createDataFrame([(1,)], "node int")
+    assert {r["node"]: r["depth"] for r in graph.bounded_walk(edges, start, 10).collect()} == {i + 1: i for i in range(11)}
+    assert max(joins) <= 5
