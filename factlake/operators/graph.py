@@ -297,7 +297,7 @@ def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
     e = written(_looped(edges).select("src", "dst"), "edges")
     while not frontier.isEmpty():
         found = frontier
-        for _ in range(_AT_ONCE):
+        for _ in range(_STEPS):
             found = found.withColumnRenamed("node", "src").join(e, "src").select(F.col("dst").alias("node")).distinct()
         frontier = written(found.join(seen, "node", "left_anti"), "reached")
         seen = seen.unionByName(frontier)

@@ -358,4 +358,5 @@ def test_walks_write_after_few_steps_and_reach_the_same(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(23)] + [(5, 3), (40, 41)], "src int, dst int")
     start = spark.createDataFrame([(1,)], "node int")
     assert {r["node"]: r["depth"] for r in graph.bounded_walk(edges, start, 10).collect()} == {i + 1: i for i in range(11)}
+    assert {r["node"] for r in graph.reached(edges, start).collect()} == set(range(1, 24))
     assert max(joins) <= 5
