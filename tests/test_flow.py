@@ -405,5 +405,6 @@ def test_names_of_types_are_looked_up_by_two_joins(spark):
 def test_calls_and_references_need_few_joins(spark):
     docs = spark.createDataFrame([("a", "class A { int R(int n) { return n; } int R(string s) { return R(1) + R(\"x\") + Z(2); } void M() { In(R(3)); int In(int a) { return a; } } }")], "doc_id string, content string")
     f = facts.build(docs, csharp.syntax_nodes(docs))
-    assert joins(facts.calls(f._sites, f.members, f._bound, f.declared)) <= 3
+    assert joins(facts.calls(f._sites, f.members, f._bound, f.declared)) <= 3 and joins(f.refs) == 1
     assert sorted((r["callee_name"], r["n_candidates"], *r["args"]) for r in f.calls.collect()) == [("R", 1, "\"x\""), ("R", 1, "1"), ("R", 1, "3"), ("Z", 0, "2")]
+    assert f.refs.filter("not is_definition and symbol_kind = 'member' and n_candidates = 1").count() == 3
