@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from factlake.llm.textwords import U, Words, loosened, mix, slices, utf8
 
+#: Bytes of text whose lattice is in a worker's memory at once; the samples don't depend on it.
+SLICE = 1 << 20
 _SPACE = "▁"
 _SLOT_BITS = 20
 _GOLD = 0x9E3779B97F4A7C15
@@ -143,7 +145,12 @@ class Lattice:
     prob: np.ndarray  # of an edge, given its node
     upto: np.ndarray  # running sum of prob inside a node; at least 1 at the last edge
     log_prob: np.ndarray
-    log_rest: np.ndarray  # logarithm of what the node's other edges have together
+
+    def log_rest(self, edges: np.ndarray) -> np.ndarray:
+        """Logarithm of what the other edges of each edge's node have together; only edges on a path need it."""
+        rest = 1.0 - self.prob[edges]
+        rest[rest < 1e-12] = 0.0
+        return np.log(rest)
 
 
 def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary, power: float) -> Lattice:
@@ -152,7 +159,7 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
     n = int(sizes.sum())
     if not n:
         none = np.zeros(0, np.int64)
-        return Lattice(none, none, none, none, none, *(np.zeros(0) for _ in range(4)))
+        return Lattice(none, none, none, none, none, *(np.zeros(0) for _ in range(3)))
     offset = np.cumsum(sizes) - sizes
     left = np.repeat(offset + sizes, sizes) - np.arange(n)  # bytes to the segment's end
     text = data[np.repeat(starts - offset, sizes) + np.arange(n)]
@@ -201,9 +208,8 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
         piece[place] = ids
         to[place] = np.where(left[src] == length, -1, number[np.minimum(src + length, n - 1)])
     del found, free, hashes
-    weight = power * vocab.log_weight[piece]
+    log_prob = power * vocab.log_weight[piece]  # weights at first; each step puts the logarithms in their place
     beta = np.append(np.zeros(n), 0.0)  # log of the mass from a node to the end; the last is the end's
-    log_prob = np.empty(len(to))
     distances = left[order]
     cut = np.flatnonzero(np.r_[True, distances[1:] != distances[:-1]]) if n else np.zeros(0, np.int64)
     for a, b in zip(cut, np.append(cut[1:], n), strict=True):
@@ -211,27 +217,27 @@ def build_lattice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab:
         node = a + np.flatnonzero(count[a:b])  # bytes inside a known character have no edge
         if not len(node):
             continue
-        w = weight[i:j] + beta[to[i:j]]
+        w = log_prob[i:j] + beta[to[i:j]]
         at_ = first[node] - i
         top = np.maximum.reduceat(w, at_)
         total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, count[node])), at_))
         beta[node] = total
         log_prob[i:j] = w - np.repeat(total, count[node])
+    del beta, left, order, distances
     prob = np.exp(log_prob)
-    del weight, beta
-    sure = np.repeat(count == 1, count)
-    prob[sure] = 1.0
-    log_prob[sure] = 0.0
-    rest = 1.0 - prob
-    rest[rest < 1e-12] = 0.0
-    with np.errstate(divide="ignore"):
-        log_rest = np.log(rest)
-    del rest, sure
-    total = np.cumsum(prob)
-    some = count > 0
-    upto = total - np.repeat(total[first[some]] - prob[first[some]], count[some])
-    upto[last[some] - 1] = 2.0
-    return Lattice(number[offset], first, last, to, piece, prob, upto, log_prob, log_rest)
+    only = first[count == 1]
+    prob[only] = 1.0
+    log_prob[only] = 0.0
+    # Summed node by node, so that a sum doesn't depend on what else is in the batch.
+    upto = prob.copy()
+    node, place = np.flatnonzero(count > 1), 1
+    while len(node):
+        edge = first[node] + place
+        upto[edge] += upto[edge - 1]
+        place += 1
+        node = node[count[node] > place]
+    upto[last[count > 0] - 1] = 2.0
+    return Lattice(number[offset], first, last, to, piece, prob, upto, log_prob)
 
 
 class _Substrings:
@@ -337,7 +343,7 @@ class _Search:
         """Take a path whose perturbed value is ``bound``, and divide what is left of its subspace."""
         with np.errstate(divide="ignore"):
             upto = np.cumsum(self.lattice.log_prob[edges])
-            mass = self.lattice.log_rest[edges[depth:]]
+            mass = self.lattice.log_rest(edges[depth:])
             if barred and len(mass):
                 rest = 1.0 - self.lattice.prob[edges[depth]] - self.lattice.prob[list(barred)].sum()
                 mass[0] = math.log(rest) if rest >= 1e-12 else -math.inf
@@ -418,6 +424,47 @@ def sample_texts(texts: pa.Array, keys: np.ndarray, k: int, power: float, vocab:
     return out
 
 
+def _encoded(batch: pa.RecordBatch, k: int, power: float, seed: int, together: bool, vocab: Vocabulary) -> pa.RecordBatch:
+    """The rows of ``sample_encode`` for a slice; only they are left in memory when it returns."""
+    ids = pc.fill_null(batch.column("id"), -(1 << 63)).to_numpy(zero_copy_only=False)
+    keys = mix(ids.astype(np.int64).view(U) ^ mix(U(seed + 1)))
+    found = sample_texts(batch.column("text"), keys, k, power, vocab)
+    said, place = utf8(pc.replace_substring(pc.fill_null(batch.column("text"), ""), _SPACE, " "))
+    flat = [x for row in found for x in row]
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    sizes = [len(x.ids) for x in flat]
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    every = np.concatenate([x.ids for x in flat]) if flat else np.zeros(0, np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every, pa.int32()))
+    # Pieces give the text back behind the space that encoding puts in front.
+    made, cut = vocab.joined(every, ends)
+    same = [
+        np.array_equal(made[a + (b > a) : b], said[place[r] : place[r + 1]]) and (a == b or made[a] == 0x20)
+        for a, b, r in zip(cut[:-1], cut[1:], row, strict=True)
+    ]
+    column = lambda name: pa.array([getattr(x, name) for x in flat], pa.float64())
+    out = pa.RecordBatch.from_arrays(
+        [
+            batch.column("id").take(pa.array(row)),
+            pa.array([i for x in found for i in range(len(x))], pa.int32()),
+            lists,
+            pa.array(sizes, pa.int64()),
+            column("log_prob"),
+            column("perturbed"),
+            column("log_inclusion"),
+            pa.array(same, pa.bool_()),
+        ],
+        ["id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"],
+    )
+    if not together:
+        return out
+    is_first = pc.equal(out.column("sample"), 0)
+    others = out.filter(pc.invert(is_first)).select(out.schema.names[1:]).to_struct_array()
+    upto = np.cumsum([0] + [len(x) - 1 for x in found])
+    first, more = out.filter(is_first), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), others)
+    return pa.RecordBatch.from_arrays([*first.columns, more], [*first.schema.names, "more"])
+
+
 def sample_encode(
     docs: DataFrame,
     model_path: str,
@@ -449,46 +496,9 @@ def sample_encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path)
-        salt = mix(U(seed + 1))
         for whole in batches:
-            for batch in slices(whole, "text"):
-                ids = pc.fill_null(batch.column("id"), -(1 << 63)).to_numpy(zero_copy_only=False)
-                keys = mix(ids.astype(np.int64).view(U) ^ salt)
-                found = sample_texts(batch.column("text"), keys, k, power, vocab)
-                said, place = utf8(pc.replace_substring(pc.fill_null(batch.column("text"), ""), _SPACE, " "))
-                flat = [x for row in found for x in row]
-                row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                sizes = [len(x.ids) for x in flat]
-                ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-                every = np.concatenate([x.ids for x in flat]) if flat else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every, pa.int32()))
-                # Pieces give the text back behind the space that encoding puts in front.
-                made, cut = vocab.joined(every, ends)
-                same = [
-                    np.array_equal(made[a + (b > a) : b], said[place[r] : place[r + 1]]) and (a == b or made[a] == 0x20)
-                    for a, b, r in zip(cut[:-1], cut[1:], row, strict=True)
-                ]
-                column = lambda name: pa.array([getattr(x, name) for x in flat], pa.float64())  # noqa: B023, E731
-                out = pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").take(pa.array(row)),
-                        pa.array([i for x in found for i in range(len(x))], pa.int32()),
-                        lists,
-                        pa.array(sizes, pa.int64()),
-                        column("log_prob"),
-                        column("perturbed"),
-                        column("log_inclusion"),
-                        pa.array(same, pa.bool_()),
-                    ],
-                    ["id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"],
-                )
-                if together:
-                    is_first = pc.equal(out.column("sample"), 0)
-                    others = out.filter(pc.invert(is_first)).select(out.schema.names[1:]).to_struct_array()
-                    upto = np.cumsum([0] + [len(x) - 1 for x in found])
-                    first, more = out.filter(is_first), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), others)
-                    out = pa.RecordBatch.from_arrays([*first.columns, more], [*first.schema.names, "more"])
-                yield out
+            for batch in slices(whole, "text", SLICE):
+                yield _encoded(batch, k, power, seed, together, vocab)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     if together:

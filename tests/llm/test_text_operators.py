@@ -3,6 +3,7 @@ from __future__ import annotations
 import functools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -143,6 +144,45 @@ def test_lattice_probabilities_add_up():
     assert np.allclose(sums, 1)
 
 
+def test_sums_of_a_lattice_do_not_depend_on_its_other_segments():
+    vocab, r = vocabulary(MODEL), random.Random(4)
+    many = " ".join("".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(20_000))
+    _, seg = segments(pa.array([many]))
+    both = build_lattice(seg.data, seg.starts, seg.ends, vocab, 1.0)
+    for s in range(0, len(seg.starts), 997):
+        alone = build_lattice(seg.data, seg.starts[s : s + 1], seg.ends[s : s + 1], vocab, 1.0)
+        a, b = int(both.start[s]), int(alone.start[0])
+        assert both.upto[both.first[a] : both.last[a]].tolist() == alone.upto[alone.first[b] : alone.last[b]].tolist()
+
+
+def test_sampling_keeps_little_in_memory(spark):
+    """Of texts with few repeated words, whose lattices are the largest."""
+
+    class Documents:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        def withColumnRenamed(self, *_):
+            return self
+
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(500)) for _ in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    run = sample_encode(Documents(), MODEL, k=2, together=True).run
+    list(run(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and peak < 250e6
+
+
 # --- Quality rules
 
 
