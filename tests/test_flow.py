@@ -378,6 +378,19 @@ def joins(df):
     return len(re.findall(r"\bJoin\b", df._jdf.queryExecution().optimizedPlan().toString()))
 
 
+def test_values_of_a_round_join_only_what_changes(spark, monkeypatch):
+    counts = []
+    monkeypatch.setattr(expressions.Growing, "add", lambda self, rows, f=storage.Growing.add: counts.append((self.name, joins(rows))) or f(self, rows))
+    source = """class Item { public int Go() { return 1; } } class Row { public Item this[int i] { get { return null; } } } class Box : Row { }
+    class A { Func<Box> make; Box Own() { return null; } void Run() { var b = Own(); var c = b; c[0].Go(); make()[0].Go(); Own()[0].Go(); } }"""
+    docs = spark.createDataFrame([("a", source)], "doc_id string, content string")
+    f = facts.build(docs, csharp.syntax_nodes(docs))
+    assert [(r["callee_id"] is not None, r["n_candidates"]) for r in f.calls.filter("callee_name = 'Go'").collect()] == [(True, 1)] * 3
+    # Where a value leads, what its text means, and for names and values apart which places have one; not what members are worth or indexers give.
+    rounds = [n for name, n in counts if name == "values"][1:]
+    assert len(rounds) > 3 and max(rounds) <= 4, rounds
+
+
 def test_names_come_with_the_local_they_mean_and_their_arguments(spark):
     inner = "class A { int f; int M(int a, int b) { { var f = a; Go(f, b); } foreach (var x in f) { Go(x); } f = Two(f); int Two(int t) { return Go(t, $\"{a}\"); } this.f = b; xs.Each(y => y.Go(a)); return late; int late = 1; } int P { get { var a = f; return a; } } }"
     docs = spark.createDataFrame([("a", SOURCE), ("b", inner), ("c", SUM)], "doc_id string, content string")
