@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from code_samples import EDGE, HELPER, SHAPES
 from pyspark.sql import functions as F
@@ -51,6 +52,15 @@ def test_nodes_have_their_places(docs):
     assert csharp.syntax_nodes(docs.limit(0)).count() == 0
 
 
+def test_a_batch_of_documents_is_handed_on_in_parts():
+    batch = pd.DataFrame({"doc_id": [f"d{i}" for i in range(900)], "content": [SHAPES, None, HELPER] * 300})
+    frames = list(csharp.node_frames(iter([batch, batch[:0]])))
+    one = len(csharp.parse(SHAPES))
+    assert sum(map(len, frames)) == 300 * (one + len(csharp.parse(HELPER.removeprefix("\ufeff")))) > 2 * csharp.FRAME_ROWS
+    assert all(0 < len(x) < csharp.FRAME_ROWS + one for x in frames)
+    assert [d for x in frames for d in x["doc_id"].unique()] == [f"d{i}" for i in range(900) if i % 3 != 1]
+
+
 def test_types_and_members(facts):
     t = {r["name"]: r for r in facts.types.collect()}
     assert {n: (r["kind"], r["namespace"]) for n, r in t.items()} == {
